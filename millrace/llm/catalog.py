@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import urls
+from millrace.llm import language, urls
 
-_MODULES = (urls,)
+_MODULES = (urls, language)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
