@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import language, quality, urls
+from millrace.llm import language, quality, secrets, urls
 
-_MODULES = (quality, urls, language)
+_MODULES = (quality, secrets, urls, language)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
