@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import language, quality, secrets, urls
+from millrace.llm import language, mixture, quality, secrets, shards, urls
 
-_MODULES = (quality, secrets, urls, language)
+_MODULES = (quality, secrets, mixture, urls, shards, language)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
