@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import language, mixture, quality, secrets, shards, urls
+from millrace.llm import language, mixture, planes, quality, secrets, shards, tokens, urls
 
-_MODULES = (quality, secrets, mixture, urls, shards, language)
+_MODULES = (tokens, quality, secrets, mixture, urls, planes, shards, language)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
