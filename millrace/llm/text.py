@@ -111,7 +111,7 @@ class Words:
         out = size.astype(np.uint64) * U64(0xD6E8FEB86659FD93)
         padded = np.concatenate([h, np.zeros(k, dtype=np.uint64)])
         for j in range(k):
-            part = mix(padded[first + j] + U64(0xA24BAED4963EE407) * U64(j + 1)) * (_BASE ** U64(2 * j + 1))
+            part = mix(padded[first + j] + U64(0xA24BAED4963EE407 * (j + 1) % 2**64)) * U64(pow(int(_BASE), 2 * j + 1, 1 << 64))
             out = out + np.where(j < size, part, U64(0))
         return mix(out), ptr
 
