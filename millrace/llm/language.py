@@ -222,7 +222,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], path: str) -> D
             text = batch.column(batch.schema.get_field_index("text"))
             data, off = bytes_of(text)
             best, score = [np.zeros(0, dtype=int)], [np.zeros(0)]
-            for i, j in chunks(off, 2 * CHUNK_BYTES):
+            for i, j in chunks(off, 4 * CHUNK_BYTES):
                 total, n = score_rows(data[off[i] : off[j]], off[i : j + 1] - off[i], shared.value, vocab)
                 gap = (total - total.max(axis=1, keepdims=True)) / np.sqrt(np.maximum(n, 1))[:, None]
                 best.append(total.argmax(axis=1))

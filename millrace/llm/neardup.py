@@ -43,8 +43,8 @@ U64 = np.uint64
 WORDS = 5
 PERCENT = 80
 LIFT = 10  # the first prefix is longer by one in LIFT tokens
-BUCKET_TOKENS = 2_000_000  # prefix tokens handled in one task, about
-CHUNK_SETS = 4096  # sets whose frequencies are looked up together, about
+BUCKET_TOKENS = 500_000  # prefix tokens handled in one task, about
+CHUNK_SETS = 2048  # sets whose frequencies are looked up together, about
 BROADCAST_ROWS = 1_000_000  # of two longs each; larger lists are joined by shuffles
 VERIFY_COST = 8  # of a candidate, in postings
 LOCAL = -1  # kind of a row with counts found within a batch
