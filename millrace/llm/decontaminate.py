@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.llm.store import Workspace
-from millrace.llm.text import Words, chunks, bytes_of
+from millrace.llm.text import Words, chunks, bytes_of, map_texts
 from millrace.session import table
 
 WORDS = 5
@@ -62,7 +62,7 @@ def shingle_sets(df: DataFrame, key: str) -> DataFrame:
                     [batch.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=[key, "n", "hashes"]
                 )
 
-    return df.select(key, "text").mapInArrow(cut, f"{key} {dict(df.dtypes)[key]}, n bigint, hashes array<bigint>")
+    return map_texts(df.select(key, "text"), cut, f"{key} {dict(df.dtypes)[key]}, n bigint, hashes array<bigint>")
 
 
 class Index:
@@ -152,7 +152,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                         [pa.array([ids[i + r].as_py()] * len(found), pa.int64()), pa.array(ix.ids[found]), pa.array(shared.astype(np.int64)), pa.array(ix.size[found])], names=["doc_id", "item_id", "shared", "item_shingles"]
                     )
 
-    return docs.select("doc_id", "text").mapInArrow(search, _PAIR).distinct()
+    return map_texts(docs.select("doc_id", "text"), search, _PAIR).distinct()
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                     clean[i + r] = False
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_texts(docs, keep, docs.schema)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.window import Window as W
 
-from millrace.llm.text import CHUNK_BYTES, bytes_of, chunks, mix
+from millrace.llm.text import CHUNK_BYTES, bytes_of, chunks, mix, map_texts
 from millrace.session import table
 
 U64 = np.uint64
@@ -233,7 +233,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray], path: str) -> D
             own = list(batch.schema)
             yield pa.RecordBatch.from_arrays([*batch.columns, name, value], schema=pa.schema([*own, pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]))
 
-    return df.mapInArrow(predict, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return map_texts(df, predict, T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: str) -> Column:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.llm.store import Workspace
-from millrace.llm.text import Words, mix, row_chunks
+from millrace.llm.text import Words, mix, row_chunks, map_texts
 from millrace.session import table
 
 U64 = np.uint64
@@ -75,24 +75,25 @@ def _key(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s).sum(dtype=np.uint64) + U64(len(s))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def profiles(df: DataFrame) -> DataFrame:
-    """(doc_id, th, n, key, prefix) of each row: th names the text; the prefix is the first in hash order."""
+def named(df: DataFrame) -> DataFrame:
+    """(doc_id, th, n, key) of each row: th names the text, key its set of n shingles."""
 
-    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in row_chunks(batches, "text"):
             sets = _sets(data, off)
-            prefix = [s[: len(s) - least(len(s)) + lift(len(s))].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "th", "n", "key", "prefix"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.int64())], names=["doc_id", "th", "n", "key"])
+
+    return map_texts(df.select("doc_id", F.xxhash64("text").alias("th"), "text"), name, "doc_id bigint, th bigint, n bigint, key bigint")
+
 
-    return df.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(profile, "doc_id bigint, th bigint, n bigint, key bigint, prefix array<bigint>")
+def first_prefix(s: np.ndarray) -> np.ndarray:
+    """The set's first tokens in hash order, longer by lift() than one match needs."""
+    return s[: len(s) - least(len(s)) + lift(len(s))]
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(values, lengths) of a list column of longs."""
-    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+def _flat(column: pa.Array) -> np.ndarray:
+    """The values of a list column of longs."""
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
 
 
 _REQUEST = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("tokens", pa.binary()), ("extra", pa.binary()), ("keys", pa.binary())])
@@ -109,14 +110,15 @@ def _runs(sorted_tokens: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_tokens[1:] != sorted_tokens[:-1]])) if len(sorted_tokens) else np.zeros(0, dtype=np.int64)
 
 
-def shared_counts(prof: DataFrame, buckets: int) -> DataFrame:
-    """(key, shared): how many of a set's prefix tokens another set's prefix has too."""
+def shared_counts(df: DataFrame, buckets: int) -> DataFrame:
+    """(key, shared): how many of a set's first-prefix tokens another set's first prefix has too."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, batch in enumerate(batches):
-            keys, first = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
-            tokens, sizes = _flat(batch.column(1).take(pa.array(first)))
-            owner = np.repeat(np.arange(len(keys), dtype=np.uint32), sizes)
+            own = {_key(s): first_prefix(s).copy() for _, data, off in row_chunks(iter([batch]), "text") for s in _sets(data, off) if len(s)}
+            keys = np.array(list(own), dtype=np.int64)
+            tokens = np.concatenate([np.zeros(0, dtype=np.uint64), *own.values()])
+            owner = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(s) for s in own.values()])
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
             start = _runs(tokens)
@@ -154,7 +156,7 @@ def shared_counts(prof: DataFrame, buckets: int) -> DataFrame:
             out.append(pd.DataFrame({"key": key, "shared": n, "times": 0}))
         return pd.concat(out)
 
-    asked = prof.select("key", "prefix").filter("n > 0").mapInArrow(ask, _REQUEST_SQL)
+    asked = map_texts(df.select("text"), ask, _REQUEST_SQL)
     counted = asked.groupBy("bucket").applyInPandas(answer, "key bigint, shared bigint, times bigint").groupBy("key").agg(F.sum("shared").alias("shared"), F.sum("times").alias("times"))
     # a set met in several batches was counted in each
     return counted.select("key", (F.col("shared") / F.col("times")).cast("bigint").alias("shared"))
@@ -182,7 +184,7 @@ def full_sets(df: DataFrame, wanted: DataFrame, rows: int, chunks: int) -> DataF
             yield batch.filter(pa.array(fresh))
 
     schema = "c bigint, key bigint, n bigint, tokens array<bigint>"
-    return docs.mapInArrow(cut, schema).repartition("c").sortWithinPartitions("c", "key").mapInArrow(once, schema)
+    return map_texts(docs, cut, schema).repartition("c").sortWithinPartitions("c", "key").mapInArrow(once, schema)
 
 
 def choose(n: int, tokens: np.ndarray, df: np.ndarray) -> tuple[int, int, np.ndarray, float] | None:
@@ -221,8 +223,7 @@ def adaptive_prefixes(sets: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             chunk = batch.column(0).to_numpy(zero_copy_only=False)
             for c in np.unique(chunk):
-                tokens, _ = _flat(batch.column(1).filter(pa.array(chunk == c)))
-                tokens, n = np.unique(tokens, return_counts=True)
+                tokens, n = np.unique(_flat(batch.column(1).filter(pa.array(chunk == c))), return_counts=True)
                 cut = np.searchsorted(_bucket(tokens, buckets), np.arange(buckets + 1))
                 rows = [
                     {"bucket": int(k), "c": int(c), "tokens": tokens[cut[k] : cut[k + 1]].tobytes(), "n": n[cut[k] : cut[k + 1]].astype(np.uint32).tobytes()} for k in np.flatnonzero(np.diff(cut))
@@ -281,11 +282,11 @@ def connected(edges: DataFrame, space: Workspace, label: str) -> DataFrame:
     """(key, comp) of the keys in edges (a, b): alternating large and small stars until nothing moves.
 
     Each star step sends a key's neighbours to the least key it sees, by aggregates and joins only,
-    so that a hub of any degree is handled by partial sums and splittable joins.
+    so that a hub of any degree is handled by partial sums and splittable joins. Each step's
+    edges are written to the shared folder, which cuts the lineage.
     """
     now = space.put(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{label}-0")
-    state = None
-    step = 0
+    state, step = None, 0
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -305,34 +306,32 @@ def connected(edges: DataFrame, space: Workspace, label: str) -> DataFrame:
 
 def components(df: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): (doc_id, th, n, key) of each row of ``df``, and (key, comp) of the linked sets."""
-    prof = space.put(profiles(df), "profiles")
-    rows = space.put(prof.drop("prefix"), "rows")
-    tokens = prof.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    rows = space.keep(named(df))
     classes = rows.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("th").alias("th"))
+    tokens = rows.agg(F.sum(F.col("n") * (100 - PERCENT) / 100 + F.col("n") / LIFT + 2)).first()[0] or 0
     # lift() of the smallest set that may link with one of n
     some = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / LIFT))
-    alive = space.put(shared_counts(prof, max(1, -(-tokens // BUCKET_TOKENS))).join(classes, "key").filter(F.col("shared") >= some).select("key", "n", "th"), "alive")
-    space.drop("profiles")
+    alive = space.keep(shared_counts(df, int(tokens // BUCKET_TOKENS) + 1).join(classes, "key").filter(F.col("shared") >= some).select("key", "n", "th"))
     left, size = alive.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    sets = space.put(full_sets(df, alive, left, max(1, -(-left // CHUNK_SETS))), "sets")
-    chosen = space.put(adaptive_prefixes(sets, max(1, -(-size // BUCKET_TOKENS))), "chosen")
-    post = space.put(chosen.select("key", "n", "shared", "l", "center", F.explode("prefix").alias("token")), "postings")
+    sets = space.put(full_sets(df, alive, left, left // CHUNK_SETS + 1), "sets", "none")
+    chosen = space.keep(adaptive_prefixes(sets, size // BUCKET_TOKENS + 1))
+    post = chosen.select("key", "n", "shared", "l", "center", F.explode("prefix").alias("token"))
 
     hubs = post.groupBy("token").agg(F.max_by(F.struct("key", "n", "shared"), F.struct("center", "key")).alias("h")).select("token", "h.*")
     near = post.alias("p").join(hubs.alias("h"), "token").filter(f"p.key <> h.key AND {_may_link('p', 'h')}")
-    links = space.put(verified(near.select(F.col("p.key").alias("a"), F.col("h.key").alias("b")).distinct(), sets), "hub-links")
-    labels = space.put(connected(links, space, "hub-components"), "hub-labels")
+    links = space.put(verified(near.select(F.col("p.key").alias("a"), F.col("h.key").alias("b")).distinct(), sets), "links")
+    labels = connected(links, space, "hub-components")
 
     comp = F.coalesce("comp", "key")
     told = post.join(labels, "key", "left").withColumn("comp", comp)
     open_ = told.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rest = space.put(told.join(open_, "token").select("token", "key", "n", "shared", "l", "comp"), "rest")
+    rest = space.keep(told.join(open_, "token").select("token", "key", "n", "shared", "l", "comp"))
     across = rest.alias("x").join(rest.alias("y"), F.expr(f"x.token = y.token AND x.comp < y.comp AND {_may_link('x', 'y')}"))
     pairs = across.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count("*").alias("m"), F.first(F.least("x.l", "y.l")).alias("l")).filter("m >= l").select("a", "b")
-    more = space.put(verified(pairs, sets), "rest-links")
+    more = space.keep(verified(pairs, sets))
     if more.isEmpty():
         return rows, labels
-    return rows, space.put(connected(links.unionByName(more), space, "components"), "labels")
+    return rows, connected(links.unionByName(more), space, "components")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -355,10 +354,10 @@ def deduplicated(df: DataFrame) -> DataFrame:
     space = Workspace(df.sparkSession, "neardup")
     rows, labels = components(df.select("doc_id", "text"), space)
     own = _labelled(rows, labels).groupBy("comp", "doc_id", "th").agg(F.count("*").alias("times"))
-    own = space.put(own, "members")
+    own = space.keep(own)
     first = own.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("f"))
     marked = own.join(first, "comp").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th")))
-    gone = space.put(marked.filter("NOT stays OR times > 1").select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), "stays"), "gone")
+    gone = space.keep(marked.filter("NOT stays OR times > 1").select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), "stays"))
     n = gone.count()
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_th"))
     named = df.withColumn("_t", F.xxhash64("text"))

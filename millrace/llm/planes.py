@@ -29,16 +29,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
 from millrace.llm.store import Workspace
+from millrace.llm.text import bytes_of, chunks, span_hashes, map_texts
 from millrace.session import table
 
 END_ID = 0
 BLOCK_IDS = 16_384
 SECTION_IDS = 262_144
 LEVEL = 3
-CACHE = 400_000  # pieces a worker remembers
+TEXT_BYTES = 4 << 20  # texts encoded together, about
+CACHE = 800_000  # words a worker remembers
+POOL = 4096  # new words encoded as one text
 #: A text falls apart before a space between two characters that are no white space: the vocabulary's
 #: pattern lets a token hold a space only at its start, so no token crosses such a place.
-_CUT = re.compile(r"(?<=[\w!-~])(?= [\w!-~])")
+_INNER = re.compile(r"[\w!-~](?:.*[\w!-~])?", re.DOTALL)
 _SECTION = "part int, section int, n_docs bigint, n_ids bigint, first_doc bigint, last_doc bigint, mode string, doc_ids array<bigint>, lengths array<bigint>, blocks array<struct<n:int,planes:array<binary>>>"
 _DATA = pa.schema([
     ("part", pa.int32()), ("section", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("mode", pa.string()),
@@ -53,28 +56,115 @@ def tokenizer_path() -> str:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t, {}
-
-
-def encode(texts: list[str | None], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers, equal to encoding the whole text."""
-    tokenizer, known = _tokenizer(path)
-    pieces = [_CUT.split(t) if t else [] for t in texts]
-    new = list({p for row in pieces for p in row if p not in known})
-    if len(known) + len(new) > CACHE:
-        known.clear()
-        new = list({p for row in pieces for p in row})
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        for p, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, dtype="<u4").tobytes()
-    return [b"".join(map(known.__getitem__, row)) for row in pieces]
+def _encoder(path: str) -> "_Encoder":
+    return _Encoder(path)
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next free one from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    free = iter(range(256, 512))
+    return [chr(b if b in plain else next(free)) for b in range(256)]
+
+
+class _Encoder:
+    """Encodes whole texts word by word, each distinct word once.
+
+    A word is what stands between two spaces. ``known`` has its ids after a space, or None where
+    texts may not be cut next to it; a text with such a word is encoded as it is.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocab = self.tokenizer.get_vocab()
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # bytes of a token: its letters stand for one each
+        for token, i in vocab.items():
+            self.width[i] = len(token)
+        self.known: dict[bytes, bytes | None] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters_only(self, word: bytes) -> bytes:
+        """Ids of a space and letters, which the pattern keeps in one piece: the model alone is asked."""
+        tokens = self.model.tokenize(self.letters[32] + "".join(map(self.letters.__getitem__, word)))
+        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+
+    def learn(self, words: list[bytes]) -> None:
+        known, rest = self.known, []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if text.isalpha():
+                known[w] = self._letters_only(w)
+            elif _INNER.fullmatch(text):
+                rest.append(text)
+            else:
+                known[w] = None
+        for i in range(0, len(rest), POOL):
+            part = rest[i : i + POOL]
+            (raw,) = self.whole([" " + " ".join(part)])
+            ends = np.cumsum(self.width[np.frombuffer(raw, dtype="<u4")])
+            names = [w.encode() for w in part]
+            want = np.cumsum([len(w) + 1 for w in names])
+            at = np.searchsorted(ends, want) + 1
+            if not (ends[at - 1] == want).all():
+                raise ValueError("the vocabulary joins words across a space")
+            known.update(zip(names, (raw[4 * a : 4 * b] for a, b in zip([0, *at[:-1].tolist()], at.tolist(), strict=True)), strict=True))
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes | None]:
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+            new = words
+        self.learn(new)
+        return list(map(self.known.__getitem__, words))
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+        """The ids of each row of a chunk of UTF-8 texts, equal to encoding each text whole."""
+        n, raw = len(off) - 1, data.tobytes()
+        space = np.flatnonzero(data == 0x20)
+        doc = np.concatenate([np.arange(n), np.searchsorted(off, space, "right") - 1])
+        order = np.argsort(doc, kind="stable")
+        doc, start = doc[order], np.concatenate([off[:-1], space + 1])[order]
+        first = np.searchsorted(doc, np.arange(n))
+        end = np.append(start[1:] - 1, 0)
+        end[np.append(first[1:], len(doc)) - 1] = off[1:]
+        inner = np.ones(len(doc), dtype=bool)
+        inner[first] = False
+        s, e = start[inner], end[inner]
+        _, rep, which = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True)
+        size = e - s
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        if not (size == size[rep][which]).all() or not (data[np.repeat(s, size) + step] == data[np.repeat(s[rep][which], size) + step]).all():
+            return [np.frombuffer(x, dtype="<u4") for x in self.whole([raw[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)])]
+        ids = self._ids_of([raw[a:b] for a, b in zip(s[rep].tolist(), e[rep].tolist(), strict=True)])
+        bad = np.array([x is None for x in ids], dtype=bool)
+        heads = [raw[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1].tolist(), end[first].tolist(), strict=True)]
+        entries = [x or b"" for x in ids] + self.whole(heads)
+        length = np.array([len(x) // 4 for x in entries], dtype=np.int64)
+        pool = np.frombuffer(b"".join(entries), dtype="<u4")
+        used = np.empty(len(doc), dtype=np.int64)
+        used[inner], used[first] = which, len(ids) + np.arange(n)
+        own = length[used]
+        at = np.repeat((np.cumsum(length) - length)[used] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+        flat, ends = pool[at], np.cumsum(np.add.reduceat(own, first)) if n else np.zeros(0, dtype=np.int64)
+        odd = np.bincount(doc[inner], weights=bad[which], minlength=n) > 0 if len(which) else np.zeros(n, dtype=bool)
+        out = np.split(flat, ends[:-1]) if n else []
+        for r in range(n):
+            if odd[r] or (first[r] + 1 < (first[r + 1] if r + 1 < n else len(doc)) and not _INNER.fullmatch(heads[r][-1:])):
+                out[r] = np.frombuffer(self.whole([raw[off[r] : off[r + 1]].decode("utf-8", "replace")])[0], dtype="<u4")
+        return out
+
+
+def encode(texts: list[str | None] | pa.Array, path: str) -> list[np.ndarray]:
+    """Each text's token ids (unsigned 32-bit); null has none."""
+    data, off = bytes_of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+    return [x for i, j in chunks(off, TEXT_BYTES) for x in _encoder(path).encode(data[off[i] : off[j]], off[i : j + 1] - off[i])]
 
 
 def pack(ids: np.ndarray, mode: str = "byte") -> list[bytes]:
@@ -97,35 +187,37 @@ def unpack(planes: list[bytes], n: int, mode: str = "byte") -> np.ndarray:
     return np.ascontiguousarray(raw).reshape(-1).view("<u4")
 
 
-def _section(part: int, number: int, docs: list, lengths: list[int], data: bytes, mode: str) -> dict:
-    ids = np.frombuffer(data, dtype="<u4")
+def _section(part: int, number: int, docs: list, lengths: list[int], data: list[np.ndarray], mode: str) -> dict:
+    ids = np.concatenate(data).astype("<u4", copy=False)
     blocks = [{"n": len(b), "planes": pack(b, mode)} for b in (ids[i : i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS))]
     return {"part": part, "section": number, "n_docs": len(docs), "n_ids": len(ids), "first_doc": docs[0], "last_doc": docs[-1], "mode": mode, "doc_ids": docs, "lengths": lengths, "blocks": blocks}
 
 
 def write_ids(df: DataFrame, path: str, tokenizer: str, mode: str = "byte", end_id: int = END_ID) -> None:
     """Encodes ``df``'s (doc_id, text) and writes the store at ``path``."""
-    spark, end = df.sparkSession, np.array([end_id], dtype="<u4").tobytes()
+    spark, end = df.sparkSession, np.array([end_id], dtype="<u4")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select("doc_id", "text").withColumn("_h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
 
     def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, docs, lengths, data, size = TaskContext.get().partitionId(), 0, [], [], [], 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for i in range(0, len(ids), 256):
-                for doc, own in zip(ids[i : i + 256], encode(texts.slice(i, 256).to_pylist(), tokenizer), strict=True):
+            texts = batch.column(1)
+            _, off = bytes_of(texts)
+            for i, j in chunks(off, TEXT_BYTES):
+                ids = batch.column(0).slice(i, j - i).to_pylist()
+                for doc, own in zip(ids, encode(texts.slice(i, j - i), tokenizer), strict=True):
                     docs.append(doc)
-                    lengths.append(len(own) // 4 + 1)
+                    lengths.append(len(own) + 1)
                     data += [own, end]
                     size += lengths[-1]
                     if size >= SECTION_IDS:
-                        yield pa.RecordBatch.from_pylist([_section(part, number, docs, lengths, b"".join(data), mode)], schema=_DATA)
+                        yield pa.RecordBatch.from_pylist([_section(part, number, docs, lengths, data, mode)], schema=_DATA)
                         number, docs, lengths, data, size = number + 1, [], [], [], 0
         if docs:
-            yield pa.RecordBatch.from_pylist([_section(part, number, docs, lengths, b"".join(data), mode)], schema=_DATA)
+            yield pa.RecordBatch.from_pylist([_section(part, number, docs, lengths, data, mode)], schema=_DATA)
 
-    rows.select("doc_id", "text").mapInArrow(sections, _SECTION).write.mode("overwrite").option("compression", "none").parquet(f"{path}/data")
+    map_texts(rows.select("doc_id", "text"), sections, _SECTION).write.mode("overwrite").option("compression", "none").parquet(f"{path}/data")
     meta = spark.read.parquet(f"{path}/data").select("part", "section", "n_docs", "n_ids", "first_doc", "last_doc", F.size("blocks").alias("n_blocks"))
     per_part = meta.groupBy("part").agg(F.sum("n_ids").alias("_ids"))
     base = per_part.select("part", (F.sum("_ids").over(W.orderBy("part")) - F.col("_ids")).alias("_base"))

@@ -19,7 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from millrace.llm.text import Words, row_chunks
+from millrace.llm.text import Words, row_chunks, map_texts
 from millrace.session import table
 
 SYMBOL = np.zeros(256, dtype=bool)
@@ -93,7 +93,7 @@ def counted(df: DataFrame) -> DataFrame:
             own = [f.name for f in keep]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in own), *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], names=[*own, *COUNTS])
 
-    return df.mapInArrow(count, T.StructType([*keep, *(T.StructField(c, T.LongType()) for c in COUNTS)]))
+    return map_texts(df, count, T.StructType([*keep, *(T.StructField(c, T.LongType()) for c in COUNTS)]))
 
 
 def _votes() -> Column:
@@ -132,7 +132,7 @@ def judge(df: DataFrame) -> DataFrame:
     c = counted(df.drop("base_failed", "posterior", "kept")).withColumn("pattern", _votes())
     seen = c.groupBy("pattern").agg(F.count("*").alias("n")).toPandas()  # at most 3 ** rules rows
     model = estimate(seen) if len(seen) else seen.assign(posterior=pd.Series(dtype=float))
-    known = spark.createDataFrame([(str(p), float(q)) for p, q in zip(model["pattern"], model["posterior"])], "pattern string, posterior double")
+    known = spark.createDataFrame(pa.table({"pattern": pa.array(model["pattern"], pa.string()), "posterior": pa.array(model["posterior"], pa.float64())}))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return c.join(F.broadcast(known), "pattern").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= KEEP)).drop("pattern")
 

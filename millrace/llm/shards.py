@@ -18,7 +18,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
 from millrace.llm.store import Workspace
@@ -76,9 +77,7 @@ def shuffled(df: DataFrame, shards: int = SHARDS, seed: int = SEED, key: tuple[s
     counts = {r["p"]: r["count"] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()}  # a row per partition
     parts = sorted(counts)
     m = matrix([counts[p] for p in parts], shards, seed)
-    ends = spark.createDataFrame(
-        [(p, [int(x) for x in np.cumsum(row)]) for p, row in zip(parts, m, strict=True)], T.StructType([T.StructField("_p", T.LongType()), T.StructField("_ends", T.ArrayType(T.LongType()))])
-    )
+    ends = spark.createDataFrame(pa.table({"_p": pa.array(parts, pa.int64()), "_ends": pa.array(list(np.cumsum(m, axis=1)), pa.list_(pa.int64()))}))
     keys = [F.xxhash64(*key, F.lit(seed + i)).alias(name) for i, name in enumerate(("_first", "_again"))]
     local = df.select("*", *keys).sortWithinPartitions("_first").withColumn("_id", F.monotonically_increasing_id())
     local = local.withColumns({"_p": F.shiftright("_id", 33), "_rank": F.col("_id").bitwiseAND(2**33 - 1)})

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 SPACE = np.zeros(256, dtype=bool)
@@ -21,6 +22,7 @@ _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = U64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
 CHUNK_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -66,6 +68,14 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span, the same in every process."""
+    up, down = _Powers.upto(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * down[start] ^ (end - start).astype(np.uint64))
+
+
 class Words:
     """Word spans of the rows of one chunk: ``start``/``end`` in bytes; row r has words ptr[r]:ptr[r+1]."""
 
@@ -89,11 +99,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash per word, the same in every process."""
-        up, down = _Powers.upto(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.data] * up[: len(self.data)], out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * down[self.start]
-        return mix(h ^ (self.end - self.start).astype(np.uint64))
+        return span_hashes(self.data, self.start, self.end)
 
     def shingles(self, k: int, whole_if_short: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(hashes, ptr): every k-word window of each row, in order, repeats included.
@@ -116,6 +122,15 @@ class Words:
         return mix(out), ptr
 
 
+def map_texts(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most BATCH_BYTES, so that texts of any length bound a task's memory.
+
+    Sets the session's Arrow batch size (the default suits narrow rows); one longer text is a batch of its own.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def row_chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with the bytes and offsets of their text column."""
     for batch in batches:

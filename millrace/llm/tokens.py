@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
+from millrace.llm.text import map_texts
 from millrace.session import table
 
 
@@ -50,7 +51,7 @@ def histogram(df: DataFrame, path: str, text: str = "text") -> DataFrame:
             size, n = np.unique(lengths, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(n.astype(np.int64))], names=["n_tokens", "n_docs"])
 
-    return df.select(text).mapInArrow(count, "n_tokens bigint, n_docs bigint").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return map_texts(df.select(text), count, "n_tokens bigint, n_docs bigint").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def limits(hist: DataFrame) -> DataFrame:
