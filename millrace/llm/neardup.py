@@ -14,8 +14,10 @@ is one shingle). Two sets link when 100 |A & B| >= 80 |A | B|. The work is on di
 3. *Hubs.* Every prefix token names its most central set (the one with the most common tokens);
    sets are verified against their tokens' hubs only, and the links' components are taken. A group
    of near copies is thereby joined in as many comparisons as it has members.
-4. *Rest.* Tokens whose sets are still in several components give the pairs across components that
-   match often enough; these are verified, and the components are taken again. Every linked pair
+4. *Rest.* Tokens whose sets are still in several components give the pairs across components.
+   Sets with different reference hubs (the hub that most of a set's tokens name) are paired if they
+   match often enough; sets of one hub are paired by the tokens in which they differ from it (see
+   ``differing``). These pairs are verified, and the components are taken again. Every linked pair
    was therefore either verified or already connected.
 
 Verification counts the exact intersection of both sets. Sets are told apart by 64-bit hashes of
@@ -34,6 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window as W
 
 from millrace.llm.store import Workspace
 from millrace.llm.text import Words, mix, row_chunks, map_texts
@@ -318,22 +321,56 @@ def components(df: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
     post = chosen.select("key", "n", "shared", "l", "center", F.explode("prefix").alias("token"))
 
     hubs = post.groupBy("token").agg(F.max_by(F.struct("key", "n", "shared"), F.struct("center", "key")).alias("h")).select("token", "h.*")
-    near = post.alias("p").join(hubs.alias("h"), "token").filter(f"p.key <> h.key AND {_may_link('p', 'h')}")
-    links = space.put(verified(near.select(F.col("p.key").alias("a"), F.col("h.key").alias("b")).distinct(), sets), "links")
+    named_by = post.alias("p").join(hubs.alias("h"), "token")
+    near = named_by.filter(f"p.key <> h.key AND {_may_link('p', 'h')}").select(F.col("p.key").alias("a"), F.col("h.key").alias("b")).distinct()
+    links = space.put(verified(near, sets), "links")
     labels = connected(links, space, "hub-components")
+    votes = named_by.groupBy(F.col("p.key").alias("key"), F.col("h.key").alias("h")).count()
+    refs = votes.groupBy("key").agg(F.max_by("h", F.struct("count", "h")).alias("ref"))
 
-    comp = F.coalesce("comp", "key")
-    told = post.join(labels, "key", "left").withColumn("comp", comp)
+    told = post.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     open_ = told.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rest = space.keep(told.join(open_, "token").select("token", "key", "n", "shared", "l", "comp"))
-    across = rest.alias("x").join(rest.alias("y"), F.expr(f"x.token = y.token AND x.comp < y.comp AND {_may_link('x', 'y')}"))
+    rest = space.keep(told.join(open_, "token").join(refs, "key").select("token", "key", "n", "shared", "l", "comp", "ref"))
+    across = rest.alias("x").join(rest.alias("y"), F.expr(f"x.token = y.token AND x.comp < y.comp AND x.ref <> y.ref AND {_may_link('x', 'y')}"))
     pairs = across.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count("*").alias("m"), F.first(F.least("x.l", "y.l")).alias("l")).filter("m >= l").select("a", "b")
+    pairs = pairs.unionByName(differing(rest.select("key", "n", "comp", "ref").distinct(), labels, sets))
     more = space.keep(verified(pairs, sets))
     if more.isEmpty():
         return rows, labels
     return rows, connected(links.unionByName(more), space, "components")
 
 
+def differing(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of one reference hub and different components, by what sets them apart from the hub.
+
+    With D the tokens that a set and the hub do not share, |A ^ B| = |Da| + |Db| - 2 |Da & Db|, and
+    A links with B when |A ^ B| <= q (|A| + |B|), q = (100 - P) / (100 + P). Sets linked with the hub
+    are one component, so one of the two, B, is not: |Db| > q (|B| + |H|). Then Da and Db share more
+    than half of |Da| - q (|A| - |H|) tokens, whatever A is, and at least half of |Db| - q (|B| + |H|).
+    Prefixes of the D (rarest tokens first) of matching lengths find the pairs: a short one to meet
+    sets that are not linked with the hub, a long one for these to meet those that are. What most of
+    a group has in common with its hub, and hence with each other, is in no D.
+    """
+    q = (100 - PERCENT) / (100 + PERCENT)
+    own = sets.select("key", F.col("tokens").alias("t"))
+    hub = sets.select(F.col("key").alias("ref"), F.col("tokens").alias("th"), F.col("n").alias("nh"))
+    hub_comp = labels.select(F.col("key").alias("ref"), F.col("comp").alias("hub_comp"))
+    d = members.join(own, "key").join(hub, "ref").join(hub_comp, "ref", "left")
+    d = d.withColumn("linked", F.col("comp") == F.coalesce("hub_comp", "ref")).withColumn("d", F.concat(F.array_except("t", "th"), F.array_except("th", "t")))
+    size = F.size("d")
+    far = F.ceil((size - q * (F.col("n") + F.col("nh"))) / 2 - 1e-9)
+    close = F.floor((size - q * (F.col("n") - F.col("nh"))) / 2 - 1e-9) + 1
+    d = d.withColumns({"short": size - F.greatest(F.lit(1), close) + 1, "long": size - F.greatest(F.lit(1), far) + 1})
+    d = d.withColumn("long", F.when(F.col("linked"), F.col("short")).otherwise(F.greatest("short", "long"))).select("ref", "key", "comp", "linked", "short", "long", F.explode("d").alias("token"))
+    often = d.groupBy("ref", "token").agg(F.count("*").alias("df")).filter("df > 1")
+    # tokens of one set only match nothing, but they come first and use up the prefix
+    ranked = d.join(often, ["ref", "token"], "left").withColumn("r", F.row_number().over(W.partitionBy("key").orderBy(F.col("df").asc_nulls_first(), "token")))
+    prefix = ranked.filter("r <= long AND df IS NOT NULL").select("ref", "token", "key", "comp", "linked", (F.col("r") <= F.col("short")).alias("early"))
+    meets = "x.comp < y.comp AND NOT (x.linked AND y.linked) AND (y.linked OR x.early) AND (x.linked OR y.early)"
+    hit = prefix.alias("x").join(prefix.alias("y"), F.expr(f"x.ref = y.ref AND x.token = y.token AND {meets}"))
+    return hit.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows with comp; a row without shingles gets a component of its own."""
     own = rows.filter("n > 0").join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
