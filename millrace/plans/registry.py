@@ -1,34 +1,19 @@
-"""Queries over the driver's tables and their oracle SQL."""
+"""All queries over the driver's tables and their oracle SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.window import Window as W
+from pyspark.sql import DataFrame, SparkSession
 
-from millrace.session import table
+from millrace.plans import event_queries, table_queries
 
-
-def active_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sum of gaps of at most six hours between a user's consecutive events, with the total value."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    gap = F.col("us") - F.lag("us").over(W.partitionBy("user_id").orderBy("event_id"))
-    return (
-        e.withColumn("gap", gap)
-        .groupBy("user_id")
-        .agg(F.sum(F.when(F.col("gap") <= 21_600_000_000, F.col("gap")).otherwise(0)).alias("active_us"), F.round(F.sum("value"), 2).alias("total"))
-    )
+_MODULES = (event_queries, table_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"active_time": active_time}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "active_time": """
-            SELECT user_id, CAST(sum(CASE WHEN gap <= 21600000000 THEN gap ELSE 0 END) AS BIGINT) AS active_us, round(sum(value), 2) AS total
-            FROM (SELECT user_id, value, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM events)
-            GROUP BY user_id""",
-    }
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
