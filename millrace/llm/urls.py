@@ -73,11 +73,11 @@ def _witten_bell(grams: DataFrame) -> DataFrame:
         return df.groupBy(key).agg(*(x for k in "ar" for x in (F.sum(f"n_{k}").alias(f"{name}n_{k}"), F.count_if(F.col(f"n_{k}") > 0).alias(f"{name}t_{k}"))))
 
     sums = lambda key: g.groupBy(key).agg(*(F.sum(f"n_{k}").alias(f"n_{k}") for k in "ar"))
-    one = sums("c").withColumn("all", F.lit(1))
-    one = one.join(total(one, "all", "u"), "all")
+    everything = W.partitionBy(F.lit(1))  # a row per symbol
+    one = sums("c").withColumns({f"un_{k}": F.sum(f"n_{k}").over(everything) for k in "ar"})
     two = sums("bc").withColumn("b", F.substring("bc", 1, 1))
     two = two.join(total(two, "b", "b"), "b").select("bc", *(F.col(f"n_{k}").alias(f"m_{k}") for k in "ar"), *(f"b{x}_{k}" for x in "nt" for k in "ar"))
-    one = one.select("c", *(F.col(f"n_{k}").alias(f"o_{k}") for k in "ar"), *(f"u{x}_{k}" for x in "nt" for k in "ar"))
+    one = one.select("c", *(F.col(f"n_{k}").alias(f"o_{k}") for k in "ar"), *(f"un_{k}" for k in "ar"))
     full = g.join(total(g, "c2", "c"), "c2").join(two, "bc").join(one, "c")
     p = {}
     for k in "ar":
@@ -115,13 +115,13 @@ def url_verdicts(df: DataFrame, rules=RULES) -> DataFrame:
 
 
 def _threshold(scored: DataFrame) -> int | None:
-    """The lowest bin with the least sum of both error rates over the calibration URLs; None if a kind is missing."""
+    """Where the sum of both error rates over the calibration URLs is least, halfway to the next lower score; None if a kind is missing."""
     held = scored.filter("label is not null and not train").groupBy("bin").agg(F.count_if(F.col("label")).alias("good"), F.count_if(~F.col("label")).alias("bad"))
     up, everything = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(F.lit(1))
     row = (
         held.withColumns({"lost": F.coalesce(F.sum("good").over(up), F.lit(0)), "caught": F.coalesce(F.sum("bad").over(up), F.lit(0)), "g": F.sum("good").over(everything), "b": F.sum("bad").over(everything)})
         .filter("g > 0 and b > 0")
-        .selectExpr("bin", "lost / g + 1 - caught / b AS error")
+        .selectExpr("CAST(floor((bin + lag(bin, 1, bin) OVER (ORDER BY bin)) / 2) AS BIGINT) AS bin", "lost / g + 1 - caught / b AS error")
         .orderBy(F.round("error", 9), "bin")
         .first()
     )
@@ -163,7 +163,7 @@ ratio AS (SELECT a.gram, ln(a.p) - ln(r.p) AS d FROM p3 a JOIN p3 r ON a.gram =
 scored AS (SELECT url, label, train, CAST(floor(sum(d) / count(*) * {BINS}) AS BIGINT) AS bin FROM grams JOIN ratio USING (gram) GROUP BY ALL),
 held AS (SELECT bin, count(*) FILTER (label) AS good, count(*) FILTER (NOT label) AS bad FROM scored WHERE label IS NOT NULL AND NOT train GROUP BY bin),
 errors AS (
-    SELECT bin, coalesce(sum(good) OVER w, 0) / sum(good) OVER () + 1 - coalesce(sum(bad) OVER w, 0) / sum(bad) OVER () AS error
+    SELECT CAST(floor((bin + lag(bin, 1, bin) OVER (ORDER BY bin)) / 2.0) AS BIGINT) AS bin, coalesce(sum(good) OVER w, 0) / sum(good) OVER () + 1 - coalesce(sum(bad) OVER w, 0) / sum(bad) OVER () AS error
     FROM held WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 cut AS (SELECT bin FROM errors WHERE isfinite(error) ORDER BY round(error, 9), bin LIMIT 1)
 SELECT page_id, host, path, rule, coalesce(action, CASE WHEN coalesce(scored.bin < (SELECT bin FROM cut), false) THEN 'block' ELSE 'allow' END) AS verdict
