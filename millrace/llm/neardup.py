@@ -273,10 +273,17 @@ def _may_link(a: str, b: str) -> str:
     return f"{100 + PERCENT} * {lo} >= {PERCENT} * ({a}.n + {b}.n)"
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _of(sets: DataFrame, keys: DataFrame, rows: int) -> DataFrame:
+    """The sets named by ``keys`` (a column ``key``): sets are wide, so others are left out before any shuffle."""
+    return sets.join(_small(keys.distinct(), rows), "key", "left_semi")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, space: Workspace, name: str) -> DataFrame:
     """The (a, b) whose sets link, counted exactly."""
-    a = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    pairs = space.put(pairs, name)
+    n = pairs.count()
+    a = _of(sets, pairs.select(F.col("a").alias("key")), n).select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    b = _of(sets, pairs.select(F.col("b").alias("key")), n).select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = pairs.join(a, "a").join(b, "b")
     return both.filter((100 + PERCENT) * F.size(F.array_intersect("ta", "tb")) >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b")
 
@@ -309,38 +316,39 @@ def connected(edges: DataFrame, space: Workspace, label: str) -> DataFrame:
 
 def components(df: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): (doc_id, th, n, key) of each row of ``df``, and (key, comp) of the linked sets."""
-    rows = space.keep(named(df))
+    rows = space.put(named(df), "rows")
     classes = rows.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("th").alias("th"))
     tokens = rows.agg(F.sum(F.col("n") * (100 - PERCENT) / 100 + F.col("n") / LIFT + 2)).first()[0] or 0
     # lift() of the smallest set that may link with one of n
     some = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * PERCENT / 100) / LIFT))
-    alive = space.keep(shared_counts(df, int(tokens // BUCKET_TOKENS) + 1).join(classes, "key").filter(F.col("shared") >= some).select("key", "n", "th"))
+    alive = space.put(shared_counts(df, int(tokens // BUCKET_TOKENS) + 1).join(classes, "key").filter(F.col("shared") >= some).select("key", "n", "th"), "alive")
     left, size = alive.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     sets = space.put(full_sets(df, alive, left, left // CHUNK_SETS + 1), "sets", "none")
-    chosen = space.keep(adaptive_prefixes(sets, size // BUCKET_TOKENS + 1))
+    chosen = space.put(adaptive_prefixes(sets, size // BUCKET_TOKENS + 1), "chosen")
     post = chosen.select("key", "n", "shared", "l", "center", F.explode("prefix").alias("token"))
 
     hubs = post.groupBy("token").agg(F.max_by(F.struct("key", "n", "shared"), F.struct("center", "key")).alias("h")).select("token", "h.*")
     named_by = post.alias("p").join(hubs.alias("h"), "token")
     near = named_by.filter(f"p.key <> h.key AND {_may_link('p', 'h')}").select(F.col("p.key").alias("a"), F.col("h.key").alias("b")).distinct()
-    links = space.put(verified(near, sets), "links")
+    links = space.put(verified(near, sets, space, "hub-pairs"), "links")
     labels = connected(links, space, "hub-components")
     votes = named_by.groupBy(F.col("p.key").alias("key"), F.col("h.key").alias("h")).count()
     refs = votes.groupBy("key").agg(F.max_by("h", F.struct("count", "h")).alias("ref"))
 
     told = post.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
     open_ = told.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rest = space.keep(told.join(open_, "token").join(refs, "key").select("token", "key", "n", "shared", "l", "comp", "ref"))
+    rest = space.put(told.join(open_, "token").join(refs, "key").select("token", "key", "n", "shared", "l", "comp", "ref"), "rest")
     across = rest.alias("x").join(rest.alias("y"), F.expr(f"x.token = y.token AND x.comp < y.comp AND x.ref <> y.ref AND {_may_link('x', 'y')}"))
     pairs = across.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count("*").alias("m"), F.first(F.least("x.l", "y.l")).alias("l")).filter("m >= l").select("a", "b")
-    pairs = pairs.unionByName(differing(rest.select("key", "n", "comp", "ref").distinct(), labels, sets))
-    more = space.keep(verified(pairs, sets))
+    members = space.put(rest.select("key", "n", "comp", "ref").distinct(), "members")
+    pairs = pairs.unionByName(differing(members, members.count(), labels, sets))
+    more = space.put(verified(pairs, sets, space, "rest-pairs"), "rest-links")
     if more.isEmpty():
         return rows, labels
     return rows, connected(links.unionByName(more), space, "components")
 
 
-def differing(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def differing(members: DataFrame, rows: int, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of one reference hub and different components, by what sets them apart from the hub.
 
     With D the tokens that a set and the hub do not share, |A ^ B| = |Da| + |Db| - 2 |Da & Db|, and
@@ -352,8 +360,8 @@ def differing(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFra
     a group has in common with its hub, and hence with each other, is in no D.
     """
     q = (100 - PERCENT) / (100 + PERCENT)
-    own = sets.select("key", F.col("tokens").alias("t"))
-    hub = sets.select(F.col("key").alias("ref"), F.col("tokens").alias("th"), F.col("n").alias("nh"))
+    own = _of(sets, members.select("key"), rows).select("key", F.col("tokens").alias("t"))
+    hub = _of(sets, members.select(F.col("ref").alias("key")), rows).select(F.col("key").alias("ref"), F.col("tokens").alias("th"), F.col("n").alias("nh"))
     hub_comp = labels.select(F.col("key").alias("ref"), F.col("comp").alias("hub_comp"))
     d = members.join(own, "key").join(hub, "ref").join(hub_comp, "ref", "left")
     d = d.withColumn("linked", F.col("comp") == F.coalesce("hub_comp", "ref")).withColumn("d", F.concat(F.array_except("t", "th"), F.array_except("th", "t")))
@@ -391,10 +399,10 @@ def deduplicated(df: DataFrame) -> DataFrame:
     space = Workspace(df.sparkSession, "neardup")
     rows, labels = components(df.select("doc_id", "text"), space)
     own = _labelled(rows, labels).groupBy("comp", "doc_id", "th").agg(F.count("*").alias("times"))
-    own = space.keep(own)
+    own = space.put(own, "class-members")
     first = own.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("f"))
     marked = own.join(first, "comp").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th")))
-    gone = space.keep(marked.filter("NOT stays OR times > 1").select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), "stays"))
+    gone = space.put(marked.filter("NOT stays OR times > 1").select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), "stays"), "gone")
     n = gone.count()
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_th"))
     named = df.withColumn("_t", F.xxhash64("text"))

@@ -11,7 +11,6 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
@@ -46,13 +45,6 @@ class Workspace:
     def get(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """``df``, computed once and held on the executors' disks; a lost part is computed again.
-
-        For small steps between written tables: files in the shared folder cost more than they hold.
-        """
-        return df.persist(StorageLevel.DISK_ONLY)
-
     def drop(self, *names: str) -> None:
         for name in names:
             self._delete(self.path(name))
