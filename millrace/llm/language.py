@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -183,13 +184,22 @@ def train(labelled: DataFrame, path: str, docs_per_lang: int = DOCS_PER_LANG, ro
     near = hashed.filter(F.col("h") <= limit[F.col("lang")]).dropDuplicates(["lang", "h"])
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
     sample = near.withColumn("r", rank).filter(F.col("r") <= docs_per_lang).select("lang", "text")
-    words = sample.select("lang", F.explode(F.split("text", "[\\x20\\x09-\\x0D]+")).alias("word")).filter("word <> ''").groupBy("lang", "word").count().toPandas()
-    langs = sorted(words["lang"].unique())
-    vocab = vocabulary(path)
-    table_ = words.pivot_table(index="word", columns="lang", values="count", fill_value=0).reindex(columns=langs).sort_index()
+    words = sample.select("lang", F.explode(F.split("text", "[\\x20\\x09-\\x0D]+")).alias("word")).filter("word <> ''").groupBy("lang", "word").count()
+
+    def fit(counts: pd.DataFrame) -> pd.DataFrame:
+        langs, logp = _fit(counts, vocabulary(path), rounds)
+        return pd.DataFrame({"lang": langs, "logp": [np.ascontiguousarray(logp[:, k]).tobytes() for k in range(len(langs))]})
+
+    # the sample is bounded, so one task holds its words
+    found = words.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fit, "lang string, logp binary").orderBy("lang").collect()
+    return [r["lang"] for r in found], np.stack([np.frombuffer(r["logp"]) for r in found], axis=1) if found else np.zeros((vocabulary(path)[2], 0))
+
+
+def _fit(counts: pd.DataFrame, vocab: tuple, rounds: int) -> tuple[list[str], np.ndarray]:
+    """(languages, log piece probabilities) by expectation-maximisation from (lang, word, count)."""
+    langs = sorted(counts["lang"].unique())
+    table_ = counts.pivot_table(index="word", columns="lang", values="count", fill_value=0).reindex(columns=langs).sort_index()
     logp = np.full((vocab[2], len(langs)), -np.log(vocab[2]))
-    if not langs:
-        return [], logp
     text = [w.encode("utf-8", "replace") for w in table_.index]
     off = np.concatenate([[0], np.cumsum([len(t) for t in text])])
     codes, start, end, row = runs_of(np.frombuffer(b"".join(text), dtype=np.uint8), off)
@@ -199,12 +209,12 @@ def train(labelled: DataFrame, path: str, docs_per_lang: int = DOCS_PER_LANG, ro
         np.add.at(w, inverse, weight[row[at]])
         groups.append((runs, w))
     for _ in range(rounds):
-        counts = np.full_like(logp, PRIOR)
+        expected = np.full_like(logp, PRIOR)
         for runs, w in groups:
-            for i in range(0, len(runs), 4096):
-                _expected(runs[i : i + 4096], w[i : i + 4096], logp, vocab, counts)
-        counts[0] = counts[0].mean()  # unknown characters say nothing about the language
-        logp = np.log(counts / counts.sum(axis=0))
+            for i in range(0, len(runs), 2048):
+                _expected(runs[i : i + 2048], w[i : i + 2048], logp, vocab, expected)
+        expected[0] = expected[0].mean()  # unknown characters say nothing about the language
+        logp = np.log(expected / expected.sum(axis=0))
     return langs, logp
 
 
