@@ -67,10 +67,10 @@ agg AS (SELECT actor, spell, sum(eff) AS total, sum(amount) AS raw, sum(greatest
 
 @query(f""",{_BREAKDOWN}
 SELECT actor, spell, round(total, 2) AS total, round(raw, 2) AS raw, round(wasted, 2) AS wasted, hits, crits, round(crit_total, 2) AS crit_total, round(biggest, 2) AS biggest,
-       round(total / 3600, 4) AS per_second, round(total / sum(greatest(total, 0)) OVER (), 8) AS share FROM agg""")
+       round(total / 3571.0, 4) AS per_second, round(total / sum(greatest(total, 0)) OVER (), 8) AS share FROM agg""")
 def damage_breakdown(e):
     """Totals, hits and shares per actor and spell."""
-    out = attribution.breakdown(_hits(e), "actor", "spell", F.col("amount"), F.col("waste"), F.col("k") % 4 == 0, 3600.0)
+    out = attribution.breakdown(_hits(e), "actor", "spell", F.col("amount"), F.col("waste"), F.col("k") % 4 == 0, 3571.0)
     return out.select("actor", "spell", *(F.round(c, 2).alias(c) for c in ("total", "raw", "wasted", "crit_total", "biggest")), "hits", "crits", F.round("per_second", 4).alias("per_second"), F.round("share", 8).alias("share"))
 
 
@@ -83,7 +83,7 @@ def ability_breakdown(e):
     """Spells of one ability merged by name, the exact-name part as representative."""
     from millrace.functions.text import ability_name
 
-    parts = attribution.breakdown(_hits(e), "actor", "spell", F.col("amount"), F.col("waste"), F.col("k") % 4 == 0, 3600.0)
+    parts = attribution.breakdown(_hits(e), "actor", "spell", F.col("amount"), F.col("waste"), F.col("k") % 4 == 0, 3571.0)
     name = F.concat(F.lit("Spell "), (F.col("spell") % 4).cast("string"), F.when(F.col("spell") < 4, "").otherwise(F.concat(F.lit(" (rank "), F.col("spell").cast("string"), F.lit(")"))))
     parts = parts.withColumn("name", name).withColumn("ability", ability_name(F.col("name")))
     return attribution.merged_abilities(parts, "actor", "ability", "spell", "name").withColumns({"total": F.round("total", 2), "biggest": F.round("biggest", 2)})

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +30,15 @@ def build_session(app: str = "millrace", cores: int | None = None, **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables (a file or a folder of part files)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """``df`` written as Parquet table ``name`` and read back: the next steps start from a plain scan."""
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or of this machine where that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{at.rstrip('/')}/millrace-{uuid.uuid4().hex}" if at else f"file://{tempfile.mkdtemp(prefix='millrace-')}"
