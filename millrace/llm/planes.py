@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,7 +36,7 @@ from millrace.session import table
 END_ID = 0
 BLOCK_IDS = 16_384
 SECTION_IDS = 262_144
-LEVEL = 3
+LEVEL = 1
 TEXT_BYTES = 4 << 20  # texts encoded together, about
 CACHE = 800_000  # words a worker remembers
 POOL = 4096  # new words encoded as one text
@@ -85,26 +86,45 @@ class _Encoder:
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # bytes of a token: its letters stand for one each
         for token, i in vocab.items():
             self.width[i] = len(token)
+        self.stops = dict(zip(".,;:!?", self.whole(list(".,;:!?")), strict=True))
+        (self.feed,) = self.whole(["\n"])
         self.known: dict[bytes, bytes | None] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _letters_only(self, word: bytes) -> bytes:
-        """Ids of a space and letters, which the pattern keeps in one piece: the model alone is asked."""
-        tokens = self.model.tokenize(self.letters[32] + "".join(map(self.letters.__getitem__, word)))
-        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+    def _spelled(self, word: bytes, text: str, lead: str) -> bytes | None:
+        """Ids of letters, with a sign of punctuation or not, after ``lead`` (a space or nothing); None for other words.
+
+        The pattern keeps a space and letters in one piece and parts them from signs, so the model alone is asked.
+        """
+        stop = b"" if text.isalpha() else self.stops.get(text[-1:])
+        if stop is None or (stop and not text[:-1].isalpha()):
+            return None
+        piece = text[:-1] if stop else text
+        piece = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.model.tokenize(lead + piece)]).tobytes() + stop
+
+    def _lines(self, word: bytes) -> bytes | None:
+        """Ids of words joined by single line feeds, which are tokens of their own between characters that are no white space."""
+        first, *more = word.split(b"\n")
+        out = [self.known.get(first) or self._spelled(first, first.decode("utf-8", "replace"), self.letters[32])]
+        for w in more:
+            ids = self.known.get(b"\n" + w)
+            if ids is None and (own := self._spelled(w, w.decode("utf-8", "replace"), "")):
+                ids = self.known[b"\n" + w] = self.feed + own
+            out.append(ids)
+        return b"".join(out) if all(out) else None
 
     def learn(self, words: list[bytes]) -> None:
         known, rest = self.known, []
         for w in words:
             text = w.decode("utf-8", "replace")
-            if text.isalpha():
-                known[w] = self._letters_only(w)
-            elif _INNER.fullmatch(text):
-                rest.append(text)
+            ids = self._spelled(w, text, self.letters[32]) or (self._lines(w) if b"\n" in w else None)
+            if ids or not _INNER.fullmatch(text):
+                known[w] = ids
             else:
-                known[w] = None
+                rest.append(text)
         for i in range(0, len(rest), POOL):
             part = rest[i : i + POOL]
             (raw,) = self.whole([" " + " ".join(part)])
@@ -137,10 +157,20 @@ class _Encoder:
         inner = np.ones(len(doc), dtype=bool)
         inner[first] = False
         s, e = start[inner], end[inner]
-        _, rep, which = np.unique(span_hashes(data, s, e), return_index=True, return_inverse=True)
+        hashes = span_hashes(data, s, e)
+        by_hash = np.argsort(hashes)
+        new = np.ones(len(hashes), dtype=bool)
+        new[1:] = hashes[by_hash][1:] != hashes[by_hash][:-1]
+        rep, which = by_hash[new], np.empty(len(hashes), dtype=np.int64)
+        which[by_hash] = np.cumsum(new) - 1
         size = e - s
-        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        if not (size == size[rep][which]).all() or not (data[np.repeat(s, size) + step] == data[np.repeat(s[rep][which], size) + step]).all():
+        same = size == size[rep][which]
+        if same.all():
+            ink = data != 0x20
+            for a, b in zip(off[:-1].tolist(), end[first].tolist(), strict=True):
+                ink[a:b] = False
+            same = data[ink] == data[np.repeat(s[rep][which] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        if not same.all():  # two words of one hash
             return [np.frombuffer(x, dtype="<u4") for x in self.whole([raw[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)])]
         ids = self._ids_of([raw[a:b] for a, b in zip(s[rep].tolist(), e[rep].tolist(), strict=True)])
         bad = np.array([x is None for x in ids], dtype=bool)
@@ -197,7 +227,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, mode: str = "byte", end_
     """Encodes ``df``'s (doc_id, text) and writes the store at ``path``."""
     spark, end = df.sparkSession, np.array([end_id], dtype="<u4")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select("doc_id", "text").withColumn("_h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
+    rows = df.select("doc_id", "text").repartitionByRange(n, "doc_id").withColumn("_h", F.xxhash64("text")).sortWithinPartitions("doc_id", "_h")
 
     def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, docs, lengths, data, size = TaskContext.get().partitionId(), 0, [], [], [], 0
