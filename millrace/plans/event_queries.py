@@ -283,12 +283,12 @@ def counterpart_segments(e):
     return _pulls(e)
 
 
-@query(f"""{_FOREST} SELECT e.run, u.segment, min(e.ts) AS "start", max(e.ts) AS "end", count(*) AS hits, count(DISTINCT e.enemy) AS enemies, round(avg(CASE WHEN amount > 0 THEN amount END), 4) AS centre
+@query(f"""{_FOREST} SELECT e.run, u.segment, min(e.ts) AS "start", max(e.ts) AS "end", count(*) AS hits, count(DISTINCT e.enemy) AS enemies, round(sum(CASE WHEN amount > 0 THEN amount END), 2) AS centre_sum, count(*) FILTER (amount > 0) AS centre_n
 FROM (SELECT *, k % 400 AS enemy FROM ev) e JOIN up u ON e.run = u.run AND e.enemy = u.enemy GROUP BY e.run, u.segment""")
 def segment_bounds(e):
     """Bounds, size and centre of each pull."""
     rows = e.withColumn("enemy", F.col("k") % 400).join(_pulls(e), ["run", "enemy"])
-    return rows.groupBy("run", "segment").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("hits"), F.countDistinct("enemy").alias("enemies"), F.round(F.avg(F.when(F.col("amount") > 0, F.col("amount"))), 4).alias("centre"))
+    return rows.groupBy("run", "segment").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("hits"), F.countDistinct("enemy").alias("enemies"), F.round(F.sum(F.when(F.col("amount") > 0, F.col("amount"))), 2).alias("centre_sum"), F.count_if(F.col("amount") > 0).alias("centre_n"))
 
 
 @query("""SELECT run, target, min(ts) AS first_ts, round(max(amount), 4) AS peak, round(arg_max(amount, row), 4) AS last_hp, count(*) FILTER (action = 'error') > 0 OR arg_max(amount, row) <= 1 AS defeated FROM ev GROUP BY run, target""")

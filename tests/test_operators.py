@@ -107,8 +107,8 @@ def test_lookback_follows_order_not_time(spark, seed):
 
 
 def test_charges_and_fifo(spark):
-    uses = spark.createDataFrame([("a", t, i) for i, t in enumerate((0, 5, 30, 31))], "who string, ts long, row long")
-    assert [r.ready_at for r in pairing.charge_clock(uses, ["who"], "ts", "row", 20, 2).orderBy("row").collect()] == [0, 20, 30, 40]
+    uses = spark.createDataFrame([("a", t, i) for i, t in enumerate((0, 5, 30, 45))], "who string, ts long, row long")
+    assert [r.ready_at for r in pairing.charge_clock(uses, ["who"], "ts", "row", 20, 2).orderBy("row").collect()] == [0, 20, 40, 60]
     wait = spark.createDataFrame([("a", 0, 0), ("a", 1, 1), ("a", 500, 9)], "k string, ts long, row long")
     offer = spark.createDataFrame([("a", 50, 5), ("a", 60, 6), ("b", 1, 7)], "k string, ts long, row long")
     assert {(r.waiting, r.offer) for r in pairing.claimed_fifo(wait, offer, ["k"], "ts", "row", 100).collect()} == {(0, 5), (1, 6)}
