@@ -8,8 +8,8 @@ with the log-probabilities divided by the square root of the number of words (wo
 not independent, so the plain posterior is nearly always 0 or 1). The piece probabilities are fitted by
 expectation-maximisation over the same lattices.
 
-Training reads at most ``docs_per_lang`` labelled documents of each language (those with the
-smallest hashes); scoring reads every whole text.
+Training reads ``docs_per_lang`` distinct labelled texts of each language (those with the smallest
+hashes; all where there are fewer); scoring reads every whole text.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0. Characters that no
 piece covers cost one fixed piece (the same in all languages). A word of over ``RUN`` code points
@@ -173,17 +173,25 @@ def score_rows(data: np.ndarray, offsets: np.ndarray, logp: np.ndarray, vocab: t
     return total, np.bincount(row, minlength=len(total))
 
 
-def train(labelled: DataFrame, path: str, docs_per_lang: int = DOCS_PER_LANG, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """(languages in order, log piece probabilities [rows, languages]) from at most docs_per_lang rows each."""
-    usable = labelled.filter("text is not null and lang is not null").select("lang", "text")
-    share = {r["lang"]: min(1.0, 4 * docs_per_lang / r["n"]) for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
-    if not share:
-        return [], np.zeros((vocabulary(path)[2], 0))
-    hashed = usable.withColumn("h", F.xxhash64("text"))
+def training_sample(labelled: DataFrame, docs_per_lang: int) -> DataFrame | None:
+    """(lang, text): of each language min(docs_per_lang, distinct texts) texts, those with the smallest hashes. None: no labelled row."""
+    hashed = labelled.filter("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    # copies must not count: the share kept below is one of distinct texts
+    distinct = hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
+    if not distinct:
+        return None
+    share = {r["lang"]: min(1.0, 4 * docs_per_lang / r["n"]) for r in distinct}
     limit = F.create_map(*(F.lit(x) for lang, p in share.items() for x in (lang, min(int((2 * p - 1) * 2.0**63), 2**63 - 1))))
     near = hashed.filter(F.col("h") <= limit[F.col("lang")]).dropDuplicates(["lang", "h"])
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    sample = near.withColumn("r", rank).filter(F.col("r") <= docs_per_lang).select("lang", "text")
+    return near.withColumn("r", rank).filter(F.col("r") <= docs_per_lang).select("lang", "text")
+
+
+def train(labelled: DataFrame, path: str, docs_per_lang: int = DOCS_PER_LANG, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
+    """(languages in order, log piece probabilities [rows, languages]) from at most docs_per_lang texts each."""
+    sample = training_sample(labelled, docs_per_lang)
+    if sample is None:
+        return [], np.zeros((vocabulary(path)[2], 0))
     words = sample.select("lang", F.explode(F.split("text", "[\\x20\\x09-\\x0D]+")).alias("word")).filter("word <> ''").groupBy("lang", "word").count()
 
     def fit(counts: pd.DataFrame) -> pd.DataFrame:

@@ -401,6 +401,15 @@ def test_language_accuracy_and_edges(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in language.identify(odd_docs, empty, path).collect()} == {"und"}
 
 
+def test_training_is_not_starved_by_copies(spark):
+    hot = spark.range(20_000).select(F.lit("aa").alias("lang"), F.lit("one hot text").alias("text"))
+    other = spark.createDataFrame([("aa", f"rare text {i}") for i in range(40)] + [("bb", f"other words {i}") for i in range(3)], "lang string, text string")
+    langs, _ = language.train(hot.unionByName(other), language.vocabulary_path(), docs_per_lang=5, rounds=1)
+    assert langs == ["aa", "bb"]
+    drawn = Counter(r.lang for r in language.training_sample(hot.unionByName(other), 5).distinct().collect())
+    assert drawn == {"aa": 5, "bb": 3}
+
+
 def test_prediction_ignores_label_source_and_id(spark):
     docs = table(spark, SF, "documents")
     path = language.vocabulary_path()
