@@ -17,7 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
 from millrace.llm.shards import draw
@@ -49,9 +49,13 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MA
     return out
 
 
+def _words() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
 def _keyed(df: DataFrame) -> DataFrame:
     """``df`` with _src, size, _h and _block."""
-    df = df.drop("size").withColumns({"_src": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "size": F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")})
+    df = df.drop("size").withColumns({"_src": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "size": _words()})
     return df.withColumn("_h", F.xxhash64("doc_id", "text", "_src", F.lit(SEED))).withColumn("_block", F.pmod("_h", F.lit(BLOCKS)).cast("int"))
 
 
@@ -143,11 +147,10 @@ def split_tree(quota: np.ndarray, shards: int, rng: np.random.Generator) -> np.n
     return np.concatenate([split_tree(part, left, rng), split_tree(quota - part, shards - left, rng)])
 
 
-def mixed(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The mix: ``df``'s rows as often as they are taken, with mix_shard and mix_key (the order within the shard)."""
+def _draws(df: DataFrame, shards: int, seed: int) -> tuple[DataFrame, Plan, DataFrame]:
+    """(keys of ``df``'s rows, plan, drawn copies): the copies have ``df``'s columns, the keys, _pass, mix_shard and mix_key."""
     space = Workspace(df.sparkSession, "mixture-keys")
-    cols = [c for c in df.columns if c not in ("mix_shard", "mix_key")]
-    keyed = _keyed(df.select(*cols))
+    keyed = _keyed(df)
     keys = space.put(keyed.select("_src", "doc_id", "size", "_h", "_block"), "keys")
     plan = Plan(keys, shards, seed)
     out = plan.apply(keyed).filter("copies > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
@@ -155,20 +158,39 @@ def mixed(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     place = F.when(F.col("_pass") < F.col("_passes"), F.pmod(F.col("_block").cast("long") * (2 * F.col("_pass") + 1) * 1_640_531 + F.col("_pass") * 977, F.lit(BLOCKS))).otherwise(F.col("_block"))
     ends = df.sparkSession.createDataFrame(pa.table({"_src": pa.array(plan.order, pa.string()), "_ends": pa.array(list(plan.ends.T), pa.list_(pa.int64()))}))
     out = out.join(Plan._small(ends, len(plan.order)), "_src").withColumn("_at", F.col("_pass").cast("long") * BLOCKS + place)
-    out = out.withColumns({"mix_shard": F.expr("size(filter(_ends, e -> e <= _at))"), "mix_key": F.xxhash64("_h", "_pass", F.lit(seed))})
-    return out.select(*cols, "mix_shard", "mix_key")
+    return keys, plan, out.withColumns({"mix_shard": F.expr("size(filter(_ends, e -> e <= _at))"), "mix_key": F.xxhash64("_h", "_pass", F.lit(seed))})
+
+
+def mixed(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The mix: ``df``'s rows as often as they are taken, with mix_shard and mix_key (the order within the shard)."""
+    cols = [c for c in df.columns if c not in ("mix_shard", "mix_key")]
+    return _draws(df.select(*cols), shards, seed)[2].select(*cols, "mix_shard", "mix_key")
+
+
+def dealt(mix: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The mix in its place: partitions 2k and 2k + 1 hold shard k, the lower and the upper half of its keys, each in their order."""
+    return mix.repartitionById(2 * shards, F.col("mix_shard") * 2 + (F.col("mix_key") >= 0).cast("int")).sortWithinPartitions("mix_shard", "mix_key")
 
 
 def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's size, its source's size and target, and the words the mix takes of it."""
+    """Every document's size, its source's size and target, the words the mix has of it, and the shards of its copies in the order of passes.
+
+    The mix is made and written whole; sizes are counted on the texts read back from it.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    keys = Workspace(spark, "mixture-keys").put(_keyed(docs).drop("text", "source"), "keys")
-    return Plan(keys).apply(keys).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    keys, plan, drawn = _draws(docs, SHARDS, SEED)
+    mix = Workspace(spark, "mixture-mix").put(dealt(drawn.select("doc_id", "text", "_src", "_h", "_pass", "mix_shard", "mix_key")), "mix")
+    # equal rows are taken in the same passes, so a row's copies are the distinct passes of its key
+    copies = mix.withColumn("words", _words()).groupBy("_src", "_h", F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("_pass", "mix_shard", "words"))).alias("_copies"))
+    on = (keys["_src"] == copies["_src"]) & (keys["_h"] == copies["_h"]) & keys["doc_id"].eqNullSafe(copies["_id"])
+    out = keys.join(copies, on, "left").select(keys["_src"], "doc_id", "size", F.coalesce("_copies", F.array()).alias("_copies")).join(plan.sources, "_src")
+    taken = F.aggregate("_copies", F.lit(0).cast("long"), lambda n, c: n + c["words"])
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.transform("_copies", lambda c: c["mix_shard"]).alias("mix_shard"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mix, each shard's rows together and in shuffled order."""
-    return mixed(docs).repartition(SHARDS * 2, "mix_shard", F.pmod("mix_key", F.lit(64))).sortWithinPartitions("mix_shard", "mix_key").select(*docs.columns)
+    return dealt(mixed(docs)).select(*docs.columns)
 
 
 QUERIES = {"op5_mixture": op5_mixture}

@@ -197,6 +197,17 @@ def test_mixture_on_odd_rows(odd_docs, no_docs):
     assert mixture.mixed(no_docs).count() == 0
 
 
+def test_tree_decides_where_rows_land(spark):
+    docs = table(spark, SF, "documents")
+    want = defaultdict(list)
+    for r in mixture.mixed(docs).select("doc_id", "mix_shard").collect():
+        want[r.doc_id].append(r.mix_shard)
+    part = mixture.stage(spark, docs, SF).select("doc_id", F.spark_partition_id().alias("p")).collect()
+    assert Counter((r.doc_id, r.p // 2) for r in part) == Counter((d, s) for d, v in want.items() for s in v)
+    for r in mixture.op5_mixture(spark, SF).collect():
+        assert sorted(r.mix_shard) == sorted(want[r.doc_id]) and r.taken == r["size"] * len(r.mix_shard)
+
+
 def test_split_tree_keeps_quotas():
     q = np.array([100, 7, 0, 4096])
     m = mixture.split_tree(q, 24, np.random.default_rng(1))
