@@ -97,10 +97,10 @@ def shuffled(df: DataFrame, shards: int = SHARDS, seed: int = SEED, key: tuple[s
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard and slot under the law ``rows``."""
-    text = F.coalesce("text", F.lit("")).cast("binary")
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    out = shuffled(docs, key=("doc_id", "size", "text_crc32"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    out = shuffled(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit("")).cast("binary")  # as it arrived in its shard
+    size, crc = (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    return out.select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

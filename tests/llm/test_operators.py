@@ -380,6 +380,15 @@ def test_shards_digests(spark):
         assert (len(raw) + 8, zlib.crc32(raw)) == (size, crc)
 
 
+def test_shards_digest_what_arrived(spark, monkeypatch):
+    real = shards.shuffled
+    monkeypatch.setattr(shards, "shuffled", lambda df, **k: real(df, **k).withColumn("text", F.concat("text", F.lit("!"))))
+    docs = table(spark, SF, "documents").toPandas().set_index("doc_id")
+    for r in shards.op9_shards(spark, SF).collect():
+        raw = docs.text[r.doc_id].encode() + b"!"
+        assert (r["size"], r.text_crc32) == (len(raw) + 8, zlib.crc32(raw))
+
+
 # 10
 
 
