@@ -29,29 +29,42 @@ SHARDS = 24
 SEED = 20_240_229
 BLOCK_ROWS = 65_536  # rows of a shard permuted in one task, about
 _EXACT = 10**9  # numpy draws hypergeometric counts exactly below this population
+SPREAD = 12  # standard deviations either side that a larger draw covers
 
 
 def draw(rng: np.random.Generator, room: np.ndarray, n: int) -> np.ndarray:
-    """How many of n rows go to each shard, uniformly over all ways to fill the room left.
-
-    From 1e9 rows on a draw is a rounded normal one with the same mean, variance and bounds; row and
-    column sums stay exact.
-    """
+    """How many of n rows go to each shard, uniformly over all ways to fill the room left."""
     if room.sum() < _EXACT:
         return rng.multivariate_hypergeometric(room, n, method="marginals")
     out, left = np.zeros_like(room), int(room.sum())
     for i, r in enumerate(map(int, room)):
-        rest = left - r
-        if left < _EXACT:
-            out[i] = rng.hypergeometric(r, rest, n) if n else 0
-        else:
-            mean = n * r / left
-            sd = (mean * (rest / left) * (left - n) / (left - 1)) ** 0.5
-            out[i] = min(max(round(rng.normal(mean, sd)), n - rest, 0), r, n)
-        n, left = n - int(out[i]), rest
+        out[i] = _count(rng, r, left - r, n)
+        n, left = n - int(out[i]), left - r
     return out
 
 
+def _count(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """A hypergeometric count for any population: how many of n rows drawn from good + bad are good.
+
+    By inversion. The chances are products of the ratios of neighbours, outward from the mode; they
+    are summed as far as ``SPREAD`` standard deviations (beyond, all are below a double's resolution).
+    """
+    total, low, high = good + bad, max(0, n - bad), min(good, n)
+    if low == high:
+        return low
+    if total < _EXACT:
+        return int(rng.hypergeometric(good, bad, n))
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    sd = (n * good * bad * (total - n) / total**2 / (total - 1)) ** 0.5
+    reach = int(SPREAD * sd) + 2 * SPREAD
+    up = np.arange(mode, min(high, mode + reach), dtype=float)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=float)
+    above = np.cumprod((good - up) / (up + 1) * ((n - up) / (bad - n + up + 1)))
+    below = np.cumprod(down / (good - down + 1) * ((bad - n + down) / (n - down + 1)))
+    chance = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return mode - len(below) + int(np.searchsorted(chance, rng.random() * chance[-1], "right"))
+
+
 def matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
     """The communication matrix [partition, shard]; columns sum to sizes at most one apart."""
     total = sum(counts)

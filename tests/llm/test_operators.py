@@ -372,6 +372,27 @@ def test_matrix_margins():
     assert big.sum(axis=1).tolist() == [10**10, 3, 2 * 10**9] and big.sum(axis=0).max() - big.sum(axis=0).min() <= 1 and (big >= 0).all()
 
 
+def test_large_populations_are_drawn_exactly():
+    rng, room = np.random.default_rng(4), np.array([10**8, 99 * 10**8])
+    got = Counter(int(shards.draw(rng, room, 10)[0]) for _ in range(20_000))
+    chance = [0.9044, 0.0914, 0.0042]  # of 10 rows, a hundredth each: 0, 1, 2
+    assert all(abs(got[k] - 20_000 * p) < 5 * (20_000 * p) ** 0.5 for k, p in enumerate(chance))
+    x = np.array([shards._count(rng, 4 * 10**9, 6 * 10**9, 10**8) for _ in range(400)])
+    sd = (10**8 * 0.4 * 0.6 * 0.99) ** 0.5
+    assert abs(x.mean() - 4 * 10**7) < 5 * sd / 20 and 0.8 < x.std() / sd < 1.2
+    small = Counter(_inverted(rng, 7, 9, 6) for _ in range(20_000))
+    exact = [84, 882, 2646, 2940, 1260, 189, 7]  # C(7, k) C(9, 6 - k) of C(16, 6)
+    assert all(abs(small[k] - 20_000 * c / 8008) < 5 * (20_000 * c / 8008) ** 0.5 for k, c in enumerate(exact))
+    for good, bad, n in ((10**12, 0, 5), (3, 10**12, 10**12 + 1), (10**12, 7, 10**12), (5 * 10**11, 5 * 10**11, 10**12)):
+        assert max(0, n - bad) <= shards._count(rng, good, bad, n) <= min(good, n)
+
+
+def _inverted(rng, good, bad, n):
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(shards, "_EXACT", 0)
+        return shards._count(rng, good, bad, n)
+
+
 def test_shards_digests(spark):
     docs = table(spark, SF, "documents").toPandas().set_index("doc_id")
     got = shards.op9_shards(spark, SF).toPandas()
