@@ -18,12 +18,13 @@ def attribute_owner(actors: DataFrame, ident: str, owner: str, hops: int = 4) ->
     return out
 
 
-def counterpart_segments(rows: DataFrame, run: str, enemy: str, ts: str, order: str, gap: int, rounds: int = 20) -> DataFrame:
+def counterpart_segments(rows: DataFrame, run: str, enemy: str, ts: str, order: str, gap: int, rounds: int = 64) -> DataFrame:
     """(run, enemy, segment): the segment in which each counterpart was first engaged, named by its root counterpart.
 
     A counterpart's first row joins the segment of the counterpart of the row before it (in its run)
     if that row is at most ``gap`` earlier, else it opens a segment. So parents form a forest, whose
-    roots are found by doubling the steps of a pointer (log of the depth joins).
+    roots are found by doubling the steps of a pointer (log of the depth joins) until none moves;
+    one that still moves after ``rounds`` (beyond any depth, so a cycle by ties of ``order``) is an error.
     """
     w = W.partitionBy(run).orderBy(order)
     marked = rows.withColumns({
@@ -38,6 +39,8 @@ def counterpart_segments(rows: DataFrame, run: str, enemy: str, ts: str, order:
         up = new.select(run, "e", "p")
         if not moved:
             break
+    else:
+        raise RuntimeError(f"counterpart_segments: roots are not found after {rounds} rounds")
     return up.select(run, F.col("e").alias(enemy), F.col("p").alias("segment"))
 
 

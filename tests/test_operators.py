@@ -57,6 +57,13 @@ def test_pull_forest_equals_fold(spark, seed):
     assert {(r.run, r.enemy): r.segment for r in got.collect()} == want
 
 
+def test_pull_forest_is_never_cut(spark):
+    chain = spark.createDataFrame([(i, i, 0, i) for i in range(20)], "row long, ts long, run int, enemy int")
+    assert {r.segment for r in attribution.counterpart_segments(chain, "run", "enemy", "ts", "row", 5).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        attribution.counterpart_segments(chain, "run", "enemy", "ts", "row", 5, rounds=2)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_uptime_equals_fold(spark, seed):
     rows, end = stream(seed), 5000
