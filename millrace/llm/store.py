@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,10 +19,12 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI; a temporary folder only if the session names none."""
+    """The shared folder's URI; a temporary folder only if a local session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="millrace-"))
     return f"file://{_LOCAL[0]}"
@@ -29,10 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """Named intermediate tables of one operator run; ``drop`` frees one as soon as it is spent."""
 
+    _scopes: list[list["Workspace"]] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/millrace-{label}-{uuid.uuid4().hex}"
         atexit.register(self.close)
+        for scope in self._scopes[-1:]:
+            scope.append(self)
+
+    @classmethod
+    @contextmanager
+    def scope(cls) -> Iterator[None]:
+        """Frees, at its end, all tables of the workspaces made within: for a step whose result is by then written."""
+        cls._scopes.append([])
+        try:
+            yield
+        finally:
+            for space in cls._scopes.pop():
+                space.close()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -20,6 +20,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = U64(pow(int(_BASE), -1, 1 << 64))
+_PRIME = (1 << 31) - 1
+_PRIME_BASE = 1_481_765_933
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64)
 CHUNK_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
@@ -32,20 +34,35 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime 2^31 - 1, for x below 2^62 (the prime itself may stand for 0)."""
+    x = (x & U64(_PRIME)) + (x >> U64(31))
+    return (x & U64(_PRIME)) + (x >> U64(31))
+
+
+def _prime_powers(base: int, size: int) -> np.ndarray:
+    """base^0 ... base^(size - 1) modulo the prime, by doubling."""
+    out = np.ones(1, dtype=np.uint64)
+    while len(out) < size:
+        out = np.concatenate([out, _reduced(out * U64(pow(base, len(out), _PRIME)))])
+    return out[:size]
+
+
 class _Powers:
-    """Powers of the hash base and of its inverse, kept per worker and grown on demand."""
+    """Powers of the hash bases and of their inverses, kept per worker and grown on demand."""
 
-    up = down = np.ones(1, dtype=np.uint64)
+    up = down = prime_up = prime_down = np.ones(1, dtype=np.uint64)
 
     @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def upto(cls, n: int) -> type["_Powers"]:
         if len(cls.up) < n:
             size = max(n, CHUNK_BYTES + 1)
             for name, base in (("up", _BASE), ("down", _BASE_INV)):
                 p = np.full(size, base, dtype=np.uint64)
                 p[0] = 1
                 setattr(cls, name, np.cumprod(p, dtype=np.uint64))
-        return cls.up, cls.down
+            cls.prime_up, cls.prime_down = _prime_powers(_PRIME_BASE, size), _prime_powers(pow(_PRIME_BASE, -1, _PRIME), size)
+        return cls
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,11 +86,20 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, the same in every process."""
-    up, down = _Powers.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] ^ (end - start).astype(np.uint64))
+    """A 64-bit hash of the bytes of each span, the same in every process.
+
+    Two polynomials of the bytes, one modulo 2^64 and one modulo a prime: words built by doubling,
+    which can meet in the first, differ in the second.
+    """
+    p, n = _Powers.upto(len(data) + 1), len(data)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * p.up[:n], out=sums[1:])
+    wide = (sums[end] - sums[start]) * p.down[start]
+    terms = data * p.prime_up[:n]  # below 2^39; folded once, a text of 2^32 bytes still sums without overflow
+    np.cumsum((terms & U64(_PRIME)) + (terms >> U64(31)), out=sums[1:])
+    own = _reduced(_reduced(sums[end] - sums[start]) * p.prime_down[start])
+    own = np.where(own == U64(_PRIME), U64(0), own)
+    return mix(wide ^ mix(own << U64(32) | (end - start).astype(np.uint64)))
 
 
 class Words:
@@ -123,11 +149,15 @@ class Words:
 
 
 def map_texts(df: DataFrame, fn, schema) -> DataFrame:
-    """``df.mapInArrow`` with batches of at most BATCH_BYTES, so that texts of any length bound a task's memory.
+    """``df.mapInArrow`` over batches of at most about BATCH_BYTES, so that texts of any length bound a task's memory.
 
-    Sets the session's Arrow batch size (the default suits narrow rows); one longer text is a batch of its own.
+    The session's Arrow setting is read when a job starts, not when the plan is made, so it is set here
+    unless the session has a lower one of its own; one longer text is a batch of its own.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    at = df.sparkSession.conf.get(name).rstrip("b")
+    if not (at.isdigit() and 0 < int(at) <= BATCH_BYTES):
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
