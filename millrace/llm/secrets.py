@@ -3,11 +3,14 @@
 A candidate is a maximal run of 20 or more characters of ``[A-Za-z0-9+/_-]`` (with up to two ``=``).
 Its encoding is inferred from the characters it uses; within that alphabet three tests ask whether
 it looks like uniform random symbols: a chi-squared test of the counts, a runs test around the
-alphabet's middle and the lag-one serial correlation. Fisher's method combines them; a candidate
-that they reject is no secret. What remains is compared with ordinary text: the chi-squared
-statistic's mean and spread under letter frequencies follow the token's length, which gives the
-probability that a text token of this length looks as even, and the Benjamini-Hochberg step-up over
-all distinct candidates bounds the share of false discoveries. DataFrame operations only.
+alphabet's middle and the lag-one serial correlation. Pearson's statistic is given the tail of the gamma
+law with its exact mean and variance (by the cube-root transform), since a short token has less than
+one expected symbol a letter; the tests depend on each other, so three times the least p decides, which
+holds under any dependence. Of uniform random tokens 0.1 to 0.4 % are rejected at any length (measured
+in the tests); a candidate that is rejected is no secret. What remains is compared with ordinary text:
+the chi-squared statistic's mean and spread under letter frequencies follow the token's length, which
+gives the probability that a text token of this length looks as even, and the Benjamini-Hochberg
+step-up over all distinct candidates bounds the share of false discoveries. DataFrame operations only.
 
 Positions are code points, ends exclusive. A null text counts as empty. Base matches stay whatever
 the battery says; added spans (kind ``random``) never overlap a base span. Rows are judged one by
@@ -20,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
+from millrace.llm.joins import spread_join
 from millrace.llm.store import Workspace
 from millrace.session import table
 
@@ -39,7 +43,9 @@ ENCODINGS = (
     ("hex", "^([0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
     ("base32", "^[A-Z2-7]+=*$", "234567ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("alphanumeric", "^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-    ("base64", "", "-/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_+abcdefghijklmnopqrstuvwxyz"),
+    ("base64", "^[0-9A-Za-z+/]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("base64url", "^[0-9A-Za-z_-]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("mixed", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 )
 _SPAN = "array<struct<s:bigint,e:bigint,v:string>>"
 
@@ -79,32 +85,33 @@ def battery(tokens: DataFrame) -> DataFrame:
     name, alphabet = name.otherwise(ENCODINGS[-1][0]), alphabet.otherwise(F.lit(ENCODINGS[-1][2]))
     t = tokens.select("token", name.alias("encoding"), alphabet.alias("_a")).withColumn("_b", F.expr("rtrim('=', CASE WHEN encoding = 'hex' THEN lower(token) ELSE token END)"))
     t = t.withColumn("_c", F.expr("transform(split(_b, ''), c -> instr(_a, c) - 1)"))
-    codes = t.select("token", "encoding", F.length("_a").alias("k"), F.posexplode("_c").alias("_i", "code"), F.expr("slice(_c, 2, size(_c))").alias("_n"))
-    codes = codes.withColumn("next", F.expr("get(_n, _i)")).drop("_n", "_i")
+    steps = F.explode(F.arrays_zip(F.col("_c").alias("code"), F.expr("slice(_c, 2, size(_c))").alias("next")))
+    codes = t.select("token", "encoding", F.length("_a").alias("k"), steps.alias("_x")).select("token", "encoding", "k", "_x.code", "_x.next")
     high = lambda c: (2 * F.col(c) >= F.col("k")).cast("int")
     sums = codes.groupBy("token", "encoding", "k", "code").agg(
         F.count("*").alias("c"), F.count("next").alias("pairs"), F.sum(F.col("code") * F.col("next")).alias("xy"), F.sum("next").alias("y"), F.sum((high("code") != high("next")).cast("int")).alias("turns")
     )
     s = sums.groupBy("token", "encoding", "k").agg(
         F.sum("c").cast("double").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.sum(F.coalesce("xy", F.lit(0))).alias("xy"), F.sum(F.col("c") * F.col("code")).alias("x"),
-        F.sum(F.col("c") * F.col("code") * F.col("code")).alias("xx"), F.sum(F.coalesce("turns", F.lit(0))).alias("turns"), F.sum(F.col("c") * high("code")).cast("double").alias("n1"),
+        F.sum(F.col("pairs") * F.col("code") + F.coalesce("y", F.lit(0))).alias("ends"), F.sum(F.col("c") * F.col("code") * F.col("code")).alias("xx"),
+        F.sum(F.coalesce("turns", F.lit(0))).alias("turns"), F.sum(F.col("c") * high("code")).cast("double").alias("n1"),
     )
-    n, n1, k, chi, two = (F.col(c) for c in ("n", "n1", "k", "chi", "two"))
-    s = s.withColumns({"chi": k / n * F.col("squares") - n, "two": 2 * n1 * (n - n1), "mean": F.col("x") / n})
+    n, n1, k, chi, two, mean, var = (F.col(c) for c in ("n", "n1", "k", "chi", "two", "mean", "var"))
+    s = s.withColumns({"chi": k / n * F.col("squares") - n, "two": 2 * n1 * (n - n1), "mean": F.col("x") / n, "var": F.col("xx") / n - (F.col("x") / n) * (F.col("x") / n)})
+    df = (k - 1) * n / (n - 1)  # of the gamma law (a scaled chi-squared) with the statistic's mean k - 1 and variance 2 (k - 1) (n - 1) / n
+    serial = (F.col("xy") - mean * F.col("ends") + (n - 1) * mean * mean) / (n * var)
     s = s.withColumns({
-        "z_chi": (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n),
-        "z_runs": (F.col("turns") - two / n) / F.sqrt(F.greatest(two * (two - n) / (n * n * (n - 1)), F.lit(1e-9))),
-        "var": F.col("xx") / n - F.col("mean") * F.col("mean"),
+        "z_chi": (F.cbrt(chi / (k - 1)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)),
+        "z_runs": F.abs((F.col("turns") - two / n) / F.sqrt(F.greatest(two * (two - n) / (n * n * (n - 1)), F.lit(1e-9)))),
+        "z_serial": F.when(var > 0, F.abs((serial + 1 / n) * F.sqrt(n * n * (n - 1)) / (n - 2))).otherwise(40.0),
         "text_mean": k * (1 + (n - 1) * TEXT_SQUARES) - n,
         "text_var": 4 * n * (n - 1) * (n - 2) * (TEXT_CUBES - TEXT_SQUARES**2) + 2 * n * (n - 1) * (TEXT_SQUARES - TEXT_SQUARES**2),
     })
-    r = F.when(F.col("var") > 0, (F.col("xy") / (n - 1) - F.col("mean") * F.col("mean")) / F.col("var")).otherwise(1.0)
-    s = s.withColumns({"z_runs": F.abs("z_runs"), "z_serial": F.abs((r + 1 / n) * F.sqrt(n)), "z_text": (F.col("text_mean") - chi) / (F.sqrt("text_var") * k / n)})
-    s = s.withColumns({f"p_{name}": upper_tail(F.col(f"z_{name}")) for name in ("chi", "runs", "serial", "text")})
-    p_runs = F.when((n1 == 0) | (n1 == n), F.pow(F.lit(2.0), 1 - n)).otherwise(F.least(F.lit(1.0), 2 * F.col("p_runs")))
-    s = s.withColumn("fisher", -(F.log("p_chi") + F.log(p_runs) + F.log(F.least(F.lit(1.0), 2 * F.col("p_serial")))))
-    x = F.col("fisher")
-    return s.select("token", "encoding", "n", (F.exp(-x) * (1 + x + x * x / 2)).alias("p_random"), "p_text")
+    s = s.withColumn("z_text", (F.col("text_mean") - chi) / (F.sqrt("text_var") * k / n))
+    p = {name: upper_tail(F.col(f"z_{name}")) for name in ("chi", "runs", "serial", "text")}
+    runs = F.when((n1 == 0) | (n1 == n), F.pow(F.lit(2.0), 1 - n)).otherwise(2 * p["runs"])
+    p_random = F.least(F.lit(1.0), 3 * F.least(p["chi"], runs, 2 * p["serial"]))
+    return s.select("token", "encoding", "n", p_random.alias("p_random"), p["text"].alias("p_text"))
 
 
 def discoveries(tested: DataFrame) -> DataFrame:
@@ -121,27 +128,30 @@ def discoveries(tested: DataFrame) -> DataFrame:
     return tested.filter(F.col("p_random") >= RANDOM_P).filter(bin_ >= cut if cut is not None else F.lit(False))
 
 
-def find_secrets(df: DataFrame) -> DataFrame:
-    """``df`` with n_assign, n_access, n_hex, base (spans), random (spans with token)."""
-    df = df.drop("n_assign", "n_access", "n_hex", "base", "random")
+def scanned(df: DataFrame, space: Workspace, keep_text: bool) -> DataFrame:
+    """``df``'s rows numbered (_row), with n_assign, n_access, n_hex, base (spans) and _cand (candidates clear of them), written once."""
     out = df.withColumn("_t", F.coalesce("text", F.lit("")))
     out = out.withColumns({"_assign": spans_of(ASSIGN, 2), "_access": spans_of(ACCESS), "_hex": spans_of(HEX), "_cand": spans_of(CANDIDATE)})
     out = out.withColumn("_assign", F.filter("_assign", lambda x: F.length(x["v"]) >= MIN_VALUE))
     tagged = [F.expr(f"transform(_{k}, x -> named_struct('s', x.s, 'o', {i}, 'e', x.e, 'kind', '{k}'))") for i, k in enumerate(KINDS)]
     out = out.withColumns({"base": F.array_sort(F.concat(*tagged)), **{f"n_{k}": F.size(f"_{k}").cast("long") for k in KINDS}}).drop("_t", "_assign", "_access", "_hex")
     out = out.withColumn("_cand", F.filter("_cand", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))))
-    key = F.to_json("_cand")
-    some = out.filter(F.size("_cand") > 0).select("_cand").select(key.alias("_key"), "_cand").dropDuplicates(["_key"]).select("_key", F.explode("_cand").alias("c"))
-    some = some.select("_key", F.col("c.s").alias("s"), F.col("c.e").alias("e"), F.col("c.v").alias("token"))
+    return space.put((out if keep_text else out.drop("text")).withColumn("_row", F.monotonically_increasing_id()), "scanned")
+
+
+def find_secrets(df: DataFrame, keep_text: bool = True) -> DataFrame:
+    """``df`` (with or without its text) with n_assign, n_access, n_hex, base (spans), random (spans with token)."""
     space = Workspace(df.sparkSession, "secrets")
-    some = space.put(some, "candidates")
-    tested = space.put(battery(some.select("token").distinct()), "tested")
-    chosen = discoveries(tested).select("token", "encoding")
-    added = some.join(chosen, "token").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("s", "e", "token", "encoding"))).alias("random"))
-    # rows without candidates get keys of their own that match nothing, so that they spread evenly
-    rows = out.withColumn("_key", F.when(F.size("_cand") > 0, key).otherwise(F.concat(F.lit("-"), F.xxhash64(*[c for c in ("doc_id",) if c in df.columns] or [F.lit(0)]).cast("string")))).drop("_cand")
+    rows = scanned(df.drop("n_assign", "n_access", "n_hex", "base", "random"), space, keep_text)
+    some = rows.select("_row", F.explode("_cand").alias("c")).select("_row", F.col("c.s").alias("s"), F.col("c.e").alias("e"), F.col("c.v").alias("token"))
+    times = space.put(some.groupBy("token").agg(F.count("*").alias("weight")), "tokens")
+    tested = space.put(battery(times), "tested")
+    chosen = space.put(discoveries(tested).select("token", "encoding").join(times, "token"), "chosen")
+    found = spread_join(some, chosen, "token", chosen.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0])
+    added = found.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("s", "e", "token", "encoding"))).alias("random"))
     none = F.expr("cast(array() AS array<struct<s:bigint,e:bigint,token:string,encoding:string>>)")
-    return rows.join(added, "_key", "left").withColumn("random", F.coalesce("random", none)).drop("_key")
+    without = rows.filter(F.size("_cand") == 0).withColumn("random", none)
+    return rows.filter(F.size("_cand") > 0).join(added, "_row", "left").withColumn("random", F.coalesce("random", none)).unionByName(without).drop("_row", "_cand")
 
 
 def _written(spans: Column) -> Column:
@@ -150,7 +160,7 @@ def _written(spans: Column) -> Column:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's base matches (counted and digested) and all spans."""
-    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     extra = F.transform("random", lambda x: F.struct(x["s"].alias("s"), F.lit(len(KINDS)).alias("o"), x["e"].alias("e"), F.lit("random").alias("kind")))
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.array_sort(F.concat("base", extra))).alias("spans")
