@@ -12,10 +12,11 @@ Training reads ``docs_per_lang`` distinct labelled texts of each language (those
 hashes; all where there are fewer); scoring reads every whole text.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0. Characters that no
-piece covers cost one fixed piece (the same in all languages). A word of over ``RUN`` code points
-is cut into runs of that length. Rows are scored one by one: repeated rows, null ids and extra
-columns change nothing. Ties go to the language that sorts first. Without training rows every
-text is ``und``.
+piece covers cost one fixed piece (the same in all languages). Words of any length are scored whole:
+in long ones the forward sums are rescaled as they go. Rows are scored one by one: repeated rows,
+null ids and extra columns change nothing. Ties go to the language that sorts first. Without training
+rows every text is ``und``. In the training sample alone, words of over ``RUN`` code points count as
+runs of that length.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ from millrace.session import table
 U64 = np.uint64
 DOCS_PER_LANG = 400  # bound of the training sample
 ROUNDS = 4  # of expectation-maximisation
-RUN = 32  # code points of a word scored as one lattice
-REACH = 16  # code points of the longest piece used
+RUN = 32  # code points of a word (with its mark) whose sums need no rescaling
+LONG_STEP = 4096  # positions of a longer word looked up at once
 PRIOR = 0.1  # pseudo-count of a piece in a language
 MIN_SCORE = 0.5  # what the pipeline keeps
 MARK = 0x2581  # starts a word in the vocabulary
@@ -50,24 +51,24 @@ def vocabulary_path() -> str:
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """(sorted piece hashes, their row, rows): row 0 is the unknown character, then the text pieces in order."""
+def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(sorted piece hashes, their row, rows, longest piece): row 0 is the unknown character, then the text pieces in order."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [p for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)) and len(p := sp.id_to_piece(i)) <= REACH]
+    pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
     hashes = np.array([_piece_hash(p) for p in pieces], dtype=np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], (order + 1).astype(np.int32), len(pieces) + 1
+    return hashes[order], (order + 1).astype(np.int32), len(pieces) + 1, max(map(len, pieces))
 
 
 def _piece_hash(piece: str) -> int:
     codes = np.array([ord(c) for c in piece], dtype=np.uint64)
-    return int(_span_hash(codes + U64(1))[-1])
+    return int(_span_hash((codes + U64(1))[None, :])[0, -1])
 
 
 def _span_hash(codes: np.ndarray) -> np.ndarray:
-    """Hashes of all prefixes of one sequence of code points plus one."""
+    """Hashes of all prefixes of the sequences of code points plus one (last axis)."""
     h = np.zeros(codes.shape[:-1], dtype=np.uint64)
     out = np.empty(codes.shape, dtype=np.uint64)
     for j in range(codes.shape[-1]):
@@ -76,28 +77,49 @@ def _span_hash(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lattice(words: np.ndarray, vocab: tuple) -> list[tuple[int, int, np.ndarray]]:
-    """(start, end, row) for every span of at most REACH of words [n, len]; row -1: not a piece.
+def _rows_of(hashes: np.ndarray, vocab: tuple) -> np.ndarray:
+    """The piece of each hash [..., reach], -1: not a piece. Single characters always have one, 0 if the vocabulary lacks them."""
+    keys, rows = vocab[:2]
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    row = np.where(keys[at] == hashes, rows[at], -1)
+    row[..., 0] = np.maximum(row[..., 0], 0)
+    return row
 
-    Single characters always have a row, 0 if the vocabulary lacks them.
-    """
-    keys, rows, _ = vocab
-    n, size = words.shape
-    out = []
+
+def _lattice(words: np.ndarray, vocab: tuple) -> list[tuple[int, int, np.ndarray]]:
+    """(start, end, row) for every span of words [n, len] that is a piece in one of them."""
+    size, out = words.shape[1], []
     for s in range(size):
-        reach = min(size - s, REACH)
-        h = _span_hash(words[:, s : s + reach].astype(np.uint64) + U64(1))
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        row = np.where(keys[at] == h, rows[at], -1)
-        row[:, 0] = np.maximum(row[:, 0], 0)
+        reach = min(size - s, vocab[3])
+        row = _rows_of(_span_hash(words[:, s : s + reach].astype(np.uint64) + U64(1)), vocab)
         out += [(s, s + 1 + j, row[:, j]) for j in range(reach) if (row[:, j] >= 0).any()]
     return out
 
 
+def long_score(word: np.ndarray, p: np.ndarray, vocab: tuple) -> np.ndarray:
+    """Log-probabilities [languages] of one word of any length, from piece probabilities p, by a rescaled forward pass."""
+    reach, total = vocab[3], np.zeros(p.shape[1])
+    padded = np.concatenate([word.astype(np.uint64) + U64(1), np.zeros(reach, dtype=np.uint64)])
+    known = np.concatenate([p, np.zeros((1, p.shape[1]))])  # row -1: no piece
+    ring = np.zeros((reach, p.shape[1]))  # sums up to the next positions, each over its scale
+    ring[0] = 1
+    for at in range(0, len(word), LONG_STEP):
+        n = min(LONG_STEP, len(word) - at)
+        row = _rows_of(_span_hash(np.lib.stride_tricks.sliding_window_view(padded[at : at + n + reach - 1], reach)), vocab)
+        row[np.arange(at, at + n)[:, None] + np.arange(reach) >= len(word)] = -1
+        chance = known[row]  # position, length, language
+        for k in range(n):
+            here = ring[0].copy()  # above 0: single characters are pieces
+            total += np.log(here)
+            ring[:-1], ring[-1] = ring[1:] / here, 0
+            ring += chance[k]
+    return total + np.log(ring[0])
+
+
 def word_scores(words: np.ndarray, logp: np.ndarray, vocab: tuple) -> np.ndarray:
     """Log-probabilities [n, languages] of equally long words [n, len], summed over all segmentations."""
     n, size = words.shape
-    p = np.exp(logp)  # a run has RUN code points at most: products stay far above the least double
+    p = np.exp(logp)  # RUN code points at most: products stay far above the least double
     alpha = np.zeros((size + 1, n, logp.shape[1]))
     alpha[0] = 1
     for s, e, row in _lattice(words, vocab):
@@ -120,13 +142,15 @@ def _expected(words: np.ndarray, weight: np.ndarray, logp: np.ndarray, vocab: tu
     for s, e, row in sorted(edges, key=lambda x: -x[0]):
         beta[s] += beta[e] * np.where(row[:, None] >= 0, p[row], 0)
     share = weight / np.maximum(alpha[size], 1e-300)
-    for s, e, row in edges:
-        hit = np.flatnonzero(row >= 0)
-        np.add.at(out, row[hit], (alpha[s] * beta[e] * share)[hit] * p[row[hit]])
+    rows = np.concatenate([row for _, _, row in edges])
+    hit = np.flatnonzero(rows >= 0)
+    value = np.concatenate([alpha[s] * beta[e] * share for s, e, _ in edges])[hit] * p[rows[hit]]
+    for k in range(out.shape[1]):
+        out[:, k] += np.bincount(rows[hit], weights=value[:, k], minlength=len(out))
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(code points, start, end, row) of the runs (words, long ones cut) of UTF-8 rows; words start with MARK."""
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, start, end, row) of the words of UTF-8 rows."""
     text = data.tobytes().decode("utf-8", "replace")
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
@@ -142,15 +166,18 @@ def runs_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     last[inner - 1] = ink[inner - 1]
     end = np.flatnonzero(last) + 1
     row = np.searchsorted(edge, start, "right") - 1
-    parts = -(-(end - start) // (RUN - 1))
-    if len(parts) and parts.max() > 1:
-        which = np.repeat(np.arange(len(start)), parts)
-        nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-        start, end, row = start[which] + nth * (RUN - 1), np.minimum(start[which] + (nth + 1) * (RUN - 1), end[which]), row[which]
     return codes, start, end, row
 
 
-def distinct_runs(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def cut_runs(start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) with long words cut into runs, for training."""
+    parts = -(-(end - start) // (RUN - 1))
+    which = np.repeat(np.arange(len(start)), parts)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return start[which] + nth * (RUN - 1), np.minimum(start[which] + (nth + 1) * (RUN - 1), end[which]), row[which]
+
+
+def distinct_words(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By length: (positions in start, distinct words [m, len + 1] with their MARK, each position's word)."""
     size = end - start
     for n in np.unique(size):
@@ -163,11 +190,15 @@ def distinct_runs(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iter
 
 
 def score_rows(data: np.ndarray, offsets: np.ndarray, logp: np.ndarray, vocab: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """(log-probabilities [rows, languages], runs per row)."""
-    codes, start, end, row = runs_of(data, offsets)
-    total = np.zeros((len(offsets) - 1, logp.shape[1]))
-    for at, words, inverse in distinct_runs(codes, start, end):
-        scores = np.concatenate([word_scores(words[i : i + 4096], logp, vocab) for i in range(0, len(words), 4096)])
+    """(log-probabilities [rows, languages], words per row)."""
+    codes, start, end, row = words_of(data, offsets)
+    total, p = np.zeros((len(offsets) - 1, logp.shape[1])), None
+    for at, words, inverse in distinct_words(codes, start, end):
+        if words.shape[1] <= RUN:
+            scores = np.concatenate([word_scores(words[i : i + 4096], logp, vocab) for i in range(0, len(words), 4096)])
+        else:
+            p = np.exp(logp) if p is None else p
+            scores = np.stack([long_score(w, p, vocab) for w in words])
         for k in range(logp.shape[1]):
             total[:, k] += np.bincount(row[at], weights=scores[inverse, k], minlength=len(total))
     return total, np.bincount(row, minlength=len(total))
@@ -199,7 +230,7 @@ def train(labelled: DataFrame, path: str, docs_per_lang: int = DOCS_PER_LANG, ro
         return pd.DataFrame({"lang": langs, "logp": [np.ascontiguousarray(logp[:, k]).tobytes() for k in range(len(langs))]})
 
     # the sample is bounded, so one task holds its words
-    found = words.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fit, "lang string, logp binary").orderBy("lang").collect()
+    found = words.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fit, "lang string, logp binary").collect()
     return [r["lang"] for r in found], np.stack([np.frombuffer(r["logp"]) for r in found], axis=1) if found else np.zeros((vocabulary(path)[2], 0))
 
 
@@ -210,17 +241,17 @@ def _fit(counts: pd.DataFrame, vocab: tuple, rounds: int) -> tuple[list[str], np
     logp = np.full((vocab[2], len(langs)), -np.log(vocab[2]))
     text = [w.encode("utf-8", "replace") for w in table_.index]
     off = np.concatenate([[0], np.cumsum([len(t) for t in text])])
-    codes, start, end, row = runs_of(np.frombuffer(b"".join(text), dtype=np.uint8), off)
+    codes, *spans = words_of(np.frombuffer(b"".join(text), dtype=np.uint8), off)
+    start, end, row = cut_runs(*spans)
     weight, groups = table_.to_numpy(dtype=float), []
-    for at, runs, inverse in distinct_runs(codes, start, end):
-        w = np.zeros((len(runs), len(langs)))
-        np.add.at(w, inverse, weight[row[at]])
-        groups.append((runs, w))
+    for at, runs, inverse in distinct_words(codes, start, end):
+        groups.append((runs, np.stack([np.bincount(inverse, weights=weight[row[at], k], minlength=len(runs)) for k in range(len(langs))], axis=1)))
+    some = max(64, 8192 // len(langs))  # words held at once, fewer for more languages
     for _ in range(rounds):
         expected = np.full_like(logp, PRIOR)
         for runs, w in groups:
-            for i in range(0, len(runs), 2048):
-                _expected(runs[i : i + 2048], w[i : i + 2048], logp, vocab, expected)
+            for i in range(0, len(runs), some):
+                _expected(runs[i : i + some], w[i : i + some], logp, vocab, expected)
         expected[0] = expected[0].mean()  # unknown characters say nothing about the language
         logp = np.log(expected / expected.sum(axis=0))
     return langs, logp
