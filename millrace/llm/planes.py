@@ -2,11 +2,12 @@
 
 Layout of a store: a Parquet table ``data`` with one row per section (a run of documents in
 ascending id order, about ``SECTION_IDS`` ids or one longer document) and a Parquet table ``index``
-with a row per section. A section holds its documents' ids and lengths and its token ids in blocks
-of ``BLOCK_IDS``. A block is transposed: plane j has byte (or bit) j of every id. Planes are
-compressed with zstandard one by one; planes of zeros at the top are left out. Sections can be read
-in any order and in parallel; the index gives each one's place in the whole sequence, and Spark's
-commit protocol makes writing safe against lost executors.
+with a row per chunk. A section holds its documents' ids and lengths and its token ids in chunks
+of ``BLOCK_IDS``. A chunk is transposed: plane j has byte (or bit) j of every id. Planes are
+compressed with zstandard one by one; planes of zeros at the top are left out. The index gives each
+chunk's section, its place in the whole sequence and its compressed bytes, so that ``read_range``
+fetches and expands only the chunks that a range of ids touches. Spark's commit protocol makes writing
+safe against lost executors.
 
 Edge cases: a null text counts as empty and has the end id alone. Null ids sort first. Rows with
 equal ids are ordered by their text's hash, identical rows follow each other. Only the id and text
@@ -15,6 +16,7 @@ columns are stored. An empty table makes an empty store. A text's ids are held i
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -43,10 +45,10 @@ POOL = 4096  # new words encoded as one text
 #: A text falls apart before a space between two characters that are no white space: the vocabulary's
 #: pattern lets a token hold a space only at its start, so no token crosses such a place.
 _INNER = re.compile(r"[\w!-~](?:.*[\w!-~])?", re.DOTALL)
-_SECTION = "part int, section int, n_docs bigint, n_ids bigint, first_doc bigint, last_doc bigint, mode string, doc_ids array<bigint>, lengths array<bigint>, blocks array<struct<n:int,planes:array<binary>>>"
+_SECTION = "part int, section int, n_docs bigint, n_ids bigint, first_doc bigint, last_doc bigint, mode string, doc_ids array<bigint>, lengths array<bigint>, blocks array<struct<n:int,bytes:int,planes:array<binary>>>"
 _DATA = pa.schema([
     ("part", pa.int32()), ("section", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("mode", pa.string()),
-    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("blocks", pa.list_(pa.struct([("n", pa.int32()), ("planes", pa.list_(pa.binary()))]))),
+    ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("blocks", pa.list_(pa.struct([("n", pa.int32()), ("bytes", pa.int32()), ("planes", pa.list_(pa.binary()))]))),
 ])
 
 
@@ -81,14 +83,26 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: words may be encoded one by one only under the known pattern, with no normaliser and no template before or after
+        self.by_words = self._known_pattern(path)
         vocab = self.tokenizer.get_vocab()
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)  # bytes of a token: its letters stand for one each
         for token, i in vocab.items():
             self.width[i] = len(token)
-        self.stops = dict(zip(".,;:!?", self.whole(list(".,;:!?")), strict=True))
-        (self.feed,) = self.whole(["\n"])
         self.known: dict[bytes, bytes | None] = {}
+        if self.by_words:
+            self.stops = dict(zip(".,;:!?", self.whole(list(".,;:!?")), strict=True))
+            (self.feed,) = self.whole(["\n"])
+
+    def _known_pattern(self, path: str) -> bool:
+        """Whether the file's text handling is byte-level with its standard pattern, no leading space and no normaliser, and its model plain BPE."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+        plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "unk_token", "byte_fallback", "ignore_merges"))
+        plain &= all(spec.get(k) is None for k in ("truncation", "padding", "post_processor", "normalizer")) and all(t.get("special") for t in spec.get("added_tokens") or ())
+        return plain and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True) and model.get("type", "BPE") == "BPE"
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -147,6 +161,8 @@ class _Encoder:
     def encode(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """The ids of each row of a chunk of UTF-8 texts, equal to encoding each text whole."""
         n, raw = len(off) - 1, data.tobytes()
+        if not self.by_words:
+            return [np.frombuffer(x, dtype="<u4") for x in self.whole([raw[a:b].decode("utf-8", "replace") for a, b in zip(off[:-1], off[1:], strict=True)])]
         space = np.flatnonzero(data == 0x20)
         doc = np.concatenate([np.arange(n), np.searchsorted(off, space, "right") - 1])
         order = np.argsort(doc, kind="stable")
@@ -219,7 +235,8 @@ def unpack(planes: list[bytes], n: int, mode: str = "byte") -> np.ndarray:
 
 def _section(part: int, number: int, docs: list, lengths: list[int], data: list[np.ndarray], mode: str) -> dict:
     ids = np.concatenate(data).astype("<u4", copy=False)
-    blocks = [{"n": len(b), "planes": pack(b, mode)} for b in (ids[i : i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS))]
+    packed = [(len(b), pack(b, mode)) for b in (ids[i : i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS))]
+    blocks = [{"n": n, "bytes": sum(map(len, planes)), "planes": planes} for n, planes in packed]
     return {"part": part, "section": number, "n_docs": len(docs), "n_ids": len(ids), "first_doc": docs[0], "last_doc": docs[-1], "mode": mode, "doc_ids": docs, "lengths": lengths, "blocks": blocks}
 
 
@@ -227,7 +244,8 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, mode: str = "byte", end_
     """Encodes ``df``'s (doc_id, text) and writes the store at ``path``."""
     spark, end = df.sparkSession, np.array([end_id], dtype="<u4")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select("doc_id", "text").repartitionByRange(n, "doc_id").withColumn("_h", F.xxhash64("text")).sortWithinPartitions("doc_id", "_h")
+    # ties and null ids are spread by the text's hash
+    rows = df.select("doc_id", "text").withColumn("_h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h")
 
     def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, docs, lengths, data, size = TaskContext.get().partitionId(), 0, [], [], [], 0
@@ -248,11 +266,35 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, mode: str = "byte", end_
             yield pa.RecordBatch.from_pylist([_section(part, number, docs, lengths, data, mode)], schema=_DATA)
 
     map_texts(rows.select("doc_id", "text"), sections, _SECTION).write.mode("overwrite").option("compression", "none").parquet(f"{path}/data")
-    meta = spark.read.parquet(f"{path}/data").select("part", "section", "n_docs", "n_ids", "first_doc", "last_doc", F.size("blocks").alias("n_blocks"))
+    meta = spark.read.parquet(f"{path}/data").select("part", "section", "n_docs", "n_ids", "first_doc", "last_doc", "blocks.n", "blocks.bytes")
     per_part = meta.groupBy("part").agg(F.sum("n_ids").alias("_ids"))
     base = per_part.select("part", (F.sum("_ids").over(W.orderBy("part")) - F.col("_ids")).alias("_base"))
     within = F.sum("n_ids").over(W.partitionBy("part").orderBy("section")) - F.col("n_ids")
-    meta.withColumn("_within", within).join(base, "part").withColumn("start", F.col("_base") + F.col("_within")).drop("_base", "_within").write.mode("overwrite").parquet(f"{path}/index")
+    placed = meta.withColumn("_within", within).join(base, "part").withColumn("section_start", F.col("_base") + F.col("_within"))
+    chunks_ = placed.select("part", "section", "section_start", "n_docs", "first_doc", "last_doc", F.posexplode(F.arrays_zip("n", "bytes")).alias("chunk", "x"), "n")
+    before = F.aggregate(F.slice("n", F.lit(1), F.col("chunk")), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    chunks_.select("part", "section", "chunk", "section_start", (F.col("section_start") + before).alias("start"), F.col("x.n").alias("n_ids"), F.col("x.bytes").alias("bytes"), "n_docs", "first_doc", "last_doc").write.mode("overwrite").parquet(f"{path}/index")
+
+
+def read_range(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """(start, ids): the ids at places start to stop (exclusive) of the whole sequence, by chunks.
+
+    The index names the chunks; only their sections are read from ``data`` and only they are expanded.
+    """
+    wanted = spark.read.parquet(f"{path}/index").filter((F.col("start") < stop) & (F.col("start") + F.col("n_ids") > start))
+    wanted = wanted.groupBy("part", "section").agg(F.sort_array(F.collect_list(F.struct("chunk", "start"))).alias("want"))
+    rows = spark.read.parquet(f"{path}/data").select("part", "section", "mode", "blocks").join(wanted, ["part", "section"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for w in row["want"]:
+                    b = row["blocks"][w["chunk"]]
+                    lo, hi = max(0, start - w["start"]), min(b["n"], stop - w["start"])
+                    ids = unpack(b["planes"], b["n"], row["mode"])[lo:hi].astype(np.int64)
+                    yield pa.RecordBatch.from_pydict({"start": pa.array([w["start"] + lo], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64()))})
+
+    return rows.mapInArrow(read, "start bigint, ids array<bigint>")
 
 
 def _decoded(spark: SparkSession, path: str, schema: str, of_ids) -> DataFrame:
@@ -271,7 +313,7 @@ def _decoded(spark: SparkSession, path: str, schema: str, of_ids) -> DataFrame:
                 })
 
     docs = spark.read.parquet(f"{path}/data").mapInArrow(read, f"part int, section int, doc_id bigint, _at bigint, n_tokens bigint, {schema}")
-    index = spark.read.parquet(f"{path}/index").select("part", "section", F.col("start").alias("_start"))
+    index = spark.read.parquet(f"{path}/index").filter("chunk = 0").select("part", "section", F.col("section_start").alias("_start"))
     return docs.join(index, ["part", "section"]).select("doc_id", (F.col("_start") + F.col("_at")).alias("start"), "n_tokens", name)
 
 
