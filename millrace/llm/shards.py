@@ -28,6 +28,7 @@ from millrace.session import table
 SHARDS = 24
 SEED = 20_240_229
 BLOCK_ROWS = 65_536  # rows of a shard permuted in one task, about
+MATRIX_BYTES = 256 << 20  # of the communication matrix, up to which each executor gets it whole
 _EXACT = 10**9  # numpy draws hypergeometric counts exactly below this population
 SPREAD = 12  # standard deviations either side that a larger draw covers
 
@@ -91,6 +92,8 @@ def shuffled(df: DataFrame, shards: int = SHARDS, seed: int = SEED, key: tuple[s
     parts = sorted(counts)
     m = matrix([counts[p] for p in parts], shards, seed)
     ends = spark.createDataFrame(pa.table({"_p": pa.array(parts, pa.int64()), "_ends": pa.array(list(np.cumsum(m, axis=1)), pa.list_(pa.int64()))}))
+    if m.nbytes <= MATRIX_BYTES:  # else a shuffle join: slower, the same result
+        ends = F.broadcast(ends)
     keys = [F.xxhash64(*key, F.lit(seed + i)).alias(name) for i, name in enumerate(("_first", "_again"))]
     local = df.select("*", *keys).sortWithinPartitions("_first").withColumn("_id", F.monotonically_increasing_id())
     local = local.withColumns({"_p": F.shiftright("_id", 33), "_rank": F.col("_id").bitwiseAND(2**33 - 1)})
