@@ -28,7 +28,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again by the next."""
-    space, docs = Workspace(spark, "pipeline"), table(spark, sf_dir, "documents")
+    space, docs, before = Workspace(spark, "pipeline"), table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = space.put(stage(spark, docs, sf_dir), name)
+        with Workspace.scope():
+            docs = space.put(stage(spark, docs, sf_dir), name)
+        space.drop(*before)
+        before = [name]
     return docs
