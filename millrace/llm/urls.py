@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
+from millrace.llm.joins import spread_join
+from millrace.llm.store import Workspace
 from millrace.session import table
 
 #: (action, host, path): a rule holds for the host and its subdomains where the URL's path starts with the rule's.
@@ -89,29 +91,30 @@ def _witten_bell(grams: DataFrame) -> DataFrame:
 
 
 def url_verdicts(df: DataFrame, rules=RULES) -> DataFrame:
-    """``df`` with host, path, rule, verdict and score (nats per character, null without characters)."""
+    """``df`` with host, path, rule, verdict and score (nats per character, null without characters).
+
+    Each distinct URL is written once, and once more with its score; rows without characters, or with a
+    rule, whose verdicts need no score, still get one, so that scores are whole.
+    """
+    space = Workspace(df.sparkSession, "urls")
     host, path = url_host(F.col("url")), url_path(F.col("url"))
     out = df.drop("host", "path", "rule", "verdict", "score").withColumns({"host": host, "path": path})
     name, action = rule_of(F.col("host"), F.col("path"), rules)
     out = out.withColumns({"rule": name, "_action": action})
-    urls = out.filter(F.length("url") > 0).select("url", (F.col("_action") == "allow").alias("label")).distinct()
     fold = F.conv(F.substring(F.md5("url"), 1, 4), 16, 10).cast("int") % HELD_OUT
-    grams = _trigrams(urls.withColumn("train", F.col("label").isNotNull() & (fold != 0)))
-    ratio = _witten_bell(grams)
-    scored = (
-        grams.join(F.broadcast(ratio), "gram")
-        .groupBy("url")
-        .agg(F.first("label").alias("label"), F.first("train").alias("train"), F.floor(F.sum("ratio") / F.count("*") * BINS).alias("bin"))
-    )
-    cut = _threshold(scored)
-    allow = F.lit(True) if cut is None else F.coalesce(F.col("bin") >= cut, F.lit(True))
-    scored = scored.select("url", "bin")
-    return (
-        out.join(scored, "url", "left")
-        .withColumn("verdict", F.coalesce("_action", F.when(allow, "allow").otherwise("block")))
-        .withColumn("score", F.col("bin") / BINS)
-        .drop("_action", "bin")
-    )
+    urls = out.filter(F.length("url") > 0).groupBy("url").agg((F.first("_action") == "allow").alias("label"), F.count("*").alias("weight"))
+    urls = space.put(urls.withColumn("train", F.col("label").isNotNull() & (fold != 0)), "distinct")
+    ratio = space.put(_witten_bell(_trigrams(urls.drop("weight"))), "ratio")
+    scored = _trigrams(urls).join(F.broadcast(ratio), "gram").groupBy("url").agg(
+        F.first("label").alias("label"), F.first("train").alias("train"), F.first("weight").alias("weight"), F.floor(F.sum("ratio") / F.count("*") * BINS).alias("bin")
+    )
+    scored = space.put(scored, "scored")
+    total, cut = scored.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0], _threshold(scored)
+    judged = F.when(F.col("bin") >= cut, "allow").otherwise("block") if cut is not None else F.lit("allow")
+    with_score = spread_join(out.filter(F.length("url") > 0), scored.select("url", "bin", "weight"), "url", total)
+    with_score = with_score.withColumn("verdict", F.coalesce("_action", judged))
+    without = out.filter("coalesce(length(url), 0) = 0").withColumns({"bin": F.lit(None).cast("bigint"), "verdict": F.coalesce("_action", F.lit("allow"))})
+    return with_score.select(*without.columns).unionByName(without).withColumn("score", F.col("bin") / BINS).drop("_action", "bin")
 
 
 def _threshold(scored: DataFrame) -> int | None:
