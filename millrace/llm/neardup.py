@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
+from millrace.llm.joins import spread_join
 from millrace.llm.store import Workspace
 from millrace.llm.text import Words, mix, row_chunks, map_texts
 from millrace.session import table
@@ -379,18 +380,25 @@ def differing(members: DataFrame, rows: int, labels: DataFrame, sets: DataFrame)
     return hit.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
 
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows with comp; a row without shingles gets a component of its own."""
-    own = rows.filter("n > 0").join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    return own.select("doc_id", "th", "n", "comp")
+def classes(rows: DataFrame, labels: DataFrame, space: Workspace, first) -> tuple[DataFrame, int]:
+    """(key, comp, first, weight) of every set, and the rows of all: ``first`` is the least of its component's rows by that column.
+
+    Minima are partial sums of rows, then of sets; a component or set of any size is split.
+    """
+    own = rows.filter("n > 0").groupBy("key").agg(F.count("*").alias("rows"), F.min(first).alias("own"))
+    own = own.join(labels, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    own = space.put(own, "class-rows")
+    firsts = space.put(own.groupBy("comp").agg(F.min("own").alias("first"), F.count("*").alias("weight")), "firsts")
+    sets, total = firsts.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0], own.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return space.put(spread_join(own, firsts, "comp", sets).select("key", "comp", "first", F.col("rows").alias("weight")), "classes"), total
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's set size and the smallest id reachable by links."""
-    rows, labels = components(table(spark, sf_dir, "documents").select("doc_id", "text"), Workspace(spark, "neardup"))
-    own = _labelled(rows, labels)
-    first = own.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    found = own.join(first, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    space = Workspace(spark, "neardup")
+    rows, labels = components(table(spark, sf_dir, "documents").select("doc_id", "text"), space)
+    own, total = classes(rows, labels, space, F.col("doc_id"))
+    found = spread_join(rows.filter("n > 0"), own, "key", total).select("doc_id", F.col("n").alias("n_shingles"), F.col("first").alias("component_id"))
     return found.unionByName(rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
@@ -398,10 +406,10 @@ def deduplicated(df: DataFrame) -> DataFrame:
     """The rows of ``df`` with one row of each component: that of the smallest id (nulls last), then text hash."""
     space = Workspace(df.sparkSession, "neardup")
     rows, labels = components(df.select("doc_id", "text"), space)
-    own = _labelled(rows, labels).groupBy("comp", "doc_id", "th").agg(F.count("*").alias("times"))
-    own = space.put(own, "class-members")
-    first = own.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("f"))
-    marked = own.join(first, "comp").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th")))
+    ranked = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")
+    own, total = classes(rows, labels, space, ranked)
+    marked = spread_join(rows.filter("n > 0"), own, "key", total).groupBy("doc_id", "th").agg(F.first("first").alias("f"), F.count("*").alias("times"))
+    marked = marked.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th")))
     gone = space.put(marked.filter("NOT stays OR times > 1").select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), "stays"), "gone")
     n = gone.count()
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_th"))
