@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, language, mixture, neardup, planes, quality, secrets, shards, text, tokens, urls
+from millrace.llm import decontaminate, joins, language, mixture, neardup, planes, quality, secrets, shards, text, tokens, urls
 from millrace.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -59,6 +59,30 @@ def test_shingles_equal_iff_words_equal():
     assert h[1] == h[2] and h[3] == h[4] and len(set(h.tolist())) == 4
 
 
+def doubled(n):
+    """A word of n letters in which each half is the other with its letters exchanged, and its own exchange."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_built_by_doubling_differ(n):
+    raw = "".join(doubled(n)).encode()
+    h = text.span_hashes(np.frombuffer(raw * 2, dtype=np.uint8), np.arange(4) * n, np.arange(1, 5) * n)
+    assert h[0] != h[1] and h[0] == h[2] and h[1] == h[3]
+
+
+@pytest.mark.parametrize("rows, keys", [(1, 10_000), (1_000, 10_000)])
+def test_spread_join_loses_nothing(spark, monkeypatch, rows, keys):
+    monkeypatch.setattr(joins, "HOT_ROWS", rows)
+    left = spark.range(500).selectExpr("id", "CASE WHEN id < 400 THEN 1 WHEN id % 7 = 0 THEN NULL ELSE id END AS k")
+    right = left.filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("weight")).withColumn("v", F.col("k") * 2)
+    got = sorted(map(tuple, joins.spread_join(left, right, "k", 500).select("id", "k", "v").collect()))
+    assert got == [(i, k, 2 * k) for i, k in ((i, 1 if i < 400 else i) for i in range(500)) if i < 400 or i % 7]
+
+
 # 1
 
 
@@ -140,6 +164,53 @@ def test_quality_separates_labels(spark):
     assert got[got.quality == 0].kept.mean() < 0.1 and got[got.quality == 1].kept.mean() > 0.95
 
 
+def test_constrained_maximum():
+    """The closed form against a search over all chances on a grid."""
+    grid = [(a / 40, b / 40, (40 - a - b) / 40) for a in range(1, 39) for b in range(1, 40 - a)]
+    for good, bad in (((2, 3, 15), (10, 5, 5)), ((10, 2, 8), (5, 3, 12)), ((1, 9, 10), (1, 3, 16)), ((12, 6, 2), (4, 6, 10))):
+        g, b = np.array(good, dtype=float), np.array(bad, dtype=float)
+        value = lambda u, d: (g * np.log(u)).sum() + (b * np.log(d)).sum()
+        up, down = quality.maximised(g, b)
+        assert up.sum() == pytest.approx(1) and down.sum() == pytest.approx(1) and up[2] >= down[2] - 1e-9 and down[0] >= up[0] - 1e-9
+        assert value(up, down) >= max(value(u, d) for u in grid for d in grid if u[2] >= d[2] and d[0] >= u[0]) - 1e-9
+
+
+def test_estimate_equals_em_over_documents():
+    """Patterns with counts give what a fold over single documents gives, and the objective never falls."""
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    chances = {True: (0.05, 0.15, 0.8), False: (0.6, 0.2, 0.2)}
+    votes = [[int(rng.choice(3, p=chances[good])) for _ in quality.RULES] for good in rng.random(400) < 0.8]
+    counts, trace = Counter("".join(map(str, v)) for v in votes), []
+    got = quality.estimate(pd.DataFrame(sorted(counts.items()), columns=["pattern", "n"]), rounds=20, trace=trace).set_index("pattern").posterior
+    assert all(b >= a - 1e-9 for a, b in zip(trace, trace[1:]))
+    post = [1 / (1 + np.exp(2.0 * v.count(0) - 2.0)) for v in votes]
+    for _ in range(20):
+        rates = []
+        for r in range(len(quality.RULES)):
+            own = [[1.0, 1.0, 1.0], [1.0, 1.0, 1.0]]
+            for v, p in zip(votes, post):
+                own[0][v[r]] += p
+                own[1][v[r]] += 1 - p
+            rates.append(quality.maximised(np.array(own[0]), np.array(own[1])))
+        prior = (sum(post) + 1) / (len(post) + 2)
+        for i, v in enumerate(votes):
+            yes, no = prior, 1 - prior
+            for (up, down), x in zip(rates, v):
+                yes, no = yes * up[x], no * down[x]
+            post[i] = yes / (yes + no)
+    assert [got["".join(map(str, v))] for v in votes] == pytest.approx(post)
+
+
+def test_quality_letters_and_long_texts(spark):
+    texts = ["！！ 🙂🙂 ab", "漢字漢字漢字漢字 ไทยไทย", "word " * 300_000, None]
+    df = spark.createDataFrame([(i, t, "x", 0.5, 9) for i, t in enumerate(texts)], "doc_id long, text string, pattern string, posterior double, n_words int")
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert (got[0].n_letters, got[0].word_chars) == (2, 6) and got[1].n_unspaced == got[1].n_letters == 14
+    assert got[2].n_words == got[2].n_repeat_words == 300_000 and got[2].base_failed and got[3].n_words == 0 and got[0].pattern == "x"
+
+
 # 4
 
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -175,6 +246,59 @@ def test_battery_tells_random_from_text(spark):
     assert sum(bool(got[i]) for i in range(40)) >= 38 and not any(got[i] for i in range(40, 40 + len(plain)))
 
 
+@pytest.mark.parametrize("n", [20, 40, 1000, 4000])
+def test_uniform_tokens_are_seldom_rejected(spark, n):
+    rng, rows = np.random.default_rng(n), []
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for kind, own in {"base64": letters + "+/", "base64url": letters + "-_", "hex": "0123456789abcdef", "decimal": "0123456789"}.items():
+        rows += [(kind, "".join(rng.choice(list(own), n))) for _ in range(150)]
+    got = secrets.battery(spark.createDataFrame(rows, "kind string, token string").select("token")).toPandas().set_index("token")
+    assert (got.p_random < secrets.RANDOM_P).mean() < 0.012 and got.p_random.between(0, 1).all()
+    if n >= 1000:
+        assert all(got.encoding[t] == kind for kind, t in rows)
+
+
+def test_battery_equals_its_formulas(spark):
+    """p-values against numpy and the error function."""
+    from math import erfc
+
+    tail = lambda z: erfc(z / 2**0.5) / 2
+    rng = np.random.default_rng(11)
+    tokens_ = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(5)] + ["0123456789abcdef" * 3, "aabbccddeeff00112233445566"]
+    got = {r.token: r for r in secrets.battery(spark.createDataFrame([(t,) for t in tokens_], "token string")).collect()}
+    for t in tokens_:
+        c, n, k = np.array([int(x, 16) for x in t], dtype=float), len(t), 16
+        chi = k / n * sum(x * x for x in Counter(t).values()) - n
+        df = (k - 1) * n / (n - 1)
+        p_chi = tail((np.cbrt(chi / (k - 1)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
+        high = c >= 8
+        two = 2 * high.sum() * (n - high.sum())
+        p_runs = 2 * tail(abs(((high[1:] != high[:-1]).sum() - two / n) / (two * (two - n) / (n * n * (n - 1))) ** 0.5))
+        d = c - c.mean()
+        p_serial = 2 * tail(abs((d[1:] * d[:-1]).sum() / (d * d).sum() + 1 / n) * n * (n - 1) ** 0.5 / (n - 2))
+        assert got[t].encoding == "hex" and got[t].p_random == pytest.approx(min(1, 3 * min(p_chi, p_runs, p_serial)), rel=1e-2, abs=1e-7)
+
+
+def test_step_up_selects_as_a_sorted_list_does(spark):
+    rng = np.random.default_rng(3)
+    p = np.concatenate([10 ** -rng.uniform(4, 9, 30), rng.uniform(0.01, 1, 200)])
+    rows = [(f"t{i}", float(x), float(rng.choice([0.5, 1e-6], p=[0.9, 0.1]))) for i, x in enumerate(p)]
+    upper = lambda x: 10.0 ** (-np.floor(-10 * np.log10(x)) / 10)  # noqa: E731  a bin's upper end stands for p
+    live = sorted((upper(x), t) for t, x, r in rows if r >= secrets.RANDOM_P)
+    best = max((k for k, (x, _) in enumerate(live, 1) if len(rows) * x <= secrets.FDR * sum(y <= x for y, _ in live)), default=0)
+    bound = live[best - 1][0] if best else 0
+    got = {r.token for r in secrets.discoveries(spark.createDataFrame(rows, "token string, p_text double, p_random double")).collect()}
+    assert got == {t for x, t in live if x <= bound} and got
+
+
+def test_spans_of_all_kinds(spark):
+    rng = np.random.default_rng(4)
+    key = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 60))
+    df = spark.createDataFrame([(None, f"é {key} token=abcdefg"), (None, f"é {key} token=abcdefg"), (1, "plain " * 50_000), (2, None)], "doc_id long, text string")
+    got = [(r.doc_id, [(b.kind, b.s, b.e) for b in r.base], [(x.s, x.e, x.token, x.encoding) for x in r.random]) for r in secrets.find_secrets(df).collect()]
+    assert sorted(got, key=str) == sorted([(None, [("assign", 63, 76)], [(2, 62, key, "base64")])] * 2 + [(1, [], []), (2, [], [])], key=str)
+
+
 # 5
 
 
@@ -191,6 +315,40 @@ def test_mixture_meets_targets(spark):
     assert ((g.taken - g.target).abs() <= 0.02 * g.target).all() and g.target.sum() == pytest.approx(a["size"].sum())
 
 
+@pytest.mark.parametrize("part, few", [(1024, 100_000), (3, 0)])
+def test_mixture_follows_tree_and_seed(spark, monkeypatch, part, few):
+    """Another seed takes other documents for the same targets; shards' places are disjoint; without quotas nothing is taken."""
+    monkeypatch.setattr(mixture, "PART_DOCS", part)
+    monkeypatch.setattr(mixture, "BROADCAST_SOURCES", few)
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "source")
+    source = docs.select("doc_id", "source").toPandas()
+    a, b = (mixture.digest(docs, shards, seed).toPandas().merge(source) for shards, seed in ((24, 5), (7, 6)))
+    for x in (a, b):
+        g = x.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("size", "sum"), own=("source_size", "first"))
+        assert ((g.taken - g.target).abs() <= 0.02 * g.target).all() and (g["size"] == g.own).all()
+        sizes = dict(zip(g.index, g["size"]))
+        names = sorted(sizes, key=lambda s: s.encode("utf-32-be"))
+        assert [g.target[s] for s in names] == pytest.approx(mixture.targets([sizes[s] for s in names]))
+    assert (a.sort_values("doc_id").taken.to_numpy() != b.sort_values("doc_id").taken.to_numpy()).mean() > 0.1
+    keyed = mixture._keyed(docs, 5)
+    plan = mixture.Plan(keyed.select("_src", "doc_id", "size", "_u"))
+    where = defaultdict(set)
+    for r in plan.drawn(keyed).select("_src", "_place", "mix_shard").collect():
+        where[r["_src"], r["_place"]].add(r.mix_shard)
+    assert all(len(v) == 1 for v in where.values()) and {s for v in where.values() for s in v} == set(range(24))
+    real = mixture.split_tree
+    monkeypatch.setattr(mixture, "split_tree", lambda q, s, rng: real(q, s, rng) * 0)
+    assert mixture.digest(docs).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_tree_follows_its_law():
+    """A shard's blocks of one source are hypergeometric: mean and variance over many seeds."""
+    q = np.array([30, 70])
+    x = np.array([mixture.split_tree(q, 4, np.random.default_rng(s))[1][0] for s in range(3000)])
+    mean, var = 25 * 0.3, 25 * 0.3 * 0.7 * 75 / 99
+    assert abs(x.mean() - mean) < 5 * (var / 3000) ** 0.5 and abs(x.var() / var - 1) < 0.15
+
+
 def test_mixture_on_odd_rows(odd_docs, no_docs):
     out = mixture.mixed(odd_docs).toPandas()
     assert set(odd_docs.columns) <= set(out.columns) and out.groupby("text").size().max() <= 9 and out.mix_shard.between(0, 23).all()
@@ -245,10 +403,10 @@ def brute_components(rows):
 def joined(df):
     from millrace.llm.store import Workspace
 
-    rows, labels = neardup.components(df.select("doc_id", "text"), Workspace(df.sparkSession, "test"))
-    own = neardup._labelled(rows, labels)
-    first = own.groupBy("comp").agg(F.min("doc_id").alias("c"))
-    got = Counter((r.doc_id, r.n, r.c) for r in own.join(first, "comp").collect())
+    space = Workspace(df.sparkSession, "test")
+    rows, labels = neardup.components(df.select("doc_id", "text"), space)
+    own, _ = neardup.classes(rows, labels, space, F.col("doc_id"))
+    got = Counter((r.doc_id, r.n, r["first"]) for r in rows.filter("n > 0").join(own, "key").collect())
     return got + Counter((r.doc_id, 0, r.doc_id) for r in rows.filter("n = 0").collect())
 
 
@@ -346,13 +504,49 @@ def test_store_on_odd_rows(spark, odd_docs, no_docs, tmp_path):
         assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
     crc = {r.start: r.ids_crc32 for r in planes.read_digests(spark, path).collect()}
     assert all(zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == crc[r.start] for r in got)
+    whole = [i for r in got for i in r.ids]
+    for a, b in ((0, 1), (5, 40), (len(whole) - 3, len(whole) + 9), (0, len(whole))):
+        parts = sorted((r.start, r.ids) for r in planes.read_range(spark, path, a, b).collect())
+        assert [i for _, ids in parts for i in ids] == whole[a:b] and parts[0][0] == a
     planes.write_ids(no_docs, f"{path}0", tok)
     assert planes.read_ids(spark, f"{path}0").count() == 0
 
 
+def test_ranges_cross_chunks_and_sections(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(planes, "BLOCK_IDS", 7)
+    data = [planes._section(0, s, [s], [40], [np.arange(40, dtype="<u4") + 40 * s], "bit") for s in range(3)]
+    assert all([b["n"] for b in d["blocks"]] == [7] * 5 + [5] and all(b["bytes"] == sum(map(len, b["planes"])) for b in d["blocks"]) for d in data)
+
+
+def test_other_tokenizer_files_are_asked_for_whole_texts():
+    import public_tokenizers
+
+    e = planes._encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["Hello  World it's 2 words", "", "a b"]
+    raw = [t.encode() for t in texts]
+    got = e.encode(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    assert not e.by_words and [g.tolist() for g in got] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # 9
 
 
+def test_matrix_follows_its_law():
+    """Chi-squared of a cell's counts over seeds against the hypergeometric law."""
+    from math import comb
+
+    got = Counter(int(shards.matrix([6, 10], 2, s)[0, 0]) for s in range(8000))
+    want = {k: 8000 * comb(8, k) * comb(8, 6 - k) / comb(16, 6) for k in range(7)}
+    assert sum((got[k] - w) ** 2 / w for k, w in want.items()) < 22.5  # 0.1 % of 6 degrees of freedom
+
+
+def test_shards_rerun_and_without_broadcast(docs, monkeypatch):
+    key = lambda df: sorted((r.doc_id, r.shard, r.slot) for r in df.select("doc_id", "shard", "slot").collect())
+    a = key(shards.shuffled(docs))
+    monkeypatch.setattr(shards, "MATRIX_BYTES", 0)
+    assert a == key(shards.shuffled(docs)) and a != key(shards.shuffled(docs, seed=1))
+
+
 @pytest.mark.parametrize("block", [65_536, 2])
 def test_shards_are_exact(odd_docs, no_docs, docs, monkeypatch, block):
     monkeypatch.setattr(shards, "BLOCK_ROWS", block)
@@ -428,6 +622,55 @@ def test_forward_sums_all_segmentations():
         assert got == pytest.approx([np.log(total(0, 0)), np.log(total(0, 1))])
 
 
+def test_long_words_are_scored_whole():
+    """The rescaled pass against the plain one, across its steps, and against exact fractions of a long word."""
+    vocab = language.vocabulary(language.vocabulary_path())
+    logp = np.log(np.random.default_rng(5).dirichlet(np.ones(vocab[2]) * 0.3, 3).T + 1e-9)
+    for word in ("international", "漢字" * 12, "a" * 30):
+        codes = np.array([language.MARK, *map(ord, word)], dtype=np.uint32)
+        assert language.long_score(codes, np.exp(logp), vocab) == pytest.approx(language.word_scores(codes[None, :], logp, vocab)[0])
+    from fractions import Fraction
+
+    codes = np.array([language.MARK, *map(ord, "thewordsofthis" * 9)], dtype=np.uint32)
+    row = {(s, e): r[0] for s, e, r in language._lattice(codes[None, :], vocab) if r[0] >= 0}
+    p, sums = np.exp(logp), [Fraction(1)] + [Fraction(0)] * len(codes)
+    for s, e in sorted(row):
+        sums[e] += sums[s] * Fraction(float(p[row[s, e], 0]))
+    exact = np.log(float(sums[-1] * 10**300)) - 300 * np.log(10)
+    assert language.long_score(codes, p, vocab)[0] == pytest.approx(exact)
+    raw = ("ab" * 6000 + " cd").encode()
+    total, n = language.score_rows(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), logp, vocab)
+    assert n.tolist() == [2] and np.isfinite(total).all()
+
+
+def test_fit_equals_brute_force_em():
+    """One language, one round: expected piece counts over all segmentations of each word."""
+    import pandas as pd
+
+    vocab = language.vocabulary(language.vocabulary_path())
+    words_ = {"the": 3, "then": 1, "über": 2}
+    langs, logp = language._fit(pd.DataFrame([("en", w, c) for w, c in words_.items()], columns=["lang", "word", "count"]), vocab, 1)
+    expected, start = np.full(vocab[2], language.PRIOR), 1 / vocab[2]
+    for w, c in words_.items():
+        codes = np.array([language.MARK, *map(ord, w)], dtype=np.uint32)
+        row = {(s, e): r[0] for s, e, r in language._lattice(codes[None, :], vocab) if r[0] >= 0}
+
+        def cuts(at):
+            return [[]] if at == len(codes) else [[r, *rest] for (s, e), r in row.items() if s == at for rest in cuts(e)]
+
+        ways = cuts(0)
+        total = sum(start ** len(x) for x in ways)
+        for x in ways:
+            for r in x:
+                expected[r] += c * start ** len(x) / total
+    assert langs == ["en"] and np.exp(logp[:, 0]) == pytest.approx(expected / expected.sum())
+
+
+def test_held_out_is_crc32(spark):
+    got = spark.range(200).select("id", language.held_out("id").alias("h")).collect()
+    assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in got)
+
+
 def test_language_accuracy_and_edges(spark, odd_docs, no_docs):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     path = language.vocabulary_path()
