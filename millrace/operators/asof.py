@@ -26,10 +26,11 @@ def interpolate(probes: DataFrame, samples: DataFrame, keys: list[str], ts: str,
     s = samples.select(*keys, F.col(ts).alias("_ts"), F.lit(0).alias("_side"), F.struct(F.col(ts).alias("t"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(place).alias("m")).alias("_v"))
     p = probes.select(*keys, F.col(ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*probes.columns).alias("_p"))
     both = s.unionByName(p, allowMissingColumns=True)
-    w = W.partitionBy(*keys).orderBy("_ts", "_side", "_v")
-    around = both.withColumns({
-        "a": F.last("_v", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "b": F.first("_v", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)),
-    }).filter("_p IS NOT NULL")
+    seen = F.last("_v", ignorenulls=True)
+    there = seen.over(W.partitionBy(*keys).orderBy("_ts", "_side", "_v").rowsBetween(W.unboundedPreceding, 0))
+    # the sample after is the last one seen when the order is turned round: a frame to the end would be read anew for each row
+    back = seen.over(W.partitionBy(*keys).orderBy(F.desc("_ts"), F.desc("_side"), F.desc("_v")).rowsBetween(W.unboundedPreceding, 0))
+    around = both.withColumns({"a": there, "b": back}).filter("_p IS NOT NULL")
     f = (F.col("_ts") - F.col("a.t")) / (F.col("b.t") - F.col("a.t"))
     between = F.col("b").isNotNull() & (F.col("a.m") == F.col("b.m")) & (F.col("b.t") - F.col("a.t") <= max_gap) & (F.col("b.t") > F.col("a.t"))
     at = lambda c: F.when(between, F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * f).otherwise(F.col(f"a.{c}"))

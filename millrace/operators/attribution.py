@@ -85,12 +85,14 @@ def merged_abilities(parts: DataFrame, actor: str, ability: str, spell: str, nam
 def lookback(anchors: DataFrame, rows: DataFrame, keys: list[str], ts: str, order: str, window: int) -> DataFrame:
     """(anchor, row columns): rows of the anchor's key with ts >= anchor - window and order at or before it.
 
-    There is no upper bound on ts: order decides what came before. The running maximum of ts never
-    falls along the order and is at least the row's ts, so rows go to its buckets of ``window`` and
-    an anchor asks those from its window's start to its own maximum (two where ts follows the order).
+    There is no upper bound on ts: order decides what came before. Rows and anchors meet in buckets of
+    time, up to ``window`` after the anchor. Rows so far ahead of a later row's time (strays of a clock)
+    that this could miss them are few; they are joined on the keys alone.
     """
-    top = F.max(ts).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    r = rows.withColumn("_b", F.floor(top / window))
-    a = r.join(anchors.select(order), order, "left_semi").select(*keys, F.col(ts).alias("_at"), F.col(order).alias("anchor"), F.col("_b").alias("_to"))
-    a = a.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_at") - window) / window), F.col("_to")))).drop("_to")
-    return a.join(r, [*keys, "_b"]).filter((F.col(ts) >= F.col("_at") - window) & (F.col(order) <= F.col("anchor"))).drop("_b", "_at")
+    least = F.min(ts).over(W.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, 0))
+    r = rows.withColumn("_stray", F.col(ts) - least > window)
+    a = anchors.select(*keys, F.col(ts).alias("_at"), F.col(order).alias("anchor"))
+    near = a.withColumn("_b", F.explode(F.sequence(F.floor((F.col("_at") - window) / window), F.floor((F.col("_at") + window) / window))))
+    both = near.join(r.filter("NOT _stray").withColumn("_b", F.floor(F.col(ts) / window)), [*keys, "_b"]).drop("_b")
+    both = both.unionByName(a.join(r.filter("_stray"), keys))
+    return both.filter((F.col(ts) >= F.col("_at") - window) & (F.col(order) <= F.col("anchor"))).drop("_at", "_stray")

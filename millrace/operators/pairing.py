@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
-def _near(a: DataFrame, b: DataFrame, keys: list[str], ts: str, before: int, after: int) -> DataFrame:
+def near(a: DataFrame, b: DataFrame, keys: list[str], ts: str, before: int, after: int) -> DataFrame:
     """Rows (a.*, b.*) of equal keys with b.ts in [a.ts - before, a.ts + after], joined on keys and time buckets."""
     width = max(before + after, 1)
     lo, hi = F.floor((F.col(ts) - before) / width), F.floor((F.col(ts) + after) / width)
@@ -23,8 +23,8 @@ def claims(presses: DataFrame, stops: DataFrame, keys: list[str], ts: str, order
 
     Walking the presses in order and giving each all unclaimed stops in reach yields the same claims.
     """
-    near = _near(presses.select(*keys, ts, order), stops.select(*keys, ts, order), keys, ts, slack, reach)
-    return near.groupBy(*(F.col(f"a.{k}").alias(k) for k in keys), F.col(f"b.{order}").alias("stop")).agg(F.min(F.col(f"a.{order}")).alias("press")).select(*keys, "press", "stop")
+    both = near(presses.select(*keys, ts, order), stops.select(*keys, ts, order), keys, ts, slack, reach)
+    return both.groupBy(*(F.col(f"a.{k}").alias(k) for k in keys), F.col(f"b.{order}").alias("stop")).agg(F.min(F.col(f"a.{order}")).alias("press")).select(*keys, "press", "stop")
 
 
 def orphans(stops: DataFrame, claimed: DataFrame, order: str) -> DataFrame:
@@ -34,14 +34,14 @@ def orphans(stops: DataFrame, claimed: DataFrame, order: str) -> DataFrame:
 
 def without_near(rows: DataFrame, others: DataFrame, keys: list[str], ts: str, order: str, within: int) -> DataFrame:
     """Rows with no other row of equal keys within ``within`` on either side."""
-    near = _near(rows.select(*keys, ts, order), others.select(*keys, ts), keys, ts, within, within).select(F.col(f"a.{order}").alias(order)).distinct()
-    return rows.join(near, order, "left_anti")
+    both = near(rows.select(*keys, ts, order), others.select(*keys, ts), keys, ts, within, within).select(F.col(f"a.{order}").alias(order)).distinct()
+    return rows.join(both, order, "left_anti")
 
 
 def latest_before(rows: DataFrame, others: DataFrame, keys: list[str], ts: str, order: str, within: int) -> DataFrame:
     """(order, other): the latest other row of equal keys at most ``within`` before each row that has one."""
-    near = _near(rows.select(*keys, ts, order), others.select(*keys, ts, order), keys, ts, within, 0)
-    return near.groupBy(F.col(f"a.{order}").alias(order)).agg(F.max_by(F.col(f"b.{order}"), F.struct(f"b.{ts}", f"b.{order}")).alias("other"))
+    both = near(rows.select(*keys, ts, order), others.select(*keys, ts, order), keys, ts, within, 0)
+    return both.groupBy(F.col(f"a.{order}").alias(order)).agg(F.max_by(F.col(f"b.{order}"), F.struct(f"b.{ts}", f"b.{order}")).alias("other"))
 
 
 def outcomes(presses: DataFrame, windows: DataFrame, keys: list[str], ts: str, order: str, aim: int, longest: int) -> DataFrame:
@@ -52,12 +52,12 @@ def outcomes(presses: DataFrame, windows: DataFrame, keys: list[str], ts: str, o
     ``aim`` after (``early``), else ``nothing``. Casts last at most ``longest``.
     """
     w = windows.select(*keys, F.col("start").alias(ts), "start", "end", "ended")
-    near = _near(presses.select(*keys, ts, order), w, keys, ts, longest + aim, aim)
+    both = near(presses.select(*keys, ts, order), w, keys, ts, longest + aim, aim)
     t = F.col(f"a.{ts}")
     stage = (
         F.when((t >= F.col("b.start")) & (t <= F.col("b.end")), 1).when((F.col("b.end") < t) & (F.col("b.end") >= t - aim), 2).when((F.col("b.start") > t) & (F.col("b.start") <= t + aim), 3)
     )
-    seen = near.select(F.col(f"a.{order}").alias(order), stage.alias("stage"), F.col("b.ended").alias("ended"), F.col("b.start").alias("start"), F.col("b.end").alias("end")).filter("stage IS NOT NULL")
+    seen = both.select(F.col(f"a.{order}").alias(order), stage.alias("stage"), F.col("b.ended").alias("ended"), F.col("b.start").alias("start"), F.col("b.end").alias("end")).filter("stage IS NOT NULL")
     # a cast that holds the press first (the latest begun), then the one ended last, then the next to start
     rank = F.struct("stage", F.when(F.col("stage") == 1, -F.col("start")).when(F.col("stage") == 2, -F.col("end")).otherwise(F.col("start")))
     best = seen.groupBy(order).agg(F.min_by(F.struct("stage", "ended"), rank).alias("x"))
@@ -87,8 +87,8 @@ def kept_apart(df: DataFrame, keys: list[str], ts: str, order: str, least: int,
     return df.groupBy(*keys).applyInPandas(fold, df.schema)
 
 
-def charge_clock(uses: DataFrame, keys: list[str], ts: str, order: str, recovery: int, charges: int) -> DataFrame:
-    """Each use with ``ready_at``, when a charge is next available after it.
+def charge_clock(uses: DataFrame, keys: list[str], ts: str, order: str, recovery: int | str, charges: int | str) -> DataFrame:
+    """Each use with ``ready_at``, when a charge is next available after it; ``recovery`` and ``charges`` are numbers or columns.
 
     Charges recover one at a time: a recovery starts when the one before is done.
     """
@@ -96,12 +96,14 @@ def charge_clock(uses: DataFrame, keys: list[str], ts: str, order: str, recovery
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
+        wait = int(rows[recovery].iloc[0]) if isinstance(recovery, str) else recovery
+        held = int(rows[charges].iloc[0]) if isinstance(charges, str) else charges
         back: list[int] = []  # times at which spent charges return, ascending
         out = []
         for t in rows[ts]:
             back = [b for b in back if b > t]
-            back.append(max(t, back[-1] if back else t) + recovery)
-            out.append(int(t) if len(back) < charges else int(back[len(back) - charges]))
+            back.append(max(t, back[-1] if back else t) + wait)
+            out.append(int(t) if len(back) < held else int(back[len(back) - held]))
         return rows.assign(ready_at=out)
 
     return uses.groupBy(*keys).applyInPandas(fold, schema)

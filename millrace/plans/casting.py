@@ -1,110 +1,115 @@
-"""Casting: bars, channels and presses rebuilt from a player's cast rows.
+"""Casting: bars, channels and presses as intervals between a player's cast rows.
 
-All look-ups (global cooldown, channel length, longest finish, kicks) are joins; only what is in
-progress at each row is a fold per player. A death is a row of the stream like any other.
+One light fold per player and run labels each row by what it does: it opens a bar, finishes or fails
+the open one, is a press that takes the cooldown, a free press or a proc, or a death. Everything else
+is windows over those labels: a bar or channel reaches to the next label that stops it, and no
+further than it can have lasted. Lengths, the longest finish of a spell and kicks are joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window as W
 
 from millrace.operators import pairing
-from millrace.plans.reports import Context
+from millrace.plans.reports import Context, checked_small
 
 PROC_FRACTION, MAX_BAR_MS, UNCLOSED_BAR_MS, OPEN_CHANNEL_MS, KICK_MS = 0.45, 10_000, 3_000, 8_000, 100
-FOREVER = 2**53
-_WHAT = {
+#: What the log's cast rows tell about the player.
+TOLD = {
     "SPELL_CAST_START": "start", "SPELL_EMPOWER_START": "empower", "SPELL_EMPOWER_END": "let_go", "SPELL_EMPOWER_INTERRUPT": "cut", "SPELL_CAST_FAILED": "failed", "SPELL_AURA_REMOVED": "faded", "SPELL_CAST_SUCCESS": "landed",
 }
-_OUT = "run_id string, actor string, kind string, spell_id long, start long, end long, finished boolean, died boolean"
-
-
-def _rows(ctx: Context, dim: DataFrame) -> DataFrame:
-    """Each member's cast rows, deaths and an end mark, with the abilities' lengths. ``dim``: spell_id, gcd_ms, channel_ms (null: no channel), button."""
-    code = F.create_map(*(F.lit(x) for pair in _WHAT.items() for x in pair))
-    own = ctx.events.join(ctx.party.select("run_id", F.col("guid").alias("src")), ["run_id", "src"], "left_semi").withColumn("what", code[F.col("code")]).filter("what IS NOT NULL")
-    own = own.select("run_id", F.col("src").alias("actor"), "ts", "row", "what", "spell_id").join(F.broadcast(dim), "spell_id", "left").filter("what <> 'faded' OR channel_ms IS NOT NULL")
-    w = W.partitionBy("run_id", "actor").orderBy("row")
-    begun = F.last(F.when(F.col("what") == "start", F.struct("spell_id", "ts")), ignorenulls=True).over(w)
-    took = own.withColumn("_b", begun).filter("what = 'landed' AND _b.spell_id = spell_id").groupBy("run_id", "actor", "spell_id").agg(F.max(F.col("ts") - F.col("_b.ts")).alias("longest"))
-    own = own.join(took, ["run_id", "actor", "spell_id"], "left")
+#: Row that ends a bar of its own spell: (whether the bar is an empowered one, what it then does).
+ENDS = {"landed": (False, "finishes"), "failed": (False, "fails"), "let_go": (True, "finishes"), "cut": (True, "fails")}
+OWNER = ["run_id", "actor"]
+
+
+def cast_rows(ctx: Context, dim: DataFrame) -> DataFrame:
+    """(run_id, actor, ts, row, what, spell_id, gcd_ms, channel_ms, button) of the members' own cast rows and deaths."""
+    told = F.create_map(*(F.lit(x) for pair in TOLD.items() for x in pair))
+    member = ctx.party.select("run_id", F.col("guid").alias("actor"))
+    own = ctx.events.select("run_id", F.col("src").alias("actor"), "ts", "row", told[F.col("code")].alias("what"), "spell_id").filter("what IS NOT NULL")
+    own = own.join(checked_small(dim), "spell_id", "left").filter("what <> 'faded' OR channel_ms IS NOT NULL")
     dead = ctx.events.filter("code = 'UNIT_DIED' AND NOT feigned").select("run_id", F.col("dst").alias("actor"), "ts", "row", F.lit("death").alias("what"))
-    dead = dead.join(own.select("run_id", "actor").distinct(), ["run_id", "actor"], "left_semi")
-    end = own.select("run_id", "actor").distinct().select("run_id", "actor", F.lit(FOREVER).alias("ts"), F.lit(FOREVER).alias("row"), F.lit("end").alias("what"))
-    return own.unionByName(dead, allowMissingColumns=True).unionByName(end, allowMissingColumns=True)
-
-
-def _given(x, other):
-    return other if x is None or x != x else x
-
-
-def _ended(bar: dict, ts: int, row: dict, finished: bool, died: bool = False) -> tuple:
-    """The output row of a bar or channel that ends at ts, no later than it can have lasted."""
-    top = bar["start"] + MAX_BAR_MS if finished and bar["kind"] == "bar" else bar["limit"]
-    end = max(min(ts, top), bar["start"])
-    return (row["run_id"], row["actor"], bar["kind"], bar["spell"], bar["start"], end, finished or bar["kind"] == "channel", died and ts <= top)
-
-
-def _step(now: dict, row: dict) -> tuple[dict, list]:
-    ts, what, spell, out = int(row["ts"]), row["what"], _given(row["spell_id"], 0), []
-    bar, channel = now["bar"], now["channel"]
-    mine = bar is not None and bar["spell"] == spell
-    press = lambda: out.append((row["run_id"], row["actor"], "press", spell, ts, ts, True, False))
-
-    def stop(which: str, at: int, finished: bool = False, died: bool = False) -> None:
-        if now[which]:
-            out.append(_ended(now[which], at, row, finished, died))
-            now[which] = None
-
-    if channel and ts > channel["limit"] and what != "death":
-        stop("channel", channel["limit"])
-    gcd = _given(row["gcd_ms"], 0)
-    if what in ("death", "end"):
-        stop("bar", ts, died=what == "death")
-        stop("channel", ts, died=what == "death")
-    elif what in ("start", "empower"):
-        stop("bar", ts)
-        stop("channel", ts)
-        now["bar"] = {"kind": "bar", "spell": spell, "start": ts, "limit": ts + min(_given(row["longest"], UNCLOSED_BAR_MS), MAX_BAR_MS), "empower": what == "empower"}
-        if gcd:
-            now["gcd"] = (ts, gcd)
-    elif what in ("let_go", "cut") and mine and bar["empower"]:
-        stop("bar", ts, finished=what == "let_go")
-        if what == "let_go":
-            press()
-    elif what == "failed" and mine and not bar["empower"]:
-        stop("bar", ts)
-    elif what == "faded" and now["channel"] and now["channel"]["spell"] == spell:
-        stop("channel", ts)
-    elif what == "landed" and mine:
-        if not bar["empower"]:
-            stop("bar", ts, finished=True)
-            press()
-    elif what == "landed" and not gcd:
-        if _given(row["button"], False):
-            press()
-    elif what == "landed" and ts - now["gcd"][0] >= now["gcd"][1] * PROC_FRACTION:  # sooner is a proc
-        stop("bar", ts)
-        stop("channel", ts)
-        now["gcd"] = (ts, gcd)
-        press()
-        length = _given(row["channel_ms"], None)
-        if length is not None:
-            now["channel"] = {"kind": "channel", "spell": spell, "start": ts, "limit": ts + int(length or OPEN_CHANNEL_MS)}
-    return now, out
+    return own.unionByName(dead, allowMissingColumns=True).join(member, OWNER, "left_semi")
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``effect``: opens, finishes, fails, presses, free, proc, dies or null.
+
+    Which of two presses is the proc depends on what the one before was, so this is a fold; its whole
+    state is the spell whose bar is open and the time up to which another press is a proc.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("effect", T.StringType())])
+    names = schema.fieldNames()
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("row", kind="stable")
+        running, busy, effects = None, float("-inf"), []
+        gcd, button = pd.to_numeric(group["gcd_ms"]).fillna(0), group["button"].eq(True)
+        for ts, what, spell, wait, is_button in zip(group["ts"], group["what"], group["spell_id"], gcd, button, strict=True):
+            empowered, ending = ENDS.get(what, (None, None))
+            effect = None
+            if what in ("start", "empower"):
+                effect, running = "opens", (spell, what == "empower")
+                busy = ts + PROC_FRACTION * wait if wait else busy
+            elif what == "death":
+                effect, running = "dies", None
+            elif ending and running == (spell, empowered):
+                effect, running = ending, None
+            elif what == "landed" and running != (spell, True):  # an empowered spell lands as it begins
+                effect = ("free" if is_button else None) if not wait else "proc" if ts < busy else "presses"
+                if effect == "presses":
+                    running, busy = None, ts + PROC_FRACTION * wait
+            effects.append(effect)
+        return group.assign(effect=effects)[names]
+
+    return rows.groupBy(*OWNER).applyInPandas(fold, schema)
+
+
+def longest_finish(rows: DataFrame) -> DataFrame:
+    """(run_id, actor, spell_id, longest): the longest time from a start to its first landing, no other start between."""
+    begun = F.last(F.when(F.col("what") == "start", F.struct("row", "spell_id", "ts")), ignorenulls=True).over(W.partitionBy(*OWNER).orderBy("row"))
+    landed = rows.withColumn("_b", begun).filter("what = 'landed' AND _b.spell_id = spell_id")
+    first = landed.groupBy(*OWNER, "spell_id", F.col("_b.row").alias("_start")).agg(F.min_by(F.col("ts") - F.col("_b.ts"), "row").alias("took"))
+    return first.groupBy(*OWNER, "spell_id").agg(F.max("took").alias("longest"))
+
+
+def _until(stop: Column, limit: Column) -> Column:
+    """The end of what began at ts, stopped at ``stop`` (or never) and over by ``limit``."""
+    return F.least(F.greatest(F.coalesce(stop, limit), F.col("ts")), limit)
 
 
 def casting(ctx: Context, dim: DataFrame) -> DataFrame:
-    """Bars, channels and presses of every member, with whether an unfinished bar was kicked."""
-    start = lambda: {"bar": None, "channel": None, "gcd": (-FOREVER, 0)}
-    found = pairing.folded(_rows(ctx, dim), ["run_id", "actor"], "row", _step, start, _OUT)
-    kicks = ctx.events.filter("code = 'SPELL_INTERRUPT'").select("run_id", F.col("dst").alias("actor"), "ts", "row")
-    marked = found.withColumn("ts", F.col("end")).withColumn("row", F.struct("actor", "start", "kind", "spell_id"))
-    open_ = marked.filter("kind = 'bar' AND NOT finished").select("run_id", "actor", "ts", "row")
-    free = pairing.without_near(open_, kicks.select("run_id", "actor", "ts"), ["run_id", "actor"], "ts", "row", KICK_MS).select("row", F.lit(True).alias("_free"))
-    out = marked.join(free, "row", "left").withColumn("kicked", (F.col("kind") == "bar") & ~F.col("finished") & F.col("_free").isNull())
-    return out.drop("row", "ts", "_free")
+    """Bars, channels and presses of every member: start, end, finished, died, kicked.
+
+    ``dim`` has spell_id, gcd_ms, channel_ms (null: no channel; 0: of unknown length) and button.
+    """
+    rows = cast_rows(ctx, dim)
+    done = labelled(rows)
+    # the next fading of the same spell, by the order turned round
+    back = W.partitionBy(*OWNER, "spell_id").orderBy(F.desc("row")).rowsBetween(W.unboundedPreceding, -1)
+    done = done.withColumn("_faded", F.last(F.when(F.col("what") == "faded", F.col("ts")), ignorenulls=True).over(back))
+    w = W.partitionBy(*OWNER).orderBy("row")
+    edge = done.filter("effect IN ('opens', 'finishes', 'fails', 'presses', 'dies')").withColumns({"_stop": F.lead("ts").over(w), "_by": F.lead("effect").over(w)})
+    out = lambda kind, end, finished, died: (*OWNER, F.lit(kind).alias("kind"), "spell_id", "row", F.col("ts").alias("start"), end.alias("end"), finished.alias("finished"), died.alias("died"))
+    complete = F.coalesce(F.col("_by") == "finishes", F.lit(False))
+    most = F.when(complete, MAX_BAR_MS).otherwise(F.least(F.coalesce("longest", F.lit(UNCLOSED_BAR_MS)), F.lit(MAX_BAR_MS)))
+    bars = edge.filter("effect = 'opens'").join(longest_finish(rows), [*OWNER, "spell_id"], "left").withColumn("_limit", F.col("ts") + most)
+    dies = F.coalesce((F.col("_by") == "dies") & (F.col("_stop") <= F.col("_limit")), F.lit(False))
+    bars = bars.select(*out("bar", _until(F.col("_stop"), F.col("_limit")), complete, dies))
+    length = F.when(F.col("channel_ms") > 0, F.col("channel_ms")).otherwise(OPEN_CHANNEL_MS)
+    channels = edge.filter("effect = 'presses' AND channel_ms IS NOT NULL").withColumn("_limit", F.col("ts") + length)
+    faded = F.coalesce(F.col("_faded") < F.coalesce("_stop", F.col("_faded") + 1), F.lit(False))
+    channels = channels.select(*out("channel", _until(F.least("_stop", "_faded"), F.col("_limit")), F.lit(True), dies & ~faded))
+    presses = done.filter("effect IN ('finishes', 'presses', 'free')").select(*out("press", F.col("ts"), F.lit(True), F.lit(False)))
+    kicks = ctx.events.filter("code = 'SPELL_INTERRUPT'").select("run_id", F.col("dst").alias("actor"), "ts")
+    broken = bars.filter("NOT finished").select(*OWNER, F.col("end").alias("ts"), "row")
+    unkicked = pairing.without_near(broken, kicks, OWNER, "ts", "row", KICK_MS).select("row", F.lit(False).alias("_kicked"))
+    bars = bars.join(unkicked, "row", "left").withColumn("kicked", ~F.col("finished") & F.coalesce("_kicked", F.lit(True))).drop("_kicked")
+    rest = channels.unionByName(presses).withColumn("kicked", F.lit(False))
+    return bars.unionByName(rest).drop("row")
 
 
 def casting_report(cast: DataFrame) -> DataFrame:

@@ -8,12 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
 from millrace.functions.text import ability_name
-from millrace.operators import asof, attribution, intervals, pairing, sessions
+from millrace.operators import asof, attribution, intervals, pairing, ranking, sessions
 from millrace.plans import runs as run_plan
 from millrace.session import scratch, stored
 from millrace.sources import log
@@ -27,13 +26,26 @@ ACTIVE_GAP_MS, PULL_GAP_MS, BOSS_GRACE_MS, BOSS_HEALTH, HEALTH_FLOOR = 10_000, 5
 SLACK_MS, PAIR_MS, AIM_MS, DUPLICATE_MS, UNENDED_CAST_MS = 100, 1_000, 1_000, 50, 10_000
 CONTROL_PRESS_MS, DISPEL_PRESS_MS, LOOKBACK_MS, SCROLLBACK_MS, THIN_MS = 1_000, 100, 10_000, 30_000, 250
 POSITION_GAP_MS, TELEPORT_YARDS, TELEPORT_SPEED = 2_000, 50.0, 30.0
+SUMMONED_FLAGS, MISS_MS, KNOCKBACK = 0x3000, 200, 0x100
+TANK_SPECS = (250, 581, 104, 268, 66, 73)
 DEFERRED_ABSORBS = (115069,)
 SUPPORT_MS, CARRIER_ROWS, ORPHAN_MS = 2, 8, 100
 
 
+SMALL_ROWS = 500_000  # of a dimension: up to so many are broadcast
+
+
+def checked_small(dim: DataFrame) -> DataFrame:
+    """``dim`` with a broadcast hint if it has few rows (they are counted), as it is otherwise."""
+    return F.broadcast(dim) if dim.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else dim
+
+
 @dataclass
 class Context:
-    """Tables of one set of runs; ``events`` has run_id, ts, src_root, dst_root, src_ours and dst_ours."""
+    """Tables of one set of runs; ``events`` has run_id, ts, src_root, dst_root, src_ours and dst_ours.
+
+    ``row`` orders a file's rows and tells rows apart over all files (see ``log.numbered``).
+    """
 
     events: DataFrame
     runs: DataFrame
@@ -46,16 +58,27 @@ class Context:
 def supported(events: DataFrame) -> DataFrame:
     """Support rows tied to the row they double: plain rows get the supporter, support rows their carrier's spell.
 
-    A support row's twin is the row before (or the one before that, if an absorb stands between):
-    same sides and spell, at most 2 ms earlier, equal amount. Its carrier is the nearest plain row of
-    the same sides among the eight before.
+    A support row's twin is the row before, or the one before that if an absorb that is no twin stands
+    between: same sides and spell, at most 2 ms earlier, equal amount. Its carrier is the nearest plain
+    row of the same sides among the eight before.
     """
     w = W.partitionBy("file_id").orderBy("row")
-    me = F.struct("src", "dst", "spell_id", "wall_ms", "amount", "support", "supporter")
-    e = events.withColumns({"_1": F.lead(me, 1).over(w), "_2": F.lead(me, 2).over(w)})
-    twin = lambda n: F.col(f"{n}.support") & (F.col(f"{n}.src") == F.col("src")) & (F.col(f"{n}.dst") == F.col("dst")) & (F.col(f"{n}.spell_id") == F.col("spell_id")) & (F.col(f"{n}.wall_ms") - F.col("wall_ms") <= SUPPORT_MS) & (F.col(f"{n}.amount") == F.col("amount"))
-    far = twin("_2") & (F.col("amount") == 0)
-    claimed = F.when(~F.col("support") & twin("_1"), F.col("_1.supporter")).when(~F.col("support") & far, F.col("_2.supporter"))
+    same = ("src", "dst", "spell_id", "amount")
+    ahead = F.struct(*same, "wall_ms", "support", "supporter", "code")
+    e = events.withColumns({"_1": F.lead(ahead, 1).over(w), "_2": F.lead(ahead, 2).over(w)})
+
+    def doubles(later: str, ms: Column, fields) -> Column:
+        """Whether the row ``later`` ahead is the support row of one with these fields."""
+        alike = [F.col(f"{later}.{c}") == x for c, x in zip(same, fields, strict=True)]
+        out = F.col(f"{later}.support") & (F.col(f"{later}.wall_ms") - ms <= SUPPORT_MS)
+        for x in alike:
+            out = out & x
+        return F.coalesce(out, F.lit(False))
+
+    near = doubles("_1", F.col("wall_ms"), [F.col(c) for c in same])
+    between = (F.col("_1.code") == "SPELL_ABSORBED") & ~doubles("_2", F.col("_1.wall_ms"), [F.col(f"_1.{c}") for c in same])
+    far = between & doubles("_2", F.col("wall_ms"), [F.col(c) for c in same]) & (F.col("amount") == 0)
+    claimed = F.when(~F.col("support") & near, F.col("_1.supporter")).when(~F.col("support") & far, F.col("_2.supporter"))
     plain = F.last(F.when(~F.col("support"), F.struct("src", "dst", "wall_ms", "spell_id")), ignorenulls=True).over(w.rowsBetween(-CARRIER_ROWS, -1))
     e = e.withColumns({"_claimed": claimed, "_c": plain})
     carrier = F.col("support") & (F.col("_c.src") == F.col("src")) & (F.col("_c.dst") == F.col("dst")) & (F.col("wall_ms") - F.col("_c.wall_ms") <= SUPPORT_MS)
@@ -71,12 +94,13 @@ def with_orphan_sources(events: DataFrame) -> DataFrame:
     return events.join(who, "row", "left").withColumn("src", F.coalesce("src", "_src")).drop("_src")
 
 
-def open_log(spark: SparkSession, lines: DataFrame, assumed_year: int = 2024, folder: str | None = None) -> Context:
-    """Lines to the tables of their runs. Each stage is written below ``folder`` once, as the reports read it many times."""
+def open_log(spark: SparkSession, lines: DataFrame, assumed_year: int = 2024, folder: str | None = None, raids: bool = True) -> Context:
+    """Lines to the tables of their runs, with or without raid pulls. Each stage is written below ``folder`` once, as the reports read it many times."""
     at = folder or scratch(spark)
-    t = stored(log.tokens(lines, assumed_year), at, "tokens")
-    control, decoded = stored(log.controls(t), at, "controls"), stored(supported(log.decode(t)), at, "decoded")
-    run = stored(run_plan.runs(control, t.groupBy("file_id").agg(F.max("wall_ms").alias("wall_ms"))), at, "runs")
+    t = stored(log.tokens(log.numbered(lines), assumed_year), at, "tokens")
+    control, decoded = stored(log.controls(t), at, "controls"), stored(supported(with_orphan_sources(log.decode(t))), at, "decoded")
+    run = run_plan.runs(control, t.groupBy("file_id").agg(F.max("wall_ms").alias("wall_ms")))
+    run = stored(run if raids else run.filter("kind <> 'raid'"), at, "runs")
     actor = stored(log.actors(decoded), at, "actors")
     root = stored(log.owners(decoded, actor), at, "roots")
     member = stored(run_plan.party(control, run), at, "party")
@@ -88,6 +112,13 @@ def open_log(spark: SparkSession, lines: DataFrame, assumed_year: int = 2024, fo
     return Context(stored(e, at, "events"), run, member, actor, stored(log.spells(decoded), at, "spells"), control)
 
 
+def elapsed(ctx: Context) -> DataFrame:
+    """(run_id, ms): the time that rates refer to: the run's length, else its last event's time, else the log's timer, else 0."""
+    last = ctx.events.groupBy("run_id").agg(F.max("ts").alias("_last"))
+    ms = F.coalesce(F.col("end_ms") - F.col("start_ms"), F.col("_last"), F.col("total_ms"), F.lit(0)).cast("long")
+    return ctx.runs.join(last, "run_id", "left").select("run_id", ms.alias("ms"))
+
+
 def _in(codes: tuple) -> Column:
     return F.col("code").isin(*codes)
 
@@ -129,14 +160,31 @@ def segments(ctx: Context, gap: int = PULL_GAP_MS, grace: int = BOSS_GRACE_MS) -
     return out, of
 
 
-def roster(of: DataFrame) -> DataFrame:
-    """Enemies of a segment pooled by creature id (else name): spawns, kills and health, the weightiest first, with the segment's label."""
+def summoned(ctx: Context) -> DataFrame:
+    """(file_id, enemy) of units that were summoned by any sign: a summon of them, their kind, their last flags, an owner."""
+    by_row = ctx.events.filter("code IN ('SPELL_SUMMON', 'SPELL_CREATE') AND dst IS NOT NULL").select("file_id", F.col("dst").alias("enemy"))
+    by_kind = ctx.actors.filter((F.col("kind") == "Pet") | (F.col("flags").bitwiseAND(SUMMONED_FLAGS) != 0)).select("file_id", F.col("guid").alias("enemy"))
+    owned = ctx.events.filter("subject IS NOT NULL AND owner IS NOT NULL").select("file_id", F.col("subject").alias("enemy"))
+    return by_row.unionByName(by_kind).unionByName(owned).distinct()
+
+
+def roster(of: DataFrame, summons: DataFrame | None = None, run: DataFrame | None = None) -> DataFrame:
+    """Enemies of a segment pooled by creature id (else name): spawns, kills and health, the weightiest first, with the segment's label.
+
+    With ``summons`` (and ``run``, for the runs' files) summoned creatures come last and name no segment
+    unless there is nothing else; they still count in the label's "+n".
+    """
+    if summons is not None:
+        of = of.join(run.select("run_id", "file_id"), "run_id").join(summons.withColumn("_summon", F.lit(True)), ["file_id", "enemy"], "left").drop("file_id")
+    else:
+        of = of.withColumn("_summon", F.lit(None).cast("boolean"))
     key = F.coalesce(F.concat(F.lit("#"), F.col("npc_id").cast("string")), F.concat(F.lit("@"), F.col("name")))
-    g = of.groupBy("run_id", "segment", key.alias("creature")).agg(F.first("name").alias("name"), F.count("*").alias("spawns"), F.count_if("defeated").alias("killed"), F.max("peak").alias("max_hp"))
+    g = of.groupBy("run_id", "segment", key.alias("creature")).agg(F.first("name").alias("name"), F.count("*").alias("spawns"), F.count_if("defeated").alias("killed"), F.max("peak").alias("max_hp"), F.coalesce(F.bool_or("_summon"), F.lit(False)).alias("summon"))
     weight = F.col("spawns") * F.greatest(F.coalesce("max_hp", F.lit(1)), F.lit(1))
-    place = F.row_number().over(W.partitionBy("run_id", "segment").orderBy(F.desc(weight), F.desc("spawns"), "name"))
-    kinds = F.count("*").over(W.partitionBy("run_id", "segment"))
-    label = F.concat("name", F.when(F.col("spawns") > 1, F.concat(F.lit(" ×"), F.col("spawns").cast("string"))).otherwise(""), F.when(kinds > 1, F.concat(F.lit(" +"), (kinds - 1).cast("string"))).otherwise(""))
+    w = W.partitionBy("run_id", "segment")
+    place = F.row_number().over(w.orderBy("summon", F.desc(weight), F.desc("spawns"), "name"))
+    others = F.sum("spawns").over(w) - F.col("spawns")
+    label = F.concat("name", F.when(F.col("spawns") > 1, F.concat(F.lit(" ×"), F.col("spawns").cast("string"))).otherwise(""), F.when(others > 0, F.concat(F.lit(" +"), others.cast("string"))).otherwise(""))
     return g.withColumns({"place": place, "label": F.when(place == 1, label)})
 
 
@@ -144,12 +192,30 @@ def forces(roster_: DataFrame, table_: DataFrame, run: DataFrame) -> DataFrame:
     """Progress per run: value times kills by creature, as a part of the mode's total. ``table_`` has mode_id, npc_id, value, total.
 
     A creature that the table lacks counts nothing; without a table for the mode the result is null.
+    ``incomplete``: the run succeeded and its kills fall short all the same.
     """
     totals = table_.groupBy("mode_id").agg(F.max("total").alias("total"))
-    kills = roster_.withColumn("npc_id", F.regexp_extract("creature", r"^#(\d+)", 1).try_cast("long")).join(run.select("run_id", "mode_id"), "run_id")
+    kills = roster_.withColumn("npc_id", F.regexp_extract("creature", r"^#(\d+)", 1).try_cast("long")).join(run.select("run_id", "mode_id", "success"), "run_id")
     worth = kills.join(table_.select("mode_id", "npc_id", "value"), ["mode_id", "npc_id"], "left")
-    g = worth.groupBy("run_id", "mode_id").agg(F.sum(F.coalesce("value", F.lit(0)) * F.col("killed")).alias("count"))
-    return g.join(totals, "mode_id", "left").select("run_id", F.when(F.col("total").isNotNull(), F.col("count")).alias("count"), "total", F.when(F.col("total") > 0, F.col("count") / F.col("total")).alias("fraction"))
+    g = worth.groupBy("run_id", "mode_id").agg(F.sum(F.coalesce("value", F.lit(0)) * F.col("killed")).alias("count"), F.first("success").alias("success"))
+    short = F.coalesce(F.col("success") & (F.col("total") > 0) & (F.col("count") < F.col("total")), F.lit(False))
+    return g.join(totals, "mode_id", "left").select("run_id", F.when(F.col("total").isNotNull(), F.col("count")).alias("count"), "total", F.when(F.col("total") > 0, F.col("count") / F.col("total")).alias("fraction"), short.alias("incomplete"))
+
+
+def with_segment(rows: DataFrame, parts: tuple[DataFrame, DataFrame], enemy: Column | None = None, at: str = "ts", width: int = 60_000) -> DataFrame:
+    """``rows`` (run_id, row, ``at``) with the segment of their enemy, else the one at their time, else null. ``parts`` is what ``segments`` returns."""
+    spans, of = parts
+    out = rows.withColumn("_enemy", F.lit(None).cast("string") if enemy is None else enemy)
+    side = of.select("run_id", F.col("enemy").alias("_enemy"), F.col("segment").alias("_side"))
+    out = out.join(side, ["run_id", "_enemy"], "left").drop("_enemy")
+    bounds = spans.filter("start IS NOT NULL AND end IS NOT NULL").select("run_id", "segment", "start", "end", "boss")
+    timed = intervals.segment_at(out, bounds, ["run_id"], at, width)
+    return timed.withColumn("segment", F.coalesce("_side", "segment")).drop("_side")
+
+
+def in_segment(rows: DataFrame, segment: str | None) -> DataFrame:
+    """A report's rows of one segment, or all: every summary is a function of such rows, so that it counts anew."""
+    return rows if segment is None else rows.filter(F.col("segment") == segment)
 
 
 def _credited(e: DataFrame) -> DataFrame:
@@ -176,9 +242,17 @@ def counted_rows(ctx: Context, direction: str) -> DataFrame:
     return rows.withColumns({"gross": F.col("amount"), "lost": waste, "value": attribution.effective(F.col("amount"), waste), "spell_id": F.coalesce("spell_id", F.lit(0))})
 
 
-def breakdown(ctx: Context, direction: str = "done") -> DataFrame:
-    """Per run, actor and spell: totals, hits, rates over the run's elapsed time and the share."""
+def breakdown(ctx: Context, direction: str = "done", segment: tuple | None = None, credit: bool = True) -> DataFrame:
+    """Per run, actor and spell: totals, hits, rates over the run's elapsed time and the share.
+
+    What supporters added to others' hits is moved to them (``done``, unless ``credit`` is false).
+    ``segment`` is (segments, name): only rows of that segment's enemies.
+    """
     rows = counted_rows(ctx, direction)
+    if segment:
+        (_, of), name = segment
+        own = of.filter(F.col("segment") == name).select("run_id", F.col("enemy").alias("_e"))
+        rows = rows.join(own, (rows["run_id"] == own["run_id"]) & ((rows["dst"] == own["_e"]) | (rows["src"] == own["_e"])), "left_semi")
     g = rows.groupBy("run_id", "actor", "spell_id").agg(
         F.sum("value").alias("total"), F.sum("gross").alias("raw"), F.sum(F.greatest("lost", F.lit(0))).alias("wasted"), F.count("*").alias("hits"), F.count_if("crit").alias("crits"),
         F.sum(F.when(F.col("crit"), F.col("value")).otherwise(0)).alias("crit_total"), F.max("value").alias("biggest"), F.count_if(F.col("code").contains("PERIODIC")).alias("ticks"),
@@ -191,10 +265,12 @@ def breakdown(ctx: Context, direction: str = "done") -> DataFrame:
     if direction != "taken":
         g = g.join(casts, ["run_id", "actor", "spell_id"], "left")
     g = g.join(misses, ["run_id", "actor", "spell_id"], "left")
-    elapsed = ctx.runs.select("run_id", ((F.col("end_ms") - F.col("start_ms")) / 1000).alias("seconds"))
+    if credit and direction == "done":
+        g = with_credit(ctx, g)
+    lasted = elapsed(ctx).select("run_id", (F.col("ms") / 1000).alias("seconds"))
     all_ = F.sum(F.greatest("total", F.lit(0))).over(W.partitionBy("run_id"))
-    named = g.join(elapsed, "run_id").withColumns({"per_second": F.when(F.col("seconds") > 0, F.col("total") / F.col("seconds")).otherwise(0.0), "share": F.when(all_ > 0, F.col("total") / all_).otherwise(0.0)}).drop("seconds")
-    first = ctx.spells.groupBy("spell_id").agg(F.min("spell").alias("spell"))
+    named = g.join(lasted, "run_id").withColumns({"per_second": F.when(F.col("seconds") > 0, F.col("total") / F.col("seconds")).otherwise(0.0), "share": F.when(all_ > 0, F.col("total") / all_).otherwise(0.0)}).drop("seconds")
+    first = ctx.spells.groupBy("spell_id").agg(F.min_by("spell", "first_row").alias("spell"))
     return named.join(first, "spell_id", "left").withColumn("spell", F.when(F.col("spell_id") == 0, "Melee").otherwise(F.coalesce("spell", F.concat(F.lit("Spell "), F.col("spell_id").cast("string")))))
 
 
@@ -208,12 +284,61 @@ def active_time(ctx: Context, direction: str = "done") -> DataFrame:
     return sessions.active_time(counted_rows(ctx, direction), ["run_id", "actor"], "ts", "row", ACTIVE_GAP_MS)
 
 
+def support_rows(ctx: Context) -> DataFrame:
+    """Support rows of damage by the party, each with its dealer and the spell that carried it."""
+    rows = ctx.events.filter(F.col("support") & F.col("src_ours") & ~F.col("dst_ours") & F.col("supporter").isNotNull() & (_in(DAMAGE_CODES) | (F.col("code") == "SWING_DAMAGE_LANDED")))
+    return rows.withColumns({"dealer": F.col("src_root"), "carrier": F.coalesce("extra_spell_id", F.lit(0)), "net": attribution.effective(F.col("amount"), F.coalesce("waste", F.lit(-1)))})
+
+
 def support_transfer(ctx: Context) -> DataFrame:
     """What supporters take from the dealers' carrier rows, in order of first sight, up to what each holds."""
-    rows = _credited(ctx.events).filter(F.col("support") & F.col("src_ours") & F.col("supporter").isNotNull() & (_in(DAMAGE_CODES) | (F.col("code") == "SWING_DAMAGE_LANDED")))
-    want = rows.groupBy("run_id", F.col("src_root").alias("dealer"), F.coalesce("extra_spell_id", F.lit(0)).alias("carrier"), "supporter", "spell_id").agg(F.sum(attribution.effective(F.col("amount"), F.coalesce("waste", F.lit(-1)))).alias("net"), F.min("row").alias("first"))
-    caps = counted_rows(ctx, "done").groupBy("run_id", F.col("src_root").alias("dealer"), F.col("spell_id").alias("carrier")).agg(F.sum("value").alias("cap"))
-    return attribution.capped_transfer(want, caps, ["run_id", "dealer", "carrier"], ["first"], "net", "cap")
+    crit = F.when(F.col("crit"), F.col("net")).otherwise(0)
+    want = support_rows(ctx).groupBy("run_id", "dealer", "carrier", "supporter", "spell_id").agg(
+        F.sum("net").alias("net"), F.sum("amount").alias("raw"), F.count("*").alias("hits"), F.count_if("crit").alias("crits"), F.sum(crit).alias("crit_total"), F.count_if(F.col("code").contains("PERIODIC")).alias("ticks"),
+        F.max("net").alias("biggest"), F.min("row").alias("first"),
+    )
+    held = counted_rows(ctx, "done").groupBy("run_id", F.col("actor").alias("dealer"), F.col("spell_id").alias("carrier")).agg(F.sum("value").alias("cap"))
+    return attribution.capped_transfer(want, held, ["run_id", "dealer", "carrier"], ["first"], "net", "cap").filter("moved > 0")
+
+
+def support_given(ctx: Context) -> DataFrame:
+    """(run_id, actor, given, received): support by and for each member, whether or not it could be moved."""
+    rows = support_rows(ctx)
+    given = rows.groupBy("run_id", F.col("supporter").alias("actor")).agg(F.sum("net").alias("given"))
+    got = rows.groupBy("run_id", F.col("dealer").alias("actor")).agg(F.sum("net").alias("received"))
+    return given.join(got, ["run_id", "actor"], "full").na.fill(0.0, ["given", "received"])
+
+
+def with_credit(ctx: Context, parts: DataFrame) -> DataFrame:
+    """A breakdown of damage done in which the moved support is the supporters'. Its sum stays; amounts move by their share, counts do not leave the dealer."""
+    moved = support_transfer(ctx).withColumn("_share", F.col("moved") / F.col("net"))
+    at = ["run_id", "actor", "spell_id"]
+    out = moved.groupBy("run_id", F.col("dealer").alias("actor"), F.col("carrier").alias("spell_id")).agg(F.sum("moved").alias("_net"), F.sum(F.col("raw") * F.col("_share")).alias("_raw"))
+    less = parts.join(out, at, "left").withColumns({"total": F.col("total") - F.coalesce("_net", F.lit(0)), "raw": F.col("raw") - F.coalesce("_raw", F.lit(0))}).drop("_net", "_raw")
+    gain = moved.groupBy("run_id", F.col("supporter").alias("actor"), "spell_id").agg(
+        F.sum("moved").alias("total"), F.sum(F.col("raw") * F.col("_share")).alias("raw"), F.sum("hits").alias("hits"), F.sum("crits").alias("crits"),
+        F.sum(F.col("crit_total") * F.col("_share")).alias("crit_total"), F.max("biggest").alias("biggest"), F.sum("ticks").alias("ticks"),
+    )
+    both = less.unionByName(gain, allowMissingColumns=True)
+    rest = [c for c in less.columns if c not in at]
+    return both.groupBy(*at).agg(*((F.max(c) if c == "biggest" else F.sum(c)).alias(c) for c in rest))
+
+
+def rates(parts: DataFrame, uptime: DataFrame | None = None) -> DataFrame:
+    """A breakdown with averages per cast and hit, shares of crits and misses and, given ``uptime`` (run_id, actor, spell_id, up, seconds), of time."""
+    over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    out = parts.withColumns({"per_hit": over("total", "hits"), "crit_share": over("crits", "hits"), "miss_share": F.when(F.col("misses") + F.col("hits") > 0, F.col("misses") / (F.col("misses") + F.col("hits")))})
+    out = out.withColumn("per_cast", over("total", "casts")) if "casts" in parts.columns else out
+    if uptime is None:
+        return out
+    share = F.when(F.col("_s") > 0, F.col("up") / 1000 / F.col("_s"))
+    return out.join(uptime.select("run_id", "actor", "spell_id", "up", F.col("seconds").alias("_s")), ["run_id", "actor", "spell_id"], "left").withColumn("up_share", share).drop("_s")
+
+
+def top_sources(ctx: Context) -> DataFrame:
+    """(run_id, actor, spell_id, source, total): who dealt most of each spell's damage taken, the earliest on ties."""
+    rows = counted_rows(ctx, "taken").groupBy("run_id", "actor", "spell_id", F.col("src_root").alias("source")).agg(F.sum("value").alias("total"), F.min("row").alias("first"))
+    return rows.groupBy("run_id", "actor", "spell_id").agg(F.max_by(F.struct("source", "total"), F.struct("total", -F.col("first"))).alias("top")).select("run_id", "actor", "spell_id", "top.source", "top.total")
 
 
 def aura_uptime(ctx: Context) -> DataFrame:
@@ -237,17 +362,37 @@ def aura_spans(ctx: Context) -> DataFrame:
     return intervals.union_spans(edges, ["run_id", "wearer", "spell_id"], "ts", "row", F.col("_end"))
 
 
+def without_inert(spans: DataFrame, ctx: Context, inert: DataFrame) -> DataFrame:
+    """Aura spans less listed inert debuffs (spell_id) that wearers mostly gave themselves."""
+    put = ctx.events.filter(_in(AURA_UP) & ~F.coalesce("buff", F.lit(False))).groupBy("run_id", F.col("dst").alias("wearer"), "spell_id", F.col("src_root").alias("by")).agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    most = put.groupBy("run_id", "wearer", "spell_id").agg(F.max_by("by", F.struct("n", -F.col("first"))).alias("by")).filter("by = wearer")
+    return spans.join(most.join(inert.select("spell_id").distinct(), "spell_id", "left_semi"), ["run_id", "wearer", "spell_id"], "left_anti")
+
+
+def auras_in(spans: DataFrame, ctx: Context, lo: int, hi: int) -> DataFrame:
+    """(run_id, wearer, aura, up, times): states of one name pooled, cut to [lo, hi] and merged."""
+    names = ctx.spells.groupBy("spell_id").agg(F.min_by("spell", "first_row").alias("aura"))
+    named = spans.join(names, "spell_id", "left").withColumn("aura", F.coalesce("aura", F.concat(F.lit("Spell "), F.col("spell_id").cast("string"))))
+    cut = intervals.clip(named.select("run_id", "wearer", "aura", "start", "end"), F.lit(lo), F.lit(hi))
+    return intervals.merge_spans(cut, ["run_id", "wearer", "aura"]).groupBy("run_id", "wearer", "aura").agg(F.sum(F.col("end") - F.col("start")).alias("up"), F.count("*").alias("times"))
+
+
 def interrupts(ctx: Context, interrupt_ids: DataFrame) -> DataFrame:
     """Every attempt to stop a cast with its outcome. ``interrupt_ids`` has spell_id."""
-    presses = ctx.events.filter("code = 'SPELL_CAST_SUCCESS' AND src_ours").join(F.broadcast(interrupt_ids), "spell_id", "left_semi").select("run_id", F.col("src_root").alias("actor"), F.col("dst").alias("target"), "spell_id", "ts", "row")
+    presses = ctx.events.filter("code = 'SPELL_CAST_SUCCESS' AND src_ours").join(checked_small(interrupt_ids), "spell_id", "left_semi").select("run_id", F.col("src_root").alias("actor"), F.col("dst").alias("target"), "spell_id", "ts", "row")
     presses = pairing.kept_apart(presses, ["run_id", "actor", "target"], "ts", "row", DUPLICATE_MS + 1)
     stops = ctx.events.filter("code = 'SPELL_INTERRUPT' AND src_ours").select("run_id", F.col("src_root").alias("actor"), F.col("dst").alias("target"), "spell_id", "ts", "row", "extra_spell_id")
     claimed = pairing.claims(presses, stops, ["run_id", "actor"], "ts", "row", SLACK_MS, PAIR_MS)
     hits = claimed.groupBy(F.col("press").alias("row")).agg(F.count("*").alias("stopped"))
-    orphan = pairing.orphans(stops, claimed, "row").select("run_id", "actor", "target", "spell_id", "ts", "row", F.lit("interrupted").alias("outcome"), F.lit(1).cast("long").alias("stopped"))
+    orphan = pairing.orphans(stops, claimed, "row").select("run_id", "actor", "target", "spell_id", "ts", "row", F.lit("interrupted").alias("outcome"), F.lit(1).cast("long").alias("stopped"), F.col("extra_spell_id").alias("stopped_spell"))
     judged = pairing.outcomes(presses, cast_windows(ctx), ["run_id", "target"], "ts", "row", AIM_MS, UNENDED_CAST_MS)
-    out = presses.join(hits, "row", "left").join(judged, "row", "left")
-    out = out.select("run_id", "actor", "target", "spell_id", "ts", "row", F.when(F.col("stopped") > 0, "interrupted").otherwise(F.col("outcome")).alias("outcome"), F.coalesce("stopped", F.lit(0)).alias("stopped"))
+    # a blow that was avoided: the player's own miss near the press, whatever spell id it was logged under
+    avoided = ctx.events.filter(_in(log.MISS) & F.col("src_ours")).join(checked_small(interrupt_ids), "spell_id", "left_semi").select("run_id", F.col("src_root").alias("actor"), "ts")
+    landed = pairing.without_near(presses, avoided, ["run_id", "actor"], "ts", "row", MISS_MS).select("row", F.lit(True).alias("_landed"))
+    out = presses.join(hits, "row", "left").join(judged, "row", "left").join(landed, "row", "left")
+    outcome = F.when(F.col("stopped") > 0, "interrupted").when(F.col("_landed").isNull(), "missed").otherwise(F.col("outcome"))
+    first = claimed.join(stops.select(F.col("row").alias("stop"), "extra_spell_id"), "stop").groupBy(F.col("press").alias("row")).agg(F.min_by("extra_spell_id", "stop").alias("stopped_spell"))
+    out = out.join(first, "row", "left").select("run_id", "actor", "target", "spell_id", "ts", "row", outcome.alias("outcome"), F.coalesce("stopped", F.lit(0)).alias("stopped"), "stopped_spell")
     return out.unionByName(orphan)
 
 
@@ -272,13 +417,22 @@ def interrupt_summary(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("run_id", "actor").agg(F.count("*").alias("casts"), F.sum("stopped").alias("stops"), *(F.count_if(F.col("outcome") == k).alias(k) for k in kinds))
 
 
+def stopped_spells(ctx: Context) -> DataFrame:
+    """(run_id, spell_id, stops, actors, target): each stopped spell with how often, by how many members, and on whom most."""
+    rows = ctx.events.filter("code = 'SPELL_INTERRUPT' AND src_ours").select("run_id", F.col("extra_spell_id").alias("spell_id"), F.col("src_root").alias("actor"), "dst", "row")
+    most = ranking.dominant(rows, ["run_id", "spell_id"], "dst", "row", "target").drop("votes")
+    return rows.groupBy("run_id", "spell_id").agg(F.count("*").alias("stops"), F.countDistinct("actor").alias("actors")).join(most, ["run_id", "spell_id"])
+
+
 def crowd_control(ctx: Context, kinds: DataFrame, press_ms: int = CONTROL_PRESS_MS) -> DataFrame:
     """Controls on enemies with duration and press. ``kinds`` has spell_id and mask.
 
     A control ends at the next refresh, removal, break or death on its target; one never seen ending
-    is bounded by the longest of its spell.
+    is bounded by the longest of its spell. A spell that only knocks back has no length: its hits and
+    states are grouped into presses, and each target of a press counts once.
     """
-    e = ctx.events.join(F.broadcast(kinds), "spell_id")
+    every = ctx.events.join(checked_small(kinds), "spell_id")
+    e = every.filter(F.col("mask") != KNOCKBACK)
     on = e.filter("code IN ('SPELL_AURA_APPLIED', 'SPELL_AURA_REFRESH') AND NOT coalesce(buff, false) AND src_ours AND NOT dst_ours").select("run_id", "dst", "spell_id", F.col("src_root").alias("actor"), "mask", "ts", "row", F.lit("on").alias("what"))
     off = e.filter(_in(AURA_DOWN)).select("run_id", "dst", "spell_id", "ts", "row", F.when(F.col("code").startswith("SPELL_AURA_BROKEN"), "broken").otherwise("removed").alias("what"))
     dead = ctx.events.filter("code IN ('UNIT_DIED', 'UNIT_DESTROYED')").select("run_id", "dst", "ts", "row")
@@ -286,56 +440,102 @@ def crowd_control(ctx: Context, kinds: DataFrame, press_ms: int = CONTROL_PRESS_
     edges = on.unionByName(off, allowMissingColumns=True).unionByName(dead, allowMissingColumns=True)
     w = W.partitionBy("run_id", "dst", "spell_id").orderBy("row")
     spans = edges.withColumns({"_ts": F.lead("ts").over(w), "_what": F.lead("what").over(w)}).filter("what = 'on'").withColumn("ms", F.col("_ts") - F.col("ts"))
-    longest = spans.groupBy("spell_id").agg(F.max("ms").alias("_longest"))
+    longest = spans.groupBy("run_id", "spell_id").agg(F.max("ms").alias("_longest"))
     last = ctx.events.groupBy("run_id").agg(F.max("ts").alias("_last"))
-    spans = spans.join(longest, "spell_id", "left").join(last, "run_id")
+    spans = spans.join(longest, ["run_id", "spell_id"], "left").join(last, "run_id")
     ms = F.coalesce("ms", F.when(F.col("_longest").isNotNull(), F.least(F.col("_last"), F.col("ts") + F.col("_longest")) - F.col("ts")), F.lit(0))
     ended = F.when(F.col("_what") == "on", "refreshed").otherwise(F.coalesce("_what", F.lit("open")))
     out = spans.select("run_id", "actor", "dst", "spell_id", "mask", "ts", "row", ms.alias("ms"), ended.alias("ended"))
-    return sessions.press_groups(out, ["run_id", "actor", "spell_id"], "ts", "row", press_ms)
+    out = sessions.press_groups(out, ["run_id", "actor", "spell_id"], "ts", "row", press_ms)
+    blow = (F.col("code").isin("SPELL_AURA_APPLIED", "SPELL_AURA_REFRESH") & ~F.coalesce("buff", F.lit(False))) | (F.col("code") == "SPELL_DAMAGE")
+    thrown = every.filter((F.col("mask") == KNOCKBACK) & blow & F.col("src_ours") & ~F.col("dst_ours")).select("run_id", F.col("src_root").alias("actor"), "dst", "spell_id", "mask", "ts", "row")
+    thrown = sessions.press_groups(thrown, ["run_id", "actor", "spell_id"], "ts", "row", press_ms)
+    once = F.row_number().over(W.partitionBy("run_id", "press", "dst").orderBy("row"))
+    thrown = thrown.withColumn("_n", once).filter("_n = 1").drop("_n").withColumns({"ms": F.lit(0).cast("long"), "ended": F.lit("knocked")})
+    return out.unionByName(thrown)
 
 
 def control_summary(cc: DataFrame) -> DataFrame:
     return cc.groupBy("run_id", "actor").agg(F.countDistinct("press").alias("casts"), F.count("*").alias("targets"), F.sum("ms").alias("ms"), F.count_if(F.col("ended") == "broken").alias("broken"), F.bit_or("mask").alias("kinds"))
 
 
-def dispels(ctx: Context, enrages: DataFrame, press_ms: int = DISPEL_PRESS_MS) -> DataFrame:
-    """Dispels by the party as purge, soothe or cleanse, grouped into presses. ``enrages`` has spell_id."""
-    rows = ctx.events.filter("code IN ('SPELL_DISPEL', 'SPELL_STOLEN') AND src_ours").join(F.broadcast(enrages.select(F.col("spell_id").alias("extra_spell_id"), F.lit(True).alias("_enrage"))), "extra_spell_id", "left")
-    kind = F.when(F.col("buff") & ~F.col("dst_ours"), F.when(F.col("_enrage"), "soothe").otherwise("purge")).when(~F.col("buff") & F.col("dst_ours"), "cleanse")
-    out = rows.select("run_id", F.col("src_root").alias("actor"), "dst", "spell_id", "extra_spell_id", "extra_spell", "ts", "row", kind.alias("kind")).filter("kind IS NOT NULL")
-    return sessions.press_groups(out, ["run_id", "actor", "spell_id"], "ts", "row", press_ms)
-
+def dispels(ctx: Context, enrages: DataFrame, press_ms: int = DISPEL_PRESS_MS, parts: tuple | None = None, bleeds: DataFrame | None = None) -> DataFrame:
+    """Dispels by the party as purge, soothe or cleanse, grouped into presses. ``enrages`` and ``bleeds`` have spell_id.
 
-def avoidable(ctx: Context, dim: DataFrame, burst_ms: int = 50) -> DataFrame:
-    """Hits of listed abilities on players, unless the victim's own state came off just before. ``dim`` has spell_id and unless (a state's spell or null)."""
-    hits = ctx.events.filter(_in(DAMAGE_CODES) & F.col("dst_ours") & ~F.col("src_ours") & (F.col("dst") == F.col("dst_root"))).join(F.broadcast(dim), "spell_id")
-    off = ctx.events.filter(_in(AURA_DOWN)).select("run_id", "dst", F.col("spell_id").alias("unless"), "ts").withColumn("off", F.col("ts"))
-    excused = asof.asof_last(hits.filter("unless IS NOT NULL").select("run_id", "dst", "unless", "ts", "row"), off, ["run_id", "dst", "unless"], "ts", ["off"]).filter(F.col("ts") - F.col("off") <= burst_ms).select("row")
-    return hits.join(excused, "row", "left_anti").select("run_id", F.col("dst").alias("actor"), "spell_id", "ts", "row", "amount", (F.coalesce("waste", F.lit(-1)) > 0).alias("fatal"))
+    A debuff taken off an enemy of a segment (given ``parts``, what ``segments`` returns) is no cleanse;
+    off any other ally it is. With ``parts`` rows get their segment: by the enemy, a cleanse by its time.
+    """
+    marks = checked_small(enrages.select(F.col("spell_id").alias("extra_spell_id"), F.lit(True).alias("_enrage")))
+    rows = ctx.events.filter("code IN ('SPELL_DISPEL', 'SPELL_STOLEN') AND src_ours AND dst IS NOT NULL").join(marks, "extra_spell_id", "left")
+    foe = F.lit(False)
+    if parts:
+        rows = rows.join(parts[1].select("run_id", F.col("enemy").alias("dst"), F.lit(True).alias("_foe")), ["run_id", "dst"], "left")
+        foe = F.coalesce("_foe", F.lit(False))
+    if bleeds is not None:
+        rows = rows.join(checked_small(bleeds.select(F.col("spell_id").alias("extra_spell_id"), F.lit(True).alias("_bleed"))), "extra_spell_id", "left")
+    kind = F.when(F.col("buff"), F.when(~F.col("dst_ours"), F.when(F.col("_enrage"), "soothe").otherwise("purge"))).when(F.col("dst_ours") | ~foe, "cleanse")
+    bleed = F.coalesce(F.col("_bleed"), F.lit(False)) if bleeds is not None else F.lit(False)
+    out = rows.select("run_id", F.col("src_root").alias("actor"), "dst", "spell_id", "extra_spell_id", "extra_spell", "ts", "row", kind.alias("kind"), bleed.alias("_bleeds"), (F.col("code") == "SPELL_STOLEN").alias("stolen")).filter("kind IS NOT NULL")
+    out = out.withColumn("bleed", F.col("_bleeds") & (F.col("kind") == "cleanse")).drop("_bleeds")
+    out = sessions.press_groups(out, ["run_id", "actor", "spell_id"], "ts", "row", press_ms)
+    return with_segment(out, parts, F.when(F.col("kind") != "cleanse", F.col("dst"))) if parts else out
+
+
+def dispel_summary(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(per member and spell: casts, removed, kinds; per kind and name of the state: removed, by how many)."""
+    own = rows.groupBy("run_id", "actor", "spell_id").agg(F.countDistinct("press").alias("casts"), F.count("*").alias("removed"), *(F.count_if(F.col("kind") == k).alias(f"{k}s") for k in ("purge", "soothe", "cleanse")), F.count_if("stolen").alias("stolen"))
+    states = rows.groupBy("run_id", "kind", "extra_spell").agg(F.count("*").alias("removed"), F.countDistinct("actor").alias("actors"))
+    return own, states
+
+
+def _just_off(rows: DataFrame, ctx: Context, aura: str, ms: int) -> DataFrame:
+    """The ``row`` of rows (run_id, dst, ts, row, ``aura``) whose victim lost that state in the ``ms`` before, by order of rows."""
+    off = ctx.events.filter("code = 'SPELL_AURA_REMOVED'").select("run_id", "dst", F.col("spell_id").alias(aura), "row", F.col("ts").alias("off"))
+    seen = asof.asof_last(rows.select("run_id", "dst", aura, "row", F.col("ts").alias("hit")), off, ["run_id", "dst", aura], "row", ["off"])
+    return seen.filter(F.col("hit") - F.col("off") <= ms).select("row")
 
 
-def deaths(ctx: Context) -> DataFrame:
-    """Deaths of party members with what reached them in the ten seconds before and the last blow.
+def avoidable(ctx: Context, dim: DataFrame, burst_ms: int = 50) -> DataFrame:
+    """Hits of listed abilities on players, with what excuses them taken out.
 
-    Feigned deaths do not count; a player's deaths are numbered, and deadAtOnce counts members down.
+    ``dim`` has spell_id and, each optional: unless (a state of the victim's own that came off just
+    before), unless_marked (a state that the victim has, or just had), after_cast, after_aura, after_from
+    and after_ms (the hit's state, or the hit's spell's, last went on so long after that enemy cast began),
+    tank (tanks take it), covered (marked in the result).
     """
-    e = ctx.events
-    died = e.filter("code = 'UNIT_DIED' AND NOT feigned").join(ctx.party.select("run_id", F.col("guid").alias("dst")), ["run_id", "dst"], "left_semi").select("run_id", "dst", "ts", "row")
-    raised = e.filter("code = 'SPELL_RESURRECT'").select("run_id", "dst", "ts", "row", F.lit(-1).alias("d"))
-    tally = died.withColumn("d", F.lit(1)).unionByName(raised)
-    state = tally.withColumn("_prev", F.coalesce(F.lag("d").over(W.partitionBy("run_id", "dst").orderBy("row")), F.lit(-1))).filter("d <> _prev")
-    down = state.withColumn("dead_at_once", F.sum("d").over(W.partitionBy("run_id").orderBy("row"))).select("run_id", "row", "dead_at_once")
-    w = W.partitionBy("run_id", "dst").orderBy("row")
-    died = died.join(down, ["run_id", "row"], "left").withColumns({"nth": F.row_number().over(w), "since": F.col("ts") - F.lag("ts").over(w)})
-    near = attribution.lookback(died, e.filter(F.col("dst").isNotNull() & ~F.col("support")), ["run_id", "dst"], "ts", "row", LOOKBACK_MS)
-    hit, soak = _in((*DAMAGE_CODES, "ENVIRONMENTAL_DAMAGE")), (F.col("code") == "SPELL_ABSORBED") & ~F.coalesce(F.col("extra_spell_id").isin(*DEFERRED_ABSORBS), F.lit(False))
-    blow = F.struct("row", "src", "spell_id", "amount", "waste")
-    got = near.groupBy("anchor").agg(
-        F.sum(F.when(hit, F.col("amount"))).alias("taken"), F.sum(F.when(_in(log.HEAL), attribution.effective(F.col("amount"), F.coalesce("waste", F.lit(-1))))).alias("healed"), F.sum(F.when(soak, F.col("amount"))).alias("soaked"),
-        F.max_by(blow, F.when(hit, F.struct((F.coalesce("waste", F.lit(-1)) > 0).alias("o"), "row"))).alias("blow"),
-    )
-    return died.join(got, died["row"] == got["anchor"], "left").drop("anchor")
+    types = {"unless": "long", "unless_marked": "long", "after_cast": "long", "after_aura": "long", "after_from": "long", "after_ms": "long", "tank": "boolean", "covered": "boolean"}
+    rules = dim.select("spell_id", *((F.col(c) if c in dim.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()))
+    hits = ctx.events.filter(_in(DAMAGE_CODES) & F.col("dst_ours") & ~F.col("src_ours") & (F.col("dst") == F.col("dst_root"))).join(checked_small(rules), "spell_id")
+    spec = ctx.party.select("run_id", F.col("guid").alias("dst"), "spec_id")
+    hits = hits.join(spec, ["run_id", "dst"], "left").filter(~(F.coalesce("tank", F.lit(False)) & F.coalesce(F.col("spec_id").isin(*TANK_SPECS), F.lit(False))))
+    own = _just_off(hits.filter("unless IS NOT NULL"), ctx, "unless", burst_ms)
+    marked = hits.filter("unless_marked IS NOT NULL")
+    states = ctx.events.filter(F.col("code").isin("SPELL_AURA_APPLIED", "SPELL_AURA_APPLIED_DOSE", "SPELL_AURA_REFRESH", "SPELL_AURA_REMOVED")).select("run_id", "dst", F.col("spell_id").alias("unless_marked"), "row", (F.col("code") != "SPELL_AURA_REMOVED").alias("has"))
+    has = asof.asof_last(marked.select("run_id", "dst", "unless_marked", "row"), states, ["run_id", "dst", "unless_marked"], "row", ["has"]).filter("has").select("row")
+    lost = _just_off(marked, ctx, "unless_marked", burst_ms)
+    part_of = _part_of_mechanic(ctx, rules, hits)
+    excused = own.unionByName(has).unionByName(lost).unionByName(part_of).distinct()
+    return hits.join(excused, "row", "left_anti").select("run_id", F.col("dst").alias("actor"), "spell_id", "ts", "row", "amount", (F.coalesce("waste", F.lit(-1)) > 0).alias("fatal"), F.coalesce("covered", F.lit(False)).alias("covered"))
+
+
+def _part_of_mechanic(ctx: Context, rules: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows of hits whose state last went on within the rule's time of the enemy cast: two as-of look-ups, by order of rows."""
+    watched = rules.filter("after_cast IS NOT NULL").select(F.coalesce("after_aura", "spell_id").alias("aura"), "after_cast", F.coalesce("after_from", F.lit(0)).alias("after_from"), "after_ms").distinct()
+    on = ctx.events.filter(F.col("code").isin("SPELL_AURA_APPLIED", "SPELL_AURA_APPLIED_DOSE", "SPELL_AURA_REFRESH")).select("run_id", "dst", F.col("spell_id").alias("aura"), "row", F.col("ts").alias("on"))
+    on = on.join(checked_small(watched), "aura")
+    begun = ctx.events.filter("code = 'SPELL_CAST_START'").select("run_id", F.col("spell_id").alias("after_cast"), "row", F.col("ts").alias("cast"))
+    since = asof.asof_last(on, begun, ["run_id", "after_cast"], "row", ["cast"])
+    since = since.withColumn("ok", F.coalesce((F.col("on") - F.col("cast") >= F.col("after_from")) & (F.col("on") - F.col("cast") <= F.col("after_ms")), F.lit(False)))
+    asked = hits.filter("after_cast IS NOT NULL").select("run_id", "dst", F.coalesce("after_aura", "spell_id").alias("aura"), "row")
+    return asof.asof_last(asked, since.select("run_id", "dst", "aura", "row", "ok"), ["run_id", "dst", "aura"], "row", ["ok"]).filter("ok").select("row")
+
+
+def avoidable_summary(ctx: Context, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(per member: hits, amount, fatal; per ability name: hits, amount, members hit)."""
+    names = ctx.spells.groupBy("spell_id").agg(F.min_by("spell", "first_row").alias("ability"))
+    named = hits.join(names, "spell_id", "left").withColumn("ability", F.coalesce("ability", F.concat(F.lit("Spell "), F.col("spell_id").cast("string"))))
+    own = hits.groupBy("run_id", "actor").agg(F.count("*").alias("hits"), F.sum("amount").alias("amount"), F.count_if("fatal").alias("fatal"))
+    return own, named.groupBy("run_id", "ability").agg(F.count("*").alias("hits"), F.sum("amount").alias("amount"), F.countDistinct("actor").alias("actors"))
 
 
 def position_tracks(ctx: Context, least: int = THIN_MS) -> DataFrame:
@@ -355,31 +555,20 @@ def distance(tracks: DataFrame) -> DataFrame:
 
 def readiness(ctx: Context, clocks: DataFrame) -> DataFrame:
     """Uses of timed abilities with the time at which each is ready again. ``clocks`` has spell_id, recovery_ms and charges."""
-    uses = ctx.events.filter("code = 'SPELL_CAST_SUCCESS' AND src_ours AND src = src_root").join(F.broadcast(clocks), "spell_id").select("run_id", F.col("src").alias("actor"), "spell_id", "ts", "row", "recovery_ms", "charges")
-    parts = [pairing.charge_clock(uses.filter((F.col("recovery_ms") == r) & (F.col("charges") == c)), ["run_id", "actor", "spell_id"], "ts", "row", r, c) for r, c in {(x["recovery_ms"], x["charges"]) for x in clocks.select("recovery_ms", "charges").distinct().collect()}]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    uses = ctx.events.filter("code = 'SPELL_CAST_SUCCESS' AND src_ours AND src = src_root").join(checked_small(clocks.select("spell_id", "recovery_ms", "charges")), "spell_id")
+    uses = uses.select("run_id", F.col("src").alias("actor"), "spell_id", "ts", "row", "recovery_ms", "charges")
+    return pairing.charge_clock(uses, ["run_id", "actor", "spell_id"], "ts", "row", "recovery_ms", "charges")
 
 
 def summary(ctx: Context) -> DataFrame:
     """Damage, healing and deaths per member of each run."""
     total = lambda d, name: breakdown(ctx, d).groupBy("run_id", F.col("actor").alias("guid")).agg(F.sum("total").alias(name))
-    dead = deaths(ctx).groupBy("run_id", F.col("dst").alias("guid")).agg(F.count("*").alias("deaths"))
+    dead = ctx.events.filter("code = 'UNIT_DIED' AND NOT feigned").groupBy("run_id", F.col("dst").alias("guid")).agg(F.count("*").alias("deaths"))
     out = ctx.party.select("run_id", "guid", "place").join(total("done", "damage"), ["run_id", "guid"], "left").join(total("healing", "healing"), ["run_id", "guid"], "left").join(dead, ["run_id", "guid"], "left")
     return out.na.fill(0, ["damage", "healing", "deaths"])
 
 
-def share_lines(totals: DataFrame, value: str, limit: int = 10, width: int = 255) -> DataFrame:
-    """The ranked top members of a run as lines of text of bounded width."""
-    from millrace.functions.text import percent, short_name, short_number
-
-    w = W.partitionBy("run_id")
-    t = totals.withColumns({"_r": F.row_number().over(w.orderBy(F.desc(value), "guid")), "_all": F.sum(value).over(w)}).filter(F.col("_r") <= limit)
-    line = F.concat(F.col("_r").cast("string"), F.lit(". "), short_name(F.col("name")), F.lit(" "), short_number(F.col(value)), F.lit(" ("), percent(F.col(value) / F.col("_all"), 0), F.lit(")"))
-    return t.select("run_id", F.col("_r").alias("place"), F.substring(line, 1, width).alias("line"))
-
-
-def as_pandas(**frames: DataFrame) -> dict[str, pd.DataFrame]:
-    return {k: f.toPandas() for k, f in frames.items()}
+def swing_check(ctx: Context) -> DataFrame:
+    """(run_id, actor, swings, landed): melee by the attacker's rows against the victims' rows."""
+    rows = ctx.events.filter("code IN ('SWING_DAMAGE', 'SWING_DAMAGE_LANDED') AND src_ours AND NOT support")
+    return rows.groupBy("run_id", F.col("src_root").alias("actor")).agg(F.count_if(F.col("code") == "SWING_DAMAGE").alias("swings"), F.count_if(F.col("code") == "SWING_DAMAGE_LANDED").alias("landed"))

@@ -99,10 +99,20 @@ def in_runs(events: DataFrame, run: DataFrame) -> DataFrame:
     return held.withColumns({"run_id": F.col("_run.run_id"), "ts": F.col("wall_ms") - F.col("_run.start_ms")}).drop("_e", "_run")
 
 
-def before_pulls(events: DataFrame, run: DataFrame) -> DataFrame:
-    """Events of the thirty seconds before each raid pull that are in no run, at negative ts."""
+def _in_raid_zone(events: DataFrame, control: DataFrame) -> DataFrame:
+    """Events whose last change of zone was into a raid."""
+    zones = control.filter("name = 'ZONE_CHANGE'").select("file_id", "row", F.col("difficulty").isin(*RAID_DIFFICULTIES).alias("_raid"))
+    both = events.withColumn("_e", F.lit(True)).unionByName(zones, allowMissingColumns=True)
+    here = F.last("_raid", ignorenulls=True).over(W.partitionBy("file_id").orderBy("row").rowsBetween(W.unboundedPreceding, 0))
+    return both.withColumn("_raid", here).filter("_e AND _raid").drop("_e", "_raid")
+
+
+def before_pulls(events: DataFrame, run: DataFrame, control: DataFrame | None = None) -> DataFrame:
+    """Events of the thirty seconds before each raid pull that are in no run and, given ``control``, in a raid's zone, at negative ts."""
     pulls = run.filter("kind = 'raid'").select("file_id", "run_id", "start_row", "start_ms")
     idle = events.join(in_runs(events, run).select("file_id", "row"), ["file_id", "row"], "left_anti")
+    if control is not None:
+        idle = _in_raid_zone(idle, control)
     near = idle.withColumn("_b", F.floor(F.col("wall_ms") / PRE_PULL_MS)).join(pulls.withColumn("_b", F.explode(F.array(F.floor(F.col("start_ms") / PRE_PULL_MS), F.floor(F.col("start_ms") / PRE_PULL_MS) - 1))), ["file_id", "_b"])
     return near.filter((F.col("row") < F.col("start_row")) & (F.col("wall_ms") >= F.col("start_ms") - PRE_PULL_MS)).withColumn("ts", F.col("wall_ms") - F.col("start_ms")).drop("_b", "start_row", "start_ms")
 

@@ -22,12 +22,15 @@ GUID = r"^(?:Player|Creature|Pet|Vehicle|GameObject|Vignette|Item|Corpse|BattleP
 #: Event codes by the suffix that their lines carry.
 DAMAGE = ("SPELL_DAMAGE", "SPELL_PERIODIC_DAMAGE", "SPELL_BUILDING_DAMAGE", "RANGE_DAMAGE", "SWING_DAMAGE", "SWING_DAMAGE_LANDED", "DAMAGE_SHIELD", "DAMAGE_SPLIT", "ENVIRONMENTAL_DAMAGE")
 HEAL = ("SPELL_HEAL", "SPELL_PERIODIC_HEAL")
+ENERGIZE = ("SPELL_ENERGIZE", "SPELL_PERIODIC_ENERGIZE")
+ENVIRONMENT = ("DROWNING", "FALLING", "FATIGUE", "FIRE", "LAVA", "SLIME")  # fixed values, numbered from 1
 MISS = ("SWING_MISSED", "RANGE_MISSED", "SPELL_MISSED", "SPELL_PERIODIC_MISSED", "DAMAGE_SHIELD_MISSED")
 AURA = ("SPELL_AURA_APPLIED", "SPELL_AURA_REFRESH", "SPELL_AURA_APPLIED_DOSE", "SPELL_AURA_REMOVED_DOSE", "SPELL_AURA_REMOVED", "SPELL_AURA_BROKEN")
 EXTRA = ("SPELL_INTERRUPT", "SPELL_DISPEL", "SPELL_STOLEN", "SPELL_AURA_BROKEN_SPELL")
 CONTROL = ("COMBAT_LOG_VERSION", "CHALLENGE_MODE_START", "CHALLENGE_MODE_END", "ENCOUNTER_START", "ENCOUNTER_END", "ZONE_CHANGE", "MAP_CHANGE", "COMBATANT_INFO")
 AVOIDED = ("ABSORB", "BLOCK", "DEFLECT", "DODGE", "EVADE", "IMMUNE", "MISS", "PARRY", "REFLECT", "RESIST")
 PLAYER_CONTROLLED = 0x100
+FILE_BITS = 40  # rows of a file
 
 
 def discover(root: str, name: str = "Logs", pattern: str = "*.txt") -> list[str]:
@@ -54,7 +57,7 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     raw = raw.select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("_block"), F.regexp_replace("value", "\r$", "").alias("line"), F.monotonically_increasing_id().alias("_n"))
     blocks = raw.groupBy("file_id", "_block").agg(F.count("*").alias("_lines"), F.min("_n").alias("_first"))
     base = F.sum("_lines").over(W.partitionBy("file_id").orderBy("_block")) - F.col("_lines")
-    out = raw.join(F.broadcast(blocks.withColumn("_base", base)), ["file_id", "_block"])
+    out = raw.join(blocks.withColumn("_base", base), ["file_id", "_block"])
     return out.select("file_id", (F.col("_base") + F.col("_n") - F.col("_first") + 1).alias("row"), "line").filter("line <> ''")
 
 
@@ -63,6 +66,16 @@ def rows_from_lines(spark: SparkSession, lines: list[str], file_id: str = "memor
     return spark.createDataFrame([(file_id, i + 1, x) for i, x in enumerate(lines) if x], "file_id string, row long, line string")
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """Lines with ``row`` unique over all files: the file's place in the order of names, from 0, in the bits above 40.
+
+    A single file's rows stay as they are, and rows of a file keep their order. The list of files is small.
+    """
+    files = lines.select("file_id").distinct()
+    place = (F.row_number().over(W.orderBy("file_id")) - 1).cast("long")
+    return lines.join(files.withColumn("_file", place), "file_id").withColumn("row", F.shiftleft("_file", FILE_BITS) + F.col("row")).drop("_file")
+
+
 def tokens(lines: DataFrame, assumed_year: int = 2024) -> DataFrame:
     """(file_id, row, wall_ms, offset_min, name, f): stamp, event name and fields. Lines without a good stamp are left out."""
     head = r"^(\S+ \S+)  ([A-Z_0-9]+)(?:,(?s)(.*))?$"
@@ -111,19 +124,20 @@ def decode(t: DataFrame) -> DataFrame:
     guid = lambda c: F.when((c != NIL_GUID) & (c != "nil") & (c != ""), c)
     is_ = lambda *names: code.isin(*names)
     dmg, heal, miss, aura, extra, soak = is_(*DAMAGE), is_(*HEAL), is_(*MISS), is_(*AURA), is_(*EXTRA), is_("SPELL_ABSORBED")
-    waste = F.when(dmg, field_int(_at(at + slot))).when(heal, field_int(_at(at + slot)))
+    drain, power_ = is_("SPELL_HEAL_ABSORBED"), is_(*ENERGIZE)  # an absorbed heal ends as an absorb does, without the last flag
+    waste = F.when(dmg, field_int(_at(at + slot))).when(heal, field_int(_at(at + slot))).when(power_, field_int(_at(at + 1)))
     aura_type = F.when(aura, _at(at)).when(extra, _at(at + 3))
     power = field_int(tail(9))
     mana = F.when((power == 0) & (field_int(tail(7)) > 0), F.greatest(F.lit(0), F.least(F.lit(100), F.floor(100 * field_int(tail(8)) / field_int(tail(7)) + 0.5))))
     return t.select(
         "file_id", "row", "wall_ms", "code", "support", guid(_at(0)).alias("src"), field_text(_at(1)).alias("src_name"), field_hex(_at(2)).alias("src_flags"), guid(_at(4)).alias("dst"), field_text(_at(5)).alias("dst_name"), field_hex(_at(6)).alias("dst_flags"),
         F.when(F.col("prefix") == 3, field_int(_at(BASE))).otherwise(0).alias("spell_id"), F.when(F.col("prefix") == 3, field_text(_at(BASE + 1))).alias("spell"),
-        F.when(extra, field_int(_at(at))).when(soak, field_int(end(6))).alias("extra_spell_id"), F.when(extra, field_text(_at(at + 1))).when(soak, field_text(end(5))).alias("extra_spell"),
-        F.when(dmg | heal, field_float(_at(at))).when(soak, field_float(end(3))).when(miss, field_float(_at(at + 2))).alias("amount"), waste.alias("waste"),
+        F.when(extra, field_int(_at(at))).when(soak, field_int(end(6))).when(drain, field_int(end(4))).alias("extra_spell_id"), F.when(extra, field_text(_at(at + 1))).when(soak, field_text(end(5))).when(drain, field_text(end(3))).alias("extra_spell"),
+        F.when(dmg | heal, field_float(_at(at))).when(soak, field_float(end(3))).when(drain, field_float(end(1))).when(power_, field_float(_at(at))).when(miss, field_float(_at(at + 2))).alias("amount"), waste.alias("waste"),
         F.when(dmg, field_int(_at(at + slot + 4))).when(heal, field_int(_at(at + slot + 1))).alias("absorbed"),
         F.coalesce(F.when(dmg, field_bool(_at(at + slot + 5))).when(heal, field_bool(_at(at + slot + 2))).when(soak, field_bool(end(1))), F.lit(False)).alias("crit"),
-        (aura_type == "BUFF").alias("buff"), F.when(miss, _at(at)).alias("miss"), F.when(miss, _at(at).isin(*AVOIDED)).alias("avoided"), F.when(soak, guid(end(10))).alias("caster"), F.when(soak, field_text(end(9))).alias("caster_name"),
-        F.when(code == "ENVIRONMENTAL_DAMAGE", _at(at - 1)).alias("environment"), F.when(code == "UNIT_DIED", F.coalesce(field_bool(_at(BASE)), F.lit(False))).alias("feigned"),
+        (aura_type == "BUFF").alias("buff"), F.when(miss, _at(at)).alias("miss"), F.when(miss, _at(at).isin(*AVOIDED)).alias("avoided"), F.when(soak, guid(end(10))).when(drain, guid(end(8))).alias("caster"), F.when(soak, field_text(end(9))).when(drain, field_text(end(7))).alias("caster_name"),
+        F.when(code == "ENVIRONMENTAL_DAMAGE", _at(at - 1)).alias("environment"), F.when(code == "ENVIRONMENTAL_DAMAGE", F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ENVIRONMENT)), F.upper(_at(at - 1))), F.lit(0)), F.lit(0))).cast("int").alias("environment_kind"), F.when(code == "UNIT_DIED", F.coalesce(field_bool(_at(BASE)), F.lit(False))).alias("feigned"),
         F.when(F.col("support"), guid(_at(F.size("f") - 1))).alias("supporter"), guid(head(0)).alias("subject"), guid(head(1)).alias("owner"), field_int(head(2)).alias("hp"), field_int(head(3)).alias("hp_max"),
         field_float(tail(5)).alias("x"), field_float(tail(4)).alias("y"), field_int(tail(3)).alias("map"), mana.alias("mana"),
     )
@@ -179,11 +193,21 @@ def owners(events: DataFrame, actor: DataFrame, hops: int = 4) -> DataFrame:
 
 
 def spells(events: DataFrame) -> DataFrame:
-    """(file_id, spell_id, spell): the first name seen of each spell."""
+    """(file_id, spell_id, spell, first_row): the first name seen of each spell."""
     named = events.filter("spell IS NOT NULL AND spell <> '' AND spell_id <> 0")
-    return named.groupBy("file_id", "spell_id").agg(F.min_by("spell", "row").alias("spell"))
+    return named.groupBy("file_id", "spell_id").agg(F.min_by("spell", "row").alias("spell"), F.min("row").alias("first_row"))
+
+
+#: Names that this decoder reads.
+KNOWN = (*DAMAGE, *HEAL, *ENERGIZE, *MISS, *AURA, *EXTRA, *CONTROL, "SPELL_ABSORBED", "SPELL_HEAL_ABSORBED", "SPELL_CAST_START", "SPELL_CAST_SUCCESS", "SPELL_CAST_FAILED", "SPELL_SUMMON", "SPELL_CREATE", "SPELL_RESURRECT", "UNIT_DIED", "UNIT_DESTROYED", "PARTY_KILL", "SPELL_EMPOWER_START", "SPELL_EMPOWER_END", "SPELL_EMPOWER_INTERRUPT")
 
 
 def width_drift(t: DataFrame) -> DataFrame:
-    """How often each event name comes with each number of fields."""
-    return t.groupBy("name", F.size("f").alias("width")).agg(F.count("*").alias("n"))
+    """How often each event name comes with each number of fields, and whether the decoder knows the name."""
+    known = F.regexp_replace("name", "_SUPPORT$", "").isin(*KNOWN)
+    return t.groupBy("name", F.size("f").alias("width"), known.alias("known")).agg(F.count("*").alias("n"))
+
+
+def calibration(t: DataFrame) -> DataFrame:
+    """(file_id, width, slot, n): the block widths and overkill slots that rows were read with."""
+    return calibrated(t).filter("adv IS NOT NULL").groupBy("file_id", "width", "slot").agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.plans import reports, runs
+from millrace.plans import deaths, reports, runs
 from millrace.sources import log
 
 A, B, PET, MOB, MOB2, BOSS = "Player-1-0A", "Player-1-0B", "Pet-0-1-2-3-77-0001", "Creature-0-1-2-3-501-0001", "Creature-0-1-2-3-502-0002", "Creature-0-1-2-3-900-0003"
@@ -188,8 +188,12 @@ def test_control_dispels_avoidable(spark, ctx):
 
 
 def test_deaths(ctx):
-    d = reports.deaths(ctx).collect()
-    assert [(r.dst, r.ts, r.nth, r.dead_at_once, r.taken, r.blow.spell_id) for r in d] == [(B, 31_001, 1, 1, 700, 91)]
+    dead = deaths.deaths(ctx, reports.segments(ctx))
+    assert [(r.dst, r.ts, r.nth, r.dead_at_once, r.since_previous, r.segment) for r in dead.collect()] == [(B, 31_001, 1, 1, None, "boss:0")]
+    r = deaths.recap(ctx, dead)
+    t = r.totals().first()
+    assert (t.taken, t.healed, t.soaked, t.blow.spell_id, t.blow.overkill) == (650, 0, 0, 91, 50)
+    assert [(x.spell_id, x.total, x.hits, x.source) for x in r.by_ability().collect()] == [(91, 650, 1, BOSS)]
 
 
 def test_auras_positions_summary(spark, ctx):
@@ -219,3 +223,171 @@ def test_lines_of_split_files(spark, tmp_path):
     (tmp_path / "game" / "Logs").mkdir(parents=True)
     (tmp_path / "game" / "Logs" / "one.txt").write_text("")
     assert log.discover(str(tmp_path)) == [str(tmp_path / "game" / "Logs" / "one.txt")]
+
+
+# several files, and the cases that the log above does not have
+
+NONE = "0000000000000000"
+START, END = control(0, 'CHALLENGE_MODE_START,"Hall",1,2,3,[9]'), control(60_000, "CHALLENGE_MODE_END,1,1,3,60000")
+
+
+def key(spark, *lines, files=1):
+    """The context of one key with these lines between its start and end, read from so many equal files."""
+    body = [START, who(1, A, 64), who(2, B, 250), *lines, END]
+    rows = log.rows_from_lines(spark, body, "f0")
+    for k in range(1, files):
+        rows = rows.unionByName(log.rows_from_lines(spark, body, f"f{k}"))
+    return reports.open_log(spark, rows)
+
+
+def miss(ms, src, dst, spell=61):
+    return f"{stamp(ms)}  SPELL_MISSED,{base(src, dst)},{spell},\"Kick\",0x1,PARRY,nil"
+
+
+def died(ms, guid):
+    return f"{stamp(ms)}  UNIT_DIED,{base(NONE, guid)},0"
+
+
+def test_two_files_give_every_report_twice(spark):
+    """Rows of different files never meet, whatever their numbers."""
+    one = reports.open_log(spark, log.rows_from_lines(spark, LINES, "a"))
+    two = reports.open_log(spark, log.rows_from_lines(spark, LINES, "a").unionByName(log.rows_from_lines(spark, LINES, "b")))
+    ids = spark.createDataFrame([(61,)], "spell_id long")
+    kinds, dim = spark.createDataFrame([(81, 4)], "spell_id long, mask int"), spark.createDataFrame([(91, 31)], "spell_id long, unless long")
+    clocks = spark.createDataFrame([(61, 15_000, 1)], "spell_id long, recovery_ms int, charges int")
+    views = {
+        "interrupts": lambda c: reports.interrupts(c, ids).select("actor", "ts", "outcome", "stopped"),
+        "deaths": lambda c: deaths.recap(c, deaths.deaths(c)).totals().select("taken", "healed"),
+        "hits": lambda c: reports.avoidable(c, dim).select("actor", "ts", "amount"),
+        "control": lambda c: reports.crowd_control(c, kinds).select("actor", "ts", "ms"),
+        "breakdown": lambda c: reports.breakdown(c).select("actor", "spell_id", "total", "hits", "share"),
+        "healing": lambda c: reports.breakdown(c, "healing").select("actor", "spell_id", "total"),
+        "auras": lambda c: reports.aura_spans(c).select("wearer", "spell_id", "start", "end"),
+        "tracks": lambda c: reports.position_tracks(c).select("actor", "ts", "x"),
+        "ready": lambda c: reports.readiness(c, clocks).select("actor", "ts", "ready_at"),
+        "segments": lambda c: reports.segments(c)[1].select("enemy", "segment", "defeated"),
+        "dispels": lambda c: reports.dispels(c, ids, parts=reports.segments(c)).select("actor", "ts", "kind", "segment"),
+    }
+    for name, view in views.items():
+        a, b = (sorted(map(str, view(c).collect())) for c in (one, two))
+        assert a and sorted(a * 2) == b, name
+    assert two.runs.count() == 2 and one.events.agg(F.max("row")).first()[0] < two.events.agg(F.max("row")).first()[0]
+
+
+def test_orphan_absorbs_take_the_attackers_source(spark):
+    soak = f"{stamp(5000)}  SPELL_ABSORBED,{NONE},nil,0x80000000,0x0,{A},{NAMES[A]},0x511,0x0,91,\"Slam\",0x1,{B},{NAMES[B]},0x512,0x0,51,\"Ward\",0x2,250,900,nil"
+    rows = lambda *more: {r.ts: r.src for r in key(spark, soak, *more).events.filter("code = 'SPELL_ABSORBED'").collect()}
+    assert rows(hit(5050, BOSS, A, 10, spell=(91, '"Slam"'))) == {5000: BOSS}
+    assert rows(hit(5150, BOSS, A, 10, spell=(91, '"Slam"'))) == {5000: None} and rows(hit(5050, BOSS, A, 10, spell=(92, '"Slap"'))) == {5000: None}
+
+
+def test_support_moves_up_to_what_the_carrier_holds(spark):
+    twin = lambda ms, amount, spell=41: f"{stamp(ms)}  SPELL_DAMAGE_SUPPORT,{base(A, BOSS)},{spell},\"Might\",0x1,{adv(A)},{amount},{amount},-1,4,nil,nil,nil,nil,nil,nil,{B}"
+    ctx = key(spark, hit(5000, A, BOSS, 300), twin(5001, 100), hit(6000, A, BOSS, 50, spell=(12, '"Fire"')), twin(6000, 80))
+    got = {(r.actor, r.spell_id): (r.total, r.hits) for r in reports.breakdown(ctx).collect()}
+    assert got == {(A, 11): (200, 1), (A, 12): (0, 1), (B, 41): (150, 2)}
+    plain = {(r.actor, r.spell_id): r.total for r in reports.breakdown(ctx, credit=False).collect()}
+    assert plain == {(A, 11): 300, (A, 12): 50}
+    assert {r.actor: (r.given, r.received) for r in reports.support_given(ctx).collect()} == {A: (0, 180), B: (180, 0)}
+
+
+def test_support_twin_across_an_absorb(spark):
+    """The row two before is the twin only if an absorb stands between; a claimed row is not claimed again."""
+    soak = f"{stamp(5000)}  SPELL_ABSORBED,{base(A, BOSS)},11,\"Fire\",0x1,{B},{NAMES[B]},0x512,0x0,51,\"Ward\",0x2,250,900,nil"
+    support = f"{stamp(5001)}  SPELL_DAMAGE_SUPPORT,{base(A, BOSS)},11,\"Fire\",0x4,{adv(A)},0,0,-1,4,nil,nil,nil,nil,nil,nil,{B}"
+    marks = lambda *mid: [(r.code, r.twinned) for r in key(spark, hit(5000, A, BOSS, 0), *mid, support).events.filter("NOT support").orderBy("row").collect()]
+    assert marks(soak) == [("SPELL_DAMAGE", True), ("SPELL_ABSORBED", False)]
+    assert marks() == [("SPELL_DAMAGE", True)] and marks(heal(5000, B, A, 5)) == [("SPELL_DAMAGE", False), ("SPELL_HEAL", False)]
+
+
+def test_missed_interrupts(spark):
+    ctx = key(spark, cast(5000, A, BOSS, 61), miss(5150, A, BOSS), cast(9000, A, BOSS, 61), miss(9300, A, BOSS))
+    assert {r.ts: r.outcome for r in reports.interrupts(ctx, spark.createDataFrame([(61,)], "spell_id long")).collect()} == {5000: "missed", 9000: "nothing"}
+
+
+def test_knockbacks_count_a_target_once(spark):
+    push = lambda ms, dst: hit(ms, A, dst, 5, spell=(77, '"Push"'))
+    ctx = key(spark, push(5000, MOB), aura(5010, A, MOB, 77), push(5020, MOB2), push(5900, MOB), push(9000, MOB))
+    cc = reports.crowd_control(ctx, spark.createDataFrame([(77, reports.KNOCKBACK)], "spell_id long, mask int"))
+    assert sorted((r.ts, r.dst, r.ms, r.ended) for r in cc.collect()) == [(5000, MOB, 0, "knocked"), (5020, MOB2, 0, "knocked"), (9000, MOB, 0, "knocked")]
+    s = reports.control_summary(cc).first()
+    assert (s.casts, s.targets) == (2, 3)
+
+
+def test_avoidable_rules(spark):
+    dim = spark.createDataFrame(
+        [(91, 71, None, None, None, None, None, False), (92, None, 72, None, None, None, None, False), (93, None, None, 55, 73, 100, 900, False), (94, None, None, None, None, None, None, True)],
+        "spell_id long, unless long, unless_marked long, after_cast long, after_aura long, after_from long, after_ms long, tank boolean",
+    )
+    slam = lambda ms, dst, spell: hit(ms, BOSS, dst, 10, spell=(spell, '"Slam"'))
+    lines = [
+        aura(1000, BOSS, A, 71), aura(2000, BOSS, A, 71, on=False), slam(2040, A, 91), slam(2051, A, 91),
+        aura(3000, BOSS, A, 72), slam(3500, A, 92), slam(3500, B, 92), aura(4000, BOSS, A, 72, on=False), slam(4050, A, 92), slam(4051, A, 92),
+        cast(5000, BOSS, A, 55, "START"), aura(5050, BOSS, A, 73), slam(5060, A, 93), aura(5500, BOSS, A, 73), slam(5510, A, 93), aura(6000, BOSS, A, 73), slam(6010, A, 93), slam(6020, B, 93),
+        slam(7000, A, 94), slam(7001, B, 94),
+    ]
+    hits = reports.avoidable(key(spark, *lines), dim)
+    assert sorted((r.ts, r.actor) for r in hits.collect()) == [(2051, A), (3500, B), (4051, A), (5060, A), (6010, A), (6020, B), (7000, A)]
+    own, named = reports.avoidable_summary(key(spark, *lines), hits)
+    assert {r.actor: r.hits for r in own.collect()} == {A: 5, B: 2} and [(r.ability, r.hits, r.actors) for r in named.collect()] == [("Slam", 7, 2)]
+
+
+def test_cleanse_of_enemies_is_none(spark):
+    off = lambda ms, dst, kind: f"{stamp(ms)}  SPELL_DISPEL,{base(A, dst)},65,\"Purge\",0x1,95,\"Rage\",0x1,{kind}"
+    ctx = key(spark, hit(5000, A, MOB, 5), off(5100, MOB, "DEBUFF"), off(6000, MOB2, "DEBUFF"), off(7000, B, "DEBUFF"), off(8000, MOB, "BUFF"), off(9000, B, "BUFF"))
+    parts = reports.segments(ctx)
+    rows = reports.dispels(ctx, spark.createDataFrame([], "spell_id long"), parts=parts, bleeds=spark.createDataFrame([(95,)], "spell_id long"))
+    assert sorted((r.ts, r.kind, r.bleed, r.segment) for r in rows.collect()) == [(6000, "cleanse", True, None), (7000, "cleanse", True, None), (8000, "purge", False, f"pull:{MOB}")]
+    own, states = reports.dispel_summary(rows)
+    assert [(r.casts, r.removed, r.purges, r.cleanses) for r in own.collect()] == [(3, 3, 1, 2)] and {(r.kind, r.removed) for r in states.collect()} == {("purge", 1), ("cleanse", 2)}
+
+
+def test_summons_come_last(spark):
+    totem = "Creature-0-1-2-3-777-0009"
+    NAMES[totem] = '"Totem"'
+    made = f"{stamp(4000)}  SPELL_SUMMON,{base(MOB, totem)},7,\"Call\",0x1"
+    ctx = key(spark, hit(4500, A, MOB, 5, who=MOB), made, hit(5000, A, totem, 5, who=totem, hp=900))
+    _, of = reports.segments(ctx)
+    r = {x.name: (x.summon, x.place, x.label) for x in reports.roster(of, reports.summoned(ctx), ctx.runs).collect()}
+    assert r == {"Imp": (False, 1, "Imp +1"), "Totem": (True, 2, None)}
+
+
+def test_death_recap(spark):
+    ctx = key(
+        spark, hit(2000, BOSS, B, 9999), aura(3000, A, B, 81, kind="BUFF"), aura(20_500, BOSS, B, 84), aura(21_000, BOSS, B, 82), aura(21_500, BOSS, B, 83, on=False), heal(22_000, A, B, 100, over=40), cast(22_500, B, B, 65),
+        hit(23_000, BOSS, B, 300, who=B, hp=700), hit(23_500, MOB, B, 200, spell=(12, '"Fire"'), who=B, hp=500), aura(23_600, BOSS, B, 84, on=False), hit(24_000, BOSS, B, 600, over=100, who=B, hp=0), died(24_000, B),
+        f"{stamp(30_000)}  SPELL_RESURRECT,{base(A, B)},8,\"Rise\",0x2", died(40_000, A), died(50_000, B),
+    )
+    dead = deaths.deaths(ctx)
+    assert [(r.dst, r.dead_at_once, r.nth, r.since_previous) for r in dead.orderBy("row").collect()] == [(B, 1, 1, None), (A, 1, 1, 16_000), (B, 2, 2, 10_000)]
+    r = deaths.recap(ctx, dead.filter("nth = 1 AND ts = 24000"))
+    t = r.totals().first()
+    assert (t.taken, t.healed, t.blow.net, t.blow.overkill) == (1000, 60, 500, 100)
+    assert [x.hp for x in r.trace().orderBy("row").collect()] == [500, 700, 500, 0]
+    assert {(x.spell_id, x.total, x.hits) for x in r.by_ability().collect()} == {(11, 800, 2), (12, 200, 1)}
+    spans = {x.spell_id: (x.start, x.end, x.open_start, x.open_end) for x in r.states().collect()}
+    assert spans == {81: (3000, 24_000, False, True), 82: (21_000, 24_000, False, True), 83: (-6000, 21_500, True, False), 84: (20_500, 23_600, False, False)}
+    assert [x.spell_id for x in r.debuffs_at_death(spark.createDataFrame([], "spell_id long")).collect()] == [82]
+    assert [x.spell_id for x in r.own_casts(spark.createDataFrame([(65,)], "spell_id long")).collect()] == [65]
+    assert r.one_shots().count() == 0
+    assert {(x.spell_id, x.net) for x in deaths.healing_in(r, 5000).collect()} == {(21, 60)}
+    bars = {(x.bucket, x.spell_id): (x.net, x.hp) for x in r.buckets(1000).collect() if x.spell_id}
+    assert bars[(29, 11)] == (300, 500) and bars[(30, 11)] == (500, 0)
+
+
+def test_one_shot_and_readiness(spark):
+    ctx = key(
+        spark, cast(1000, A, A, 31), cast(1200, A, A, 900), cast(1300, A, A, 900), cast(1400, A, A, 900), aura(2000, A, B, 500, kind="BUFF"), aura(2500, A, A, 500, kind="BUFF"), cast(6000, B, B, 31),
+        hit(9000, BOSS, B, 960, who=B, hp=0, over=1), hit(9400, BOSS, B, 30, who=B, hp=0, over=20), died(9500, B), died(50_000, A),
+    )
+    dead = deaths.deaths(ctx)
+    r = deaths.recap(ctx, dead)
+    assert [x.fraction for x in r.one_shots().collect()] == [pytest.approx(0.969)]
+    clocks = spark.createDataFrame([(500, 20_000, 1)], "spell_id long, recovery_ms int, charges int")
+    used = deaths.uses(ctx, spark.createDataFrame([(31,)], "spell_id long"), spark.createDataFrame([(900,)], "spell_id long"), clocks)
+    assert used.filter("what = 'defensive'").count() == 1  # two states, one press
+    ready = deaths.ready_at_death(ctx, dead, used, clocks)
+    got = {(x.dst, x.what): x.state for x in ready.collect()}
+    assert got == {(B, "potion"): "pressed", (A, "potion"): "cooldown", (A, "stone"): "cooldown", (A, "defensive"): "ready"}
+    out = {x.dst: (x.forgot, x.forgot_before) for x in deaths.forgotten(dead, ready, r.one_shots()).collect()}
+    assert out == {B: (False, 0), A: (False, 0)}
