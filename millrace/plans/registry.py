@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import event_queries, log_queries, table_queries
+from millrace.plans import dimension_queries, event_queries, log_queries, table_queries
 
-_MODULES = (event_queries, table_queries, log_queries)
+_MODULES = (event_queries, table_queries, log_queries, dimension_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
