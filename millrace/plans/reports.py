@@ -572,3 +572,10 @@ def swing_check(ctx: Context) -> DataFrame:
     """(run_id, actor, swings, landed): melee by the attacker's rows against the victims' rows."""
     rows = ctx.events.filter("code IN ('SWING_DAMAGE', 'SWING_DAMAGE_LANDED') AND src_ours AND NOT support")
     return rows.groupBy("run_id", F.col("src_root").alias("actor")).agg(F.count_if(F.col("code") == "SWING_DAMAGE").alias("swings"), F.count_if(F.col("code") == "SWING_DAMAGE_LANDED").alias("landed"))
+
+
+def share_lines(totals: DataFrame, value: str, limit: int = 10) -> DataFrame:
+    """The ranked top members of a run as lines of text of bounded width (see ``views``)."""
+    from millrace.plans import views
+
+    return views.share_lines(totals, value, limit=limit)
