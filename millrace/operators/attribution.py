@@ -31,12 +31,16 @@ def counterpart_segments(rows: DataFrame, run: str, enemy: str, ts: str, order:
         "_prev": F.when(F.col(ts) - F.lag(ts).over(w) <= gap, F.lag(enemy).over(w)), "_first": F.row_number().over(W.partitionBy(run, enemy).orderBy(order)),
     })
     up = marked.filter("_first = 1").select(run, F.col(enemy).alias("e"), F.coalesce("_prev", enemy).alias("p"))
+    held: list[DataFrame] = []
     for _ in range(rounds):
         jump = up.select(run, F.col("e").alias("p"), F.col("p").alias("q"))
         new = up.join(jump, [run, "p"]).select(run, "e", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved"))
         new = new.persist()
         moved = not new.filter("moved").isEmpty()
         up = new.select(run, "e", "p")
+        held.append(new)
+        for old in held[:-2]:  # spent: the round after next no longer reads it
+            old.unpersist()
         if not moved:
             break
     else:

@@ -133,6 +133,25 @@ def area(polygon: list[tuple[float, float]]) -> float:
     return abs(sum(x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in zip(polygon, polygon[1:] + polygon[:1], strict=True))) / 2
 
 
+def centroid(polygon: list[tuple[float, float]]) -> tuple[float, float]:
+    """The centre of a polygon's area; the mean of its points where it has none."""
+    pairs = list(zip(polygon, polygon[1:] + polygon[:1], strict=True))
+    turn = [x0 * y1 - x1 * y0 for (x0, y0), (x1, y1) in pairs]
+    if not sum(turn):
+        return sum(x for x, _ in polygon) / len(polygon), sum(y for _, y in polygon) / len(polygon)
+    return tuple(sum((p[i] + q[i]) * t for (p, q), t in zip(pairs, turn, strict=True)) / (3 * sum(turn)) for i in (0, 1))
+
+
+def inflated(polygon: list[tuple[float, float]], by: float) -> list[tuple[float, float]]:
+    """A polygon with each point moved out from the centre by so much; a point at the centre stays."""
+    cx, cy = centroid(polygon)
+    out = []
+    for x, y in polygon:
+        far = float(np.hypot(x - cx, y - cy))
+        out.append((x + (x - cx) / far * by, y + (y - cy) / far * by) if far else (x, y))
+    return out
+
+
 def inside(polygon: list[tuple[float, float]], x: float, y: float) -> bool:
     """Whether a point lies in a polygon (even-odd rule)."""
     hit = False

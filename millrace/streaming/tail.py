@@ -17,6 +17,7 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
 SCHEMA = "file_id string, row long, line string"
+_TURN = "rotations of "  # an offset key beside a file's own
 
 
 def complete_lines(raw: bytes) -> tuple[list[tuple[int, str]], int]:
@@ -44,26 +45,39 @@ class TailReader(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:  # noqa: N802
         return {}
 
+    @staticmethod
+    def _name(offsets: dict, f: str) -> str:
+        """A file's id: its path, and after rotations their number, so that rows of the old and the new file stay apart."""
+        turn = offsets.get(_TURN + f, 0)
+        return f"{f}#{turn}" if turn else f
+
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         now, rows, left = dict(start), [], self.limit
         for f in self._files():
             at = now.get(f, 0)
             if os.path.getsize(f) < at:
-                at = 0
-            with open(f, "rb") as source:
-                source.seek(at)
-                lines, used = complete_lines(source.read(max(left, 0)))
-            rows += [(f, at + off, line) for off, line in lines]
+                at, now[_TURN + f] = 0, now.get(_TURN + f, 0) + 1
+            raw = b""
+            if left > 0:
+                with open(f, "rb") as source:
+                    source.seek(at)
+                    raw = source.read(left)
+                    while b"\n" not in raw and (more := source.read(self.limit)):  # a line longer than the limit is a batch of its own
+                        raw += more
+            lines, used = complete_lines(raw)
+            rows += [(self._name(now, f), at + off, line) for off, line in lines]
             now[f], left = at + used, left - used
         return iter(rows), now
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
         for f, upto in end.items():
-            at = start.get(f, 0) if start.get(f, 0) <= upto else 0
+            if f.startswith(_TURN):
+                continue
+            at = start.get(f, 0) if start.get(_TURN + f, 0) == end.get(_TURN + f, 0) else 0
             with open(f, "rb") as source:
                 source.seek(at)
                 lines, _ = complete_lines(source.read(upto - at))
-            yield from ((f, at + off, line) for off, line in lines)
+            yield from ((self._name(end, f), at + off, line) for off, line in lines)
 
     def commit(self, end: dict) -> None:
         pass

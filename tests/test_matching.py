@@ -34,3 +34,10 @@ def test_cbor():
     assert codec.cbor({"a": [1, -1, 500, None, True, "é", 1.5]}) == bytes.fromhex("a16161870120" "1901f4" "f6" "f5" "62c3a9" "fb3ff8000000000000")
     raw = zlib.decompress(base64.b64decode(codec.export([1, 2])), -15)
     assert raw == codec.cbor([1, 2])
+
+
+def test_centre_and_inflation():
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    assert m.centroid(square) == (1, 1) and m.centroid([(1.0, 1.0), (3.0, 1.0)]) == (2, 1)
+    big = m.inflated(square, 2**0.5)
+    assert [(round(x, 9), round(y, 9)) for x, y in big] == [(-1, -1), (3, -1), (3, 3), (-1, 3)] and m.area(big) > m.area(square)

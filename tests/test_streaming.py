@@ -35,6 +35,24 @@ def test_rotation(tmp_path):
     assert [r[2] for r in reader.read(at)[0]] == ["new"]
 
 
+def test_rotated_files_keep_rows_apart_and_long_lines_pass(tmp_path):
+    f = tmp_path / "a.txt"
+    f.write_text("one\ntwo\n")
+    reader = tail.TailReader({"path": str(f), "maxBytesPerBatch": "6"})
+    rows, at = reader.read({})
+    first = list(rows)
+    f.write_text("three\n")
+    rows, later = reader.read({str(f): 8})
+    second = list(rows)
+    assert {r[0] for r in first} == {str(f)} and {r[0] for r in second} == {f"{f}#1"} and list(reader.readBetweenOffsets({str(f): 8}, later)) == second
+    f.write_text("x" * 50 + "\nend\n")
+    got, now = [], {}
+    for _ in range(3):
+        rows, now = reader.read(now)
+        got += [r[2] for r in rows]
+    assert got == ["x" * 50, "end"] and at[str(f)] <= 8
+
+
 def test_live_report(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     f, seen = tmp_path / "logs" / "a.txt", []
