@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
-from millrace.plans import casting, deaths as death_plan, maps as map_plan, moments, reports, runs as run_plan
+from millrace.plans import badges, casting, deaths as death_plan, maps as map_plan, moments, reports, runs as run_plan, views
 from millrace.session import scratch, stored, table
 from millrace.sources import log
 
@@ -341,3 +341,93 @@ def width_drift(ctx):
     sf_dir = next(k[1] for k, c in _OPEN.items() if c is ctx)
     drift = log.width_drift(log.tokens(lines(spark, sf_dir)))
     return drift.filter("name IN ('SPELL_DAMAGE', 'SPELL_HEAL')").groupBy("name", "known").agg(F.sum("n").alias("n"))
+
+
+@query(f"""{_KICK}, judged AS (SELECT p.f, p.member, p.n, bool_or(p.ts BETWEEN s AND e) AS inn, bool_or(e < p.ts AND e >= p.ts - 1000) AS late, bool_or(s > p.ts AND s <= p.ts + 1000) AS early FROM press p LEFT JOIN win w ON w.f = p.f AND w.enemy = p.enemy GROUP BY ALL)
+SELECT CAST(f AS INT) AS run_id, member AS actor, count(*) AS casts, count(*) FILTER (inn) AS ignored, count(*) FILTER (NOT coalesce(inn, false) AND late) AS late, count(*) FILTER (NOT coalesce(inn, false) AND NOT coalesce(late, false) AND NOT coalesce(early, false)) AS nothing FROM judged GROUP BY ALL""")
+def interrupt_summary(ctx):
+    """Attempts and outcomes per member."""
+    return reports.interrupt_summary(reports.interrupts(ctx, _dim(ctx, [(61,)], "spell_id long"))).select("run_id", "actor", "casts", "ignored", "late", "nothing")
+
+
+@query(f"""{_CC} SELECT CAST(f AS INT) AS run_id, member AS actor, count(*) AS targets, CAST(bit_or(CASE WHEN spell = 104 THEN 8 ELSE 4 END) AS INT) AS kinds FROM ons GROUP BY ALL""")
+def control_summary(ctx):
+    """Controls and their kinds per member."""
+    kinds = _dim(ctx, [(100, 4), (102, 4), (104, 8)], "spell_id long, mask int")
+    return reports.control_summary(reports.crowd_control(ctx, kinds)).select("run_id", "actor", "targets", "kinds")
+
+
+@query("""SELECT CAST(f AS INT) AS run_id, guid, role, CAST(row_number() OVER (PARTITION BY f ORDER BY CASE role WHEN 'tank' THEN 0 WHEN 'healer' THEN 1 ELSE 2 END, m) AS INT) AS shown_at
+FROM (SELECT f, m, 'Player-1-' || lpad(CAST(m AS VARCHAR), 4, '0') AS guid, ['dps', 'healer', 'tank', 'dps', 'dps'][m + 1] AS role FROM (SELECT DISTINCT f FROM ev), range(5) t(m))""")
+def party_order(ctx):
+    """The party as it is shown."""
+    return views.party_order(ctx.party).select("run_id", "guid", "role", "shown_at")
+
+
+@query(f"""{_DONE} SELECT CAST(f AS INT) AS run_id, actor, CAST(spell AS BIGINT) AS spell_id, round(total / hits, 6) AS per_hit, round(crits / hits, 6) AS crit_share FROM done""")
+def rates(ctx):
+    """Derived columns of a breakdown."""
+    return reports.rates(reports.breakdown(ctx)).select("run_id", "actor", "spell_id", "per_hit", "crit_share")
+
+
+_ABILITY = ", names AS (SELECT spell, arg_min(k % 4, (f, n)) AS name FROM ev WHERE action IN ('click', 'purchase', 'view', 'error') OR k % 2 = 0 GROUP BY spell)"
+
+
+@query(f"""{_DONE.rstrip()} {_ABILITY} SELECT CAST(f AS INT) AS run_id, actor, 'Spell ' || name AS ability, CAST(sum(total) AS DOUBLE) AS total, CAST(sum(hits) AS BIGINT) AS hits, CAST(max(biggest) AS DOUBLE) AS biggest, count(*) AS parts FROM done JOIN names USING (spell) GROUP BY ALL""")
+def abilities(ctx):
+    """Spells of one ability together, named as first seen."""
+    return views.by_ability(reports.breakdown(ctx)).select("run_id", "actor", "ability", "total", "hits", "biggest", "parts")
+
+
+@query("""SELECT CAST(d.f AS INT) AS run_id, d.member AS dst, d.ts, CAST(e.spell AS BIGINT) AS spell_id, e.member AS source, CAST(sum(e.net) AS DOUBLE) AS net, count(*) AS times FROM eff d JOIN eff e ON e.f = d.f AND e.n <= d.n AND e.ts >= d.ts - 10000 AND e.action = 'purchase' AND e.other = d.member
+WHERE d.action = 'view' AND d.k % 25 = 1 GROUP BY d.f, d.member, d.ts, e.spell, e.member""")
+def death_healing(ctx):
+    """Healing on each victim in the last ten seconds by spell and healer."""
+    dead = death_plan.deaths(ctx)
+    got = death_plan.healing_in(death_plan.recap(ctx, dead), 10_000).withColumnRenamed("anchor", "row")
+    return dead.join(got, ["run_id", "row"]).select("run_id", "dst", "ts", "spell_id", "source", "net", "times")
+
+
+@query("""SELECT CAST(d.f AS INT) AS run_id, d.member AS dst, d.ts, CAST(floor((e.ts - (d.ts - 30000)) / 1000.0) AS BIGINT) AS bucket, CAST(e.spell AS BIGINT) AS spell_id, CAST(sum(e.net) AS DOUBLE) AS net FROM eff d JOIN eff e ON e.f = d.f AND e.n <= d.n AND e.ts >= d.ts - 30000 AND e.action = 'view' AND e.member = d.member
+WHERE d.action = 'view' AND d.k % 25 = 1 GROUP BY ALL""")
+def death_buckets(ctx):
+    """Damage before each death in steps of a second."""
+    dead = death_plan.deaths(ctx)
+    bars = death_plan.recap(ctx, dead).buckets(1000).filter("spell_id IS NOT NULL").withColumnRenamed("anchor", "row")
+    return dead.join(bars, ["run_id", "row"]).select("run_id", "dst", "ts", "bucket", "spell_id", "net")
+
+
+@query("""SELECT CAST(f AS INT) AS run_id, member AS dst, ts, CAST(row_number() OVER (PARTITION BY f, member ORDER BY n) AS INT) AS nth, ts - lag(ts) OVER (PARTITION BY f ORDER BY n) AS since_previous,
+CAST((SELECT count(DISTINCT e.member) FROM ev e WHERE e.f = d.f AND e.n <= d.n AND e.action = 'view' AND e.k % 25 = 1) AS INT) AS dead_at_once FROM ev d WHERE action = 'view' AND k % 25 = 1""")
+def death_anchors(ctx):
+    """M1: deaths numbered, the time since the last one, and how many are down (nobody is raised in this log)."""
+    return death_plan.deaths(ctx).select("run_id", "dst", "ts", "nth", "since_previous", F.col("dead_at_once").cast("int").alias("dead_at_once"))
+
+
+@query("""SELECT CAST(f AS INT) AS run_id, actor, value FROM (SELECT f, member AS actor, CAST(sum(net) AS DOUBLE) AS value, rank() OVER (PARTITION BY f ORDER BY sum(net) DESC) AS r, count(*) OVER (PARTITION BY f) AS c FROM eff WHERE action = 'click' GROUP BY f, member) WHERE r = 1 AND c >= 2""")
+def badge_pumper(ctx):
+    """Who holds the badge for most damage."""
+    parts = badges.measured(ctx, {"damage": reports.breakdown(ctx)})
+    held = moments.badges(badges.values({"pumper": parts["pumper"]}, ctx.party), badges.metrics(ctx.events.sparkSession))
+    return held.select("run_id", "actor", "value")
+
+
+@query(f"""{_POS}, probe AS (SELECT f, actor, n, ts + 1000 AS at FROM pos WHERE n % 10 = 3), seen AS (SELECT p.f, p.actor, p.at, max(s.n) AS last FROM probe p JOIN pos s ON s.f = p.f AND s.actor = p.actor AND s.ts <= p.at GROUP BY ALL)
+SELECT CAST(seen.f AS INT) AS run_id, seen.actor, seen.at AS ts, CAST(pos.x AS DOUBLE) AS x, CAST(pos.map AS INT) AS map FROM seen JOIN pos ON pos.f = seen.f AND pos.actor = seen.actor AND pos.n = seen.last""")
+def replay(ctx):
+    """Where each member was last seen, a second after some samples."""
+    rows = map_plan.samples(ctx)
+    probes = rows.filter(F.col("ts") % (10 * STEP_MS) == 3 * STEP_MS).select("run_id", "actor", (F.col("ts") + 1000).alias("ts"))
+    return map_plan.replay(probes, rows, map_plan.track_deaths(ctx)).select("run_id", "actor", "ts", "x", F.col("map").cast("int").alias("map"))
+
+
+_SPAN = """, st AS (SELECT f, enemy, spell, member, n, ts, action = 'signup' AS up FROM ev WHERE action IN ('signup', 'error') AND k % 2 = 0),
+ghost AS (SELECT f, enemy, spell, arg_min(member, n) AS member, 0 AS n, 0 AS ts, true AS up FROM st GROUP BY f, enemy, spell HAVING NOT arg_min(up, n)),
+al AS (SELECT *, coalesce(lag(up) OVER (PARTITION BY f, enemy, spell, member ORDER BY n), false) AS was FROM (FROM st UNION ALL FROM ghost)),
+lv AS (SELECT *, sum(CASE WHEN up THEN 1 ELSE -1 END) OVER (PARTITION BY f, enemy, spell ORDER BY n) AS c, coalesce(lead(ts) OVER (PARTITION BY f, enemy, spell ORDER BY n), (SELECT max(n) + 1 FROM ev e WHERE e.f = al.f) * 700) AS nx FROM al WHERE up <> was)"""
+
+
+@query(f"""{_SPAN} SELECT CAST(f AS INT) AS run_id, enemy AS wearer, CAST(spell AS BIGINT) AS spell_id, CAST(sum(CASE WHEN c > 0 THEN nx - ts ELSE 0 END) AS BIGINT) AS up FROM lv GROUP BY ALL HAVING up > 0""")
+def aura_spans(ctx):
+    """Time with a state on each enemy over all casters; a state first seen going was up from the start."""
+    return reports.aura_spans(ctx).filter("spell_id <> 31").groupBy("run_id", "wearer", "spell_id").agg(F.sum(F.col("end") - F.col("start")).alias("up"))
