@@ -342,14 +342,14 @@ def components(df: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
     across = rest.alias("x").join(rest.alias("y"), F.expr(f"x.token = y.token AND x.comp < y.comp AND x.ref <> y.ref AND {_may_link('x', 'y')}"))
     pairs = across.groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(F.count("*").alias("m"), F.first(F.least("x.l", "y.l")).alias("l")).filter("m >= l").select("a", "b")
     members = space.put(rest.select("key", "n", "comp", "ref").distinct(), "members")
-    pairs = pairs.unionByName(differing(members, members.count(), labels, sets))
+    pairs = pairs.unionByName(differing(members, members.count(), labels, sets, space))
     more = space.put(verified(pairs, sets, space, "rest-pairs"), "rest-links")
     if more.isEmpty():
         return rows, labels
     return rows, connected(links.unionByName(more), space, "components")
 
 
-def differing(members: DataFrame, rows: int, labels: DataFrame, sets: DataFrame) -> DataFrame:
+def differing(members: DataFrame, rows: int, labels: DataFrame, sets: DataFrame, space: Workspace) -> DataFrame:
     """Candidate pairs (a, b) of one reference hub and different components, by what sets them apart from the hub.
 
     With D the tokens that a set and the hub do not share, |A ^ B| = |Da| + |Db| - 2 |Da & Db|, and
@@ -363,8 +363,10 @@ def differing(members: DataFrame, rows: int, labels: DataFrame, sets: DataFrame)
     q = (100 - PERCENT) / (100 + PERCENT)
     own = _of(sets, members.select("key"), rows).select("key", F.col("tokens").alias("t"))
     hub = _of(sets, members.select(F.col("ref").alias("key")), rows).select(F.col("key").alias("ref"), F.col("tokens").alias("th"), F.col("n").alias("nh"))
-    hub_comp = labels.select(F.col("key").alias("ref"), F.col("comp").alias("hub_comp"))
-    d = members.join(own, "key").join(hub, "ref").join(hub_comp, "ref", "left")
+    hub = hub.join(labels.select(F.col("key").alias("ref"), F.col("comp").alias("hub_comp")), "ref", "left")
+    # each hub's set meets its members once; the hubs with most members by broadcast, as far as their sets fit
+    hub = space.put(hub.join(members.groupBy("ref").agg(F.count("*").alias("weight")), "ref"), "hubs")
+    d = spread_join(space.put(members.join(own, "key"), "hub-members", "none"), hub, "ref", rows, 8 * F.col("nh") + 64)
     d = d.withColumn("linked", F.col("comp") == F.coalesce("hub_comp", "ref")).withColumn("d", F.concat(F.array_except("t", "th"), F.array_except("th", "t")))
     size = F.size("d")
     far = F.ceil((size - q * (F.col("n") + F.col("nh"))) / 2 - 1e-9)
