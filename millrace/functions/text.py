@@ -9,9 +9,16 @@ FIELD = r'((?:"[^"]*(?:"|$)|\[(?:[^\[\]]|\[[^\[\]]*\])*\]|\((?:[^()]|\((?:[^()]|
 
 
 def split_fields(line: Column) -> Column:
-    """Fields of a line; commas in quotes or brackets do not split. The pattern's last, empty match is cut off."""
+    """Fields of a line; commas in quotes or brackets do not split. The pattern's last, empty match is cut off.
+
+    Most lines have no brackets and no comma between quotes; they are split at the commas, which is several
+    times faster than the pattern and gives the same fields.
+    """
     found = F.regexp_extract_all(line, F.lit(FIELD), F.lit(1))
-    return F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0)))
+    nested = F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0)))
+    quoted = F.exists(F.transform(F.split(line, '"'), lambda x, i: (i % 2 == 1) & x.contains(",")), lambda x: x)
+    plain = (line != "") & (F.instr(line, "[") == 0) & (F.instr(line, "(") == 0) & ~line.endswith(",") & ~quoted
+    return F.when(plain, F.split(line, ",")).otherwise(nested)
 
 
 def ability_name(name: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
 from millrace.functions.text import field_bool, field_float, field_hex, field_int, field_text, split_fields
-from millrace.functions.times import with_wall_ms
+from millrace.functions.times import with_few, with_wall_ms
 
 NIL_GUID = "0000000000000000"
 MAX_DEPTH, MAX_VISITS = 7, 4000
@@ -104,14 +104,23 @@ def calibrated(t: DataFrame) -> DataFrame:
     t = t.withColumn("adv", F.when(_at(start).rlike(GUID) & (F.size("f") > start + MIN_WIDTH) & ~F.col("code").isin("SPELL_ABSORBED", "SPELL_HEAL_ABSORBED"), start))
     dotted = F.expr("array_position(transform(slice(f, adv + 1, size(f)), x -> x RLIKE '^-?[0-9]+\\\\.[0-9]+$'), true)")
     seen = F.when(F.col("adv").isNotNull() & (dotted > 0), dotted - 1 + 5)
-    past = W.partitionBy("file_id").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
-    good = F.when((F.col("_seen") >= MIN_WIDTH) & (F.col("_seen") <= MAX_WIDTH), F.col("_seen"))
-    t = t.withColumn("_seen", seen).withColumn("width", F.coalesce(F.first(good, ignorenulls=True).over(past), F.lit(DEFAULT_WIDTH)).cast("int"))
+    good = F.when((seen >= MIN_WIDTH) & (seen <= MAX_WIDTH), seen)
+    t = _measured(t, good.cast("int"), "width", DEFAULT_WIDTH)
     body = F.when(F.col("adv").isNotNull(), F.col("adv") + F.col("width")).otherwise(start)
     t = t.withColumn("at", (body + F.when(F.col("code") == "ENVIRONMENTAL_DAMAGE", 1).otherwise(0)).cast("int"))
     n = F.size("f") - F.col("at") - F.col("support").cast("int")
     lock = F.when(F.col("code").isin(*DAMAGE), F.when(n >= 11, 2).when(n <= 9, 1).when(_at(F.col("at") + 1) == "-1", 1).when(_at(F.col("at") + 2) == "-1", 2))
-    return t.withColumn("slot", F.coalesce(F.first(lock, ignorenulls=True).over(past), F.lit(2))).drop("_seen")
+    return _measured(t, lock, "slot", 2)
+
+
+def _measured(t: DataFrame, value: Column, name: str, default: int) -> DataFrame:
+    """``t`` with the file's first value that is not null from its row on, and the default before it.
+
+    The first row of each file is an aggregate, so no file's rows are sorted or kept together.
+    """
+    first = t.select("file_id", "row", value.alias("_v")).filter("_v IS NOT NULL").groupBy("file_id").agg(F.min(F.struct("row", "_v")).alias("_first"))
+    t = with_few(t, first, ["file_id"])
+    return t.withColumn(name, F.when(F.col("row") >= F.col("_first.row"), F.col("_first._v")).otherwise(default).cast("int")).drop("_first")
 
 
 def decode(t: DataFrame) -> DataFrame:

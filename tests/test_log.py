@@ -77,6 +77,20 @@ def test_fields(spark):
     assert {r.row: r.wall_ms for r in log.tokens(log.rows_from_lines(spark, ["12/31 23:59:59.500  A,1", "1/1 00:00:00.000  B,2"])).collect()} == {1: 1735689599500, 2: 1735689600000}
 
 
+def test_plain_and_nested_lines_split_alike(spark):
+    """The quick way and the pattern, on lines of all kinds."""
+    lines = ["", "a", "a,,b", "a,", ",", '"a,b",c', '"a","b",0x1', "[1,2],3", "(a,(b,c)),d", '"open', 'x,"y', '1,"a b",nil,[],z', "é,漢,1"]
+    pattern = F.regexp_extract_all("s", F.lit(tx.FIELD), F.lit(1))
+    got = spark.createDataFrame([(x,) for x in lines], "s string").select("s", tx.split_fields(F.col("s")).alias("a"), F.slice(pattern, F.lit(1), F.greatest(F.size(pattern) - 1, F.lit(0))).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and {r.s: r.a for r in got}["a,,b"] == ["a", "", "b"]
+
+
+def test_year_rolls_over_per_file(spark):
+    rows = [(f, i + 1, f"{m}/1 00:00:00.000  A,{i}") for f, ms in (("a", (11, 12, 1, 2, 1)), ("b", (3, 2))) for i, m in enumerate(ms)]
+    t = log.tokens(spark.createDataFrame(rows, "file_id string, row long, line string"), 2024).withColumn("y", F.year(F.timestamp_millis("wall_ms")))
+    assert [(r.file_id, r.y) for r in t.orderBy("file_id", "row").collect()] == [("a", y) for y in (2024, 2024, 2025, 2025, 2026)] + [("b", 2024), ("b", 2025)]
+
+
 def test_readers(spark):
     row = spark.createDataFrame([("12x", "0x1f", "nil", '"a,b"', "1", "-3.5", "0")], "a string, b string, c string, d string, e string, f string, g string").select(
         tx.field_int("a"), tx.field_hex(F.col("b")), tx.field_text(F.col("c"), "?"), tx.field_text(F.col("d")), tx.field_bool(F.col("e")), tx.field_float("f"), tx.field_bool(F.col("g")), tx.field_bool(F.col("c")), tx.fnv1a32(F.lit("a")), tx.clock(F.lit(61_500)), tx.slug(F.lit("Ann's  Hall!")), tx.short_number(F.lit(1_234_567.0))
