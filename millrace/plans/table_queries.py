@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from millrace.functions import text as tx, times
 from millrace.operators import attribution, ranking, sessions
 from millrace.session import table
+from millrace.sources import dimensions
 
 QUERIES, SQL = {}, {}
 
@@ -189,11 +190,12 @@ def width_histogram(l):
     return l.groupBy("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("long").alias("width")).agg(F.count("*").alias("n"))
 
 
-@query("lineitem", sql="""SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')""")
+@query("lineitem", sql="""SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_returnflag = 'A') AND NOT bool_or(l_returnflag = 'R')""")
 def dedicated_ids(l):
-    """Ids of one kind less those of another."""
-    pick = lambda f: l.filter(F.col("l_returnflag") == f).select("l_partkey")
-    return pick("A").join(pick("R"), "l_partkey", "left_anti").distinct()
+    """Ids of one kind less those of another: orders with a line of one flag, none of another, whatever else they have."""
+    kinds = l.select(F.col("l_orderkey").alias("spell_id"), F.col("l_returnflag").alias("effect"))
+    flag = lambda *f: l.sparkSession.createDataFrame([(x,) for x in f], "effect string")
+    return dimensions.dedicated(kinds, flag("A"), flag("N")).select(F.col("spell_id").alias("l_orderkey"))
 
 
 @query("lineitem", "part", sql="""
