@@ -19,12 +19,12 @@ def query(*tables: str, sql: str):
     return add
 
 
-#: Lines as effects: a spell (part) has an effect (line number and flag) per line.
-_EFFECTS = "SELECT l_partkey % 500 AS spell_id, l_linenumber AS effect FROM lineitem WHERE l_orderkey % 11 = 0"
+#: Lines as effects: a spell (order) has an effect (the line number) per line of some parts.
+_EFFECTS = "SELECT l_orderkey AS spell_id, l_linenumber AS effect FROM lineitem WHERE l_partkey % 3 = 0"
 
 
 def _effects(l: DataFrame) -> DataFrame:
-    return l.filter("l_orderkey % 11 = 0").select((F.col("l_partkey") % 500).alias("spell_id"), F.col("l_linenumber").cast("long").alias("effect"))
+    return l.filter("l_partkey % 3 = 0").select(F.col("l_orderkey").alias("spell_id"), F.col("l_linenumber").cast("long").alias("effect"))
 
 
 def _ids(df: DataFrame, values: list[int], name: str = "effect") -> DataFrame:
