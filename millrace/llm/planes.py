@@ -173,7 +173,7 @@ class _Encoder:
         inner = np.ones(len(doc), dtype=bool)
         inner[first] = False
         s, e = start[inner], end[inner]
-        hashes = span_hashes(data, s, e)
+        hashes = span_hashes(data, s, e, checked=True)
         by_hash = np.argsort(hashes)
         new = np.ones(len(hashes), dtype=bool)
         new[1:] = hashes[by_hash][1:] != hashes[by_hash][:-1]

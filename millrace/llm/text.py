@@ -54,15 +54,21 @@ class _Powers:
     up = down = prime_up = prime_down = np.ones(1, dtype=np.uint64)
 
     @classmethod
-    def upto(cls, n: int) -> type["_Powers"]:
+    def wide(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
             size = max(n, CHUNK_BYTES + 1)
             for name, base in (("up", _BASE), ("down", _BASE_INV)):
                 p = np.full(size, base, dtype=np.uint64)
                 p[0] = 1
                 setattr(cls, name, np.cumprod(p, dtype=np.uint64))
+        return cls.up, cls.down
+
+    @classmethod
+    def prime(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.prime_up) < n:
+            size = max(n, CHUNK_BYTES + 1)
             cls.prime_up, cls.prime_down = _prime_powers(_PRIME_BASE, size), _prime_powers(pow(_PRIME_BASE, -1, _PRIME), size)
-        return cls
+        return cls.prime_up, cls.prime_down
 
 
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,19 +91,24 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, checked: bool = False) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, the same in every process.
 
     Two polynomials of the bytes, one modulo 2^64 and one modulo a prime: words built by doubling,
-    which can meet in the first, differ in the second.
+    which can meet in the first, differ in the second. A caller that compares the bytes of equal
+    hashes (``checked``) gets the first alone.
     """
-    p, n = _Powers.upto(len(data) + 1), len(data)
+    n = len(data)
+    up, down = _Powers.wide(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * p.up[:n], out=sums[1:])
-    wide = (sums[end] - sums[start]) * p.down[start]
-    terms = data * p.prime_up[:n]  # below 2^39; folded once, a text of 2^32 bytes still sums without overflow
+    np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
+    wide = (sums[end] - sums[start]) * down[start]
+    if checked:
+        return mix(wide ^ (end - start).astype(np.uint64))
+    up, down = _Powers.prime(n + 1)
+    terms = data * up[:n]  # below 2^39; folded once, a text of 2^32 bytes still sums without overflow
     np.cumsum((terms & U64(_PRIME)) + (terms >> U64(31)), out=sums[1:])
-    own = _reduced(_reduced(sums[end] - sums[start]) * p.prime_down[start])
+    own = _reduced(_reduced(sums[end] - sums[start]) * down[start])
     own = np.where(own == U64(_PRIME), U64(0), own)
     return mix(wide ^ mix(own << U64(32) | (end - start).astype(np.uint64)))
 
