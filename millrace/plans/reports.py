@@ -137,7 +137,9 @@ def segments(ctx: Context, gap: int = PULL_GAP_MS, grace: int = BOSS_GRACE_MS) -
     enemy of the trash hit before. Sturdy enemies of a pull engaged within the grace before a boss's
     end go over to the boss.
     """
-    hits = engagements(ctx)
+    at = scratch(ctx.events.sparkSession)
+    hits = engagements(ctx).select("run_id", "enemy", "ts", "row", "subject", "hp", "hp_max", "npc_id", "enemy_name", "x", "y")
+    hits = stored(hits, at, "engagements")  # read by every step below
     own_hp = F.when(F.col("subject") == F.col("enemy"), F.col("hp_max"))
     enemy = hits.groupBy("run_id", "enemy").agg(
         F.min("ts").alias("first"), F.max(own_hp).alias("peak"), F.max_by("hp", F.when(F.col("subject") == F.col("enemy"), F.col("row"))).alias("last_hp"), F.first("npc_id").alias("npc_id"), F.first("enemy_name").alias("name")
@@ -154,10 +156,11 @@ def segments(ctx: Context, gap: int = PULL_GAP_MS, grace: int = BOSS_GRACE_MS) -
     died = ctx.events.filter("code IN ('UNIT_DIED', 'UNIT_DESTROYED') AND NOT coalesce(feigned, false)").select("run_id", F.col("dst").alias("enemy")).distinct().withColumn("died", F.lit(True))
     of = of.withColumn("segment", F.when(F.col("boss").isNotNull(), F.concat(F.lit("boss:"), F.col("boss").cast("string"))).otherwise(F.concat(F.lit("pull:"), F.col("segment"))))
     of = of.join(died, ["run_id", "enemy"], "left").withColumn("defeated", F.coalesce("died", F.lit(False)) | (F.coalesce("last_hp", F.lit(2)) <= HEALTH_FLOOR)).drop("died", "moved")
+    of = stored(of, at, "enemies")
     span = hits.join(of.select("run_id", "enemy", "segment"), ["run_id", "enemy"]).groupBy("run_id", "segment").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.avg(F.when(F.col("x") != 0, F.col("x"))).alias("x"), F.avg(F.when(F.col("y") != 0, F.col("y"))).alias("y"))
     named = boss.select("run_id", F.concat(F.lit("boss:"), F.col("boss").cast("string")).alias("segment"), "title", "from", F.when(F.col("to") < 2**53, F.col("to")).alias("to"))
     out = span.join(named, ["run_id", "segment"], "full").select("run_id", "segment", "title", F.least("lo", "from").alias("start"), F.greatest("hi", "to").alias("end"), F.col("segment").startswith("boss:").alias("boss"), "x", "y")
-    return out, of
+    return stored(out, at, "segments"), of
 
 
 def summoned(ctx: Context) -> DataFrame:
