@@ -3,7 +3,7 @@
 Each of four files holds one run: the events of the users with user_id % 4 = file, in order of
 event_id, one second apart in four steps a row, between the control lines of a timed run with five
 members. A row's kind follows from its event type and k (see ``LINES``); the oracle SQL computes each
-report from ``events`` alone. The log is opened once per session and folder.
+report from ``events`` alone. The log is opened once per session and state of the table's files.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
 from millrace.plans import badges, casting, deaths as death_plan, maps as map_plan, moments, reports, runs as run_plan, views
-from millrace.session import scratch, stored, table
+from millrace.session import discard, fingerprint, scratch, stored, table
 from millrace.sources import log
 
 FILES, MEMBERS, STEP_MS, HEAD = 4, 5, 700, 9
 BOSS_EVERY = 400  # rows between the starts of two boss fights
 BOSS_ROWS = 100  # rows of a boss fight
 QUERIES, SQL = {}, {}
-_OPEN: dict[tuple[str, str], reports.Context] = {}
+_OPEN: dict[tuple[str, str], tuple[str, str, reports.Context]] = {}  # of one application and folder: the log of its files as they are now
 
 #: The events as the lines tell them: n numbers a file's rows from 1, ts is the run's time, whole amounts.
 EV = f"""ev AS (
@@ -72,11 +72,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def opened(spark: SparkSession, sf_dir: str) -> reports.Context:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _OPEN:
+    """The opened log; opened anew, and the old one's tables deleted, once the files of ``events`` differ."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), fingerprint(spark, f"{sf_dir.rstrip('/')}/events.parquet")
+    known = _OPEN.get(key)
+    if known is None or known[0] != now:
+        if known:
+            discard(spark, known[1])
         at = scratch(spark)
-        _OPEN[key] = reports.open_log(spark, stored(lines(spark, sf_dir), at, "lines"), folder=at)
-    return _OPEN[key]
+        _OPEN[key] = (now, at, reports.open_log(spark, stored(lines(spark, sf_dir), at, "lines"), folder=at))
+    return _OPEN[key][2]
 
 
 def query(sql: str | None = None):
@@ -129,7 +133,7 @@ def maps(ctx):
 
 
 @query("""SELECT CAST(f AS INT) AS run_id, ts, CASE action WHEN 'view' THEN enemy ELSE member END AS src, CASE action WHEN 'click' THEN enemy WHEN 'purchase' THEN other ELSE member END AS dst, CAST(spell AS BIGINT) AS spell_id,
-CAST(amount AS DOUBLE) AS amount, CASE WHEN action = 'purchase' THEN greatest(waste, 0) ELSE waste END AS waste, crit, k + 1 AS hp, k + 0.5 AS x, CAST(k % 2 + 1 AS BIGINT) AS map, CAST(floor(100 * (k % 50) / 50 + 0.5) AS BIGINT) AS mana
+CAST(amount AS DOUBLE) AS amount, CASE WHEN action = 'purchase' THEN greatest(waste, 0) ELSE waste END AS waste, crit, k + 1 AS hp, CAST(k + 0.5 AS DOUBLE) AS x, CAST(k % 2 + 1 AS BIGINT) AS map, CAST(floor(100 * (k % 50) / 50 + 0.5) AS BIGINT) AS mana
 FROM hit WHERE action IN ('click', 'purchase', 'view')""")
 def decoded(ctx):
     """Typed fields of every hit and heal."""

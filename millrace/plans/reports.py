@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 from millrace.functions.text import ability_name
 from millrace.operators import asof, attribution, intervals, pairing, ranking, sessions
 from millrace.plans import runs as run_plan
-from millrace.session import scratch, stored
+from millrace.session import discard, scratch, stored
 from millrace.sources import log
 
 #: The code sets of the reports.
@@ -160,7 +160,9 @@ def segments(ctx: Context, gap: int = PULL_GAP_MS, grace: int = BOSS_GRACE_MS) -
     span = hits.join(of.select("run_id", "enemy", "segment"), ["run_id", "enemy"]).groupBy("run_id", "segment").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.avg(F.when(F.col("x") != 0, F.col("x"))).alias("x"), F.avg(F.when(F.col("y") != 0, F.col("y"))).alias("y"))
     named = boss.select("run_id", F.concat(F.lit("boss:"), F.col("boss").cast("string")).alias("segment"), "title", "from", F.when(F.col("to") < 2**53, F.col("to")).alias("to"))
     out = span.join(named, ["run_id", "segment"], "full").select("run_id", "segment", "title", F.least("lo", "from").alias("start"), F.greatest("hi", "to").alias("end"), F.col("segment").startswith("boss:").alias("boss"), "x", "y")
-    return stored(out, at, "segments"), of
+    out = stored(out, at, "segments")
+    discard(ctx.events.sparkSession, f"{at}/engagements")  # spent: both results are written
+    return out, of
 
 
 def summoned(ctx: Context) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -39,6 +40,36 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or of this machine where that is unset."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir; of this machine only in a local
+    session without it. It is deleted when the driver's Python ends, or by ``discard`` before."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{at.rstrip('/')}/millrace-{uuid.uuid4().hex}" if at else f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = f"{at.rstrip('/')}/millrace-{uuid.uuid4().hex}" if at else f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+    atexit.register(_discard_at_exit, spark, folder)
+    return folder
+
+
+def _discard_at_exit(spark: SparkSession, folder: str) -> None:
+    try:
+        discard(spark, folder)
+    except Exception:  # noqa: BLE001  the session may be gone by then
+        pass
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that ``scratch`` named, with all its tables; nothing happens if it is gone."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of a table's files: equal as long as the table was not written anew."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = system.listFiles(at, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath().toString()}|{f.getLen()}|{f.getModificationTime()}")
+    return "\n".join(sorted(found))
