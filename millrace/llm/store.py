@@ -56,9 +56,9 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        """Write ``df`` as table ``name`` and return the table."""
-        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+    def put(self, df: DataFrame, name: str, codec: str = "zstd", **options: str) -> DataFrame:
+        """Write ``df`` as table ``name``, with further options of the writer, and return the table."""
+        df.write.mode("overwrite").options(compression=codec, **options).parquet(self.path(name))
         return self.get(name, df)
 
     def get(self, name: str, like: DataFrame) -> DataFrame:
