@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import backoff, codes, decontaminate, language, mixture, neardup, planes, quality, secrets, shards, tokens, urls
+from millrace.llm import backoff, codes, decontaminate, divergence, language, mixture, neardup, planes, quality, secrets, shards, tokens, urls
 
-_MODULES = (decontaminate, tokens, quality, secrets, mixture, neardup, urls, planes, shards, language, backoff, codes)
+_MODULES = (decontaminate, tokens, quality, secrets, mixture, neardup, urls, planes, shards, language, backoff, divergence, codes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
