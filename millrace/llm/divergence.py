@@ -48,7 +48,7 @@ UNIT = 1_000_000_000  # shares are whole billionths
 SMOOTH = 5  # occurrences added to every term
 SLICE_TERMS = 500_000  # of one automaton: some 200 MB in a worker
 FLUSH = 1 << 20  # counts that a task holds before it sends them on
-BLOCK_POSTINGS = 1 << 20
+BLOCK_POSTINGS = 1 << 16
 _GAP = np.ones(256, dtype=bool)  # bytes that no term has
 _GAP[65:91] = _GAP[97:123] = _GAP[128:] = False
 #: Bytes of a text as the automaton reads it: terms in lower case, all else a delimiter.
@@ -82,7 +82,7 @@ def _chunk_frequencies(lang: np.ndarray, data: np.ndarray, off: np.ndarray) -> t
     first[inner], last[inner - 1] = ink[1:-1][inner], ink[1:-1][inner - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     row = np.searchsorted(off, start, "right") - 1
-    names, which = np.unique(lang.astype(str), return_inverse=True)
+    names, which = np.unique(lang, return_inverse=True)
     h = span_hashes(plain, start, end)
     # a document's terms once each, then a language's
     order = np.lexsort((h, row))
@@ -171,8 +171,8 @@ def common_terms(post: DataFrame, blocks: int) -> DataFrame:
 
     def add_up(part: pa.Table) -> pa.Table:
         lang = part.column("lang")[0].as_py()
-        names, who = np.unique(np.asarray(part.column("source").to_pylist(), dtype=object).astype(str), return_inverse=True)
-        term = np.unique(np.asarray(part.column("term").to_pylist(), dtype=object).astype(str), return_inverse=True)[1]
+        names, who = np.unique(np.asarray(part.column("source").to_pylist(), dtype=object), return_inverse=True)
+        term = np.unique(np.asarray(part.column("term").to_pylist(), dtype=object), return_inverse=True)[1]
         order = np.lexsort((who, term))
         term, who, p, p0 = term[order], who[order], part.column("p").to_numpy()[order], part.column("p0").to_numpy()[order]
         begin, size = np.searchsorted(term, np.arange(term.max() + 1)), np.bincount(term)
