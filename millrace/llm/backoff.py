@@ -37,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.llm.store import Workspace
-from millrace.llm.text import Words, bytes_of, map_texts, mix
+from millrace.llm.text import Words, bytes_of, chunks, map_texts, mix
 from millrace.session import table
 
 U64 = np.uint64
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20  # some 150 MB of a worker's arrays while its n-grams are sorted
 BUCKET_BYTES = 4 << 20  # of text whose n-grams a bucket has on average
 MIN_BUCKETS = 256  # so that the first byte of a hash is known from its bucket
 RUN = 512  # tokens of one run of the traversal
@@ -109,13 +109,17 @@ class Grams:
     @classmethod
     def of(cls, text: pa.Array) -> "Grams":
         data, off = bytes_of(text)
-        words = Words(data, off, lower=True)
-        rows, n = len(text), np.diff(words.ptr)
-        ptr = words.ptr + np.arange(rows + 1)
+        hashes, sizes = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+        for i, j in chunks(off):
+            words = Words(data[off[i] : off[j]], off[i : j + 1] - off[i], lower=True)
+            hashes.append(words.hashes())
+            sizes.append(np.diff(words.ptr))
+        n = np.concatenate(sizes)
+        ptr = np.concatenate([[0], np.cumsum(n + 1)])
         own = np.empty(int(ptr[-1]), dtype=np.uint64)
         last = np.zeros(len(own), dtype=bool)
         last[ptr[1:] - 1] = True
-        own[~last], own[last] = words.hashes(), END
+        own[~last], own[last] = np.concatenate(hashes), END
         before = np.empty_like(own)
         before[1:] = own[:-1]
         before[ptr[:-1]] = START
@@ -125,8 +129,9 @@ class Grams:
         pairs = _joined(before, own)
         triples = _joined(_joined(two, before), own)[third]
         every = np.concatenate([[_kind(START, 0)], _kind(own, 1), _kind(pairs, 2), _kind(triples, 3)])
-        keys, place = np.unique(every, return_inverse=True)
         m, triple = len(own), np.full(len(own), -1)
+        del hashes, own, before, two, pairs, triples
+        keys, place = np.unique(every, return_inverse=True)
         triple[third] = place[1 + 2 * m :]
         return cls(ptr, keys, place[1 : 1 + m], place[1 + m : 1 + 2 * m], triple, int(place[0]))
 
@@ -154,12 +159,23 @@ def planes(values: np.ndarray, width: int) -> bytes:
 
 
 def values(packed: bytes, width: int) -> np.ndarray:
+    """What ``planes`` wrote."""
     n = len(packed) // width
     out = np.zeros((n, 8), dtype=np.uint8)
     out[:, :width] = np.frombuffer(packed, dtype=np.uint8).reshape(width, n).T
     return out.view("<u8").reshape(n)
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts in planes, as many as the largest needs; their number comes first."""
+    width = max(1, (int(counts.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + planes(counts, width)
+
+
+def counts_of(packed: bytes) -> np.ndarray:
+    return values(packed[1:], packed[0]).astype(np.int64)
+
+
 def requests(stored: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block, hashes, counts): what every block asks of every bucket."""
     bits = buckets.bit_length() - 1
@@ -171,7 +187,7 @@ def requests(stored: DataFrame, buckets: int) -> DataFrame:
                 counts = grams.counted(~np.asarray(held, dtype=bool))
                 cut = np.searchsorted(grams.keys >> U64(64 - bits), np.arange(buckets + 1, dtype=np.uint64))
                 some = np.flatnonzero(np.diff(cut))
-                parts = [(planes(grams.keys[cut[b] : cut[b + 1]], 7), planes(counts[cut[b] : cut[b + 1]], 8)) for b in some]
+                parts = [(planes(grams.keys[cut[b] : cut[b + 1]], 7), packed_counts(counts[cut[b] : cut[b + 1]])) for b in some]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), batch.column(0)[r].as_py(), dtype=np.int64)), pa.array([h for h, _ in parts], pa.binary()), pa.array([c for _, c in parts], pa.binary())],
                     names=["bucket", "block", "hashes", "counts"],
@@ -189,9 +205,9 @@ def answers(asked: DataFrame, buckets: int) -> DataFrame:
         keys = [values(h, 7) | U64((bucket >> shift) << 56) for h in part.column("hashes").to_pylist()]
         own, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros(len(own), dtype=np.int64)
-        np.add.at(total, place, np.concatenate([values(c, 8) for c in part.column("counts").to_pylist()]).astype(np.int64))
+        np.add.at(total, place, np.concatenate([counts_of(c) for c in part.column("counts").to_pylist()]))
         ends = np.cumsum([0, *map(len, keys)])
-        replies = [planes(total[place[a:b]], 8) for a, b in zip(ends[:-1], ends[1:])]
+        replies = [packed_counts(total[place[a:b]]) for a, b in zip(ends[:-1], ends[1:])]
         kind, seen = own & U64(KINDS - 1), total > 0
         of = lambda k: int((seen & (kind == k)).sum())
         sums = [int(total[kind == 1].sum()), of(1), of(2), of(3)]
@@ -319,7 +335,7 @@ def scores(stored: DataFrame, answered: DataFrame, model: Model) -> DataFrame:
             grams = Grams.of(text)
             order = np.argsort(right.column("bucket").to_numpy(), kind="stable")
             replies = right.column("counts").to_pylist()
-            count = np.concatenate([values(replies[i], 8) for i in order]).astype(np.int64)
+            count = np.concatenate([counts_of(replies[i]) for i in order])
             auto = Automaton(grams, count, model)
             gain, n = auto.traverse(grams.ptr), np.diff(grams.ptr)
             total = lambda x: np.add.reduceat(x, grams.ptr[:-1])  # noqa: E731  every row has a token
