@@ -94,6 +94,7 @@ def test_scores_without_training_and_on_no_rows(spark, odd_docs, no_docs):
 
 def test_planes_of_counts_round_trip():
     x = np.random.default_rng(1).integers(0, 1 << 56, 1000, dtype=np.uint64)
+    assert (backoff.counts_of(backoff.packed_counts(x >> np.uint64(9))) == x >> np.uint64(9)).all() and len(backoff.counts_of(backoff.packed_counts(x[:0]))) == 0
     assert (backoff.values(backoff.planes(x, 7), 7) == x).all() and len(backoff.values(b"", 7)) == 0
 
 
