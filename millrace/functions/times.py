@@ -23,30 +23,30 @@ def stamp_parts(raw: Column) -> dict[str, Column]:
     }
 
 
-def with_wall_ms(df: DataFrame, raw: str, keys: list[str], order: str, assumed_year: int) -> DataFrame:
+def with_wall_ms(df: DataFrame, raw: str, keys: list[str], order: str, assumed_year: int, falls: DataFrame | None = None) -> DataFrame:
     """``df`` with wall_ms (local wall clock since 1970) and offset_min.
 
-    A stamp without a year gets the assumed one, plus one for every time the month fell along the order.
-    Where it fell is found on keys, order and month of the rows without a year alone; rows look their years up.
+    A stamp without a year gets the assumed one, plus one for every time the month fell along the order. Where it
+    fell is found on keys, order and month of the rows without a year alone, or told by ``falls`` (keys, _falls).
     """
     p = df.withColumns({f"_{k}": c for k, c in stamp_parts(F.col(raw)).items()})
-    bare = df.select(*keys, order, stamp_parts(F.col(raw))["month"].alias("_month"), stamp_parts(F.col(raw))["year"].alias("_year")).filter("_year IS NULL AND _month IS NOT NULL")
-    w = W.partitionBy(*keys).orderBy(order)
-    falls = bare.withColumn("_last", F.lag("_month").over(w)).filter("_month < _last").groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("_falls"))
-    p = with_few(p, falls, keys)
+    p = with_few(p, _falls(df, raw, keys, order) if falls is None else falls, keys)
     roll = F.coalesce(F.size(F.filter("_falls", lambda r: r <= F.col(order))), F.lit(0))
-    day = F.make_date(F.coalesce("_year", F.lit(assumed_year) + F.when(F.col("_falls").isNull(), 0).otherwise(roll)), "_month", "_day")
+    year = F.coalesce("_year", F.lit(assumed_year) + F.when(F.col("_falls").isNull(), 0).otherwise(roll))
+    day = F.try_to_date(F.format_string("%04d-%02d-%02d", year, "_month", "_day"))  # null for a day that does not exist
     wall = F.unix_date(day).cast("long") * 86_400_000 + F.col("_day_ms")
     return p.withColumns({"wall_ms": wall, "offset_min": F.col("_offset_min")}).drop(*(f"_{k}" for k in ("month", "day", "year", "day_ms", "offset_min", "falls")))
 
 
-FEW = 100_000  # rows of a look-up that may be broadcast; they are counted
+def _falls(df: DataFrame, raw: str, keys: list[str], order: str) -> DataFrame:
+    bare = df.select(*keys, order, stamp_parts(F.col(raw))["month"].alias("_month"), stamp_parts(F.col(raw))["year"].alias("_year")).filter("_year IS NULL AND _month IS NOT NULL")
+    w = W.partitionBy(*keys).orderBy(order)
+    return bare.withColumn("_last", F.lag("_month").over(w)).filter("_month < _last").groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("_falls"))
+
+
+FEW = 2_000_000  # rows of a look-up that may be broadcast; they are counted
 
 
 def with_few(df: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` left joined with a look-up of mostly few rows: none leaves ``df`` unshuffled, up to FEW are broadcast, more joined by a shuffle."""
-    spark = df.sparkSession
-    rows = few.limit(FEW + 1).collect()
-    if len(rows) > FEW:
-        return df.join(few, keys, "left")
-    return df.join(F.broadcast(spark.createDataFrame(rows, few.schema)), keys, "left")
+    """``df`` left joined with a look-up of mostly few rows, best a stored one: up to FEW are broadcast, more joined by a shuffle."""
+    return df.join(F.broadcast(few) if few.limit(FEW + 1).count() <= FEW else few, keys, "left")

@@ -1,52 +1,16 @@
-"""Fitting and matching: robust planar fits, one-to-one assignment and interval lanes.
+"""Matching, shapes and lanes: one-to-one assignment, polygons and interval colouring.
 
-These work on one group (a run's floor, a timeline) of at most a few hundred points, so they are
-plain functions for ``applyInPandas``; ``fit_groups`` shows the use.
+The functions work on one group (a pull, a timeline) of at most a few hundred points; ``with_lanes`` and ``shapes``
+apply them to the groups of a table.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-
-MIN_SCALE, MAX_SCALE, MAX_TILT, REFINES = 0.2, 6.0, 0.15, 3
-
-
-class Mulberry32:
-    """The 32-bit generator of that name: the same seeds give the same fits everywhere."""
-
-    def __init__(self, seed: int):
-        self.state = seed & 0xFFFFFFFF
-
-    def random(self) -> float:
-        self.state = (self.state + 0x6D2B79F5) & 0xFFFFFFFF
-        t = self.state
-        t = ((t ^ (t >> 15)) * (t | 1)) & 0xFFFFFFFF
-        t ^= (t + (((t ^ (t >> 7)) * (t | 61)) & 0xFFFFFFFF)) & 0xFFFFFFFF
-        return ((t ^ (t >> 14)) & 0xFFFFFFFF) / 4294967296
-
-
-def least_squares(a: np.ndarray, b: np.ndarray) -> tuple[complex, complex]:
-    """Scale-and-turn and offset (complex) that map points a to b best."""
-    ca, cb = a.mean(), b.mean()
-    spread = (np.abs(a - ca) ** 2).sum()
-    m = ((b - cb) * np.conj(a - ca)).sum() / spread if spread else 1 + 0j
-    return m, cb - m * ca
-
-
-def greedy_pairs(distance: np.ndarray, radius: float) -> list[tuple[int, int]]:
-    """One-to-one pairs within the radius, nearest first."""
-    i, j = np.nonzero(distance < radius)
-    order = np.argsort(distance[i, j], kind="stable")
-    rows, cols, out = set(), set(), []
-    for k in order:
-        if i[k] not in rows and j[k] not in cols:
-            rows.add(i[k])
-            cols.add(j[k])
-            out.append((int(i[k]), int(j[k])))
-    return out
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from millrace.operators import pieces
 
 def max_matching(edges: list[list[int]], right: int) -> list[int]:
     """For each left node its partner on the right, -1 if none; as many pairs as there can be (augmenting paths)."""
@@ -70,36 +34,24 @@ def max_matching(edges: list[list[int]], right: int) -> list[int]:
     return out
 
 
-def ransac(a: np.ndarray, b: np.ndarray, radius: float, seed: int, rounds: int = 6000, apart: float = 15.0) -> tuple[complex, complex, list[tuple[int, int]]] | None:
-    """(turn-and-scale, offset, pairs) of the map from a to b with the most one-to-one pairs within the radius.
+def bottleneck(distance: np.ndarray) -> list[tuple[int, int]]:
+    """One-to-one (row, column) pairs, as many as there can be, with the greatest distance as small as it can be; infinite ones are no pairs."""
+    steps = np.unique(distance[np.isfinite(distance)])
 
-    Two random points of each side give a map; those of odd scale or tilt are skipped; the best is
-    refined on its own pairs.
-    """
-    if len(a) < 2 or len(b) < 2:
-        return None
-    rng, best = Mulberry32(seed), None
-    pick = lambda n: int(rng.random() * n)
-    for _ in range(rounds):
-        i, j, k, l = pick(len(a)), pick(len(a)), pick(len(b)), pick(len(b))  # noqa: E741
-        if i == j or k == l or abs(a[i] - a[j]) < apart:
-            continue
-        m = (b[k] - b[l]) / (a[i] - a[j])
-        if not MIN_SCALE < m.real < MAX_SCALE or abs(m.imag) > MAX_TILT * m.real:
-            continue
-        near = (np.abs((m * a + b[k] - m * a[i])[:, None] - b[None, :]) < radius).any(axis=1).sum()
-        if best is None or near > best[0]:
-            best = (near, m, b[k] - m * a[i])
-    if best is None:
-        return None
-    _, m, t = best
-    pairs = []
-    for _ in range(REFINES):
-        pairs = greedy_pairs(np.abs((m * a + t)[:, None] - b[None, :]), radius)
-        if len(pairs) < 2:
-            break
-        m, t = least_squares(a[[p for p, _ in pairs]], b[[q for _, q in pairs]])
-    return m, t, pairs
+    def within(limit: float) -> list[int]:
+        return max_matching([np.flatnonzero(row <= limit)[np.argsort(row[row <= limit], kind="stable")].tolist() for row in distance], distance.shape[1])
+
+    if not len(steps):
+        return []
+    low, high = 0, len(steps) - 1
+    most = sum(j >= 0 for j in within(steps[high]))
+    while low < high:
+        middle = (low + high) // 2
+        if sum(j >= 0 for j in within(steps[middle])) == most:
+            high = middle
+        else:
+            low = middle + 1
+    return [(i, j) for i, j in enumerate(within(steps[low])) if j >= 0]
 
 
 def lanes(spans: list[tuple[float, float]]) -> list[int]:
@@ -161,16 +113,50 @@ def inside(polygon: list[tuple[float, float]], x: float, y: float) -> bool:
     return hit
 
 
-def fit_groups(kills: DataFrame, spawns: DataFrame, keys: list[str], radius: float = 12.0, seed: int = 1) -> DataFrame:
-    """(keys, re, im, dx, dy, matched) of the fit of each group's kills (x, y) to its spawns (x, y)."""
+# operators
+
+
+def with_lanes(spans: DataFrame, keys: list[str], start: str, end: str, order: str) -> DataFrame:
+    """``spans`` with ``lane``: of each key's spans, walked by start, the lowest lane whose last span has ended.
+
+    A key's spans are cut where no earlier one reaches: all lanes are free there, so the stretches between are coloured side by side.
+    """
+    schema = T.StructType([*(f for f in spans.schema.fields if f.name != "lane"), T.StructField("lane", T.IntegerType())])
+    cut = pieces.with_pieces(spans.drop("lane"), keys, start, [start, end, order], 0, reach=end)
+
+    def colour(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([start, end, order], kind="stable")
+        return rows.assign(lane=np.array(lanes(list(zip(rows[start], rows[end], strict=True))), dtype=np.int32))[schema.fieldNames()]
 
-    def fit(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = ransac(a["x"].to_numpy() + 1j * a["y"].to_numpy(), b["x"].to_numpy() + 1j * b["y"].to_numpy(), radius, seed) if len(a) and len(b) else None
-        if not found:
-            return pd.DataFrame(columns=[*keys, "re", "im", "dx", "dy", "matched"])
-        m, t, pairs = found
-        return pd.DataFrame([[*a[keys].iloc[0], m.real, m.imag, t.real, t.imag, len(pairs)]], columns=[*keys, "re", "im", "dx", "dy", "matched"])
+    return cut.groupBy(*keys, pieces.PIECE).applyInPandas(colour, schema)
 
-    types = {f.name: f.dataType.simpleString() for f in kills.schema.fields}
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "re double, im double, dx double, dy double, matched long"])
-    return kills.groupBy(*keys).cogroup(spawns.groupBy(*keys)).applyInPandas(fit, schema)
+
+SHAPE = "points int, hull array<struct<x:double,y:double>>, inflated array<struct<x:double,y:double>>, cx double, cy double, area double"
+
+
+def shapes(members: DataFrame, keys: list[str], by: float, x: str = "x", y: str = "y") -> DataFrame:
+    """Per key: its distinct points' hull, the hull moved out by so much, its centre and area.
+
+    A hull's corners are corners of the hulls of its parts: each task passes on the hulls of what it has seen, and a key's hulls
+    are merged in one task.
+    """
+    types = {f.name: f.dataType for f in members.schema.fields}
+    part = T.StructType([*(T.StructField(k, types[k]) for k in keys), T.StructField("n", T.LongType()), T.StructField("px", T.ArrayType(T.DoubleType())), T.StructField("py", T.ArrayType(T.DoubleType()))])
+    known = members.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+
+    def partial(batches):
+        for rows in batches:
+            out = []
+            for k, g in rows.groupby(keys, dropna=False, sort=False):
+                hull = convex_hull(list(zip(g["x"].tolist(), g["y"].tolist(), strict=True)))
+                out.append([*k, len(g), [p[0] for p in hull], [p[1] for p in hull]])
+            yield pd.DataFrame(out, columns=part.fieldNames())
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        hull = convex_hull([p for xs, ys in zip(rows["px"], rows["py"], strict=True) for p in zip(xs, ys, strict=True)])
+        point = lambda ps: [{"x": float(a), "y": float(b)} for a, b in ps]
+        cx, cy = centroid(hull)
+        return pd.DataFrame([[*rows[keys].iloc[0], int(rows["n"].sum()), point(hull), point(inflated(hull, by)), float(cx), float(cy), float(area(hull))]], columns=[*keys, *(c.split()[0] for c in SHAPE.split(", "))])
+
+    whole = T.StructType([*(T.StructField(k, types[k]) for k in keys), *T.StructType.fromDDL(SHAPE).fields])
+    return known.mapInPandas(partial, part).groupBy(*keys).applyInPandas(merged, whole)

@@ -5,7 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window as W
+
+from millrace.operators import pieces
+
+MAX_CHARGES = 32  # of an ability, where the table tells them
 
 
 def near(a: DataFrame, b: DataFrame, keys: list[str], ts: str, before: int, after: int) -> DataFrame:
@@ -68,45 +73,44 @@ def outcomes(presses: DataFrame, windows: DataFrame, keys: list[str], ts: str, o
 def kept_apart(df: DataFrame, keys: list[str], ts: str, order: str, least: int, change: str | None = None) -> DataFrame:
     """Rows at least ``least`` after the last *kept* row of their key (or where ``change`` differs from it).
 
-    Each decision depends on the one before, which no window expresses; a key's rows are folded in
-    one task, so keys should be as fine as sessions or actors.
+    Each decision depends on the one before, which no window expresses. A row that comes ``least`` or more after all
+    rows before it is kept whatever was kept before: a key is cut there, and its pieces are folded side by side.
     """
     cols = [f.name for f in df.schema.fields]
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
         keep, last, place = [], None, None
-        marks = rows[change] if change else [None] * len(rows)
-        for t, m in zip(rows[ts], marks, strict=True):
+        marks = rows[change].tolist() if change else [None] * len(rows)
+        for t, m in zip(rows[ts].tolist(), marks, strict=True):
             take = last is None or t - last >= least or (change is not None and m != place)
             keep.append(take)
             if take:
                 last, place = t, m
         return rows[keep][cols]
 
-    return df.groupBy(*keys).applyInPandas(fold, df.schema)
+    return pieces.with_pieces(df, keys, ts, order, least).groupBy(*keys, pieces.PIECE).applyInPandas(fold, df.schema)
 
 
 def charge_clock(uses: DataFrame, keys: list[str], ts: str, order: str, recovery: int | str, charges: int | str) -> DataFrame:
-    """Each use with ``ready_at``, when a charge is next available after it; ``recovery`` and ``charges`` are numbers or columns.
+    """Each use with ``ready_at``, when a charge is next available after it; ``recovery`` and ``charges`` are numbers or columns, one value a key.
 
-    Charges recover one at a time: a recovery starts when the one before is done.
+    Charges recover one at a time, so the i-th spent one is back at b(i) = max(t(i), b(i - 1)) + recovery, which is
+    i * recovery + the greatest t(j) - (j - 1) * recovery of j up to i. After use i a charge is there once the use
+    ``charges`` - 1 before it is back. Windows sort and spill; no key's rows are held.
     """
-    schema = T.StructType([*uses.schema.fields, T.StructField("ready_at", T.LongType())])
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        wait = int(rows[recovery].iloc[0]) if isinstance(recovery, str) else recovery
-        held = int(rows[charges].iloc[0]) if isinstance(charges, str) else charges
-        back: list[int] = []  # times at which spent charges return, ascending
-        out = []
-        for t in rows[ts]:
-            back = [b for b in back if b > t]
-            back.append(max(t, back[-1] if back else t) + wait)
-            out.append(int(t) if len(back) < held else int(back[len(back) - held]))
-        return rows.assign(ready_at=out)
-
-    return uses.groupBy(*keys).applyInPandas(fold, schema)
+    wait, held = (F.col(c) if isinstance(c, str) else F.lit(c) for c in (recovery, charges))
+    w = W.partitionBy(*keys).orderBy(order)
+    rows = uses.withColumns({"_i": F.row_number().over(w), "_wait": wait.cast("long"), "_held": F.greatest(held.cast("int"), F.lit(1))})
+    rows = rows.withColumn("_back", F.col("_i") * F.col("_wait") + F.max(F.col(ts) - (F.col("_i") - 1) * F.col("_wait")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    most = charges if isinstance(charges, int) else None
+    if most:
+        due = F.lag("_back", max(most, 1) - 1).over(w)
+    else:  # as many charges as the key has: the use that many places before, met by its number
+        due = F.element_at(F.collect_list("_back").over(w.rowsBetween(-MAX_CHARGES + 1, 0)), -F.col("_held"))
+        due = F.when(F.col("_i") >= F.col("_held"), due)
+    ready = F.greatest(F.col(ts), F.coalesce(due, F.col(ts))).cast("long")
+    return rows.withColumn("ready_at", ready).drop("_i", "_wait", "_held", "_back")
 
 
 def folded(df: DataFrame, keys: list[str], order: str, step: Callable, state: Callable, schema: str) -> DataFrame:
@@ -133,11 +137,3 @@ def claimed_fifo(waiting: DataFrame, offers: DataFrame, keys: list[str], ts: str
         return (queue[1:], [(queue[0][1], row[order])]) if queue else (queue, [])
 
     return folded(rows, keys, order, step, list, "waiting long, offer long")
-
-
-def anti_join_keys(rows: DataFrame, taken: DataFrame, on: list[str]) -> DataFrame:
-    return rows.join(taken.select(*on), on, "left_anti")
-
-
-def is_near(a: Column, b: Column, within: int) -> Column:
-    return F.abs(a - b) <= within

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
 from millrace.functions.text import ability_name
-from millrace.operators import asof, attribution, intervals, pairing, ranking, sessions
+from millrace.operators import asof, attribution, intervals, pairing, pieces, ranking, sessions
 from millrace.plans import runs as run_plan
 from millrace.session import discard, scratch, stored
-from millrace.sources import log
+from millrace.sources import decoder, log
 
 #: The code sets of the reports.
 DAMAGE_CODES = ("SPELL_DAMAGE", "SPELL_PERIODIC_DAMAGE", "SPELL_BUILDING_DAMAGE", "RANGE_DAMAGE", "SWING_DAMAGE", "DAMAGE_SHIELD", "DAMAGE_SPLIT")
@@ -44,7 +44,7 @@ def checked_small(dim: DataFrame) -> DataFrame:
 class Context:
     """Tables of one set of runs; ``events`` has run_id, ts, src_root, dst_root, src_ours and dst_ours.
 
-    ``row`` orders a file's rows and tells rows apart over all files (see ``log.numbered``).
+    ``row`` orders a file's rows and tells rows apart over all files (see ``decoder.settled``).
     """
 
     events: DataFrame
@@ -62,10 +62,10 @@ def supported(events: DataFrame) -> DataFrame:
     between: same sides and spell, at most 2 ms earlier, equal amount. Its carrier is the nearest plain
     row of the same sides among the eight before.
     """
-    w = W.partitionBy("file_id").orderBy("row")
+    w = W.partitionBy("file_id", pieces.BLOCK).orderBy("row")
     same = ("src", "dst", "spell_id", "amount")
     ahead = F.struct(*same, "wall_ms", "support", "supporter", "code")
-    e = events.withColumns({"_1": F.lead(ahead, 1).over(w), "_2": F.lead(ahead, 2).over(w)})
+    e = pieces.with_halo(events, ["file_id"], "row", CARRIER_ROWS, 2).withColumns({"_1": F.lead(ahead, 1).over(w), "_2": F.lead(ahead, 2).over(w)})
 
     def doubles(later: str, ms: Column, fields) -> Column:
         """Whether the row ``later`` ahead is the support row of one with these fields."""
@@ -80,7 +80,7 @@ def supported(events: DataFrame) -> DataFrame:
     far = between & doubles("_2", F.col("wall_ms"), [F.col(c) for c in same]) & (F.col("amount") == 0)
     claimed = F.when(~F.col("support") & near, F.col("_1.supporter")).when(~F.col("support") & far, F.col("_2.supporter"))
     plain = F.last(F.when(~F.col("support"), F.struct("src", "dst", "wall_ms", "spell_id")), ignorenulls=True).over(w.rowsBetween(-CARRIER_ROWS, -1))
-    e = e.withColumns({"_claimed": claimed, "_c": plain})
+    e = e.withColumns({"_claimed": claimed, "_c": plain}).filter(~F.col(pieces.HALO)).drop(pieces.HALO, pieces.BLOCK)
     carrier = F.col("support") & (F.col("_c.src") == F.col("src")) & (F.col("_c.dst") == F.col("dst")) & (F.col("wall_ms") - F.col("_c.wall_ms") <= SUPPORT_MS)
     return e.withColumns({"twinned": F.coalesce(F.col("_claimed").isNotNull(), F.lit(False)), "supporter": F.coalesce("_claimed", "supporter"), "extra_spell_id": F.when(carrier, F.col("_c.spell_id")).otherwise(F.col("extra_spell_id"))}).drop("_1", "_2", "_claimed", "_c")
 
@@ -89,26 +89,36 @@ def with_orphan_sources(events: DataFrame) -> DataFrame:
     """Absorbs without a source take that of the first later attack on the same target with the same spell within 100 ms."""
     soaked = events.filter("code = 'SPELL_ABSORBED' AND src IS NULL").select("file_id", F.col("dst").alias("t"), F.col("spell_id").alias("s"), "wall_ms", "row")
     attack = events.filter("src IS NOT NULL AND dst IS NOT NULL").filter(F.col("code").isin(*DAMAGE_CODES, *log.MISS)).select("file_id", F.col("dst").alias("t"), F.col("spell_id").alias("s"), "wall_ms", "row")
-    claims = pairing.claimed_fifo(soaked, attack, ["file_id", "t", "s"], "wall_ms", "row", ORPHAN_MS)
+    # only attacks soon after such an absorb can tell its source: few rows reach the fold
+    hit = pairing.near(soaked, attack, ["file_id", "t", "s"], "wall_ms", ORPHAN_MS, ORPHAN_MS).filter("b.row > a.row").select("b.row").distinct()
+    claims = pairing.claimed_fifo(soaked, attack.join(hit, "row", "left_semi"), ["file_id", "t", "s"], "wall_ms", "row", ORPHAN_MS)
     who = claims.join(events.select(F.col("row").alias("offer"), F.col("src").alias("_src")), "offer").select(F.col("waiting").alias("row"), "_src")
     return events.join(who, "row", "left").withColumn("src", F.coalesce("src", "_src")).drop("_src")
 
 
-def open_log(spark: SparkSession, lines: DataFrame, assumed_year: int = 2024, folder: str | None = None, raids: bool = True) -> Context:
-    """Lines to the tables of their runs, with or without raid pulls. Each stage is written below ``folder`` once, as the reports read it many times."""
+def open_log(spark: SparkSession, lines: DataFrame | str | list[str], assumed_year: int = 2024, folder: str | None = None, raids: bool = True) -> Context:
+    """Lines (file_id, row, line), or the log files at a path, to the tables of their runs, with or without raid pulls.
+
+    Each stage is written below ``folder`` once, as the reports read it many times.
+    """
     at = folder or scratch(spark)
-    t = stored(log.tokens(log.numbered(lines), assumed_year), at, "tokens")
-    control, decoded = stored(log.controls(t), at, "controls"), stored(supported(with_orphan_sources(log.decode(t))), at, "decoded")
-    run = run_plan.runs(control, t.groupBy("file_id").agg(F.max("wall_ms").alias("wall_ms")))
+    whole = isinstance(lines, DataFrame)
+    source = decoder.lines_from_rows(lines) if whole else decoder.lines_of(spark, lines)
+    met = stored(decoder.survey(source), at, "survey")
+    places = stored(decoder.settled(met, numbered=whole), at, "places")
+    told = stored(decoder.told_lines(met, places, assumed_year), at, "told")
+    control, decoded = stored(log.controls(told), at, "controls"), stored(supported(with_orphan_sources(stored(decoder.decoded(source, places, assumed_year), at, "plain"))), at, "decoded")
+    discard(spark, f"{at}/plain")
+    run = run_plan.runs(control, told.groupBy("file_id").agg(F.max("wall_ms").alias("wall_ms")))
     run = stored(run if raids else run.filter("kind <> 'raid'"), at, "runs")
     actor = stored(log.actors(decoded), at, "actors")
     root = stored(log.owners(decoded, actor), at, "roots")
     member = stored(run_plan.party(control, run), at, "party")
     e = run_plan.in_runs(decoded, run)
+    roots, ours = checked_small(root), checked_small(member.select("run_id", "guid"))
     for side in ("src", "dst"):
-        r = root.select("file_id", F.col("guid").alias(side), F.col("root").alias(f"{side}_root"))
-        ours = member.select("run_id", F.col("guid").alias(f"{side}_root"), F.lit(True).alias(f"{side}_ours"))
-        e = e.join(r, ["file_id", side], "left").join(ours, ["run_id", f"{side}_root"], "left").withColumn(f"{side}_ours", F.coalesce(f"{side}_ours", F.lit(False)))
+        e = e.join(roots.select("file_id", F.col("guid").alias(side), F.col("root").alias(f"{side}_root")), ["file_id", side], "left")
+        e = e.join(ours.select("run_id", F.col("guid").alias(f"{side}_root"), F.lit(True).alias(f"{side}_ours")), ["run_id", f"{side}_root"], "left").withColumn(f"{side}_ours", F.coalesce(f"{side}_ours", F.lit(False)))
     return Context(stored(e, at, "events"), run, member, actor, stored(log.spells(decoded), at, "spells"), control)
 
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from millrace.operators import pieces
+
 ABANDON_MS = 60_000
 PRE_PULL_MS = 30_000
 RAID_DIFFICULTIES = (14, 15, 16, 17)  # fixed values of the log format
@@ -90,21 +92,26 @@ def runs(control: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     return found.withColumn("run_id", F.concat_ws("#", "file_id", F.col("n").cast("string")))
 
 
+def _within(events: DataFrame, spans: DataFrame) -> DataFrame:
+    """Events joined with the spans (file_id, first, last, ...) that hold their row, the ends apart: an equi-join on blocks of rows, no file's rows together."""
+    block = lambda c: F.floor(F.col(c) / pieces.BLOCK_ROWS)
+    cut = spans.withColumn(pieces.BLOCK, F.explode(F.sequence(block("first"), block("last"))))
+    both = events.withColumn(pieces.BLOCK, block("row")).join(cut, ["file_id", pieces.BLOCK])
+    return both.filter("row > first AND row < last").select(*(events[c] for c in events.columns), *(spans[c] for c in spans.columns if c not in ("file_id", "first", "last")))
+
+
 def in_runs(events: DataFrame, run: DataFrame) -> DataFrame:
-    """Events inside a run, with run_id and ts (ms since its start). Runs of a file do not overlap: an as-of look-up by row."""
-    starts = run.select("file_id", F.col("start_row").alias("row"), F.struct("run_id", "start_row", "end_row", "start_ms").alias("_run"))
-    both = events.withColumn("_e", F.lit(True)).unionByName(starts, allowMissingColumns=True)
-    seen = F.last("_run", ignorenulls=True).over(W.partitionBy("file_id").orderBy("row", F.col("_e").isNotNull()).rowsBetween(W.unboundedPreceding, 0))
-    held = both.withColumn("_run", seen).filter("_e AND row > _run.start_row AND row < _run.end_row")
-    return held.withColumns({"run_id": F.col("_run.run_id"), "ts": F.col("wall_ms") - F.col("_run.start_ms")}).drop("_e", "_run")
+    """Events inside a run, with run_id and ts (ms since its start). Runs of a file do not overlap."""
+    spans = run.select("file_id", F.col("start_row").alias("first"), F.col("end_row").alias("last"), F.col("run_id").alias("_run_id"), F.col("start_ms").alias("_start_ms"))
+    return _within(events.drop("run_id", "ts"), spans).withColumns({"run_id": F.col("_run_id"), "ts": F.col("wall_ms") - F.col("_start_ms")}).drop("_run_id", "_start_ms")
 
 
 def _in_raid_zone(events: DataFrame, control: DataFrame) -> DataFrame:
     """Events whose last change of zone was into a raid."""
-    zones = control.filter("name = 'ZONE_CHANGE'").select("file_id", "row", F.col("difficulty").isin(*RAID_DIFFICULTIES).alias("_raid"))
-    both = events.withColumn("_e", F.lit(True)).unionByName(zones, allowMissingColumns=True)
-    here = F.last("_raid", ignorenulls=True).over(W.partitionBy("file_id").orderBy("row").rowsBetween(W.unboundedPreceding, 0))
-    return both.withColumn("_raid", here).filter("_e AND _raid").drop("_e", "_raid")
+    zones = control.filter("name = 'ZONE_CHANGE'").select("file_id", F.col("row").alias("first"), F.lead("row").over(W.partitionBy("file_id").orderBy("row")).alias("next"), "difficulty")
+    ends = events.groupBy("file_id").agg((F.max("row") + 1).alias("end"))
+    spans = zones.filter(F.col("difficulty").isin(*RAID_DIFFICULTIES)).join(ends, "file_id").select("file_id", "first", F.greatest("first", F.coalesce("next", "end")).alias("last"))
+    return _within(events, spans)
 
 
 def before_pulls(events: DataFrame, run: DataFrame, control: DataFrame | None = None) -> DataFrame:

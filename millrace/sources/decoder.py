@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.window import Window as W
 
 from millrace.functions import spans
 from millrace.functions.text import FIELD
@@ -32,6 +33,7 @@ from millrace.functions.times import STAMP, with_few
 from millrace.sources import log
 
 BATCH_BYTES = 8 << 20
+LEAP_YEAR = 2024  # any: all dates exist in it
 HEAD = 40  # bytes that a stamp and the two blanks after it fit into
 _FIELD, _STAMP, _DOTTED, _GUID, _NAME = re.compile(FIELD), re.compile(STAMP), re.compile(r"-?[0-9]+\.[0-9]+"), re.compile(log.GUID), re.compile(r"[A-Z_0-9]+")
 GUIDS = tuple(x.encode() + b"-" for x in ("Player", "Creature", "Pet", "Vehicle", "GameObject", "Vignette", "Item", "Corpse", "BattlePet", "ClientActor"))
@@ -240,6 +242,11 @@ def _summary(run: pa.RecordBatch) -> Iterator[dict]:
     is_control = control[found.which] if len(control) else np.zeros(0, dtype=bool)
     for i in np.flatnonzero(is_control):
         yield base | {"n": int(n[i]), "line": run.column(3)[int(found.at[i])].as_py()}
+    if len(n):  # the run's last time may end a run of the log; its line is told as well
+        ms, real = wall_ms(found, np.cumsum(np.append(False, found.month[1:] < found.month[:-1])), LEAP_YEAR)
+        last = int(np.where(real, ms, np.iinfo(np.int64).min).argmax())
+        if not is_control[last]:
+            yield base | {"n": int(n[last]), "line": run.column(3)[int(found.at[last])].as_py()}
     commas = np.concatenate([[0], np.cumsum(found.data == 44)])
     fields = commas[found.end] - commas[found.stop]  # no fewer than there are
     parse = lambda i: (_fields(found.text(i).partition(",")[2]), found.names[found.which[i]])
@@ -298,7 +305,24 @@ def settled(runs: DataFrame, numbered: bool) -> DataFrame:
             "width_row": at, "width": width, "slot_row": slot_row, "slot": slot, "falls": [int(f) for f in falls],
         } for p in lines.index]).astype({"width_row": "Int64", "width": "Int32", "slot_row": "Int64", "slot": "Int32"})
 
-    return runs.filter("line IS NULL").groupBy("file_id").applyInPandas(merge, PLACE)
+    found = runs.filter("line IS NULL").groupBy("file_id").applyInPandas(merge, PLACE)
+    # rows are told apart over all files: the file's place in the order of names, from 0, in the upper bits
+    files = runs.select("file_id").distinct()
+    high = F.shiftleft("_file", log.FILE_BITS)
+    found = found.join(files.withColumn("_file", (F.row_number().over(W.orderBy("file_id")) - 1).cast("long")), "file_id")
+    return found.withColumns({"base": F.col("base") + high, "width_row": F.col("width_row") + high, "slot_row": F.col("slot_row") + high, "falls": F.transform("falls", lambda r: r + high)}).drop("_file")
+
+
+def placed(lines: DataFrame, places: DataFrame) -> DataFrame:
+    """Lines with ``row`` and what ``places`` tells of their part. Parts are few: their table is broadcast up to a checked size."""
+    return with_few(lines, places, ["file_id", "part"]).withColumn("row", F.col("n") - F.col("first") + F.col("base"))
+
+
+def told_lines(runs: DataFrame, places: DataFrame, assumed_year: int = 2024) -> DataFrame:
+    """The tokens of a log's control lines, and of each run's last line by its clock."""
+    falls = places.select("file_id", F.when(F.size("falls") > 0, F.col("falls")).alias("_falls")).filter("_falls IS NOT NULL").dropDuplicates(["file_id"])
+    lines = placed(runs.filter("line IS NOT NULL").select("file_id", "part", "n", "line"), places)
+    return log.tokens(lines.select("file_id", "row", F.regexp_replace("line", "\r$", "").alias("line")), assumed_year, falls)
 
 
 # the second scan
@@ -479,10 +503,8 @@ EVENT = T.StructType([T.StructField("file_id", T.StringType())] + [T.StructField
 
 
 def decoded(lines: DataFrame, places: DataFrame, assumed_year: int = 2024) -> DataFrame:
-    """The typed event table of lines whose parts are told by ``places``. Parts are few: their table is broadcast up to a checked size."""
-    joined = with_few(lines, places, ["file_id", "part"])
-    row = (F.col("n") - F.col("first") + F.col("base")).alias("row")
-    joined = joined.select("file_id", "part", row, "line", "width_row", "width", "slot_row", "slot", "falls")
+    """The typed event table of lines whose parts are told by ``places``."""
+    joined = placed(lines, places).select("file_id", "part", "row", "line", "width_row", "width", "slot_row", "slot", "falls")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -57,7 +57,7 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     raw = raw.select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("_block"), F.regexp_replace("value", "\r$", "").alias("line"), F.monotonically_increasing_id().alias("_n"))
     blocks = raw.groupBy("file_id", "_block").agg(F.count("*").alias("_lines"), F.min("_n").alias("_first"))
     base = F.sum("_lines").over(W.partitionBy("file_id").orderBy("_block")) - F.col("_lines")
-    out = raw.join(blocks.withColumn("_base", base), ["file_id", "_block"])
+    out = with_few(raw, blocks.withColumn("_base", base), ["file_id", "_block"])
     return out.select("file_id", (F.col("_base") + F.col("_n") - F.col("_first") + 1).alias("row"), "line").filter("line <> ''")
 
 
@@ -73,14 +73,17 @@ def numbered(lines: DataFrame) -> DataFrame:
     """
     files = lines.select("file_id").distinct()
     place = (F.row_number().over(W.orderBy("file_id")) - 1).cast("long")
-    return lines.join(files.withColumn("_file", place), "file_id").withColumn("row", F.shiftleft("_file", FILE_BITS) + F.col("row")).drop("_file")
+    return with_few(lines, files.withColumn("_file", place), ["file_id"]).withColumn("row", F.shiftleft("_file", FILE_BITS) + F.col("row")).drop("_file")
 
 
-def tokens(lines: DataFrame, assumed_year: int = 2024) -> DataFrame:
-    """(file_id, row, wall_ms, offset_min, name, f): stamp, event name and fields. Lines without a good stamp are left out."""
+def tokens(lines: DataFrame, assumed_year: int = 2024, falls: DataFrame | None = None) -> DataFrame:
+    """(file_id, row, wall_ms, offset_min, name, f): stamp, event name and fields. Lines without a good stamp are left out.
+
+    ``falls`` (file_id, _falls) tells the rows where a file's month fell, where ``lines`` are not all of its lines.
+    """
     head = r"^(\S+ \S+)  ([A-Z_0-9]+)(?:,(?s)(.*))?$"
     t = lines.select("file_id", "row", F.regexp_extract("line", head, 1).alias("_stamp"), F.regexp_extract("line", head, 2).alias("name"), F.regexp_extract("line", head, 3).alias("_body")).filter("name <> ''")
-    t = with_wall_ms(t, "_stamp", ["file_id"], "row", assumed_year).filter("wall_ms IS NOT NULL")
+    t = with_wall_ms(t, "_stamp", ["file_id"], "row", assumed_year, falls).filter("wall_ms IS NOT NULL")
     return t.withColumn("f", split_fields(F.col("_body"))).drop("_stamp", "_body")
 
 
