@@ -113,18 +113,24 @@ def texts(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.string(), len(start), [valid, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(raw)])
 
 
-def unquoted(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans without a quote at the start and the quote, if any, at the end, where there is no other quote; ``nil`` is empty."""
+def count_before(data: np.ndarray, byte: int) -> np.ndarray:
+    """How often a byte is before each position."""
+    out = np.zeros(len(data) + 1, dtype=np.int32)
+    np.cumsum(data == byte, dtype=np.int32, out=out[1:])
+    return out
+
+
+def unquoted(data: np.ndarray, start: np.ndarray, end: np.ndarray, quotes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without a quote at the start and the quote, if any, at the end, where there is no other quote; ``nil`` is empty.
+
+    ``quotes`` is ``count_before`` of quotes, for callers with several columns of one buffer.
+    """
+    quotes = count_before(data, 34) if quotes is None else quotes
     nil = equals(data, start, end, b"nil")
     opens = byte_at(data, start, end) == 34
-    some = np.flatnonzero(opens)
-    quotes = np.zeros(len(start), dtype=np.int64)
-    if len(some):
-        lo, hi = start[some].min(), end[some].max()
-        n = np.concatenate([[0], np.cumsum(data[lo:hi] == 34)])
-        quotes[some] = n[end[some] - lo] - n[start[some] - lo]
+    inside = np.where(start < 0, 0, quotes[end] - quotes[start])
     closes = opens & (end - start > 1) & (byte_at(data, end - 1, end) == 34)
-    both, one = closes & (quotes == 2), opens & (quotes == 1)
+    both, one = closes & (inside == 2), opens & (inside == 1)
     return start + (both | one), np.where(nil, start, end - both)
 
 
@@ -135,7 +141,7 @@ def truths(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """(texts, each span's place among them), for spans of few different texts; told apart by bytes where hashes meet."""
+    """(texts, each span's place among them), for short spans of few different texts: told apart by 64-bit hashes of their first _WIDEST bytes."""
     if not len(start):
         return [], np.zeros(0, dtype=np.int64)
     h = np.zeros(len(start), dtype=np.uint64)

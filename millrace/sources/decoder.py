@@ -307,9 +307,8 @@ def settled(runs: DataFrame, numbered: bool) -> DataFrame:
 
     found = runs.filter("line IS NULL").groupBy("file_id").applyInPandas(merge, PLACE)
     # rows are told apart over all files: the file's place in the order of names, from 0, in the upper bits
-    files = runs.select("file_id").distinct()
     high = F.shiftleft("_file", log.FILE_BITS)
-    found = found.join(files.withColumn("_file", (F.row_number().over(W.orderBy("file_id")) - 1).cast("long")), "file_id")
+    found = found.withColumn("_file", (F.dense_rank().over(W.orderBy("file_id")) - 1).cast("long"))  # a row a part
     return found.withColumns({"base": F.col("base") + high, "width_row": F.col("width_row") + high, "slot_row": F.col("slot_row") + high, "falls": F.transform("falls", lambda r: r + high)}).drop("_file")
 
 
@@ -336,7 +335,8 @@ class _Events:
         of = lambda values, dtype: np.array(values, dtype=dtype)[lines.which] if len(kinds) else np.zeros(0, dtype=dtype)
         prefix, support = of([k[2] for k in kinds], np.int64), of([k[1] for k in kinds], bool)
         group = lambda names: of([k[0] in names for k in kinds], bool)
-        ptr, fs, fe = _field_spans(lines)
+        self.quotes = spans.count_before(d, 34)
+        ptr, fs, fe = _field_spans(lines, self.quotes)
         n = np.diff(ptr)
         keep = np.flatnonzero(~of([x in log.CONTROL for x in lines.names], bool) & (n >= log.BASE + prefix))
         self.data, self.ptr, self.fs, self.fe, self.n = d, ptr[:-1][keep], fs, fe, n[keep]
@@ -366,7 +366,7 @@ class _Events:
 
     def text(self, i, where=None) -> pa.Array:
         start, end = self.field(i, where)
-        lo, hi = spans.unquoted(self.data, start, end)
+        lo, hi = spans.unquoted(self.data, start, end, self.quotes)
         return spans.texts(self.data, np.where(start < 0, -1, lo), np.where(start < 0, -1, hi))
 
     def whole(self, i, where=None) -> tuple[np.ndarray, np.ndarray]:
@@ -380,27 +380,25 @@ class _Events:
         return spans.truths(self.data, start, end), start >= 0
 
 
-def _field_spans(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _field_spans(lines: Lines, quotes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ptr, start, end): line r has the fields ptr[r]:ptr[r+1]. Commas in quotes or brackets do not split."""
     d, n = lines.data, len(lines.at)
     if not n:
         return np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    quotes = np.flatnonzero(d == 34)
-    before = lambda at: np.searchsorted(quotes, at)
-    first = before(lines.stop)  # quotes before each line's fields
-    line_of = lambda at: np.searchsorted(lines.stop, at, "right") - 1
-    inside = lambda at, line: (line >= 0) & (at < lines.end[line])
-    bracket = np.flatnonzero((d == 91) | (d == 40))
-    line = line_of(bracket)
-    ok = inside(bracket, line)
-    bracket, line = bracket[ok], line[ok]
+
+    def within(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, line, whether outside quotes) of those places that are in the fields of a line."""
+        lo, hi = np.searchsorted(at, lines.stop), np.searchsorted(at, lines.end)
+        size = hi - lo
+        line = np.repeat(np.arange(n), size)
+        at = at[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        return at, line, (quotes[at] - quotes[lines.stop][line]) % 2 == 0
+
+    _, line, outside = within(np.flatnonzero((d == 91) | (d == 40)))
     nested = np.zeros(n, dtype=bool)
-    nested[line[(before(bracket) - first[line]) % 2 == 0]] = True
-    comma = np.flatnonzero(d == 44)
-    line = line_of(comma)
-    ok = inside(comma, line)
-    comma, line = comma[ok], line[ok]
-    ok = ((before(comma) - first[line]) % 2 == 0) & ~nested[line]
+    nested[line[outside]] = True
+    comma, line, outside = within(np.flatnonzero(d == 44))
+    ok = outside & ~nested[line]
     comma, line = comma[ok], line[ok]
     # a field starts after each comma and ends at the next one or the line's end; an empty one at the end does not count
     start = comma + 1
