@@ -28,9 +28,10 @@ def _looked_up(df: DataFrame, small: DataFrame, keys: list[str], name: str) -> D
 
 
 def with_pieces(df: DataFrame, keys: list[str], ts: str, order: str | list[str], gap: int | Column, *, reach: str | None = None, block_ms: int = 600_000) -> DataFrame:
-    """``df`` with ``_piece``, the same for rows of a key between which no row lies ``gap`` or more after all rows before it.
+    """``df`` with ``_piece``: a key's rows cut into stretches, each beginning with a row that lies ``gap`` or more after all rows before it.
 
     At such a row whatever looks back less than the gap starts anew, so a fold by (keys, piece) equals the fold by keys.
+    There are many such rows; a piece has those of one block and all that follows them, so pieces are about as large as blocks.
     With ``reach`` a row counts as lasting until then (spans). Blocks are stretches of ``block_ms`` of ``ts``; ``order`` sorts rows.
     """
     sort, until = [order] if isinstance(order, str) else order, reach or ts
@@ -43,7 +44,7 @@ def with_pieces(df: DataFrame, keys: list[str], ts: str, order: str | list[str],
     before = F.greatest(F.max(until).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.col("_carry"))
     rows = rows.withColumn("_before", before)
     begins = F.col("_before").isNull() | (F.col(ts) - F.col("_before") >= gap)
-    rows = rows.withColumn("_begins", F.when(begins, F.struct(BLOCK, *by_time)))
+    rows = rows.withColumn("_begins", F.when(begins, F.col(BLOCK)))
     last = carried(rows.groupBy(*keys, BLOCK).agg(F.max("_begins").alias("_last")), keys, F.col("_last"), "_open", running="last")
     rows = _looked_up(rows, last, keys, "_open")
     piece = F.coalesce(F.last("_begins", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("_open"))

@@ -176,11 +176,14 @@ def _state(last: Column, died: Column, wait: Column, window: int) -> Column:
     return F.when(last.isNull(), "ready").when(last >= died - window, "pressed").when(died - last >= wait, "ready").otherwise("cooldown")
 
 
+OTHERS_ONLY = (6940, 199448, 53480, 357170)  # fixed values: defensives that cannot be put on oneself
+
+
 def ready_at_death(ctx: Context, dead: DataFrame, used: DataFrame, clocks: DataFrame, window: int = LOOKBACK_MS) -> DataFrame:
     """(run_id, row, dst, what, name, state, last_used): potion, healthstone and defensives of each victim as they stood.
 
-    A state is ready, pressed (within the window), cooldown or, for a stone, empty. A defensive that the
-    victim never used is not known and has no row; several spells of one name are one button, which is
+    A state is ready, pressed (within the window), cooldown or, for a stone, empty. A defensive that helps
+    others alone is none; one that the victim never used is not known and has no row; several spells of one name are one button, which is
     pressed or on cooldown if any of them is. A stone is listed where a warlock was about or one was used.
     """
     victim = dead.select("run_id", F.col("dst").alias("actor"), F.col("ts").alias("died"), F.col("row").alias("death"))
@@ -198,7 +201,8 @@ def ready_at_death(ctx: Context, dead: DataFrame, used: DataFrame, clocks: DataF
     base = base.join(left, ["run_id", "death"], "left").withColumn("state", _state(F.col("last_used"), F.col("died"), wait, window))
     base = base.withColumn("state", F.when((F.col("what") == "stone") & (F.col("state") == "ready") & (F.col("_left") == 0), "empty").otherwise(F.col("state")))
     base = base.select("run_id", F.col("death").alias("row"), F.col("actor").alias("dst"), "what", F.col("what").alias("name"), "state", "last_used")
-    clocked = pairing.charge_clock(used.filter("what = 'defensive'").join(checked_small(clocks.select("spell_id", "recovery_ms", "charges")), "spell_id"), ["run_id", "actor", "spell_id"], "ts", "row", "recovery_ms", "charges")
+    own = used.filter(F.col("what") == "defensive").filter(~F.col("spell_id").isin(*OTHERS_ONLY))
+    clocked = pairing.charge_clock(own.join(checked_small(clocks.select("spell_id", "recovery_ms", "charges")), "spell_id"), ["run_id", "actor", "spell_id"], "ts", "row", "recovery_ms", "charges")
     names = ctx.spells.groupBy("spell_id").agg(F.min_by("spell", "first_row").alias("name"))
     known = victim.join(clocked, ["run_id", "actor"])
     g = known.groupBy("run_id", "death", "actor", "died", "spell_id").agg(F.max(F.when(F.col("ts") <= F.col("died"), F.col("ts"))).alias("last_used"), F.max_by("ready_at", F.when(F.col("ts") <= F.col("died"), F.col("row"))).alias("ready_at"))

@@ -342,7 +342,7 @@ def presses(ctx):
 def width_drift(ctx):
     """P25: how often each event name comes, and whether it is known."""
     spark = ctx.events.sparkSession
-    sf_dir = next(k[1] for k, c in _OPEN.items() if c is ctx)
+    sf_dir = next(k[1] for k, (_, _, c) in _OPEN.items() if c is ctx)
     drift = log.width_drift(log.tokens(lines(spark, sf_dir)))
     return drift.filter("name IN ('SPELL_DAMAGE', 'SPELL_HEAL')").groupBy("name", "known").agg(F.sum("n").alias("n"))
 

@@ -246,22 +246,27 @@ def listed_by_victim(ctx: Context, dim: DataFrame) -> DataFrame:
     return told.filter(fits).select(*cols).unionByName(locked.select(*cols)).unionByName(sent_back.select(*cols))
 
 
+NO_AGGRO = (257284,)  # fixed value: the hunter's mark, put on before a pull
+
+
 def who_pulled(ctx: Context, before: DataFrame) -> DataFrame:
     """Raid pulls: each player's first contact with the encounter's enemies around the start, in order, and who began it.
 
     ``before`` has the events before the pulls (negative ts) with src_root and dst_root. Enemies are
-    those that traded blows in the first ten seconds.
+    those that traded blows in the first ten seconds. Support rows double a row and are no contact; nor is
+    a buff, or a debuff that is put on before the pull and draws no one.
     """
     raids = ctx.runs.filter("kind = 'raid'").select("run_id")
     own = ctx.events.join(raids, "run_id", "left_semi")
     party = ctx.party.select("run_id", F.col("guid").alias("actor"))
     blow = own.filter(_in(DAMAGE_CODES) & (F.col("src_ours") != F.col("dst_ours")) & (F.col("ts") <= ENCOUNTER_MS))
     enemies = blow.select("run_id", F.when(F.col("src_ours"), F.col("dst")).otherwise(F.col("src")).alias("enemy")).distinct()
-    cols = ["run_id", "ts", "row", "code", "src_root", "dst", "src", "dst_root", "spell_id"]
-    rows = own.select(*cols).unionByName(before.select(*cols)).filter(f"ts BETWEEN {CONTACT_FROM_MS} AND {CONTACT_TO_MS}")
-    touch = _in((*DAMAGE_CODES, *log.MISS, "SPELL_AURA_APPLIED"))
+    cols = ["run_id", "ts", "row", "code", "support", "buff", "src_root", "dst", "src", "dst_root", "spell_id"]
+    rows = own.select(*cols).unionByName(before.select(*cols)).filter(f"ts BETWEEN {CONTACT_FROM_MS} AND {CONTACT_TO_MS} AND NOT support")
+    landed = _in((*DAMAGE_CODES, *log.MISS))
+    touch = landed | ((F.col("code") == "SPELL_AURA_APPLIED") & ~F.coalesce("buff", F.lit(False)) & ~F.col("spell_id").isin(*NO_AGGRO))
     out = rows.filter(touch).select("run_id", "ts", "row", "spell_id", F.col("src_root").alias("actor"), F.col("dst").alias("enemy"), F.when(F.col("code") == "SPELL_AURA_APPLIED", "debuff").otherwise("hit").alias("kind"))
-    body = rows.filter(_in(DAMAGE_CODES)).select("run_id", "ts", "row", "spell_id", F.col("dst_root").alias("actor"), F.col("src").alias("enemy"), F.lit("body").alias("kind"))
+    body = rows.filter(touch).select("run_id", "ts", "row", "spell_id", F.col("dst_root").alias("actor"), F.col("src").alias("enemy"), F.lit("body").alias("kind"))
     met = out.unionByName(body).join(enemies, ["run_id", "enemy"], "left_semi").join(party, ["run_id", "actor"], "left_semi")
     first = met.withColumn("_n", F.row_number().over(W.partitionBy("run_id", "actor").orderBy("ts", "row"))).filter("_n = 1").drop("_n")
     tanks = ctx.party.select("run_id", F.col("guid").alias("actor"), F.coalesce(F.col("spec_id").isin(*TANK_SPECS), F.lit(False)).alias("tank"))

@@ -296,7 +296,12 @@ def by_ability(parts: DataFrame) -> DataFrame:
 
 
 def active_time(ctx: Context, direction: str = "done") -> DataFrame:
-    return sessions.active_time(counted_rows(ctx, direction), ["run_id", "actor"], "ts", "row", ACTIVE_GAP_MS)
+    """Time between a member's counted rows at most ten seconds apart; for healing a shield that comes off counts as a row of its caster."""
+    rows = counted_rows(ctx, direction).select("run_id", "actor", "ts", "row")
+    if direction == "healing":
+        off = ctx.events.filter(F.col("src_ours") & F.col("buff") & F.col("shield_off") & (F.col("code") == "SPELL_AURA_REMOVED"))
+        rows = rows.unionByName(off.select("run_id", F.col("src_root").alias("actor"), "ts", "row"))
+    return sessions.active_time(rows, ["run_id", "actor"], "ts", "row", ACTIVE_GAP_MS)
 
 
 def support_rows(ctx: Context) -> DataFrame:
@@ -365,7 +370,10 @@ def aura_uptime(ctx: Context) -> DataFrame:
 
 
 def aura_spans(ctx: Context) -> DataFrame:
-    """Per wearer and spell: the merged spans of the state over all casters, openings included, open ones to the run's end."""
+    """Per wearer and spell: the merged spans of the state over all casters, openings included, open ones to the run's end.
+
+    A removal without a known caster takes the one open copy off; among several it says nothing.
+    """
     ends = ctx.runs.select("run_id", (F.col("end_ms") - F.col("start_ms")).alias("_end"))
     opening = run_plan.opening_auras(ctx.party).select("run_id", F.col("guid").alias("wearer"), "spell_id", F.col("caster"), F.lit(0).cast("long").alias("ts"), F.lit(-1).cast("long").alias("row"), F.lit(True).alias("up"))
     seen = ctx.events.filter(_in(AURA_UP) | _in(AURA_DOWN)).select("run_id", F.col("dst").alias("wearer"), "spell_id", F.coalesce("src", F.lit("")).alias("caster"), "ts", "row", _in(AURA_UP).alias("up"), (F.col("code") != "SPELL_AURA_APPLIED").alias("old"))
@@ -373,7 +381,8 @@ def aura_spans(ctx: Context) -> DataFrame:
     # a state first seen by its refresh or end was up from the start
     ghosts = seen.withColumn("_n", first).filter("_n = 1 AND old").select("run_id", "wearer", "spell_id", "caster", F.lit(0).cast("long").alias("ts"), F.lit(-2).cast("long").alias("row"), F.lit(True).alias("up"))
     every = seen.drop("old").unionByName(opening).unionByName(ghosts).join(ends, "run_id")
-    edges = intervals.state_edges(every, ["run_id", "wearer", "spell_id"], "caster", "row", F.col("up"))
+    named = intervals.with_sole_copies(every, ["run_id", "wearer", "spell_id"], "caster", "row", F.col("up"))
+    edges = intervals.state_edges(named, ["run_id", "wearer", "spell_id"], "caster", "row", F.col("up"))
     return intervals.union_spans(edges, ["run_id", "wearer", "spell_id"], "ts", "row", F.col("_end"))
 
 

@@ -484,7 +484,7 @@ def _columns(e: _Events) -> dict[str, pa.Array]:
         "extra_spell_id": made(e.whole(_pick((extra, at), (soak, end(6)), (drain, end(4)))), pa.int64()), "extra_spell": e.text(_pick((extra, at + 1), (soak, end(5)), (drain, end(3)))),
         "amount": made(e.number(_pick((dmg | heal, at), (soak, end(3)), (drain, end(1)), (power, at), (miss, at + 2))), pa.float64()), "waste": made(e.whole(waste_at), pa.int64()),
         "absorbed": made(e.whole(_pick((dmg, at + e.slot + 4), (heal, at + e.slot + 1))), pa.int64()), "crit": pa.array(crit & crit_known),
-        "buff": pa.array(spans.equals(e.data, *kind_at, b"BUFF"), mask=kind_at[0] < 0), "miss": e.raw(at, miss), "avoided": pa.array(avoided, mask=e.field(at, miss)[0] < 0),
+        "buff": pa.array(spans.equals(e.data, *kind_at, b"BUFF"), mask=kind_at[0] < 0), "shield_off": pa.array(e.whole(at + 1, aura)[1], mask=~aura), "miss": e.raw(at, miss), "avoided": pa.array(avoided, mask=e.field(at, miss)[0] < 0),
         "caster": e.guid(_pick((soak, end(10)), (drain, end(8)))), "caster_name": e.text(_pick((soak, end(9)), (drain, end(7)))),
         "environment": spans.texts(e.data, *environment), "environment_kind": pa.array(numbers[place] if len(place) else np.zeros(0, dtype=np.int32), pa.int32(), mask=~fall),
         "feigned": pa.array(e.true(log.BASE)[0], mask=~died), "supporter": e.guid(e.n - 1, e.support), "subject": e.guid(start, adv), "owner": e.guid(start + 1, adv),
@@ -495,7 +495,7 @@ def _columns(e: _Events) -> dict[str, pa.Array]:
 
 EVENT = T.StructType([T.StructField("file_id", T.StringType())] + [T.StructField(n, t) for names, t in (
     (("row", "wall_ms"), T.LongType()), (("code",), T.StringType()), (("support",), T.BooleanType()), (("src", "src_name"), T.StringType()), (("src_flags",), T.LongType()), (("dst", "dst_name"), T.StringType()), (("dst_flags", "spell_id"), T.LongType()),
-    (("spell",), T.StringType()), (("extra_spell_id",), T.LongType()), (("extra_spell",), T.StringType()), (("amount",), T.DoubleType()), (("waste", "absorbed"), T.LongType()), (("crit", "buff"), T.BooleanType()), (("miss",), T.StringType()), (("avoided",), T.BooleanType()),
+    (("spell",), T.StringType()), (("extra_spell_id",), T.LongType()), (("extra_spell",), T.StringType()), (("amount",), T.DoubleType()), (("waste", "absorbed"), T.LongType()), (("crit", "buff", "shield_off"), T.BooleanType()), (("miss",), T.StringType()), (("avoided",), T.BooleanType()),
     (("caster", "caster_name", "environment"), T.StringType()), (("environment_kind",), T.IntegerType()), (("feigned",), T.BooleanType()), (("supporter", "subject", "owner"), T.StringType()), (("hp", "hp_max"), T.LongType()), (("x", "y"), T.DoubleType()), (("map", "mana"), T.LongType()),
 ) for n in names])
 

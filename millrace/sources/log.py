@@ -148,7 +148,7 @@ def decode(t: DataFrame) -> DataFrame:
         F.when(dmg | heal, field_float(_at(at))).when(soak, field_float(end(3))).when(drain, field_float(end(1))).when(power_, field_float(_at(at))).when(miss, field_float(_at(at + 2))).alias("amount"), waste.alias("waste"),
         F.when(dmg, field_int(_at(at + slot + 4))).when(heal, field_int(_at(at + slot + 1))).alias("absorbed"),
         F.coalesce(F.when(dmg, field_bool(_at(at + slot + 5))).when(heal, field_bool(_at(at + slot + 2))).when(soak, field_bool(end(1))), F.lit(False)).alias("crit"),
-        (aura_type == "BUFF").alias("buff"), F.when(miss, _at(at)).alias("miss"), F.when(miss, _at(at).isin(*AVOIDED)).alias("avoided"), F.when(soak, guid(end(10))).when(drain, guid(end(8))).alias("caster"), F.when(soak, field_text(end(9))).when(drain, field_text(end(7))).alias("caster_name"),
+        (aura_type == "BUFF").alias("buff"), F.when(aura, field_int(_at(at + 1)).isNotNull()).alias("shield_off"), F.when(miss, _at(at)).alias("miss"), F.when(miss, _at(at).isin(*AVOIDED)).alias("avoided"), F.when(soak, guid(end(10))).when(drain, guid(end(8))).alias("caster"), F.when(soak, field_text(end(9))).when(drain, field_text(end(7))).alias("caster_name"),
         F.when(code == "ENVIRONMENTAL_DAMAGE", _at(at - 1)).alias("environment"), F.when(code == "ENVIRONMENTAL_DAMAGE", F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ENVIRONMENT)), F.upper(_at(at - 1))), F.lit(0)), F.lit(0))).cast("int").alias("environment_kind"), F.when(code == "UNIT_DIED", F.coalesce(field_bool(_at(BASE)), F.lit(False))).alias("feigned"),
         F.when(F.col("support"), guid(_at(F.size("f") - 1))).alias("supporter"), guid(head(0)).alias("subject"), guid(head(1)).alias("owner"), field_int(head(2)).alias("hp"), field_int(head(3)).alias("hp_max"),
         field_float(tail(5)).alias("x"), field_float(tail(4)).alias("y"), field_int(tail(3)).alias("map"), mana.alias("mana"),

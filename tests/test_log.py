@@ -405,3 +405,27 @@ def test_one_shot_and_readiness(spark):
     assert got == {(B, "potion"): "pressed", (A, "potion"): "cooldown", (A, "stone"): "cooldown", (A, "defensive"): "ready"}
     out = {x.dst: (x.forgot, x.forgot_before) for x in deaths.forgotten(dead, ready, r.one_shots()).collect()}
     assert out == {B: (False, 0), A: (False, 0)}
+
+
+def opened(spark, lines):
+    head = [control(0, 'CHALLENGE_MODE_START,"Deep Hall",2000,500,12,[9,10]'), who(0, A, 64), who(0, B, 257)]
+    return reports.open_log(spark, log.rows_from_lines(spark, [*head, *lines, control(90_000, "CHALLENGE_MODE_END,2000,1,12,90000")]))
+
+
+def test_a_shield_coming_off_is_healing_activity(spark):
+    """Between heals 14 seconds apart a shield comes off; a plain buff that ends says nothing."""
+    off = f"{aura(16_000, B, A, 17, on=False, kind='BUFF')},0"
+    told = opened(spark, [heal(10_000, B, A, 100), off, aura(20_000, B, A, 774, on=False, kind="BUFF"), heal(24_000, B, A, 100)])
+    assert {r.actor: r.active for r in reports.active_time(told, "healing").collect()} == {B: 14_000}
+    bare = opened(spark, [heal(10_000, B, A, 100), aura(16_000, B, A, 17, on=False, kind="BUFF"), heal(24_000, B, A, 100)])
+    assert {r.actor: r.active for r in reports.active_time(bare, "healing").collect()} == {B: 0}
+
+
+def test_unnamed_removals_close_a_sole_copy(spark):
+    nobody = "0000000000000000"
+    got = reports.aura_spans(opened(spark, [
+        aura(1_000, A, MOB, 81), aura(5_000, nobody, MOB, 81, on=False), hit(9_000, A, MOB, 1),
+        aura(1_000, A, MOB, 82), aura(2_000, B, MOB, 82), aura(5_000, nobody, MOB, 82, on=False), aura(6_000, B, MOB, 82, on=False), aura(8_000, nobody, MOB, 82, on=False),
+        aura(3_000, A, MOB2, 81), aura(4_000, A, MOB2, 81, on=False), aura(5_000, nobody, MOB2, 81, on=False), aura(7_000, A, MOB2, 81), aura(8_000, A, MOB2, 81, on=False),
+    ])).collect()
+    assert sorted((r.wearer, r.spell_id, r.start, r.end) for r in got if r.spell_id > 80) == [(MOB, 81, 1_000, 5_000), (MOB, 82, 1_000, 8_000), (MOB2, 81, 3_000, 4_000), (MOB2, 81, 7_000, 8_000)]

@@ -25,6 +25,16 @@ def test_who_pulled(spark):
     assert [(r.actor, r.kind, r.pulled, r.sure) for r in got] == [(B, "hit", True, True), (A, "hit", False, False)]
 
 
+def test_marks_buffs_and_support_rows_are_no_contact(spark):
+    """The hunter's mark, a buff and a support row come first; the hit after them is the first contact."""
+    plain = hit(900, A, BOSS, 10)
+    support = plain.replace("SPELL_DAMAGE", "SPELL_DAMAGE_SUPPORT").replace("20:00:00.900", "20:00:00.300") + f",{B}"
+    lines = [control(0, 'ENCOUNTER_START,8,"Wyrm",16,20,9'), who(1, A, 64), who(1, B, 257), aura(100, B, BOSS, 257284), aura(150, B, BOSS, 7, kind="BUFF"), support, plain, aura(1_200, BOSS, B, 8), control(5000, 'ENCOUNTER_END,8,"Wyrm",16,20,1,5000')]
+    ctx = reports.open_log(spark, log.rows_from_lines(spark, lines))
+    got = moments.who_pulled(ctx, ctx.events.limit(0)).orderBy("place").collect()
+    assert [(r.actor, r.kind, r.ts) for r in got] == [(A, "hit", 900), (B, "body", 1_200)]
+
+
 def test_self_casts_and_before_pulls(spark):
     lines = [control(0, 'ZONE_CHANGE,9,"Den",16'), hit(1_000, A, BOSS, 1), cast(35_000, A, A, 10), control(40_000, 'ENCOUNTER_START,8,"Wyrm",16,20,9'), who(40_001, A, 64), aura(41_000, A, BOSS, 5), cast(42_000, A, A, 10), cast(42_100, A, B, 10), cast(44_000, A, A, 10), control(50_000, 'ENCOUNTER_END,8,"Wyrm",16,20,0,10000')]
     rows = log.rows_from_lines(spark, lines)
