@@ -15,8 +15,7 @@ Edge cases: a null text, or one without a letter, is ``und`` with score 0. Chara
 piece covers cost one fixed piece (the same in all languages). Words of any length are scored whole:
 in long ones the forward sums are rescaled as they go. Rows are scored one by one: repeated rows,
 null ids and extra columns change nothing. Ties go to the language that sorts first. Without training
-rows every text is ``und``. In the training sample alone, words of over ``RUN`` code points count as
-runs of that length.
+rows every text is ``und``. Training, too, sums over all segmentations of whole words of any length.
 """
 
 from __future__ import annotations
@@ -96,24 +95,58 @@ def _lattice(words: np.ndarray, vocab: tuple) -> list[tuple[int, int, np.ndarray
     return out
 
 
-def long_score(word: np.ndarray, p: np.ndarray, vocab: tuple) -> np.ndarray:
-    """Log-probabilities [languages] of one word of any length, from piece probabilities p, by a rescaled forward pass."""
-    reach, total = vocab[3], np.zeros(p.shape[1])
+def _long_rows(word: np.ndarray, vocab: tuple) -> Iterator[tuple[int, np.ndarray]]:
+    """(position, rows [positions, lengths]) of a long word, LONG_STEP positions at a time; -1: no piece."""
+    reach = vocab[3]
     padded = np.concatenate([word.astype(np.uint64) + U64(1), np.zeros(reach, dtype=np.uint64)])
-    known = np.concatenate([p, np.zeros((1, p.shape[1]))])  # row -1: no piece
-    ring = np.zeros((reach, p.shape[1]))  # sums up to the next positions, each over its scale
-    ring[0] = 1
     for at in range(0, len(word), LONG_STEP):
         n = min(LONG_STEP, len(word) - at)
         row = _rows_of(_span_hash(np.lib.stride_tricks.sliding_window_view(padded[at : at + n + reach - 1], reach)), vocab)
         row[np.arange(at, at + n)[:, None] + np.arange(reach) >= len(word)] = -1
+        yield at, row
+
+
+def long_forward(word: np.ndarray, p: np.ndarray, vocab: tuple) -> np.ndarray:
+    """Log-probabilities [positions + 1, languages] of the beginnings of one word of any length, by a rescaled forward pass."""
+    reach, out = vocab[3], np.zeros((len(word) + 1, p.shape[1]))
+    known = np.concatenate([p, np.zeros((1, p.shape[1]))])  # row -1: no piece
+    ring = np.zeros((reach, p.shape[1]))  # sums up to the next positions, each over its scale
+    ring[0] = 1
+    for at, row in _long_rows(word, vocab):
         chance = known[row]  # position, length, language
-        for k in range(n):
+        for k in range(len(row)):
             here = ring[0].copy()  # above 0: single characters are pieces
-            total += np.log(here)
+            out[at + k] = np.log(here) + (out[at + k - 1] if at + k else 0)
             ring[:-1], ring[-1] = ring[1:] / here, 0
             ring += chance[k]
-    return total + np.log(ring[0])
+    out[-1] = out[-2] + np.log(ring[0])
+    return out
+
+
+def long_score(word: np.ndarray, p: np.ndarray, vocab: tuple) -> np.ndarray:
+    """Log-probabilities [languages] of one word of any length, from piece probabilities p."""
+    return long_forward(word, p, vocab)[-1]
+
+
+def _long_expected(word: np.ndarray, weight: np.ndarray, logp: np.ndarray, vocab: tuple, out: np.ndarray) -> None:
+    """Adds the expected piece counts of one weighted word of any length to out (rescaled forward-backward)."""
+    reach, p = vocab[3], np.exp(logp)
+    known, forward = np.concatenate([p, np.zeros((1, p.shape[1]))]), long_forward(word, p, vocab)
+    backward = np.zeros_like(forward)  # logs of what follows each position
+    rows = np.concatenate([row for _, row in _long_rows(word, vocab)])
+    ring = np.zeros((reach, p.shape[1]))  # what follows the next positions, over what follows the next one
+    ring[0] = 1
+    for i in range(len(word) - 1, -1, -1):
+        here = (known[rows[i]] * ring).sum(axis=0)
+        backward[i] = backward[i + 1] + np.log(here)
+        ring[1:], ring[0] = ring[:-1] / here, 1
+    for at in range(0, len(word), LONG_STEP):
+        s, size = np.nonzero(rows[at : at + LONG_STEP] >= 0)
+        s = s + at
+        row = rows[s, size]
+        value = weight * np.exp(forward[s] + logp[row] + backward[s + size + 1] - forward[-1])
+        for k in range(out.shape[1]):
+            out[:, k] += np.bincount(row, weights=value[:, k], minlength=len(out))
 
 
 def word_scores(words: np.ndarray, logp: np.ndarray, vocab: tuple) -> np.ndarray:
@@ -169,14 +202,6 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return codes, start, end, row
 
 
-def cut_runs(start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) with long words cut into runs, for training."""
-    parts = -(-(end - start) // (RUN - 1))
-    which = np.repeat(np.arange(len(start)), parts)
-    nth = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-    return start[which] + nth * (RUN - 1), np.minimum(start[which] + (nth + 1) * (RUN - 1), end[which]), row[which]
-
-
 def distinct_words(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By length: (positions in start, distinct words [m, len + 1] with their MARK, each position's word)."""
     size = end - start
@@ -242,16 +267,20 @@ def _fit(counts: pd.DataFrame, vocab: tuple, rounds: int) -> tuple[list[str], np
     text = [w.encode("utf-8", "replace") for w in table_.index]
     off = np.concatenate([[0], np.cumsum([len(t) for t in text])])
     codes, *spans = words_of(np.frombuffer(b"".join(text), dtype=np.uint8), off)
-    start, end, row = cut_runs(*spans)
+    start, end, row = spans
     weight, groups = table_.to_numpy(dtype=float), []
-    for at, runs, inverse in distinct_words(codes, start, end):
-        groups.append((runs, np.stack([np.bincount(inverse, weights=weight[row[at], k], minlength=len(runs)) for k in range(len(langs))], axis=1)))
+    for at, words, inverse in distinct_words(codes, start, end):
+        groups.append((words, np.stack([np.bincount(inverse, weights=weight[row[at], k], minlength=len(words)) for k in range(len(langs))], axis=1)))
     some = max(64, 8192 // len(langs))  # words held at once, fewer for more languages
     for _ in range(rounds):
         expected = np.full_like(logp, PRIOR)
-        for runs, w in groups:
-            for i in range(0, len(runs), some):
-                _expected(runs[i : i + some], w[i : i + some], logp, vocab, expected)
+        for words, w in groups:
+            if words.shape[1] > RUN:
+                for word, weight_ in zip(words, w):
+                    _long_expected(word, weight_, logp, vocab, expected)
+                continue
+            for i in range(0, len(words), some):
+                _expected(words[i : i + some], w[i : i + some], logp, vocab, expected)
         expected[0] = expected[0].mean()  # unknown characters say nothing about the language
         logp = np.log(expected / expected.sum(axis=0))
     return langs, logp

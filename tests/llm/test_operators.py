@@ -666,6 +666,41 @@ def test_fit_equals_brute_force_em():
     assert langs == ["en"] and np.exp(logp[:, 0]) == pytest.approx(expected / expected.sum())
 
 
+@pytest.mark.parametrize("size", [20, 60, 5000])
+def test_long_words_are_fitted_whole(size):
+    """The rescaled expectations of one word equal the exact ones, and those of a word do not depend on its length's path."""
+    vocab = language.vocabulary(language.vocabulary_path())
+    rng = np.random.default_rng(size)
+    word = np.array([language.MARK, *(ord(c) for c in "".join(rng.choice(["the", "and", "ing", "ü", "漢", "x"], size))[:size])], dtype=np.uint32)
+    logp = np.log(rng.dirichlet(np.ones(vocab[2]), 2).T + 1e-9)
+    weight, got = np.array([2.0, 0.5]), np.zeros((vocab[2], 2))
+    language._long_expected(word, weight, logp, vocab, got)
+    if size <= 60:  # plain sums stay within doubles here
+        want = np.zeros_like(got)
+        language._expected(word[None, :], weight[None, :], logp, vocab, want)
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-12)
+    # every segmentation covers every character once: lengths of pieces times their counts give the word
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=language.vocabulary_path())
+    length = [1] + [len(sp.id_to_piece(i)) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
+    assert np.allclose(np.array(length) @ got, weight * len(word))
+    assert np.allclose(language.long_score(word, np.exp(logp), vocab), language.long_forward(word, np.exp(logp), vocab)[-1])
+
+
+def test_fit_uses_whole_long_words():
+    """One word of three hundred letters has about one word-start piece, whatever its length."""
+    import pandas as pd
+
+    vocab = language.vocabulary(language.vocabulary_path())
+    langs, logp = language._fit(pd.DataFrame([("en", "the" * 100, 1)], columns=["lang", "word", "count"]), vocab, 1)
+    keys, rows = vocab[:2]
+    expected = np.zeros((vocab[2], 1)) + language.PRIOR
+    language._long_expected(np.array([language.MARK, *map(ord, "the" * 100)], dtype=np.uint32), np.ones(1), np.full((vocab[2], 1), -np.log(vocab[2])), vocab, expected)
+    expected[0] = expected[0].mean()
+    assert langs == ["en"] and np.exp(logp) == pytest.approx(expected / expected.sum())
+
+
 def test_held_out_is_crc32(spark):
     got = spark.range(200).select("id", language.held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 3 == 1) for r in got)
