@@ -22,60 +22,76 @@ def _none(x):
     return None if x is None or x is pd.NA or (isinstance(x, float) and x != x) else x
 
 
-def _fold(rows: pd.DataFrame, ended: dict | None = None) -> list[dict]:
-    """Runs of one file from its control rows in order."""
-    out, key, pull, pulls, out_since, zone = [], None, None, {}, None, {}
-
-    def close(run, row, ms, success, total):
-        run |= {"end_row": row, "end_ms": ms, "success": success, "total_ms": total if total is not None else ms - run["start_ms"]}
-        for b in run["bosses"]:
-            b["end_ms"] = b["end_ms"] if b["end_ms"] is not None else None
-        out.append(run)
-
-    def opened(kind, r, **more):
-        return {"file_id": r["file_id"], "kind": kind, "title": r["title"], "instance_id": r["instance_id"], "mode_id": None, "encounter_id": None, "difficulty": None, "level": None, "start_row": r["row"], "start_ms": r["wall_ms"], "pull": None, "bosses": []} | more
-
-    for r in ({k: _none(v) if not isinstance(v, (list, tuple)) and not hasattr(v, "__len__") or isinstance(v, str) else v for k, v in x.items()} for x in rows.sort_values("row").to_dict("records")):
-        name, ms = r["name"], r["wall_ms"]
-        if key and out_since and ms - out_since[1] >= ABANDON_MS and not (name == "ZONE_CHANGE" and r["instance_id"] == key["instance_id"] and ms - out_since[1] < ABANDON_MS):
-            close(key, out_since[0], out_since[1], False, None)
-            key, out_since = None, None
+class Fold:
+    """The state machine over a file's control rows. Its ``state`` is plain data (JSON keeps it), so a stream can go on from it.
+
+    ``key`` and ``pull`` are the open ones, ``out`` the row and time at which the party left the key's instance.
+    """
+
+    def __init__(self, state: dict | None = None):
+        self.state = state or {"key": None, "pull": None, "pulls": {}, "out": None, "zone": {}}
+
+    def _closed(self, run: dict, row: int, ms: int, success: bool, total: int | None) -> dict:
+        return run | {"end_row": row, "end_ms": ms, "success": success, "total_ms": total if total is not None else ms - run["start_ms"]}
+
+    def expired(self, ms: int) -> list[dict]:
+        """The key that the party left at least ABANDON_MS before ``ms``: it failed where they left."""
+        s = self.state
+        if not (s["key"] and s["out"] and ms - s["out"][1] >= ABANDON_MS):
+            return []
+        done = self._closed(s["key"], *s["out"], False, None)
+        s["key"] = s["out"] = None
+        return [done]
+
+    def take(self, r: dict) -> list[dict]:
+        """The runs that a control row closes."""
+        s, name, ms = self.state, r["name"], r["wall_ms"]
+        out = self.expired(ms)
+        key = s["key"]
+
+        def opened(kind, **more):
+            return {"file_id": r["file_id"], "kind": kind, "title": r["title"], "instance_id": r["instance_id"], "mode_id": None, "encounter_id": None, "difficulty": None, "level": None, "start_row": r["row"], "start_ms": ms, "pull": None, "bosses": []} | more
+
+        boss = {"encounter_id": r["encounter_id"], "title": r["title"], "start_ms": ms, "end_ms": None}
         if name == "CHALLENGE_MODE_START":
             same = key and all(key[k] == r[k] for k in ("instance_id", "mode_id", "level", "title"))
             if not same:  # another announcement discards the open key
-                key, pull, out_since = opened("key", r, mode_id=r["mode_id"], level=r["level"]), None, None
-        elif name == "CHALLENGE_MODE_END":
-            if key:
-                close(key, r["row"], ms, bool(r["success"]), r["total_ms"] or None)
-                key, out_since = None, None
+                s |= {"key": opened("key", mode_id=r["mode_id"], level=r["level"]), "pull": None, "out": None}
+        elif name == "CHALLENGE_MODE_END" and key:
+            out.append(self._closed(key, r["row"], ms, bool(r["success"]), r["total_ms"] or None))
+            s["key"] = s["out"] = None
         elif name == "ENCOUNTER_START":
             if key:
-                key["bosses"].append({"encounter_id": r["encounter_id"], "title": r["title"], "start_ms": ms, "end_ms": None})
+                key["bosses"].append(boss)
             elif r["difficulty"] in RAID_DIFFICULTIES:
-                at = (r["encounter_id"], r["difficulty"])
-                pulls[at] = pulls.get(at, 0) + 1  # a pull without an end is discarded, but counts
-                pull = opened("raid", r, encounter_id=r["encounter_id"], difficulty=r["difficulty"], pull=pulls[at], instance_id=r["instance_id"])
-                if zone.get("instance_id") == r["instance_id"]:
-                    pull["title"] = f"{r['title']} ({zone['title']})" if zone.get("title") else r["title"]
-                pull["bosses"].append({"encounter_id": r["encounter_id"], "title": r["title"], "start_ms": ms, "end_ms": None})
+                at = f"{r['encounter_id']} {r['difficulty']}"
+                s["pulls"][at] = s["pulls"].get(at, 0) + 1  # a pull without an end is discarded, but counts
+                here = s["zone"].get("title") if s["zone"].get("instance_id") == r["instance_id"] else None
+                s["pull"] = opened("raid", encounter_id=r["encounter_id"], difficulty=r["difficulty"], pull=s["pulls"][at], title=f"{r['title']} ({here})" if here else r["title"], bosses=[boss])
         elif name == "ENCOUNTER_END":
             if key:
                 mine = [b for b in key["bosses"] if b["encounter_id"] == r["encounter_id"] and b["end_ms"] is None]
                 if mine:
                     mine[-1]["end_ms"] = ms
                 else:
-                    key["bosses"].append({"encounter_id": r["encounter_id"], "title": r["title"], "start_ms": ms, "end_ms": ms})
-            elif pull and pull["encounter_id"] == r["encounter_id"]:
-                pull["bosses"][0]["end_ms"] = ms
-                close(pull, r["row"], ms, bool(r["success"]), r["total_ms"] or None)
-                pull = None
+                    key["bosses"].append(boss | {"end_ms": ms})
+            elif s["pull"] and s["pull"]["encounter_id"] == r["encounter_id"]:
+                s["pull"]["bosses"][0]["end_ms"] = ms
+                out.append(self._closed(s["pull"], r["row"], ms, bool(r["success"]), r["total_ms"] or None))
+                s["pull"] = None
         elif name == "ZONE_CHANGE":
-            zone = {"instance_id": r["instance_id"], "title": r["title"]}
+            s["zone"] = {"instance_id": r["instance_id"], "title": r["title"]}
             if key:
-                out_since = None if r["instance_id"] == key["instance_id"] else out_since or (r["row"], ms)
-    if key and out_since and ended and ended["wall_ms"] - out_since[1] >= ABANDON_MS:
-        close(key, out_since[0], out_since[1], False, None)
-    return out
+                s["out"] = None if r["instance_id"] == key["instance_id"] else s["out"] or [r["row"], ms]
+        return out
+
+
+def _fold(rows: pd.DataFrame, ended: dict | None = None) -> list[dict]:
+    """Runs of one file from its control rows in order."""
+    fold, out = Fold(), []
+    for x in rows.sort_values("row").to_dict("records"):
+        out += fold.take({k: v if hasattr(v, "__len__") else _none(v) for k, v in x.items()})
+    return out + (fold.expired(ended["wall_ms"]) if ended else [])
 
 
 def runs(control: DataFrame, ends: DataFrame | None = None) -> DataFrame:

@@ -155,16 +155,16 @@ def decode(t: DataFrame) -> DataFrame:
     )
 
 
-def controls(t: DataFrame) -> DataFrame:
-    """Control rows with the fields that any of them has; the rest are null."""
+def controls(t: DataFrame, keep: tuple[str, ...] = (), every: bool = False) -> DataFrame:
+    """Control rows with the fields that any of them has; the rest are null. ``every`` other row passes too, with null fields."""
     of = lambda *names: F.col("name").isin(*names)
     start, done, boss, left, zone, map_, who = (of(x) for x in ("CHALLENGE_MODE_START", "CHALLENGE_MODE_END", "ENCOUNTER_START", "ENCOUNTER_END", "ZONE_CHANGE", "MAP_CHANGE", "COMBATANT_INFO"))
     body = F.array_join("f", ",")
     affixes = F.transform(F.regexp_extract_all(_at(4), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int"))
     lo = lambda a, b: F.least(field_float(_at(a)), field_float(_at(b)))
     hi = lambda a, b: F.greatest(field_float(_at(a)), field_float(_at(b)))
-    return t.filter(F.col("name").isin(*CONTROL)).select(
-        "file_id", "row", "wall_ms", "offset_min", "name",
+    return (t if every else t.filter(F.col("name").isin(*CONTROL))).select(
+        "file_id", "row", "wall_ms", "offset_min", "name", *keep,
         F.when(start, field_text(_at(0))).when(zone | map_ | boss | left, field_text(_at(1))).alias("title"), F.when(start, field_int(_at(1))).when(done | zone, field_int(_at(0))).when(boss, field_int(_at(4))).alias("instance_id"),
         F.when(start, field_int(_at(2))).alias("mode_id"), F.when(start, field_int(_at(3))).when(done, field_int(_at(2))).alias("level"), F.when(start, affixes).alias("affixes"),
         F.when(done, field_bool(_at(1))).when(left, field_bool(_at(4))).alias("success"), F.when(done, field_int(_at(3))).when(left, field_int(_at(5))).alias("total_ms"),
