@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 import zlib
 
@@ -38,3 +39,22 @@ def export(x) -> str:
     """CBOR, raw deflate, base 64."""
     squeeze = zlib.compressobj(9, zlib.DEFLATED, -15)
     return base64.b64encode(squeeze.compress(cbor(x)) + squeeze.flush()).decode()
+
+
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789()"  # fixed value: the format's 64 characters
+
+
+PREFIX = "!~MDT2~"  # fixed value: the import text's mark
+
+
+def uid(seed: str, size: int = 11) -> str:
+    """A route's id: ``size`` characters of six bits of the seed's digest, so a run's second export takes the place of its first."""
+    bits = int.from_bytes(hashlib.sha256(seed.encode()).digest(), "big")
+    return "".join(ALPHABET[bits >> 6 * i & 63] for i in range(size))
+
+
+def route_text(run_id: str, title: str, level: int, dungeon: int, sublevel: int, pulls: list) -> str:
+    """The planner's import text of a route: ``pulls`` are (enemies with their clones, colour) in order. Tables that are keyed by numbers stay so."""
+    each = [{e["enemy"]: list(e["clones"]) for e in p["enemies"]} | {"color": p["color"]} for p in pulls]
+    value = {"currentDungeonIdx": dungeon, "currentSublevel": sublevel, "currentPull": 1, "selection": [1], "pulls": each}
+    return PREFIX + export({"text": title, "uid": uid(run_id), "difficulty": level, "value": value, "objects": [], "colorPaletteInfo": {"autoColoring": True, "colorPaletteIdx": 1}})

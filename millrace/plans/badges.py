@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.operators import pairing
-from millrace.plans.reports import TANK_SPECS, Context, elapsed
+from millrace.plans.deaths import Recap
+from millrace.plans.reports import LOOKBACK_MS, TANK_SPECS, Context, elapsed
 
 #: Times within which one thing is put down to another, and least amounts.
-INEVITABLE_MS, BLOCKED_MS, CORPSE_MS, RIDE_MS, CLIFF_MS, DASHED_MS = 5_000, 3_000, 10_000, 2_000, 3_000, 1_500
+INEVITABLE_MS, BLOCKED_MS, CORPSE_MS, RIDE_MS, CLIFF_MS, DASHED_MS, SLOW_DEATH_MS = 5_000, 3_000, 10_000, 2_000, 3_000, 1_500, 5_000
+ONE_BLOW = 0.9  # of full health
 FUMES_MANA, SKITTISH, PARANOID_SHARE, LUCK_EXPECTED, COMMITMENT_BARS, PROTECTION = 5, 0.5, 0.25, 10, 100, 1022
 HEALER_SPECS = (65, 105, 256, 257, 264, 270, 1468)
 #: Fixed values: (badge, kind, best, field, least value that counts, times the runner-up for a title, least value for a title).
@@ -18,7 +20,7 @@ METRICS = (
     ("gravity", "roast", "most", "party", None, 3, 2e12), ("floor", "roast", "most", "party", None, 2, 3), ("magnet", "roast", "most", "party", None, 2, None), ("rng", "roast", "most", "party", None, 1.5, 8),
     ("backpack", "roast", "fewest", "dps", None, 2, None), ("ankh", "roast", "most", "party", None, None, None), ("cheater", "roast", "most", "party", None, 2, 3), ("lockout", "roast", "most", "party", None, None, None),
     ("air", "roast", "most", "party", 3, 2, None), ("rather-die", "roast", "most", "party", None, None, None), ("stam-check", "roast", "most", "party", None, None, None), ("commitment", "roast", "most", "party", 0.1, 2, None),
-    ("threat", "roast", "most", "nontank", 10, 2, 30), ("typhoid", "roast", "most", "nontank", None, 1.5, None), ("neglected", "roast", "most", "party", None, None, None), ("padder", "roast", "most", "party", 0.1, 2, None),
+    ("threat", "roast", "most", "nontank", 10, 2, 30), ("typhoid", "roast", "most", "nontank", None, 1.5, None), ("neglected", "roast", "most", "nonhealer", None, None, None), ("padder", "roast", "most", "party", 0.1, 2, None),
     ("wannabe", "roast", "most", "nontank", None, None, None), ("self-infused", "roast", "most", "party", None, None, None), ("unemployment", "roast", "most", "party", None, None, None), ("route", "roast", "most", "party", None, None, None),
     ("inevitable", "roast", "most", "party", None, None, None), ("block", "roast", "most", "party", None, None, None), ("corpse", "roast", "most", "party", None, None, None), ("cliff", "roast", "most", "party", None, None, None),
     ("dashed", "roast", "most", "party", 2, None, None), ("princess", "roast", "most", "party", None, None, None), ("last-ride", "roast", "most", "party", None, None, None), ("fumes", "roast", "most", "healer", None, None, None),
@@ -75,12 +77,65 @@ def values(parts: dict[str, DataFrame], party: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
+def neglected(ctx: Context, dead: DataFrame, told: Recap) -> DataFrame:
+    """Rows of ``dead`` who were no healers, took five seconds or more from the first hit of their last ten, and had no heal of a healer in those.
+
+    A party without a healer neglects nobody. ``told`` is the recap of these deaths.
+    """
+    healers = ctx.party.filter(F.col("spec_id").isin(*HEALER_SPECS)).select("run_id", F.col("guid").alias("healer"))
+    late = lambda rows: rows.join(told._died(), ["run_id", "anchor"]).filter(F.col("ts") >= F.col("died") - LOOKBACK_MS)
+    slow = late(told.incoming()).groupBy("run_id", "anchor").agg((F.max("died") - F.min("ts")).alias("_took")).filter(F.col("_took") >= SLOW_DEATH_MS)
+    helped = late(told.heals()).join(healers.withColumnRenamed("healer", "source"), ["run_id", "source"], "left_semi")
+    key = lambda rows: rows.select("run_id", F.col("anchor").alias("row")).distinct()
+    left = dead.join(healers.select("run_id").distinct(), "run_id", "left_semi").join(healers.withColumnRenamed("healer", "dst"), ["run_id", "dst"], "left_anti")
+    return left.join(key(slow), ["run_id", "row"], "left_semi").join(key(helped), ["run_id", "row"], "left_anti")
+
+
+def undodgeable(dead: DataFrame, told: Recap, hits: DataFrame, covered: DataFrame) -> DataFrame:
+    """Rows of ``dead`` with ``spell_id``, killed by one blow of nine tenths of their full health or more that no rule of the avoidable list names.
+
+    No melee swing and no fall. ``hits`` are the avoidable hits (run_id, actor, ts, spell_id), ``covered`` the runs (run_id) whose
+    dungeon the list covers; in others every blow would seem unavoidable.
+    """
+    blow = told.totals().select("run_id", "anchor", F.col("blow.ts").alias("ts"), F.col("blow.spell_id").alias("spell_id"), F.col("blow.net").alias("_net")).filter("spell_id <> 0")
+    full = told.trace().groupBy("run_id", "anchor").agg(F.max_by("hp_max", "row").alias("_full"))
+    one = blow.join(full, ["run_id", "anchor"]).filter((F.col("_full") > 0) & (F.col("_net") >= ONE_BLOW * F.col("_full")))
+    found = dead.drop("ts", "spell_id").join(one.withColumnRenamed("anchor", "row"), ["run_id", "row"]).join(covered.select("run_id").distinct(), "run_id", "left_semi")
+    return found.join(hits.select("run_id", F.col("actor").alias("dst"), "ts", "spell_id").distinct(), ["run_id", "dst", "ts", "spell_id"], "left_anti").drop("_net", "_full")
+
+
+def with_outcome(ctx: Context, spans: DataFrame) -> DataFrame:
+    """Segments with ``success``: of bosses by the control row that ended them (null while there is none), of pulls null."""
+    boss = ctx.runs.select("run_id", "file_id", F.posexplode("bosses").alias("n", "b")).select("run_id", "file_id", F.concat(F.lit("boss:"), F.col("n").cast("string")).alias("segment"), F.col("b.encounter_id").alias("encounter_id"), F.col("b.end_ms").alias("wall_ms"))
+    ended = ctx.controls.filter("name = 'ENCOUNTER_END'").select("file_id", "encounter_id", "wall_ms", "success")
+    known = boss.join(ended, ["file_id", "encounter_id", "wall_ms"]).groupBy("run_id", "segment").agg(F.bool_or("success").alias("success"))
+    return spans.drop("success").join(known, ["run_id", "segment"], "left")
+
+
+def short_routes(ctx: Context, spans: DataFrame, of: DataFrame, worth: DataFrame) -> DataFrame:
+    """(run_id, count, total): keys that succeeded, with all of the count in the end, but killed the last boss without it.
+
+    The count at that time is of every segment begun before the last boss that fell, that boss's own, and pulls begun
+    during the fight. ``spans`` have ``success``, ``of`` the enemies' segments, ``worth`` mode_id, npc_id, value and total.
+    """
+    totals = worth.groupBy("mode_id").agg(F.max("total").alias("total")).filter("total > 0")
+    timed = ctx.runs.filter("kind = 'key' AND success").select("run_id", "mode_id").join(totals, "mode_id")
+    kills = of.filter("defeated").groupBy("run_id", "segment", "npc_id").agg(F.count("*").alias("_n")).join(timed, "run_id")
+    each = kills.join(worth.select("mode_id", "npc_id", "value"), ["mode_id", "npc_id"]).groupBy("run_id", "segment").agg(F.sum(F.col("value") * F.col("_n")).alias("_forces"))
+    last = spans.filter("boss AND success").groupBy("run_id").agg(F.max_by(F.struct("segment", "start", "end"), F.struct("start", "segment")).alias("_boss"))
+    at = spans.select("run_id", "segment", "start", "boss").join(each, ["run_id", "segment"]).join(last, "run_id")
+    early = (F.col("segment") == F.col("_boss.segment")) | (F.col("start") < F.col("_boss.start")) | (~F.col("boss") & (F.col("start") < F.col("_boss.end")))
+    sums = at.groupBy("run_id").agg(F.sum(F.when(early, F.col("_forces")).otherwise(0)).alias("count"), F.sum("_forces").alias("_all"))
+    return timed.join(sums, "run_id").filter((F.col("count") < F.col("total")) & (F.col("_all") >= F.col("total"))).select("run_id", "count", "total")
+
+
 def measured(ctx: Context, seen: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The metric behind each badge, for as many as ``seen`` has the reports of.
 
     ``seen`` maps a report's name to its rows: deaths (dst), hits (avoidable), picks, damage and healing (breakdowns), moments (moment, actor,
     target, spell_id), falls, kicks (interrupt summary), stops, control and dispels (rows), totems, biggest, tallies, swings, padding, rush, links, drains,
-    uses, procs, distance, casting, lusts, rezzes, infusions, self_infusions, melds, on_others.
+    uses, procs, distance, casting, lusts, rezzes, infusions, self_infusions, melds, on_others, neglected, undodgeable,
+    short_routes and stands (``last_stands``).
     """
     out: dict[str, DataFrame] = {}
     has = lambda *names: all(n in seen for n in names)
@@ -133,6 +188,15 @@ def measured(ctx: Context, seen: dict[str, DataFrame]) -> dict[str, DataFrame]:
     out |= {badge: times_of(seen[n]) for n, badge in counted.items() if has(n)}
     if has("infusions"):
         out["favorite"] = times_of(seen["infusions"], "target")
+    if has("neglected"):
+        out["neglected"] = times_of(seen["neglected"], "dst")
+    if has("undodgeable"):
+        out["stam-check"] = times_of(seen["undodgeable"], "dst")
+    if has("short_routes"):
+        led = ctx.party.filter(F.col("spec_id").isin(*TANK_SPECS)).select("run_id", F.col("guid").alias("actor"))
+        out["route"] = times_of(led.join(seen["short_routes"], "run_id", "left_semi"))
+    if has("stands"):  # in a key that was lost anyway the last one up is no hero
+        out["hero"] = times_of(seen["stands"].join(ctx.runs.filter("kind = 'key' AND success"), "run_id", "left_semi"))
     if has("links"):
         out["comrade"] = seen["links"].groupBy("run_id", F.col("src_root").alias("actor")).agg(F.max("bars").cast("double").alias("value"))
     if has("drains"):
