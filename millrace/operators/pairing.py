@@ -113,8 +113,11 @@ def charge_clock(uses: DataFrame, keys: list[str], ts: str, order: str, recovery
     return rows.withColumn("ready_at", ready).drop("_i", "_wait", "_held", "_back")
 
 
-def folded(df: DataFrame, keys: list[str], order: str, step: Callable, state: Callable, schema: str) -> DataFrame:
-    """A general fold: ``step(state, row)`` returns (state, rows out) over a key's rows in order."""
+def folded(df: DataFrame, keys: list[str], ts: str, order: str, gap: int, step: Callable, state: Callable, schema: str) -> DataFrame:
+    """A fold whose state means nothing ``gap`` after the last row: ``step(state, row)`` returns (state, rows out) over a key's rows in order.
+
+    A key is cut at rows that lie ``gap`` or more after all rows before them, and its pieces are folded side by side.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         now, out = state(), []
@@ -123,7 +126,7 @@ def folded(df: DataFrame, keys: list[str], order: str, step: Callable, state: Ca
             out += more
         return pd.DataFrame(out, columns=[f.strip().split()[0] for f in schema.split(",")])
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return pieces.with_pieces(df, keys, ts, order, gap).groupBy(*keys, pieces.PIECE).applyInPandas(run, schema)
 
 
 def claimed_fifo(waiting: DataFrame, offers: DataFrame, keys: list[str], ts: str, order: str, within: int) -> DataFrame:
@@ -136,4 +139,4 @@ def claimed_fifo(waiting: DataFrame, offers: DataFrame, keys: list[str], ts: str
             return [*queue, (row[ts], row[order])], []
         return (queue[1:], [(queue[0][1], row[order])]) if queue else (queue, [])
 
-    return folded(rows, keys, order, step, list, "waiting long, offer long")
+    return folded(rows, keys, ts, order, within + 1, step, list, "waiting long, offer long")

@@ -88,7 +88,7 @@ def consumable_uses(ctx: Context, dim: DataFrame) -> DataFrame:
             now = {"ts": row["ts"], "row": row["row"], "cast": row["cast"]}
         return now, [(row["run_id"], row["actor"], row["spell_id"], now["ts"], now["row"], row["healed"], row["over"])]
 
-    told = pairing.folded(rows, ["run_id", "actor", "spell_id"], "row", step, dict, "run_id string, actor string, spell_id long, ts long, row long, healed double, over double")
+    told = pairing.folded(rows, ["run_id", "actor", "spell_id"], "ts", "row", CONSUMABLE_MS + 1, step, dict, "run_id string, actor string, spell_id long, ts long, row long, healed double, over double")
     return told.groupBy("run_id", "actor", "spell_id", "ts", "row").agg(F.sum("healed").alias("amount"), F.sum("over").alias("overhealing"))
 
 

@@ -125,3 +125,27 @@ def test_sessions_and_asof_on_no_rows(spark):
     none = spark.createDataFrame([], "row long, ts long, key int, v int")
     assert sessions.sessionize_gap(none, ["key"], "ts", "row", 5).count() == 0
     assert asof.asof_last(none.select("row", "ts", "key"), none, ["key"], "ts", ["v"]).count() == 0
+
+
+def test_claims_of_one_hot_key_equal_a_plain_queue(spark):
+    """One key with all rows, with ties and rows out of time's order, cut into pieces at gaps."""
+    import random
+
+    from millrace.operators import pairing
+
+    rng, at, rows = random.Random(5), 0, []
+    for i in range(3000):
+        at += rng.choice([0, 1, 5, 40, 99, 100, 101, 102, 400, -3])
+        rows.append(("k", at, i, rng.random() < 0.5))
+    queue, want = [], set()
+    for _, ts, row, waits in rows:
+        queue = [q for q in queue if ts - q[0] <= 100]
+        if waits:
+            queue.append((ts, row))
+        elif queue:
+            want.add((queue.pop(0)[1], row))
+    df = spark.createDataFrame(rows, "k string, ts long, row long, waits boolean")
+    part = lambda w: df.filter(w).drop("waits")
+    assert {(r.waiting, r.offer) for r in pairing.claimed_fifo(part("waits"), part("NOT waits"), ["k"], "ts", "row", 100).collect()} == want and len(want) > 200
+    none = df.limit(0).drop("waits")
+    assert pairing.claimed_fifo(none, none, ["k"], "ts", "row", 100).count() == 0
