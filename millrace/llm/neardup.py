@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
-from millrace.llm.joins import spread_join
+from millrace.llm.joins import HOT_BYTES, HOT_KEYS, HOT_ROWS, spread_join
 from millrace.llm.store import Workspace
 from millrace.llm.text import Words, mix, row_chunks, map_texts
 from millrace.session import table
@@ -279,13 +279,57 @@ def _of(sets: DataFrame, keys: DataFrame, rows: int) -> DataFrame:
     return sets.join(_small(keys.distinct(), rows), "key", "left_semi")
 
 
+def _hot(pairs: DataFrame, sets: DataFrame, rows: int) -> DataFrame | None:
+    """(key, n, tokens) of the sets that are in so many of the stored pairs that they must not meet them in one task.
+
+    These are in over a HOT_KEYS-th part of all pairs; if their tokens exceed HOT_BYTES, only the hotter ones. None if there are none.
+    """
+    bar = max(HOT_ROWS, rows // HOT_KEYS)
+    if rows <= bar:
+        return None
+    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
+    often = ends.groupBy("key").agg(F.count("*").alias("weight")).filter(F.col("weight") > bar)  # 2 x HOT_KEYS rows at most
+    found = sets.select("key", "n").join(F.broadcast(often), "key").groupBy("weight").agg(F.count("*").alias("keys"), F.sum("n").alias("n")).orderBy(F.desc("weight")).collect()
+    fits = used = 0
+    for r in found:
+        used += 8 * r["n"] + 64 * r["keys"]
+        if used > HOT_BYTES:
+            break
+        fits = r["weight"]
+    return sets.join(F.broadcast(often.filter(F.col("weight") >= fits).select("key")), "key").select("key", "n", "tokens") if fits else None
+
+
 def verified(pairs: DataFrame, sets: DataFrame, space: Workspace, name: str) -> DataFrame:
-    """The (a, b) whose sets link, counted exactly."""
+    """The pairs whose sets link, counted exactly, each as (a, b) or (b, a).
+
+    A set in many pairs - a hub - is sent to every executor once, and its pairs stay where their other sets are.
+    """
     pairs = space.put(pairs, name)
-    n = pairs.count()
-    a = _of(sets, pairs.select(F.col("a").alias("key")), n).select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    b = _of(sets, pairs.select(F.col("b").alias("key")), n).select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    both = pairs.join(a, "a").join(b, "b")
+    rows = pairs.count()
+
+    def side(df: DataFrame, c: str) -> DataFrame:
+        return df.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("tokens").alias(f"t{c}"))
+
+    def met(some: DataFrame, *c: str) -> DataFrame:
+        for x in c:
+            some = some.join(side(_of(sets, some.select(F.col(x).alias("key")), rows), x), x)
+        return some
+
+    hot = _hot(pairs, sets, rows)
+    if hot is None:
+        both = met(pairs, "a", "b")
+    else:
+        hot = space.put(hot, f"{name}-hubs", "none")
+        told = pairs
+        for x in ("a", "b"):
+            told = told.join(F.broadcast(hot.select(F.col("key").alias(x), F.lit(1).alias(f"hot_{x}"))), x, "left")
+        hubs = F.coalesce("hot_a", F.lit(0)) + F.coalesce("hot_b", F.lit(0))
+        first = F.col("hot_a").isNotNull() & F.col("hot_b").isNull()
+        told = told.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("b"), hubs.alias("hubs"))
+        told = space.put(told, f"{name}-told")
+        one = met(told.filter("hubs = 1").select("a", "b"), "a").join(F.broadcast(side(hot, "b")), "b")
+        two = told.filter("hubs = 2").select("a", "b").join(F.broadcast(side(hot, "a")), "a").join(F.broadcast(side(hot, "b")), "b")
+        both = met(told.filter("hubs = 0").select("a", "b"), "a", "b").unionByName(one).unionByName(two)
     return both.filter((100 + PERCENT) * F.size(F.array_intersect("ta", "tb")) >= PERCENT * (F.col("na") + F.col("nb"))).select("a", "b")
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, joins, language, mixture, neardup, planes, quality, secrets, shards, text, tokens, urls
+from millrace.llm.store import Workspace
 from millrace.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -366,6 +367,20 @@ def test_tree_decides_where_rows_land(spark):
         assert sorted(r.mix_shard) == sorted(want[r.doc_id]) and r.taken == r["size"] * len(r.mix_shard)
 
 
+def test_large_mixes_are_cut_into_more_partitions(spark, monkeypatch):
+    docs = table(spark, SF, "documents").select("doc_id", "text", "source")
+
+    def placed():
+        out = mixture.mixed(docs).select("doc_id", "mix_shard", "mix_key", F.spark_partition_id().alias("p")).withColumn("i", F.monotonically_increasing_id())
+        return out.toPandas().sort_values("i").reset_index(drop=True)
+
+    few = placed()
+    monkeypatch.setattr(mixture, "PART_WORDS", 500)
+    many = placed()
+    assert few.p.nunique() <= 48 < many.p.nunique() and many.groupby("p").mix_shard.nunique().max() == 1
+    assert many.drop(columns=["p", "i"]).equals(few.drop(columns=["p", "i"]))  # the same rows in the same order
+
+
 def test_split_tree_keeps_quotas():
     q = np.array([100, 7, 0, 4096])
     m = mixture.split_tree(q, 24, np.random.default_rng(1))
@@ -401,7 +416,6 @@ def brute_components(rows):
 
 
 def joined(df):
-    from millrace.llm.store import Workspace
 
     space = Workspace(df.sparkSession, "test")
     rows, labels = neardup.components(df.select("doc_id", "text"), space)
@@ -431,6 +445,35 @@ def test_jaccard_components_of_edited_copies(spark):
     assert joined(spark.createDataFrame(out, "doc_id long, text string").repartition(5)) == brute_components(out)
 
 
+@pytest.mark.parametrize(("rows", "room"), [(5, 1 << 28), (5, 9000), (5, 0), (1000, 1 << 28)])
+def test_hub_pairs_are_verified_like_others(spark, monkeypatch, rows, room):
+    """Pairs of hubs on either side, on both, and of none; hubs that fit in part or not at all."""
+    monkeypatch.setattr(neardup, "HOT_ROWS", rows)
+    monkeypatch.setattr(neardup, "HOT_BYTES", room)
+    base = list(range(100))
+    tokens = {k: sorted({t if (t * 7 + k) % 100 >= k % 25 else 1000 * k + t for t in base}) for k in range(60)}
+    sets = spark.createDataFrame([(k, len(t), t) for k, t in tokens.items()], "key long, n long, tokens array<long>")
+    pairs = [(k, h) for h in (0, 1) for k in range(2, 50)] + [(2, k) for k in range(50, 60)] + [(0, 1)] + [(k, k + 1) for k in range(50, 59)]
+    got = neardup.verified(spark.createDataFrame(pairs, "a long, b long"), sets, Workspace(spark, "test"), "pairs").collect()
+    links = [p for p in pairs if 100 * len(set(tokens[p[0]]) & set(tokens[p[1]])) >= 80 * len(set(tokens[p[0]]) | set(tokens[p[1]]))]
+    assert sorted(tuple(sorted(r)) for r in got) == sorted(tuple(sorted(p)) for p in links) and 0 < len(links) < len(pairs)
+
+
+def test_one_hub_is_verified_in_many_tasks(spark):
+    sets = spark.range(3001).selectExpr("id AS key", "50L AS n", "transform(sequence(0, 49), x -> if(x = 0, -id, x)) AS tokens")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    monkey = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    try:
+        for k, v in monkey.items():
+            spark.conf.set(k, v)
+        pairs = spark.range(1, 3001).selectExpr("id AS a", "0L AS b")
+        tasks = neardup.verified(pairs, sets, Workspace(spark, "test"), "pairs").groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert tasks.sum() == 3000 and tasks.max() <= 2 * tasks.median()
+
+
 def test_dedup_keeps_one_of_each(odd_docs, no_docs):
     kept = neardup.deduplicated(odd_docs)
     got = Counter(r.doc_id for r in kept.collect())
