@@ -40,6 +40,7 @@ SWAPS = 8
 SHARDS = 24
 SEED = 5
 BROADCAST_SOURCES = 100_000
+PART_WORDS = 1 << 26  # words (and documents) of the mix that one task orders, about
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MAX_PASSES) -> list[float]:
@@ -124,9 +125,12 @@ class Plan:
         blocks = space.put(keys.groupBy("_src", _block(F.col("_u")).alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "blocks")
         size = {r["_src"]: r["w"] for r in blocks.groupBy("_src").agg(F.sum("words").alias("w")).collect()}
         self.order = sorted(size, key=lambda s: (s == "", s))
+        docs = blocks.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
         goal = dict(zip(self.order, targets([size[s] for s in self.order]), strict=True))
         passes = {s: min(MAX_PASSES, int(goal[s] / size[s] + 1e-12)) if size[s] else 0 for s in self.order}
         ends = _ends(keys, blocks, {s: max(0.0, goal[s] - passes[s] * size[s]) if passes[s] < MAX_PASSES else 0.0 for s in self.order})
+        #: partitions of one shard; no document is taken more than MAX_PASSES times
+        self.parts = max(2, -(-int(sum(goal.values()) + MAX_PASSES * docs) // (shards * PART_WORDS)))
         quota = [passes[s] * BLOCKS + (ends[s].last >> (63 - BLOCK_BITS)) + 1 for s in self.order]
         #: [shard, source]: the end of each shard's run of places, in order of shards
         self.runs = np.cumsum(split_tree(np.array(quota, dtype=np.int64), shards, np.random.default_rng(seed)), axis=0)
@@ -210,14 +214,19 @@ def _draws(df: DataFrame, shards: int, seed: int) -> tuple[DataFrame, Plan, Data
 
 
 def mixed(df: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The mix: ``df``'s rows as often as they are taken, with mix_shard and mix_key (the order within the shard)."""
+    """The mix: ``df``'s rows as often as they are taken, with mix_shard and mix_key (the order within the shard).
+
+    Each shard is in partitions of its own, as many as the mix's size asks for; see ``dealt``.
+    """
     cols = [c for c in df.columns if c not in ("mix_shard", "mix_key")]
-    return _draws(df.select(*cols), shards, seed)[2].select(*cols, "mix_shard", "mix_key")
+    _, plan, drawn = _draws(df.select(*cols), shards, seed)
+    return dealt(drawn.select(*cols, "mix_shard", "mix_key"), shards, plan.parts)
 
 
-def dealt(mix: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The mix in its place: partitions 2k and 2k + 1 hold shard k, the lower and the upper half of its keys, each in their order."""
-    return mix.repartitionById(2 * shards, F.col("mix_shard") * 2 + (F.col("mix_key") >= 0).cast("int")).sortWithinPartitions("mix_shard", "mix_key")
+def dealt(mix: DataFrame, shards: int, parts: int) -> DataFrame:
+    """The mix in its place: each shard's keys cut into ``parts`` equal ranges, one after the other, each a sorted partition."""
+    part = F.shiftright((F.shiftright("mix_key", 32) + (1 << 31)) * parts, 32).cast("int")
+    return mix.repartitionById(parts * shards, F.col("mix_shard") * parts + part).sortWithinPartitions("mix_shard", "mix_key")
 
 
 def digest(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -226,7 +235,7 @@ def digest(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
     The mix is made and written whole; sizes are counted on the texts read back from it.
     """
     keys, plan, drawn = _draws(docs, shards, seed)
-    mix = Workspace(docs.sparkSession, "mixture-mix").put(dealt(drawn.select("doc_id", "text", "_src", "_u", "_pass", "mix_shard", "mix_key"), shards), "mix")
+    mix = Workspace(docs.sparkSession, "mixture-mix").put(dealt(drawn.select("doc_id", "text", "_src", "_u", "_pass", "mix_shard", "mix_key"), shards, plan.parts), "mix")
     # equal rows are taken in the same passes, so a row's copies are the distinct passes of its key
     copies = mix.withColumn("words", _words()).groupBy("_src", "_u", F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_set(F.struct("_pass", "mix_shard", "words"))).alias("_copies"))
     on = (keys["_src"] == copies["_src"]) & (keys["_u"] == copies["_u"]) & keys["doc_id"].eqNullSafe(copies["_id"])
@@ -242,7 +251,7 @@ def op5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mix, each shard's rows together and in shuffled order."""
-    return dealt(mixed(docs)).select(*docs.columns)
+    return mixed(docs).select(*docs.columns)
 
 
 QUERIES = {"op5_mixture": op5_mixture}
