@@ -39,3 +39,34 @@ def test_stages_keep_what_they_should(spark, tmp_path):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "text", "shard", "slot"} <= set(out.columns) and out.count() > 0
+
+
+def test_stages_on_odd_rows(spark, odd_docs):
+    """Each stage on nulls, empty texts, repeated rows and columns named like its own."""
+    out = {name: stage(spark, odd_docs, SF).toPandas() for name, stage in corpus_pipeline.STAGES}
+    assert all(set(out[name].columns) == set(odd_docs.columns) for name in out)
+    ids = {name: Counter(None if d != d else int(d) for d in frame.doc_id) for name, frame in out.items()}
+    everything = Counter({1: 2, **{k: 1 for k in range(2, 11)}, None: 2})
+    assert not {4, 5, 6, 10} & set(ids["language"]) and out["language"].text.notna().all()  # no letter: und
+    assert ids["near_duplicates"] == everything - Counter({1: 1, 2: 1, 3: 1})
+    assert ids["decontamination"] == everything
+    assert all(n <= 3 * everything[d] for d, n in ids["mixture"].items())
+    assert ids["shards"] == everything and all(sorted(s) == list(range(len(s))) for s in out["shards"].groupby("shard").slot.agg(list))
+
+
+def test_stages_on_no_rows(spark, no_docs):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, no_docs, SF)
+        assert out.columns == no_docs.columns or name == "shards"
+        assert out.count() == 0
+
+
+def test_stages_on_a_text_of_megabytes(spark):
+    """Two near copies of 3 MB: a stage sees the text whole and keeps it unchanged."""
+    words = [f"w{i}" for i in range(400_000)]
+    texts = [" ".join(words), " ".join([*words[:-3], "x", "y", "z"])]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        got = stage(spark, docs, SF).select("doc_id", "text").toPandas()
+        assert all(texts[d] == t for d, t in zip(got.doc_id, got.text)), name
+        assert set(got.doc_id) == ({0} if name == "near_duplicates" else {0, 1}), name
