@@ -57,7 +57,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((act == "error") & even, at("SPELL_AURA_REMOVED", us, F.lit(","), them, spell, F.lit(",DEBUFF"))).when(act == "signup", at("SPELL_CAST_SUCCESS", us, F.lit(","), them, F.lit(',61,"Kick",0x1')))
         .otherwise(at("SPELL_CAST_START", them, F.lit(",0000000000000000,nil,0x80000000,0x0"), spell))
     )
-    stamp = lambda ms: F.concat(F.lit("5/"), (21 + F.floor(ms / 86_400_000)).cast("string"), F.lit("/2024 "), F.date_format(F.timestamp_millis(ms % 86_400_000), "HH:mm:ss.SSS"), F.lit("+0  "))
+    stamp = lambda ms: F.concat(F.date_format(F.date_add(F.lit("2024-05-21").cast("date"), F.floor(ms / 86_400_000).cast("int")), "M/d/yyyy "), F.date_format(F.timestamp_millis(ms % 86_400_000), "HH:mm:ss.SSS"), F.lit("+0  "))
     rows = e.select("f", (F.col("n") + HEAD).cast("long").alias("row"), F.concat(stamp(F.col("n").cast("long") * STEP_MS), body).alias("line"))
     dead = e.filter("action = 'view' AND k % 25 = 1").select("f", (F.col("n") + HEAD).cast("long").alias("row"), F.lit(1).alias("late"), F.concat(stamp(F.col("n").cast("long") * STEP_MS), F.lit("UNIT_DIED,0000000000000000,nil,0x80000000,0x0,"), us, F.lit(",0")).alias("line"))
     bounds = e.groupBy("f").agg(F.max("n").cast("long").alias("last"))
