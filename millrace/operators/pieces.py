@@ -7,11 +7,13 @@ copied to it (a halo). No window is partitioned by the key alone but those over
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window as W
 
 BLOCK_ROWS = 65_536
-BLOCK, HALO, PIECE = "_block", "_halo", "_piece"
+BLOCK, HALO, PIECE, PART = "_block", "_halo", "_piece", "_part"
 
 
 def carried(blocks: DataFrame, keys: list[str], value: Column, name: str, *, running: str) -> DataFrame:
@@ -70,3 +72,21 @@ def with_halo(df: DataFrame, keys: list[str], order: str, before: int, after: in
     seen = edge.withColumns({"_behind": F.coalesce(behind, none) if before else none, "_ahead": F.coalesce(ahead, none) if after else none})
     halo = seen.filter((F.size("_behind") > 0) | (F.size("_ahead") > 0)).select(BLOCK, F.explode(F.concat("_behind", "_ahead")).alias("_r")).select("_r.*", BLOCK)
     return rows.withColumn(HALO, F.lit(False)).unionByName(halo.withColumn(HALO, F.lit(True)))
+
+
+def met(points: DataFrame, spans: DataFrame, keys: list[str], order: list[str], run: Callable, schema: T.StructType) -> DataFrame:
+    """``run(points, spans)``, Arrow tables of a key in and out, over blocks of both, so that no task holds more than a block of each.
+
+    Spans are cut in their order (``_part`` numbers a key's blocks from 0), points by their number ``_p``; a point meets each
+    block of its key, and one whose key has no spans meets none of them once. The caller merges what a point's blocks tell.
+    """
+    many = lambda df, name: df.groupBy(*(F.col(c).alias(f"_m{i}") for i, c in enumerate(keys))).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias(name))
+    on = [F.col(c).eqNullSafe(F.col(f"_m{i}")) for i, c in enumerate(keys)]
+    drop, to = [f"_m{i}" for i in range(len(keys))], lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(n, F.lit(1)) - 1))
+    parts, chunks = many(spans, "_parts"), many(points, "_chunks")
+    p = points.withColumn("_p", F.monotonically_increasing_id()).join(parts, on, "left").drop(*drop).join(chunks, on, "left").drop(*drop)
+    p = p.withColumn(PART, to(F.col("_parts"))).withColumn("_chunk", F.pmod(F.hash("_p"), F.col("_chunks"))).drop("_parts", "_chunks")
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
+    s = spans.withColumn(PART, F.floor(nth / BLOCK_ROWS)).join(chunks, on).drop(*drop).withColumn("_chunk", to(F.col("_chunks"))).drop("_chunks")
+    by = [*keys, PART, "_chunk"]
+    return p.groupBy(*by).cogroup(s.groupBy(*by)).applyInArrow(run, schema)
