@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
@@ -56,18 +58,30 @@ def outcomes(presses: DataFrame, windows: DataFrame, keys: list[str], ts: str, o
     ended at most ``aim`` before (``doubled`` if interrupted, else ``late``), one starts at most
     ``aim`` after (``early``), else ``nothing``. Casts last at most ``longest``.
     """
-    w = windows.select(*keys, F.col("start").alias(ts), "start", "end", "ended")
-    both = near(presses.select(*keys, ts, order), w, keys, ts, longest + aim, aim)
-    t = F.col(f"a.{ts}")
-    stage = (
-        F.when((t >= F.col("b.start")) & (t <= F.col("b.end")), 1).when((F.col("b.end") < t) & (F.col("b.end") >= t - aim), 2).when((F.col("b.start") > t) & (F.col("b.start") <= t + aim), 3)
-    )
-    seen = both.select(F.col(f"a.{order}").alias(order), stage.alias("stage"), F.col("b.ended").alias("ended"), F.col("b.start").alias("start"), F.col("b.end").alias("end")).filter("stage IS NOT NULL")
-    # a cast that holds the press first (the latest begun), then the one ended last, then the next to start
-    rank = F.struct("stage", F.when(F.col("stage") == 1, -F.col("start")).when(F.col("stage") == 2, -F.col("end")).otherwise(F.col("start")))
-    best = seen.groupBy(order).agg(F.min_by(F.struct("stage", "ended"), rank).alias("x"))
-    name = F.when(F.col("x.stage") == 3, "early").when(F.col("x.ended") == "interrupted", "doubled").when(F.col("x.stage") == 1, "ignored").otherwise("late")
-    return presses.select(order).join(best, order, "left").select(order, F.when(F.col("x").isNull(), "nothing").otherwise(name).alias("outcome"))
+    width = longest + 2 * aim
+    k = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]
+    of, cast = [f"_k{i}" for i in range(len(keys))], F.struct("start", "end", "ended")
+    reach = F.explode(F.sequence(F.floor((F.col("start") - aim) / width), F.floor((F.col("end") + aim) / width)))
+    c = windows.filter("start <= end").dropna(subset=keys).select(*k, reach.alias("_b"), "start", "end", "ended")
+    p = presses.select(*k, F.floor(F.col(ts) / width).alias("_b"), F.col(ts).alias("_t"), F.lit(1).alias("_side"), F.col(order).alias("_row"))
+    # at one time: casts that start, presses, casts that end
+    starts, ends = (c.select(*of, "_b", F.col(t).alias("_t"), F.lit(side).alias("_side"), cast.alias("_c")) for t, side in (("start", 0), ("end", 2)))
+    both = p.unionByName(starts, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
+    on, off = F.when(F.col("_side") == 0, F.col("_c")), F.when(F.col("_side") == 2, F.col("_c"))
+    so_far = W.partitionBy(*of, "_b").orderBy("_t", "_side", "_c").rowsBetween(W.unboundedPreceding, 0)
+    to_come = W.partitionBy(*of, "_b").orderBy(F.desc("_t"), F.desc("_side"), F.desc("_c")).rowsBetween(W.unboundedPreceding, 0)
+    last = lambda x, w: F.last(x, ignorenulls=True).over(w)
+    seen = both.withColumns({"_begun": last(on, so_far), "_most": F.max(on["end"]).over(so_far), "_done": last(off, so_far)}).withColumn("_next", last(on, to_come)).filter("_side = 1")
+    # the cast begun last holds the press if any does, unless it lies within an older one that is still open: those presses alone meet all casts around them
+    nested = (F.col("_begun.end") < F.col("_t")) & (F.col("_most") >= F.col("_t"))
+    odd = seen.filter(nested).select(*of, F.col("_t").alias(ts), "_row")
+    older = near(odd, windows.select(*k, F.col("start").alias(ts), "start", "end", "ended"), of, ts, longest, 0).filter(F.col("b.end") >= F.col(f"a.{ts}"))
+    older = older.groupBy(F.col("a._row").alias("_row")).agg(F.max(F.struct("b.start", "b.end", "b.ended")).alias("_older"))
+    seen = seen.join(older, "_row", "left")
+    held = F.coalesce("_older", F.when(F.col("_begun.end") >= F.col("_t"), F.col("_begun")))
+    done, then = F.when(F.col("_done.end") >= F.col("_t") - aim, F.col("_done")), F.when(F.col("_next.start") <= F.col("_t") + aim, F.col("_next"))
+    name = F.when(held.isNotNull(), F.when(held["ended"] == "interrupted", "doubled").otherwise("ignored")).when(done.isNotNull(), F.when(done["ended"] == "interrupted", "doubled").otherwise("late"))
+    return seen.select(F.col("_row").alias(order), name.when(then.isNotNull(), "early").otherwise("nothing").alias("outcome"))
 
 
 def kept_apart(df: DataFrame, keys: list[str], ts: str, order: str, least: int, change: str | None = None) -> DataFrame:
