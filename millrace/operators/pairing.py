@@ -90,20 +90,23 @@ def kept_apart(df: DataFrame, keys: list[str], ts: str, order: str, least: int,
     Each decision depends on the one before, which no window expresses. A row that comes ``least`` or more after all
     rows before it is kept whatever was kept before: a key is cut there, and its pieces are folded side by side.
     """
-    cols = [f.name for f in df.schema.fields]
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        keep, last, place = [], None, None
-        marks = rows[change].tolist() if change else [None] * len(rows)
-        for t, m in zip(rows[ts].tolist(), marks, strict=True):
-            take = last is None or t - last >= least or (change is not None and m != place)
-            keep.append(take)
-            if take:
-                last, place = t, m
-        return rows[keep][cols]
-
-    return pieces.with_pieces(df, keys, ts, order, least).groupBy(*keys, pieces.PIECE).applyInPandas(fold, df.schema)
+    cols = df.columns
+    first = F.row_number().over(W.partitionBy(*keys, pieces.PIECE).orderBy(order)) == 1
+    rows = pieces.with_pieces(df, keys, ts, order, least).withColumn("_first", first)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = place = None  # a piece goes on from one batch to the next
+        for b in batches:
+            marks, keep = b.column(change).to_pylist() if change else repeat(None, b.num_rows), []
+            for t, m, new in zip(b.column(ts).to_pylist(), marks, b.column("_first").to_pylist(), strict=True):
+                take = new or (t is not None and last is not None and t - last >= least) or m != place
+                keep.append(take)
+                if take:
+                    last, place = t, m
+            yield b.filter(pa.array(keep, pa.bool_())).select(cols)
+
+    # the window leaves each piece's rows together and in order, so tasks read them as a stream
+    return rows.mapInArrow(fold, df.schema)
 
 
 def charge_clock(uses: DataFrame, keys: list[str], ts: str, order: str, recovery: int | str, charges: int | str) -> DataFrame:

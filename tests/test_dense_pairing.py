@@ -30,3 +30,20 @@ def test_outcomes_pair_only_presses_in_older_casts(spark, monkeypatch, nested):
     got = {r.row: r.outcome for r in pairing.outcomes(p, c, ["k"], "ts", "row", AIM, LONGEST).collect()}
     assert got == {n: outcome([x[1:] for x in casts if x[0] == k and k], t) for n, k, t in presses}
     assert len(set(got.values())) == 5 and (met[0] > 0) == nested and met[0] < 100
+
+
+def test_kept_rows_are_read_as_a_stream(spark):
+    rng, rows, last, want = random.Random(5), [], {}, []
+    for i in range(400):
+        k, t = rng.choice(["hot", "hot", "b", None]), i // 2
+        rows.append((i, t, k))
+        if k not in last or t - last[k] >= 6:
+            last[k] = t
+            want.append(i)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        kept = pairing.kept_apart(spark.createDataFrame(rows, "row long, ts long, k string").repartition(3), ["k"], "ts", "row", 6)
+        assert sorted(r.row for r in kept.collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in kept._jdf.queryExecution().toString()
