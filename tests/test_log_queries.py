@@ -1,11 +1,16 @@
 """The written log: its lines are lines that a log can hold."""
 
 import datetime as dt
+import random
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.plans import log_queries
 
+NAMES = ["active_time", "aura_spans", "aura_uptime", "avoidable", "avoidable_members", "badge_pumper", "biggest_hits", "boss_claims", "breakdown_done", "breakdown_healing", "breakdown_taken", "conservation"]
+
 
 def test_dates_run_on_into_the_next_months(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(log_queries, "STEP_MS", 90_000_000)  # 25 hours a row: 60 rows are 62 days
@@ -15,3 +20,25 @@ def test_dates_run_on_into_the_next_months(spark, monkeypatch, tmp_path):
     told = log_queries.lines(spark, str(tmp_path)).filter("line LIKE '%SPELL_DAMAGE%'").orderBy("row").select(F.substring_index("line", "+0  ", 1)).collect()
     first = dt.datetime(2024, 5, 21)
     assert [dt.datetime.strptime(r[0], "%m/%d/%Y %H:%M:%S.%f") for r in told] == [first + dt.timedelta(milliseconds=90_000_000 * (i + 1)) for i in range(60)]
+
+
+@pytest.fixture(scope="module")
+def long_log(spark, tmp_path_factory):
+    """A folder whose log runs from 21 May to 5 June: 1,800 rows, 50 minutes a step; SQL is told the step in place of 700 ms."""
+    step, folder, dice = 3_000_000, tmp_path_factory.mktemp("long"), random.Random(7)
+    start, kinds = dt.datetime(2024, 1, 1), ["click", "purchase", "view", "signup", "error"]
+    rows = [(i, start + dt.timedelta(minutes=i), i % 4 + 4 * dice.randrange(40), dice.choice(kinds), dice.randrange(5000) / 100, f'{{"k": {dice.randrange(100)}}}') for i in range(1800)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{folder}/events.parquet")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(log_queries, "STEP_MS", step)
+        log_queries.opened(spark, str(folder))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS FROM '{folder}/events.parquet/*.parquet'")
+    return str(folder), lambda sql: con.execute(sql.replace("* 700", f"* {step}").replace("* 0.7", f"* {step / 1000}")).fetchall()
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_reports_go_on_past_the_month(spark, long_log, name):
+    folder, told = long_log
+    got = [tuple(r) for r in log_queries.QUERIES[f"log_{name}"](spark, folder).collect()]
+    assert got and sorted(map(str, got)) == sorted(map(str, told(log_queries.SQL[f"log_{name}"])))
