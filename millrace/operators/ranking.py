@@ -24,11 +24,11 @@ def places(df: DataFrame, party: list[str], value: str, name: str = "place") ->
 
 
 def rank_points(df: DataFrame, party: list[str], value: str, best: str = "most", name: str = "points") -> DataFrame:
-    """One point more than members beaten; for "most" a value of zero scores nothing."""
+    """One point more than members beaten; for "most" a value of zero scores nothing. A member without a value scores nothing and is not beaten."""
     w = _party(party)
-    beaten = F.count("*").over(w) - F.rank().over(w.orderBy(F.col(value) if best == "fewest" else F.desc(value))) - (F.count("*").over(w.partitionBy(*party, value)) - 1)
-    points = beaten + 1
-    return df.withColumn(name, (F.when(F.col(value) > 0, points).otherwise(0) if best == "most" else points).cast("long"))
+    beaten = F.count(value).over(w) - F.rank().over(w.orderBy(F.asc_nulls_last(value) if best == "fewest" else F.desc_nulls_last(value))) - (F.count("*").over(w.partitionBy(*party, value)) - 1)
+    scores = F.col(value) > 0 if best == "most" else F.col(value).isNotNull()
+    return df.withColumn(name, F.when(scores, beaten + 1).otherwise(0).cast("long"))
 
 
 def share_points(df: DataFrame, party: list[str], value: str, most: int, floor: float = 0.0, name: str = "points") -> DataFrame:

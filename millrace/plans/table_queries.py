@@ -58,11 +58,13 @@ def netting(l):
     return attribution.netted(part("l_returnflag <> 'R'", "gain"), part("l_returnflag = 'R'", "loss"), ["l_suppkey"], "gain", "loss").select("l_suppkey", F.round("net", 2).alias("net"))
 
 
-_PARTY = "p AS (SELECT c_nationkey AS party, o_custkey AS member, CAST(round(sum(o_totalprice)) AS BIGINT) AS v, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
+# summed in whole cents: a sum of doubles depends on the rows' order, and so does the side to which a half is rounded
+_PARTY = "p AS (SELECT c_nationkey AS party, o_custkey AS member, CAST(round(sum(CAST(round(o_totalprice * 100) AS BIGINT)) / 100) AS BIGINT) AS v, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
 
 
 def _party(o, c):
-    return o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy(F.col("c_nationkey").alias("party"), F.col("o_custkey").alias("member")).agg(F.round(F.sum("o_totalprice")).cast("long").alias("v"), F.count("*").alias("n"))
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    return o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy(F.col("c_nationkey").alias("party"), F.col("o_custkey").alias("member")).agg(F.round(F.sum(cents) / 100).cast("long").alias("v"), F.count("*").alias("n"))
 
 
 @query("orders", "customer", sql=f"WITH {_PARTY} SELECT party, member, v, CAST((SELECT count(*) FROM p q WHERE q.party = p.party AND q.v < p.v) + 1 AS BIGINT) * CASE WHEN v > 0 THEN 1 ELSE 0 END AS points FROM p")
