@@ -94,7 +94,7 @@ def stepped_points(o, c):
 
 
 @query("orders", "customer", sql=f"""WITH {_PARTY}, pts AS (
-  SELECT party, member, (SELECT count(*) FROM p q WHERE q.party = p.party AND q.v < p.v) + 1 + (SELECT count(*) FROM p q WHERE q.party = p.party AND q.n < p.n) + 1 AS total FROM p)
+  SELECT party, member, ((SELECT count(*) FROM p q WHERE q.party = p.party AND q.v < p.v) + 1) * CASE WHEN v > 0 THEN 1 ELSE 0 END + (SELECT count(*) FROM p q WHERE q.party = p.party AND q.n < p.n) + 1 AS total FROM p)
 SELECT party, member, CAST(total AS BIGINT) AS total, CAST(rank() OVER (PARTITION BY party ORDER BY total DESC) AS INT) AS place FROM pts""")
 def mvp_standings(o, c):
     """Places by the sum of points over categories."""

@@ -33,6 +33,11 @@ def test_rank_points_of_equal_sums(spark, folder):
     assert got == want == [(1, 1, 13, 4), (1, 2, 13, 4), (1, 3, 12, 2), (1, 4, 13, 4), (1, 5, 0, 0), (1, 6, None, 0), (1, 7, 12, 2)]
 
 
+def test_standings_of_equal_sums(spark, folder):
+    got, want = both(spark, folder, "mvp_standings")
+    assert got == want == [(1, 1, 10, 1), (1, 2, 10, 1), (1, 3, 3, 5), (1, 4, 5, 4), (1, 5, 1, 6), (1, 6, 1, 6), (1, 7, 7, 3)]
+
+
 @pytest.mark.parametrize(("best", "points"), [("most", [3, 2, 0, 0]), ("fewest", [1, 2, 3, 0])])
 def test_members_without_a_value(spark, best, points):
     rows = spark.createDataFrame([(1, "a", 5), (1, "b", 2), (1, "c", 0), (1, "d", None)], "party int, member string, v long")
