@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window as W
 
+from millrace.functions.times import FEW
+from millrace.operators import pieces
 from millrace.plans import badges, casting, deaths as death_plan, maps as map_plan, moments, reports, runs as run_plan, views
 from millrace.session import discard, fingerprint, scratch, stored, table
 from millrace.sources import log
@@ -37,7 +39,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     a kick (signup) and an enemy's cast that it may stop (error)."""
     k = F.get_json_object("props", "$.k").cast("long").alias("k")
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("action"), "value", k)
-    e = e.withColumn("f", (F.col("user_id") % FILES).cast("int")).withColumn("n", F.row_number().over(W.partitionBy("f").orderBy("event_id")))
+    e, files = _numbered(e.withColumn("f", (F.col("user_id") % FILES).cast("int")))
     e = e.withColumns({"amount": F.floor(F.col("value") * 10 + 0.5).cast("long")})
     member, other = (F.concat(F.lit("Player-1-"), F.lpad(x.cast("string"), 4, "0")) for x in (F.floor(F.col("user_id") / FILES) % MEMBERS, F.col("k") % MEMBERS))
     npc = F.col("k") % 7
@@ -58,17 +60,41 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(at("SPELL_CAST_START", them, F.lit(",0000000000000000,nil,0x80000000,0x0"), spell))
     )
     stamp = lambda ms: F.concat(F.date_format(F.date_add(F.lit("2024-05-21").cast("date"), F.floor(ms / 86_400_000).cast("int")), "M/d/yyyy "), F.date_format(F.timestamp_millis(ms % 86_400_000), "HH:mm:ss.SSS"), F.lit("+0  "))
-    rows = e.select("f", (F.col("n") + HEAD).cast("long").alias("row"), F.concat(stamp(F.col("n").cast("long") * STEP_MS), body).alias("line"))
-    dead = e.filter("action = 'view' AND k % 25 = 1").select("f", (F.col("n") + HEAD).cast("long").alias("row"), F.lit(1).alias("late"), F.concat(stamp(F.col("n").cast("long") * STEP_MS), F.lit("UNIT_DIED,0000000000000000,nil,0x80000000,0x0,"), us, F.lit(",0")).alias("line"))
-    bounds = e.groupBy("f").agg(F.max("n").cast("long").alias("last"))
+    stands = lambda n: F.least("fights", F.floor((n + BOSS_ROWS) / BOSS_EVERY)) + F.least("fights", F.floor(n / BOSS_EVERY))  # noqa: E731  edges of boss fights up to n
+    row, when = HEAD + F.col("n") + F.col("deaths") + stands(F.col("n") - 1), stamp(F.col("n") * STEP_MS)
+    nth = lambda n: F.when((n % BOSS_EVERY == 0) & (n / BOSS_EVERY).between(1, F.col("fights")), F.floor(n / BOSS_EVERY).cast("string"))
+    opens, closes = nth(F.col("n") + BOSS_ROWS), nth(F.col("n"))
+    edge = F.when(opens.isNotNull(), F.concat(F.lit("ENCOUNTER_START,"), opens, F.lit(',"Lord",8,5,2000'))).when(closes.isNotNull(), F.concat(F.lit("ENCOUNTER_END,"), closes, F.lit(',"Lord",8,5,1,70000')))
+    told = lambda at, text: F.struct(at.cast("long").alias("row"), F.concat(when, text).alias("line"))
+    dies = F.when(F.col("dead"), told(row + 1, at("UNIT_DIED", F.lit("0000000000000000,nil,0x80000000,0x0,"), us, F.lit(",0"))))
+    each = F.array_compact(F.array(told(row, body), dies, F.when(edge.isNotNull(), told(row + 1 + F.col("dead").cast("int"), edge))))
+    rows = e.select("f", F.inline(each))
     head = ['ZONE_CHANGE,2000,"Hall",8', 'MAP_CHANGE,1,"Hall",10.0,-10.0,5.0,-5.0', 'MAP_CHANGE,2,"Loft",20.0,-20.0,9.0,-9.0', 'CHALLENGE_MODE_START,"Hall",2000,500,12,[9,10]'] + [f"COMBATANT_INFO,Player-1-{m:04d},1,100,{(64, 257, 250, 71, 265)[m]},[(1,2,3),(4,5)],[],[Player-1-{m:04d},31]" for m in range(MEMBERS)]
-    first = bounds.select("f", F.posexplode(F.array(*map(F.lit, head))).alias("i", "h")).select("f", (F.col("i") + 1).cast("long").alias("row"), F.lit(0).alias("late"), F.concat(stamp(F.lit(0).cast("long")), "h").alias("line"))
-    fights = bounds.select("f", "last", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("last") / BOSS_EVERY)))).alias("b")).withColumn("at", F.col("b") * BOSS_EVERY - BOSS_ROWS).filter(F.col("at") + BOSS_ROWS < F.col("last"))
-    edge = lambda n, text: fights.select("f", (n + HEAD).cast("long").alias("row"), F.lit(2).alias("late"), F.concat(stamp(n.cast("long") * STEP_MS), text).alias("line"))
-    opens, closes = edge(F.col("at"), F.concat(F.lit("ENCOUNTER_START,"), F.col("b").cast("string"), F.lit(',"Lord",8,5,2000'))), edge(F.col("at") + BOSS_ROWS, F.concat(F.lit("ENCOUNTER_END,"), F.col("b").cast("string"), F.lit(',"Lord",8,5,1,70000')))
-    end = bounds.select("f", (F.col("last") + HEAD + 1).cast("long").alias("row"), F.lit(0).alias("late"), F.concat(stamp((F.col("last") + 1) * STEP_MS), F.lit("CHALLENGE_MODE_END,2000,1,12,59000")).alias("line"))
-    every = rows.withColumn("late", F.lit(0)).select("f", "row", "late", "line").unionByName(dead).unionByName(first).unionByName(opens).unionByName(closes).unionByName(end)
-    return every.select(F.format_string("f%d", "f").alias("file_id"), F.row_number().over(W.partitionBy("f").orderBy("row", "late")).cast("long").alias("row"), "line")
+    first = files.select("f", F.posexplode(F.array(*map(F.lit, head))).alias("i", "h")).select("f", (F.col("i") + 1).cast("long").alias("row"), F.concat(stamp(F.lit(0).cast("long")), "h").alias("line"))
+    end = files.select("f", (HEAD + F.col("last") + F.col("deaths") + 2 * F.col("fights") + 1).alias("row"), F.concat(stamp((F.col("last") + 1) * STEP_MS), F.lit("CHALLENGE_MODE_END,2000,1,12,59000")).alias("line"))
+    return rows.unionByName(first).unionByName(end).select(F.format_string("f%d", "f").alias("file_id"), "row", "line")
+
+
+def _numbered(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, files): events with n, their number in their file from 1 in order of event_id, deaths, how many died before,
+    and fights, the boss fights of the file; files (f, last, deaths, fights) with the totals.
+
+    A block of ids is numbered by one task, whatever the file's size; the blocks' counts, summed along each file, tell what
+    stands before a block. They are one row in about BLOCK_ROWS events, and broadcast up to a checked size.
+    """
+    ids = F.coalesce(F.floor(F.col("event_id") / (FILES * pieces.BLOCK_ROWS)), F.lit(-(2**62)))  # no id comes first
+    e = e.withColumns({"dead": F.coalesce(F.expr("action = 'view' AND k % 25 = 1"), F.lit(False)), pieces.BLOCK: ids})
+    blocks = e.groupBy("f", pieces.BLOCK).agg(F.count("*").alias("_rows"), F.count_if("dead").alias("_dead"))
+    fights = F.floor((F.col("last") - 1) / BOSS_EVERY)
+    files = blocks.groupBy("f").agg(F.sum("_rows").alias("last"), F.sum("_dead").alias("deaths")).withColumn("fights", fights)
+    file, inside = W.partitionBy("_f"), W.partitionBy("f", pieces.BLOCK).orderBy("event_id")
+    before = lambda c: F.coalesce(F.sum(c).over(file.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    known = blocks.withColumnsRenamed({"f": "_f", pieces.BLOCK: "_b"}).withColumns({"_n": before("_rows"), "_d": before("_dead"), "last": F.sum("_rows").over(file)})
+    known = known.select("_f", "_b", "_n", "_d", fights.alias("fights"))
+    known = F.broadcast(known) if known.limit(FEW + 1).count() <= FEW else known
+    e = e.join(known, F.col("f").eqNullSafe(F.col("_f")) & (F.col(pieces.BLOCK) == F.col("_b")))
+    died = F.coalesce(F.sum(F.col("dead").cast("long")).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return e.withColumns({"n": F.col("_n") + F.row_number().over(inside), "deaths": F.col("_d") + died}), files
 
 
 def opened(spark: SparkSession, sf_dir: str) -> reports.Context:
@@ -342,8 +368,8 @@ def presses(ctx):
 def width_drift(ctx):
     """P25: how often each event name comes, and whether it is known."""
     spark = ctx.events.sparkSession
-    sf_dir = next(k[1] for k, (_, _, c) in _OPEN.items() if c is ctx)
-    drift = log.width_drift(log.tokens(lines(spark, sf_dir)))
+    at = next(at for _, at, c in _OPEN.values() if c is ctx)
+    drift = log.width_drift(log.tokens(spark.read.parquet(f"{at}/lines")))
     return drift.filter("name IN ('SPELL_DAMAGE', 'SPELL_HEAL')").groupBy("name", "known").agg(F.sum("n").alias("n"))
 
 

@@ -204,11 +204,11 @@ def _slot(f: list[str], name: str, width: int) -> int | None:
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose lines are of one file and part, in order."""
+    """Slices of a batch whose lines are of one file and part and follow each other: none can lie between another's."""
     n = batch.num_rows
     file, part, order = batch.column(0), np.asarray(batch.column(1)), np.asarray(batch.column(2))
     code = np.asarray(file.dictionary_encode().indices)
-    cut = np.flatnonzero((code[1:] != code[:-1]) | (part[1:] != part[:-1]) | (order[1:] < order[:-1])) + 1
+    cut = np.flatnonzero((code[1:] != code[:-1]) | (part[1:] != part[:-1]) | (order[1:] != order[:-1] + 1)) + 1
     for a, b in zip([0, *cut], [*cut, n]):
         if b > a:
             yield batch.slice(int(a), int(b - a))

@@ -63,6 +63,17 @@ def test_equal_however_a_log_is_cut(spark, parts):
     assert got == want and {r.waste for r in got.values() if r.amount == 77} >= {5}
 
 
+@pytest.mark.parametrize("size", [1, 7, 20])
+def test_equal_however_blocks_are_dealt(spark, size):
+    """A task may hold the first and the third block of a file, and another one the second."""
+    bare = [f"{m}/{d} 10:00:00.000  SPELL_CAST_SUCCESS,{base(A, MOB)},61,\"K\",0x1" for m, d in ((11, 3), (12, 31), (1, 1), (2, 2), (12, 30), (1, 5), (3, 1), (4, 1))]
+    lines = [x for i, b in enumerate(bare) for x in [b] + [hit(10 * i + j, A, MOB, j) for j in range(9)] + ([wide(10 * i + 9, 24)] if i == 5 else [])]
+    rows = log.rows_from_lines(spark, lines)
+    dealt = decoder.lines_from_rows(rows).repartition(3, F.floor(F.col("n") / size)).sortWithinPartitions("file_id", "n")
+    want, got = compared(spark, rows, dealt)
+    assert got == want and len(got) == len(lines)
+
+
 def test_files_are_numbered_over_splits(spark, tmp_path):
     text = [stamp(i) + f"  SPELL_CAST_SUCCESS,{base(A, MOB)},{i},\"K\",0x1" for i in range(400)]
     (tmp_path / "a.txt").write_text("\r\n".join(text))
