@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from millrace.operators import pieces
 
-def asof_last(probes: DataFrame, samples: DataFrame, keys: list[str], ts: str, values: list[str], *, tie: str = "inclusive") -> DataFrame:
+
+def asof_last(probes: DataFrame, samples: DataFrame, keys: list[str], ts: str, values: list[str], *, tie: str = "inclusive", block: int | None = None) -> DataFrame:
     """Probes with the values (and ``at``) of the latest sample at or before (``exclusive``: before) their time.
 
     Both sides are hashed on the keys once; nothing is joined, so a key's rows are sorted and
-    streamed however many probes and samples it has.
+    streamed however many probes and samples it has. Where keys are few and long, ``block`` (of time) cuts their
+    rows: a task sorts a block, and what was last known before it is carried to it.
     """
     first = 0 if tie == "inclusive" else 1
     s = samples.select(*keys, F.col(ts).alias("_ts"), F.lit(first).alias("_side"), F.struct(F.col(ts).alias("at"), *values).alias("_v"))
     p = probes.select(*keys, F.col(ts).alias("_ts"), F.lit(1 - first).alias("_side"), F.struct(*probes.columns).alias("_p"))
     both = s.unionByName(p, allowMissingColumns=True)
     order = [F.col("_ts"), F.col("_side"), F.col("_v")]
-    seen = F.last("_v", ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return both.withColumn("_seen", seen).filter("_p IS NOT NULL").select("_p.*", "_seen.*")
+    by = keys
+    if block:
+        both, by = both.withColumn(pieces.BLOCK, F.floor(F.col("_ts") / block)), [*keys, pieces.BLOCK]
+        latest = both.groupBy(*by).agg(F.max(F.when(F.col("_v").isNotNull(), F.struct("_ts", "_v"))).alias("_latest"))
+        both = pieces.looked_up(both, pieces.carried(latest, keys, F.col("_latest"), "_carry", running="last"), keys, "_carry")
+    seen = F.last("_v", ignorenulls=True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return both.withColumn("_seen", F.coalesce(seen, F.col("_carry._v")) if block else seen).filter("_p IS NOT NULL").select("_p.*", "_seen.*")
 
 
 def interpolate(probes: DataFrame, samples: DataFrame, keys: list[str], ts: str, x: str, y: str, place: str, max_gap: int) -> DataFrame:

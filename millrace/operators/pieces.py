@@ -22,7 +22,7 @@ def carried(blocks: DataFrame, keys: list[str], value: Column, name: str, *, run
     return blocks.withColumn(name, (F.max(value) if running == "max" else F.last(value, ignorenulls=True)).over(before))
 
 
-def _looked_up(df: DataFrame, small: DataFrame, keys: list[str], name: str) -> DataFrame:
+def looked_up(df: DataFrame, small: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``df`` with the column of its key and block; null keys meet null keys."""
     named = small.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, BLOCK])), name)
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, BLOCK])]
@@ -42,13 +42,13 @@ def with_pieces(df: DataFrame, keys: list[str], ts: str, order: str | list[str],
     rows = df.withColumn(BLOCK, F.floor(F.col(ts) / block_ms) if by_time[0] == ts else F.floor(F.col(by_time[0]) / BLOCK_ROWS))
     inside = W.partitionBy(*keys, BLOCK).orderBy(*by_time)
     most = carried(rows.groupBy(*keys, BLOCK).agg(F.max(until).alias("_most")), keys, F.col("_most"), "_carry", running="max")
-    rows = _looked_up(rows, most, keys, "_carry")
+    rows = looked_up(rows, most, keys, "_carry")
     before = F.greatest(F.max(until).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.col("_carry"))
     rows = rows.withColumn("_before", before)
     begins = F.col("_before").isNull() | (F.col(ts) - F.col("_before") >= gap)
     rows = rows.withColumn("_begins", F.when(begins, F.col(BLOCK)))
     last = carried(rows.groupBy(*keys, BLOCK).agg(F.max("_begins").alias("_last")), keys, F.col("_last"), "_open", running="last")
-    rows = _looked_up(rows, last, keys, "_open")
+    rows = looked_up(rows, last, keys, "_open")
     piece = F.coalesce(F.last("_begins", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("_open"))
     return rows.withColumn(PIECE, piece).drop(BLOCK, "_carry", "_before", "_begins", "_open")
 

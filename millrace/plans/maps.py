@@ -10,6 +10,7 @@ from millrace.plans import runs as run_plan
 from millrace.plans.reports import THIN_MS, Context
 
 LINGER_MS, FRESH_MS = 5_000, 5_000
+BLOCK_MS = 3_600_000  # of a unit's samples, for a task
 
 
 def samples(ctx: Context, of: DataFrame | None = None) -> DataFrame:
@@ -53,10 +54,10 @@ def replay(probes: DataFrame, rows: DataFrame, dead: DataFrame) -> DataFrame:
     live: seen within five seconds before. dead: the last death or later sign (a sample with health) is a death.
     """
     keys = ["run_id", "actor"]
-    out = asof.asof_last(probes, rows.withColumn("seen", F.col("ts")), keys, "ts", ["x", "y", "map", "hp_pct", "seen"]).drop("at")
+    out = asof.asof_last(probes, rows.withColumn("seen", F.col("ts")), keys, "ts", ["x", "y", "map", "hp_pct", "seen"], block=BLOCK_MS).drop("at")
     gone = dead.select("run_id", "actor", F.explode("died").alias("ts")).withColumn("up", F.lit(False))
     signs = rows.filter("hp_pct > 0").select("run_id", "actor", "ts", F.lit(True).alias("up")).unionByName(gone)
-    last = asof.asof_last(out, signs, keys, "ts", ["up"])
+    last = asof.asof_last(out, signs, keys, "ts", ["up"], block=BLOCK_MS)
     return last.withColumns({"live": F.coalesce(F.col("ts") - F.col("seen") <= LINGER_MS, F.lit(False)), "dead": F.coalesce(~F.col("up"), F.lit(False))}).drop("up", "at")
 
 
