@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from millrace.operators import pieces
+from millrace.session import scratch, stored
+
 
 def attribute_owner(actors: DataFrame, ident: str, owner: str, hops: int = 4) -> DataFrame:
     """(id, root): the last owner reached from each actor in at most ``hops`` steps.
@@ -26,11 +29,13 @@ def counterpart_segments(rows: DataFrame, run: str, enemy: str, ts: str, order:
     roots are found by doubling the steps of a pointer (log of the depth joins) until none moves;
     one that still moves after ``rounds`` (beyond any depth, so a cycle by ties of ``order``) is an error.
     """
-    w = W.partitionBy(run).orderBy(order)
-    marked = rows.withColumns({
-        "_prev": F.when(F.col(ts) - F.lag(ts).over(w) <= gap, F.lag(enemy).over(w)), "_first": F.row_number().over(W.partitionBy(run, enemy).orderBy(order)),
-    })
+    # blocks of a run's rows, each with the row before it: no task sorts a run
+    w = W.partitionBy(run, pieces.BLOCK).orderBy(order)
+    cut = pieces.with_halo(rows.select(run, enemy, ts, order), [run], order, 1, 0, pieces.BLOCK_ROWS)
+    marked = cut.withColumn("_prev", F.when(F.col(ts) - F.lag(ts).over(w) <= gap, F.lag(enemy).over(w))).filter(~F.col(pieces.HALO))
+    marked = marked.withColumn("_first", F.row_number().over(W.partitionBy(run, enemy).orderBy(order)))
     up = marked.filter("_first = 1").select(run, F.col(enemy).alias("e"), F.coalesce("_prev", enemy).alias("p"))
+    up = stored(up, scratch(rows.sparkSession), "links")  # each round reads it twice, and so does its plan
     held: list[DataFrame] = []
     for _ in range(rounds):
         jump = up.select(run, F.col("e").alias("p"), F.col("p").alias("q"))

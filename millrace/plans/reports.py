@@ -25,6 +25,7 @@ ENEMY_KINDS = ("Creature", "Vehicle", "Pet")
 ACTIVE_GAP_MS, PULL_GAP_MS, BOSS_GRACE_MS, BOSS_HEALTH, HEALTH_FLOOR = 10_000, 5_000, 30_000, 0.5, 1
 SLACK_MS, PAIR_MS, AIM_MS, DUPLICATE_MS, UNENDED_CAST_MS = 100, 1_000, 1_000, 50, 10_000
 CONTROL_PRESS_MS, DISPEL_PRESS_MS, LOOKBACK_MS, SCROLLBACK_MS, THIN_MS = 1_000, 100, 10_000, 30_000, 250
+FIGHT_MS = 600_000  # a stretch in which fights and enemies meet
 POSITION_GAP_MS, TELEPORT_YARDS, TELEPORT_SPEED = 2_000, 50.0, 30.0
 SUMMONED_FLAGS, MISS_MS, KNOCKBACK = 0x3000, 200, 0x100
 TANK_SPECS = (250, 581, 104, 268, 66, 73)
@@ -156,10 +157,10 @@ def segments(ctx: Context, gap: int = PULL_GAP_MS, grace: int = BOSS_GRACE_MS) -
     )
     boss = ctx.runs.select("run_id", "start_ms", F.posexplode("bosses").alias("boss", "b")).select("run_id", "boss", F.col("b.title").alias("title"), (F.col("b.start_ms") - F.col("start_ms")).alias("from"), (F.col("b.end_ms") - F.col("start_ms")).alias("to"))
     boss = boss.withColumn("to", F.coalesce("to", F.lit(2**53)))
-    inside = enemy.join(boss, "run_id").filter("first >= from AND first <= to").groupBy("run_id", "enemy").agg(F.min("boss").alias("boss"))
+    inside = _during(enemy, boss, 0).groupBy("run_id", "enemy").agg(F.min("boss").alias("boss"))
     trash = hits.join(inside, ["run_id", "enemy"], "left_anti")
     pull = attribution.counterpart_segments(trash, "run_id", "enemy", "ts", "row", gap)
-    sturdy = enemy.join(boss, "run_id").filter(f"first >= from - {grace} AND first <= to")
+    sturdy = _during(enemy, boss, grace)
     own_peak = enemy.join(inside, ["run_id", "enemy"]).groupBy("run_id", "boss").agg(F.max("peak").alias("boss_peak"))
     moved = sturdy.join(own_peak, ["run_id", "boss"]).filter(F.col("peak") >= BOSS_HEALTH * F.col("boss_peak")).groupBy("run_id", "enemy").agg(F.min("boss").alias("moved"))
     of = enemy.join(inside, ["run_id", "enemy"], "left").join(moved, ["run_id", "enemy"], "left").join(pull, ["run_id", "enemy"], "left").withColumn("boss", F.coalesce("boss", "moved"))
@@ -175,6 +176,15 @@ def segments(ctx: Context, gap: int = PULL_GAP_MS, grace: int = BOSS_GRACE_MS) -
     return out, of
 
 
+def _during(enemy: DataFrame, boss: DataFrame, before: int) -> DataFrame:
+    """Enemies with each boss fight of their run that they were first engaged in, or at most ``before`` earlier: joined on stretches of time, not on runs alone."""
+    spans = boss.join(enemy.groupBy("run_id").agg(F.max("first").alias("_last")), "run_id").withColumn("_lo", F.col("from") - before)
+    stretch = lambda c: F.floor(c / FIGHT_MS)
+    spans = spans.withColumn("_b", F.explode(F.sequence(stretch(F.col("_lo")), stretch(F.greatest("_lo", F.least("to", "_last"))))))
+    both = enemy.withColumn("_b", stretch(F.col("first"))).join(spans, ["run_id", "_b"]).filter("first >= _lo AND first <= to")
+    return both.drop("_b", "_lo", "_last")
+
+
 def summoned(ctx: Context) -> DataFrame:
     """(file_id, enemy) of units that were summoned by any sign: a summon of them, their kind, their last flags, an owner."""
     by_row = ctx.events.filter("code IN ('SPELL_SUMMON', 'SPELL_CREATE') AND dst IS NOT NULL").select("file_id", F.col("dst").alias("enemy"))

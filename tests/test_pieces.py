@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from millrace.operators import pairing, pieces
+from millrace import session
+from millrace.operators import asof, attribution, pairing, pieces
+from millrace.plans import maps
 
 
 def stream(seed, n=120):
@@ -69,3 +71,46 @@ def test_charges_equal_the_plain_clock(spark, held):
     df = spark.createDataFrame(uses, "k string, row long, ts long, wait long, held int")
     for recovery, charges in ((20, held), ("wait", "held")):
         assert {r.row: r.ready_at for r in pairing.charge_clock(df, ["k"], "ts", "row", recovery, charges).collect()} == want
+
+
+def windows(df, function):
+    """The plan's windows of a function, as text."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if f"Window [{function}(" in x]
+
+
+@pytest.mark.parametrize("size", [16, 1 << 16])
+def test_pulls_of_a_run_are_chained_by_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(pieces, "BLOCK_ROWS", size)
+    rng, t, rows, pull, last = random.Random(5), 0, [], {}, {}
+    for row in range(0, 400, 2):
+        t += rng.choice([0, 1, 5, 30])
+        run, enemy = rng.choice(["a", "a", "a", "b"]), rng.randrange(60)
+        rows.append((row, t, run, enemy))
+        if (run, enemy) not in pull:
+            pull[run, enemy] = pull[run, last[run][1]] if run in last and t - last[run][0] <= 6 else enemy
+        last[run] = (t, enemy)
+    links = []
+    monkeypatch.setattr(attribution, "stored", lambda df, *at: links.append(df) or session.stored(df, *at))
+    got = attribution.counterpart_segments(spark.createDataFrame(rows, "row long, ts long, run string, enemy int").repartition(5), "run", "enemy", "ts", "row", 6)
+    assert {(r.run, r.enemy): r.segment for r in got.collect()} == pull
+    assert windows(links[0], "lag") and all(pieces.BLOCK in x for x in windows(links[0], "lag"))
+
+
+@pytest.mark.parametrize("tie", ["inclusive", "exclusive"])
+def test_blocks_carry_what_was_known_before(spark, tie):
+    rng = random.Random(9)
+    key = lambda: rng.choice(["hot", "hot", None, "b"])
+    samples = spark.createDataFrame([(key(), rng.randrange(-50, 300), rng.choice([None, 1, 2, 3])) for _ in range(80)], "k string, ts long, v int")
+    probes = spark.createDataFrame([(i, key(), rng.randrange(-80, 400)) for i in range(300)], "i int, k string, ts long")
+    cut = asof.asof_last(probes, samples, ["k"], "ts", ["v"], tie=tie, block=20)
+    whole = asof.asof_last(probes, samples, ["k"], "ts", ["v"], tie=tie)
+    assert cut.dtypes == whole.dtypes and sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_replay_sorts_blocks_of_a_unit(spark):
+    rows = spark.createDataFrame([(1, "a", i * 1000, float(i), 0.0, 1, 100 - i % 3 * 50) for i in range(0, 9000, 7)], "run_id int, actor string, ts long, x double, y double, map int, hp_pct int")
+    probes = spark.createDataFrame([(1, "a", t) for t in (0, 3_599_999, 3_600_001, 8_999_000)] + [(1, "b", 5)], "run_id int, actor string, ts long")
+    got = maps.replay(probes, rows, spark.createDataFrame([(1, "a", [3_590_000])], "run_id int, actor string, died array<long>"))
+    at = {(r.actor, r.ts): (r.x, r.dead) for r in got.collect()}
+    assert at == {("a", 0): (0.0, False), ("a", 3_599_999): (3598.0, False), ("a", 3_600_001): (3598.0, False), ("a", 8_999_000): (8995.0, False), ("b", 5): (None, False)}
+    assert windows(got, "last") and all(pieces.BLOCK in x for x in windows(got, "last"))
